@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from .chat import op7_chat_format
+from .decontaminate import op4_decontamination
+from .embedding_dedup import op8_embedding_near_dedup
+from .language import op5_language_id
 from .minhash import op1_minhash_near_dedup
+from .suffix_dedup import op2_suffix_dedup
+from .tokens import op3_token_output
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_token_output": op3_token_output,
+    "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
+    "op7_chat_format": op7_chat_format,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
 }
 
 SQL: dict[str, str] = {}
