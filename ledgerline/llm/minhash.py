@@ -8,7 +8,9 @@ ones; every link is confirmed on the full shingle sets.
 
 A band bucket is never expanded into all its pairs. Texts with the same shingle set are one class. First each class is
 verified against the best hub (smallest class in a band bucket) it meets. Then only buckets that still hold more than one
-component are searched exhaustively, in blocks, for pairs between components: links inside a component change nothing.
+component are searched exhaustively, in blocks, for pairs between components: links inside a component change nothing. The
+sketches alone first gather components into clusters that may be linked; then the full sets of a cluster's texts, each sent
+once for each block it meets, decide. Neither search returns its pairs, only what joins components.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 COLLISION = 0.1699
 #: How far below the threshold an estimate may lie and its pair still be verified: 4.5 standard deviations at 128 registers.
 MARGIN = 0.16
-#: Rows of a bucket that one block of the exhaustive search holds.
-BLOCK = 2000
+#: Rows of a bucket or cluster that one block of the exhaustive search holds.
+BLOCK = 1000
 BAND = np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 _order = np.argsort(np.random.default_rng(7).random((REGISTERS, REGISTERS)), axis=1).astype(np.int16)
@@ -116,59 +118,124 @@ def best_hubs(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return scored.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
 
 
-def crossing(band: DataFrame, labels: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of different components that share a band and whose estimate is at least `least`.
+def blocks(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, rep, comp) dealt to block pairs: with i, j, left and same, so that all pairs of different components meet.
 
-    Rows of a bucket's largest component are dealt into blocks of BLOCK, and so are its other rows; each block of others
+    Rows of a group's largest component are dealt into blocks of BLOCK, and so are its other rows; each block of others
     meets every block once. The largest component is not compared with itself, so a huge group costs its size times the
     number of stragglers.
     """
-    rows = band.join(labels, band.rep == labels.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    rows = written(rows.join(mixed, "band", "left_semi"), "mixed")
-    sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("major"), F.max("n").alias("nc"), F.sum("n").alias("nu"))
-    sizes = sizes.select("band", "major", F.ceil(F.col("nc") / BLOCK).cast("int").alias("nc"), F.ceil((F.col("nu") - F.col("nc")) / BLOCK).cast("int").alias("nu"))
-    rows = rows.join(sizes, "band").withColumn("minor", F.col("comp") != F.col("major"))
+    sizes = rows.groupBy(group, "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy(group).agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("major"), F.max("n").alias("nc"), F.sum("n").alias("nu"))
+    sizes = sizes.select(group, "major", F.ceil(F.col("nc") / BLOCK).cast("int").alias("nc"), F.ceil((F.col("nu") - F.col("nc")) / BLOCK).cast("int").alias("nu"))
+    rows = rows.join(sizes, group).withColumn("minor", F.col("comp") != F.col("major"))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("nu")).otherwise(F.col("nc"))).cast("int"))
     left = F.transform(F.filter(F.sequence(F.lit(0), F.col("nc") + F.col("nu") - 1), lambda j: (j < F.col("nc")) | (j - F.col("nc") >= F.col("c"))), lambda j: F.struct(F.col("c").alias("i"), j.alias("j"), F.lit(True).alias("left")))
     right = F.when(F.col("c") > 0, F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda i: F.struct(i.alias("i"), (F.col("nc") + F.col("c")).alias("j"), F.lit(False).alias("left"))))
     major = F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: F.struct(i.alias("i"), F.col("c").alias("j"), F.lit(False).alias("left")))
     to = F.when(F.col("minor"), F.concat(left, F.coalesce(right, F.array().cast("array<struct<i:int,j:int,left:boolean>>")))).otherwise(major)
-    dealt = rows.withColumn("to", F.explode(to)).select("band", "to.i", "to.j", "to.left", "rep", "comp", (F.col("to.j") == F.col("nc") + F.col("to.i")).alias("same"))
-    dealt = dealt.join(reps, "rep").select("band", "i", "j", "left", "same", "rep", "comp", "n", "regs")
-    parts = int(band.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("to", F.explode(to)).select(group, "to.i", "to.j", "to.left", (F.col("to.j") == F.col("nc") + F.col("to.i")).alias("same"), "rep", "comp")
+
+
+class Forest:
+    """Union-find over labels; join() tells whether two were apart."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
 
-    def block(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """rows: (left, same, rep, comp, n, regs) of one block pair."""
-        lo = [r for r in rows if r[0]]
-        hi = lo if rows[0][1] else [r for r in rows if not r[0]]
-        if not lo or not hi:
-            return np.zeros((0, 2), np.int64)
-        ids, comps, ns = (np.array([r[i] for r in hi]) for i in (2, 3, 4))
-        regs = np.frombuffer(b"".join(r[5] for r in hi), np.uint16).reshape(-1, REGISTERS)
-        found = []
-        for r in lo:
-            est = estimate((regs == np.frombuffer(r[5], np.uint16)).mean(1), np.full(len(ns), r[4]), ns)
-            hit = ids[(est >= least) & (comps != r[3])]
-            found.append(np.stack([np.maximum(hit, r[2]), np.minimum(hit, r[2])], 1))
-        return np.unique(np.concatenate(found), axis=0)
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def by_block(read, solve):
+    """Arrow batches sorted by a key of three columns to the pairs that solve() finds in the rows of each key."""
 
     def run(batches):
         key, held = None, []
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row in read(b):
                 if row[:3] != key:
                     if held:
-                        p = block(held)
-                        yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+                        yield pairs(solve(held))
                     key, held = row[:3], []
                 held.append(row[3:])
         if held:
-            p = block(held)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+            yield pairs(solve(held))
+
+    def pairs(found):
+        return pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
+
+
+def similar(lo: list[tuple], hi: list[tuple], least: float):
+    """For each row of lo, (rep, comp, n, regs, ...), with the rows of hi of other components whose estimate is high enough."""
+    comps, ns = np.array([r[1] for r in hi]), np.array([r[2] for r in hi])
+    regs = np.frombuffer(b"".join(r[3] for r in hi), np.uint16).reshape(-1, REGISTERS)
+    for r in lo:
+        est = estimate((regs == np.frombuffer(r[3], np.uint16)).mean(1), np.full(len(ns), r[2]), ns)
+        for j in np.flatnonzero((est >= least) & (comps != r[1])).tolist():
+            yield r, hi[j]
+
+
+def sides(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The two sides of a block pair from rows (left, same, ...)."""
+    lo = [r[2:] for r in rows if r[0]]
+    return lo, lo if rows[0][1] else [r[2:] for r in rows if not r[0]]
+
+
+def crossing(band: DataFrame, labels: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """(u, v): components with rows that share a band and have an estimate of at least `least`; of each block, a spanning forest only."""
+    rows = band.join(labels, band.rep == labels.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    rows = written(rows.join(mixed, "band", "left_semi"), "mixed")
+    dealt = blocks(rows, "band").join(reps, "rep").select("band", "i", "j", "left", "same", "rep", "comp", "n", "regs")
+    parts = int(band.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def solve(rows):
+        lo, hi = sides(rows)
+        forest = Forest()
+        return [(x[1], y[1]) for x, y in similar(lo, hi, least) if forest.join(x[1], y[1])] if lo and hi else []
+
+    run = by_block(lambda b: zip(*(c.to_pylist() for c in b.columns), strict=True), solve)
+    return dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "u long, v long")
+
+
+def settled(clusters: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, least: float) -> DataFrame:
+    """(u, v): links between components of one cluster, confirmed on full shingle sets; of each block, a spanning forest only.
+
+    clusters: (node, component) over components that may be linked.
+    """
+    labelled = reps.select("rep").join(labels, reps.rep == labels.node, "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+    rows = written(labelled.join(clusters, labelled.comp == clusters.node).select(F.col("component").alias("cluster"), "rep", "comp"), "clustered")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    dealt = blocks(rows, "cluster").join(reps, "rep").join(texts, "rep").select("cluster", "i", "j", "left", "same", "rep", "comp", "n", "regs", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(b):
+        for rows, data, offsets in slabs([b], "text"):
+            yield from zip(*(c.to_pylist() for c in rows.columns[:9]), shingle_sets(data, offsets, k), strict=True)
+
+    def solve(rows):
+        lo, hi = sides(rows)
+        forest, found = Forest(), []
+        for x, y in similar(lo, hi, least) if lo and hi else ():
+            if forest.find(x[1]) != forest.find(y[1]):
+                both = len(np.intersect1d(x[4], y[4], assume_unique=True))
+                if 100 * both >= percent * (len(x[4]) + len(y[4]) - both):
+                    forest.join(x[1], y[1])
+                    found.append((x[0], y[0]))
+        return found
 
-    return dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(by_block(read, solve), "u long, v long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -225,9 +292,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = written(best_hubs(stars, reps, least), "stars")
     links = written(confirmed(first, docs, k, percent), "links")
     labels = written(components(links), "labels")
-    more = written(crossing(band, labels, reps, least).join(first, ["a", "b"], "left_anti"), "crossing")
-    if not more.isEmpty():
-        links = links.unionByName(written(confirmed(more, docs, k, percent), "links"))
+    clusters = written(components(crossing(band, labels, reps, least)), "clusters")
+    if not clusters.isEmpty():
+        links = links.unionByName(written(settled(clusters, labels, reps, docs, k, percent, least), "links"))
     labels = written(components(links.unionByName(same)), "labels")
     out = rows.join(labels, rows.doc_id == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
