@@ -125,20 +125,6 @@ def filename_meta(name: Column, as_of_year: int) -> dict[str, Column]:
     }
 
 
-def filename_meta(name: Column, as_of_year: int) -> dict[str, Column]:
-    """Department, quarter and year from '… - Dept_Qn YYYY.pdf', with defaults."""
-    stem = F.regexp_replace(name, r"(?i)\.(pdf|docx?)$", "")
-    tail = F.regexp_replace(stem, r"^.* - ", "")
-    dept = squeeze(F.regexp_replace(F.regexp_replace(tail, r"(?i)[_ ]*Q[1-4].*$", ""), r"_+", " "))
-    year = F.regexp_extract(name, r"(20[0-9]{2})", 1)
-    quarter = F.upper(F.regexp_extract(name, r"(?i)(Q[1-4])", 1))
-    return {
-        "department": F.coalesce(F.nullif(dept, F.lit("")), F.lit("Unknown Department")),
-        "quarter": F.coalesce(F.nullif(quarter, F.lit("")), F.lit("Q?")),
-        "year": F.coalesce(F.try_to_number(F.nullif(year, F.lit("")), F.lit("9999")).cast("int"), F.lit(as_of_year)),
-    }
-
-
 def split_period(period: Column) -> dict[str, Column]:
     """Quarter ('' if absent) and year (NULL if absent) of a period text."""
     year = F.regexp_extract(period, r"\b(20[0-9]{2})\b", 1)

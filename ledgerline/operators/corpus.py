@@ -58,7 +58,7 @@ def parser_route(files: DataFrame) -> DataFrame:
     """The next reader of files (kind, ocr_ok, sparse, garbled, reader)."""
     nxt = (
         F.when(F.col("kind") == "other", "none")
-        .when(F.col("kind") == "complex_pdf", F.when("ocr_ok", "ocr").otherwise("vision"))
+        .when(F.col("kind") == "complex_pdf", F.when(F.col("ocr_ok"), "ocr").otherwise("vision"))
         .when(F.col("sparse"), "vision")
         .otherwise("text")
     )
@@ -300,7 +300,7 @@ def parse_response(responses: DataFrame, target: str, fields: str, required: lis
     with a required field missing or a confidence below medium go, and so does what cannot be parsed."""
     body = F.expr("substring(raw, instr(raw, '{'), length(raw) - instr(reverse(raw), '}') - instr(raw, '{') + 2)")
     parsed = F.from_json(body, f"{target} array<struct<{fields}, confidence: string>>")
-    rows = responses.where("instr(raw, '{') > 0 and instr(raw, '}') > 0").select("report_id", "batch_id", F.posexplode(parsed[target]).alias("pos", "r")).select("report_id", "batch_id", "pos", "r.*")
+    rows = responses.where("instr(raw, '{') > 0 and instr(raw, '}') > 0").select("report_id", "batch_id", F.posexplode(parsed.getField(target)).alias("pos", "r")).select("report_id", "batch_id", "pos", "r.*")
     for c in required:
         rows = rows.where(F.col(c).isNotNull())
     return rows.where(F.lower("confidence").isin("high", "medium"))

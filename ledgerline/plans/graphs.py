@@ -62,7 +62,7 @@ query(
 )
 query("G6_reported_in", lambda t: G.reported_in(t.registry, all_nodes(t).where("label = 'Department'").select(F.col("key").alias("name"))), "SELECT DISTINCT 'Department' AS src_label, department AS src, 'REPORTED_IN' AS rel, 'Document' AS dst_label, source_file AS dst FROM v_registry WHERE department IN (SELECT department FROM v_persons)", "registry", "persons")
 query("G7_node_unique_check", lambda t: G.node_unique_check(all_nodes(t).unionByName(t.persons.where("seq % 10 = 0").select(F.lit("Person").alias("label"), F.col("name").alias("key")))), "SELECT 'Person' AS label, name AS key, 2 AS n FROM v_persons WHERE seq % 10 = 0".replace("2 AS n", "2::BIGINT AS n"), "persons")
-query("G8_department_staff", lambda t: G.department_staff(all_edges(t), "FRANCE"), "SELECT department, name AS person, lower(rel) AS role FROM v_persons WHERE rel IN ('DIRECTS', 'MANAGES') AND department = 'FRANCE'", "persons")
+query("G8_department_staff", lambda t: G.department_staff(all_edges(t), "NATION_3"), "SELECT department, name AS person, lower(rel) AS role FROM v_persons WHERE rel IN ('DIRECTS', 'MANAGES') AND department = 'NATION_3'", "persons")
 query("G9_all_departments", lambda t: G.all_departments(all_nodes(t)), "SELECT DISTINCT department FROM v_persons", "persons")
 query(
     "G10_pattern_match", lambda t: G.reports_to_chain(all_edges(t), 3),
