@@ -237,7 +237,7 @@ query("U3_top_spender", lambda t: U.top_spender(t.expenditures), f"SELECT {dk('d
 TOTALS = f"SELECT {dk('department')} AS dept_key, sum(revised_budget)::DOUBLE AS budget, sum(ytd_expended)::DOUBLE AS ytd FROM ({LINES}) GROUP BY 1"
 query("U4_department_totals", lambda t: U.department_totals(t.expenditures), TOTALS, "expenditures")
 query("U5_metric_total", lambda t: U.metric_total(t.metrics, "CLICK", year=2021), "SELECT department, year, quarter, sum(metric_value)::DOUBLE AS total, count(*) AS n FROM v_metrics WHERE metric_name ILIKE '%click%' AND year = 2021 GROUP BY ALL", "metrics")
-query("U6_grants_of", lambda t: U.grants_of(t.grants, "Bureau of NATION_3", 1996), f"SELECT id, dept_key, grant_name, start_date::VARCHAR AS start_date, amount::DOUBLE AS amount FROM {grants()} WHERE dept_key = 'nation 3' AND year(start_date) = 1996", "grants")
+query("U6_grants_of", lambda t: U.grants_of(t.grants, "Bureau of NATION_3"), f"SELECT id, dept_key, grant_name, start_date::VARCHAR AS start_date, amount::DOUBLE AS amount FROM {grants()} WHERE dept_key = 'nation 3'", "grants")
 POS = f"SELECT dept_key, count(*) AS positions, sum(open_count)::BIGINT AS open_count FROM ({VAC}) GROUP BY 1"
 query("U7_vacancies_of", lambda t: U.vacancies_of(t.vacancies), POS, "vacancies")
 query("U8_most_vacancies", lambda t: U.most_vacancies(t.vacancies), f"{POS} ORDER BY 2 DESC, 1 LIMIT 1", "vacancies")
