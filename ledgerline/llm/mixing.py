@@ -52,7 +52,7 @@ def due(u: Column, tilt: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, source, text) as doc_id, size, source_size, target, taken, copies, positions and the columns in carry.
+    """docs (doc_id, source, text) as doc_id, size, source_size, target, taken, copies, positions and, with carry, a struct `carried` of those columns.
 
     taken is copies times size, copies at most `cap`; positions has the time of each copy. A null text has size 0 and is
     taken as no words; null is a source of its own, last. Rows of one doc_id are ordered by size and are each mixed. A
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = CAP, carry: tu
     empty table gives an empty result; other columns are ignored.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    own = [F.col(c).alias(f"carried_{c}") for c in carry]
+    own = [F.struct(*carry).alias("carried")] if carry else []
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size"), key.alias("key"), *own)
     rows = written(rows, "sizes").withColumn("part", F.left("key", F.lit(DIGITS)))
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
@@ -76,14 +76,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = CAP, carry: tu
     rows = rows.withColumn("begins", begins)
     positions = F.transform("begins", lambda x: due(x / F.col("target"), F.col("tilt")))
     copies = F.size("begins").cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), positions.alias("positions"), *(F.col(f"carried_{c}").alias(c) for c in carry))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), positions.alias("positions"), *(["carried"] if carry else []))
 
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """The copies that the mix takes of docs (doc_id, source, text, ...), with all their columns, in order of their positions."""
-    columns = docs.columns
-    mixed = mix(docs, carry=tuple(c for c in columns if c != "doc_id"), **options)
-    return mixed.withColumn("due", F.explode("positions")).orderBy("due", "doc_id").select(*columns)
+    mixed = mix(docs, carry=tuple(docs.columns), **options)
+    return mixed.select("doc_id", "carried", F.explode("positions").alias("due")).orderBy("due", "doc_id").select("carried.*")
 
 
 def op9_source_mixing(spark, sf_dir):
