@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, WORDLIKE, mix, prefix_hash, slabs, span_hash, table, words
+from .shared import LOWER, WORDLIKE, binary, mix, prefix_hash, slabs, span_hash, table, words
 
 WINDOW = 13
 #: Windows that are searched for by tables sent to every task (about 150 MB at most); beyond, windows are joined by hash.
@@ -122,11 +122,12 @@ def by_join(docs: DataFrame, patterns: DataFrame, lengths: list[int]) -> DataFra
     def run(batches):
         for rows, data, offsets in slabs(batches, "text", 1 << 18):
             low, starts, ends, first, h = word_hashes(data, offsets)
-            for row, a, b in zip(rows.column(rows.schema.get_field_index("row")).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                for m in lengths:
-                    at = range(a, b - m + 1)
-                    key = [hashlib.blake2b(b" ".join(low[starts[k] : ends[k]].tobytes() for k in range(i, i + m)), digest_size=16).digest() for i in at]
-                    yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(key), pa.int64()), "at": pa.array([i - a for i in at], pa.int64()), "m": pa.array([m] * len(key), pa.int64()), "key": pa.array(key, pa.binary())})
+            ids, out = rows.column(rows.schema.get_field_index("row")).to_pylist(), []
+            for row, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                spelled = [low[starts[k] : ends[k]].tobytes() for k in range(a, b)]
+                out += [(row, i, m, hashlib.blake2b(b" ".join(spelled[i : i + m]), digest_size=16).digest()) for m in lengths for i in range(len(spelled) - m + 1)]
+            row, at, m, key = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "at": pa.array(at, pa.int64()), "m": pa.array(m, pa.int64()), "key": pa.array(key, pa.binary())})
 
     @F.pandas_udf("binary")
     def key_of(p):
@@ -138,17 +139,12 @@ def by_join(docs: DataFrame, patterns: DataFrame, lengths: list[int]) -> DataFra
 
     def count(batches):
         for b in batches:
-            data, offsets = slabs_of(b)
+            data, offsets = binary(b.column(1))
             _, _, _, first, _ = word_hashes(data, offsets)
             n = np.diff(first).tolist()
             got = [marked(k, [(f["at"], f["m"], f["items"]) for f in found]) if found else (0, []) for k, found in zip(n, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_words": pa.array(n, pa.int64()), "n_hit": pa.array([x[0] for x in got], pa.int64()), "items": pa.array([x[1] for x in got], pa.list_(pa.int64()))})
 
-    def slabs_of(b):
-        from .shared import binary
-
-        return binary(b.column(1))
-
     return docs.join(hits, "row", "left").select("doc_id", "text", "found").mapInArrow(count, OUT)
 
 
