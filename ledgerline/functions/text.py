@@ -13,13 +13,13 @@ STOPWORDS = (
 TITLES = r"council\s*member|councilmember|councilman|councilwoman|council\s*president|vice\s+president|president|mrs|mr|ms|dr|hon|honorable"
 ALIASES = {
     "planning bureau": "planning",
-    "harrisburg city council": "city council",
-    "city of harrisburg city council": "city council",
     "finance": "budget & finance",
     "park maintenance": "parks & recreation",
     "economic development & building & housing": "building & housing development",
     "codes health department": "codes",
 }
+#: A council named with its city is the council.
+COUNCIL = r"^(city of )?[a-z]+ city council$"
 VOTES = {
     "yea": ("yea", "yeas", "yes", "aye", "ayes", "y", "for", "in favor"),
     "nay": ("nay", "nays", "no", "noes", "n", "against"),
@@ -168,7 +168,7 @@ def plain_key(c: Column) -> Column:
 def dept_key(c: Column) -> Column:
     """Canonical department."""
     key = plain_key(c)
-    return F.coalesce(lookup(ALIASES, key), key)
+    return F.when(key.rlike(COUNCIL), "city council").otherwise(F.coalesce(lookup(ALIASES, key), key))
 
 
 def display_order(name: Column) -> Column:

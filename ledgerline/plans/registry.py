@@ -44,7 +44,8 @@ def pk(x: str) -> str:
 
 def dk(x: str) -> str:
     """Canonical department key."""
-    return f"CASE {pk(x)} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.ALIASES.items()) + f" ELSE {pk(x)} END"
+    council = f"CASE WHEN regexp_matches({pk(x)}, '{text.COUNCIL}') THEN 'city council' "
+    return council + " ".join(f"WHEN {pk(x)} = '{a}' THEN '{b}'" for a, b in text.ALIASES.items()) + f" ELSE {pk(x)} END"
 
 
 def label(x: str = "department") -> str:
