@@ -22,8 +22,10 @@ from .shared import shared_path, table
 MAGIC, BLOCK = b"DAC1", 512
 #: Ids after which a shard is closed; a document stays in one shard.
 SHARD = 1 << 20
-#: Distinct words whose ids a Python worker remembers.
-REMEMBER = 400_000
+#: Distinct words, and distinct stems of words, whose ids a Python worker remembers.
+REMEMBER = 500_000
+#: Signs that end words; behind a letter or digit they are always tokens of their own.
+SIGNS = ".,;:!?%#*$&"
 NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id
 
 _ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint32)
@@ -102,35 +104,46 @@ class Shard:
 
 @lru_cache(2)
 def tokenizer(path: str):
+    """The tokenizer, ids of words, ids of stems (both as bytes), and the type of the ids."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    return t, {}
+    return t, {}, {"": b""}, np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32
+
+
+def stem(word: str) -> tuple[str, str]:
+    """A word that is encoded in its place, and the signs behind it. A tokenizer for lower case takes both cases alike; only ASCII is folded here."""
+    core = word.rstrip(SIGNS)
+    if core and not core[-1].isalnum():
+        core = word
+    return core.lower() if core.isascii() else core, word[len(core) :]
 
 
 def ids_of(texts: list[str], path: str, by_word: bool) -> list[np.ndarray]:
-    """Ids of whole texts without special tokens. by_word: the tokenizer drops white space and never joins across it, so the
-    parts between spaces and line ends can be encoded one by one and remembered."""
-    t, known = tokenizer(path)
+    """Ids of whole texts without special tokens. by_word: the tokenizer folds case, drops white space and never joins across
+    it, so the words between spaces and line ends can be encoded one by one and remembered."""
+    t, known, stems, kind = tokenizer(path)
+    batch = getattr(t, "encode_batch_fast", t.encode_batch)
     if not by_word:
-        return [np.array(e.ids, np.uint32) for e in t.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in batch(texts, add_special_tokens=False)]
     parts = [x.replace("\n", " ").split(" ") for x in texts]
+    words = set().union(*parts)
     if len(known) > REMEMBER:
         known.clear()
-    new = list(set().union(*parts) - known.keys())
-    for i in range(0, len(new), 4096):
-        for w, e in zip(new[i : i + 4096], t.encode_batch(new[i : i + 4096], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint16 if max(e.ids, default=0) < 65536 else np.uint32).tolist()
-    out = []
-    for p in parts:
-        ids: list[int] = []
-        for w in p:
-            ids += known[w]
-        out.append(np.array(ids, np.uint32))
-    return out
+    if len(stems) > REMEMBER:
+        stems.clear()
+        stems[""] = b""
+    new = [(w, *stem(w)) for w in words if w not in known]
+    missing = [w for w in {x[1] for x in new} | {x[2] for x in new} if w not in stems]
+    for i in range(0, len(missing), 4096):
+        for w, e in zip(missing[i : i + 4096], batch(missing[i : i + 4096], add_special_tokens=False), strict=True):
+            stems[w] = np.array(e.ids, kind).tobytes()
+    for w, core, signs in new:
+        known[w] = stems[core] + stems[signs]
+    return [np.frombuffer(b"".join(map(known.__getitem__, p)), kind).astype(np.uint32) for p in parts]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, by_word: bool = False, shard: int = SHARD) -> str:
