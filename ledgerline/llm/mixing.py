@@ -60,16 +60,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = CAP, carry: tu
     empty table gives an empty result; other columns are ignored.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    own = [F.struct(*carry).alias("carried")] if carry else []
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size"), key.alias("key"), *own)
-    rows = written(rows, "sizes").withColumn("part", F.left("key", F.lit(DIGITS)))
-    sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    group = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("group")  # never null, so that joins and windows agree on it
+    columns = [F.col("doc_id").cast("long"), F.col("source").cast("string"), group, word_count(F.col("text").cast("string")).alias("size"), key.alias("key"), F.left(key, F.lit(DIGITS)).alias("part")]
+    sized = written(docs.select(*columns), "sizes")
+    rows = docs.select(*columns, F.struct(*carry).alias("carried")) if carry else sized
+    sums = sized.groupBy("source", "group", "part").agg(F.sum("size").alias("part_size"))
     plan = written(targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, tilts, cap), "targets")
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("start", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
-    sums = sums.join(plan, sums.source.eqNullSafe(plan.source)).select(sums.source, "part", "start", "source_size", "target", "tilt")
-    inside = Window.partitionBy(rows.source, rows.part).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(sums, rows.source.eqNullSafe(sums.source) & (rows.part == sums.part))
+    sums = sums.join(plan, sums.source.eqNullSafe(plan.source)).select("group", "part", "start", "source_size", "target", "tilt")
+    # the join and the window deal rows by the same columns, so rows, which may carry texts, move once
+    inside = Window.partitionBy("group", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(sums, ["group", "part"])
     rows = rows.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2)
     begins = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda p: p * F.col("source_size") + F.col("at"))
     begins = F.when(F.col("size") > 0, F.filter(begins, lambda x: x < F.col("target"))).otherwise(F.array().cast("array<double>"))
