@@ -113,18 +113,18 @@ def binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slabs(batches, text: str, limit: int = 2 << 20):
-    """Arrow batches in row slices of at most limit bytes of text (one row may be longer): bounds what numpy holds at once."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        data, offsets = binary(column)
-        i = 0
-        while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-            yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            i = j
+def slabs(batches, text: str, limit: int = 2 << 20, rows: int = 512):
+    """Arrow batches in slices of at most `rows` rows and `limit` bytes of text (one row may be longer): bounds what is copied and held at once."""
+    for whole in batches:
+        at = whole.schema.get_field_index(text)
+        for start in range(0, whole.num_rows, rows):
+            batch = whole.slice(start, rows)
+            data, offsets = binary(batch.column(at))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+                yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                i = j
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
