@@ -1,9 +1,9 @@
 """MinHash near-duplicate removal with HyperMinHash sketches.
 
 Each text's distinct k-word shingles fall into REGISTERS buckets by hash; a register keeps the leading-zero count of the
-bucket's smallest hash and MANTISSA bits behind its first one-bit. Registers of empty buckets borrow from another bucket
-of the same text, chosen by a fixed random order, so that two registers agree with probability near the Jaccard similarity
-also for tiny texts. Bands of ROWS compressed registers propose pairs; the collision-corrected estimate drops hopeless
+bucket's smallest hash and MANTISSA bits behind its first one-bit. Registers of empty buckets, and only these, borrow from
+another bucket of the same text, chosen by a fixed random order, so that two registers agree with probability near the
+Jaccard similarity also for tiny texts. Bands of ROWS compressed registers propose pairs; the collision-corrected estimate drops hopeless
 ones; every link is confirmed on the full shingle sets.
 
 A band bucket is never expanded into all its pairs. Texts with the same shingle set are one class. First each class is
@@ -45,8 +45,8 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         at = np.searchsorted(s, cuts)
         full = np.append(at[1:], len(s)) > at
         if not full.all():
-            source = _order[np.arange(REGISTERS), np.argmax(full[_order], axis=1)]
-            at = at[source]
+            own = np.arange(REGISTERS)
+            at = at[np.where(full, own, _order[own, np.argmax(full[_order], axis=1)])]
         least[i] = s[at]
     rest = (least << np.uint64(REGISTERS.bit_length() - 1)) | np.uint64(1)  # the bits that did not pick the bucket; never 0
     top = np.frexp(rest.astype(np.float64))[1] - 1

@@ -82,6 +82,25 @@ def test_registers_estimate():
     assert abs(minhash.estimate((x == y).mean(), np.array(3600), np.array(3600)) - 0.8) < 0.16
 
 
+def test_near_copies_with_and_without_an_empty_bucket(spark):
+    rng, rows, sizes = np.random.default_rng(9), [], []
+    cuts = np.arange(minhash.REGISTERS, dtype=np.uint64) << np.uint64(57)
+    while len(rows) < 160:
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, rng.integers(400, 1200))]
+        copy = list(base)
+        for at in rng.integers(0, len(base), int(len(base) * rng.uniform(0.008, 0.026))):
+            copy[at] += "x"
+        data = [" ".join(t).encode() for t in (base, copy)]
+        a, b = shared.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), 3)
+        both = len(np.intersect1d(a, b))
+        full = [len(np.unique(np.searchsorted(cuts, s, "right"))) == minhash.REGISTERS for s in (a, b)]
+        if full[0] != full[1] and 0.85 <= both / (len(a) + len(b) - both) <= 0.95:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+            sizes += [len(a), len(b)]
+    assert min(sizes) < 500 and max(sizes) > 700
+    check_near(spark, rows, 3, 85)
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     pairs = [tuple(map(int, p)) for p in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5200)]
