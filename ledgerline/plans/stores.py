@@ -217,7 +217,7 @@ def stream_cost(t):
     zero = F.lit(0)
     rows = stream(t, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("call_site"), F.lit("model-a").alias("model"), (F.col("event_id") % 4000).alias("input_tokens"), zero.alias("output_tokens"), zero.alias("cache_read_tokens"), zero.alias("cache_write_tokens"))
     jobs.stream_usage_cost(rows, state, out).awaitTermination()
-    return t.spark.read.schema("day timestamp, call_site string, calls long, cost double").parquet(out)
+    return jobs.usage_by_day(t.spark, out)
 
 
 query("T1_stream_new_elements", stream_elements)

@@ -12,6 +12,8 @@ from ledgerline.operators import panels as A
 from ledgerline.operators import reports as M
 from ledgerline.operators import retrieval as R
 from ledgerline.operators import writes as S
+from ledgerline.plans import registry, stores  # noqa: F401  stores registers T3
+from ledgerline.streaming import jobs
 
 GRANT = "id long, department string, grant_name string, grant_number string, amount decimal(15,2), start_date date, end_date date, status string"
 
@@ -142,3 +144,25 @@ def test_named_files(spark, tmp_path):
         (tmp_path / n).write_bytes(b"x")
     have = spark.createDataFrame([("a.pdf",)], "source_file string")
     assert [r.source_file for r in S.new_files(S.listed_files(spark, str(tmp_path)), have).collect()] == ["b.pdf"]
+
+
+def daily(costs):
+    rows = costs.groupBy(F.date_trunc("day", "timestamp").alias("day"), "call_site").agg(F.count("*").alias("calls"), F.sum("cost").cast("double").alias("cost"))
+    return sorted(str(tuple(r)) for r in rows.select(F.col("day").cast("string"), "call_site", "calls", "cost").collect())
+
+
+def test_usage_stream_has_every_day(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("call_site"), F.lit("model-a").alias("model"), (F.col("event_id") % 4000).alias("input_tokens"))
+    costs = M.usage_cost(events.select("*", *(F.lit(0).alias(c) for c in M.TOKENS[1:])))
+    assert sorted(str(tuple(r)) for r in registry.QUERIES["T3_stream_usage_cost"](spark, sf).select("day", "call_site", "calls", "cost").collect()) == daily(costs)
+
+
+def test_usage_stream_over_several_runs(spark, tmp_path):
+    schema = "timestamp timestamp, call_site string, model string, input_tokens int, output_tokens int, cache_read_tokens int, cache_write_tokens int"
+    at = lambda day, hour: datetime.datetime(2026, 6, day, hour)
+    for rows in ([(at(20, 9), "a", "model-a", 7, 1, 0, 0), (at(20, 23), None, "model-b", 5, 0, 2, 3)], [(at(2, 1), "a", "model-a", 9, None, 1, 0), (at(20, 10), "a", "model-x", 1, 1, 1, 1), (at(21, 0), "b", "model-a", 4, 4, 4, 4)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        jobs.stream_usage_cost(source, f"{tmp_path}/state", f"{tmp_path}/out").awaitTermination()
+    got = jobs.usage_by_day(spark, f"{tmp_path}/out").select(F.col("day").cast("string"), "call_site", "calls", "cost")
+    assert sorted(str(tuple(r)) for r in got.collect()) == daily(M.usage_cost(spark.read.parquet(f"{tmp_path}/in")))
