@@ -115,7 +115,10 @@ def tokenizer(path: str):
 
 
 def stem(word: str) -> tuple[str, str]:
-    """A word that is encoded in its place, and the signs behind it. A tokenizer for lower case takes both cases alike; only ASCII is folded here."""
+    """A word that is encoded in its place, and the signs behind it. A tokenizer for lower case takes both cases alike; only ASCII is folded here.
+    A word that may hold an added token, which is matched before case is folded, stays as it is."""
+    if "<|" in word:
+        return word, ""
     core = word.rstrip(SIGNS)
     if core and not core[-1].isalnum():
         core = word

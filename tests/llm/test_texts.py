@@ -51,6 +51,12 @@ def test_whole_and_by_word_agree(spark, sf):
     assert all((x == y).all() for x, y in zip(a, b, strict=True))
 
 
+def test_added_tokens_keep_their_case():
+    texts = ["x <|EndOfText|> y", "a<|endoftext|>b <|startoftext|>. <|StartOfText|>, don", "<|endoftext|>s", "<|ENDOFTEXT|> A", "É<|EndOfText|>", "<| A |> <|END"]
+    a, b = tokens.ids_of(texts, tokens.vocabulary(), True), tokens.ids_of(texts, tokens.vocabulary(), False)
+    assert [x.tolist() for x in a] == [x.tolist() for x in b]
+
+
 # Decontamination
 
 
