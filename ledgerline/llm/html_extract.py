@@ -1,12 +1,11 @@
-"""Main text of web pages by equivalence-class template deduction.
+"""Main text of web pages by fixed lists of furniture, less the template text that equivalence classes find.
 
 Every page is cut into tokens: tags, told apart by the path of open elements they stand in, and text blocks with their path.
 Over the pages of a host, tokens with the same occurrence vector (how often in which page) form an equivalence class. The
 vector itself is never gathered: its signature, an order-free hash over (page, count), is aggregated for each host and
 token, so a host with most of the pages costs no task more than others. A class that occurs in most of the host's pages
-and has enough tokens is valid; valid classes nest by their paths and make up the template: its tags delimit slots, its
-text blocks are the same on every page. What is left in the slots of the article region, outside page furniture, is the
-main text.
+and has enough tokens is valid, and its text blocks are template text. The classes are not nested, and their tags are not
+used to cut slots: what is left of the article region, outside elements that fixed lists call furniture, is the main text.
 """
 
 from __future__ import annotations
