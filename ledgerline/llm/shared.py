@@ -1,9 +1,8 @@
 """Helpers that several operators share: written intermediate tables, connected components and byte-level word scanning."""
 
-from __future__ import annotations
-
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +27,26 @@ def table(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary folder only where none is set."""
+    """A new path in the folder that the cluster shares, spark.checkpoint.dir. Where that is unset, a temporary folder serves local mode; a cluster gets an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="spark-"))
+        root = _local[0]
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send texts to Python in Arrow batches of a few megabytes: 10,000 long texts at once take more memory than the work on them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a table written to the shared folder: lineage ends there, and a lost executor costs nothing done before."""
     path = shared_path(df.sparkSession, name)
@@ -79,12 +89,16 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse, modulo 2**64."""
+    """Powers 0..n of the hash base and of its inverse, modulo 2**64; those of usual sizes are remembered."""
     if len(_powers.get("up", ())) <= n:
+        made = {}
         for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(n + 1, base, np.uint64)
+            steps = np.full(max(n, 1 << 16) + 1, base, np.uint64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
+            made[name] = np.cumprod(steps, dtype=np.uint64)
+        if n > 2 << 20:
+            return made["up"][: n + 1], made["down"][: n + 1]
+        _powers.update(made)
     return _powers["up"][: n + 1], _powers["down"][: n + 1]
 
 
@@ -113,18 +127,34 @@ def binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slabs(batches, text: str, limit: int = 2 << 20, rows: int = 512):
-    """Arrow batches in slices of at most `rows` rows and `limit` bytes of text (one row may be longer): bounds what is copied and held at once."""
+def slices(column: pa.Array, limit: int = 512 << 10, rows: int = 256):
+    """(first row, past the last, bytes, offsets) of slices of a string column with at most `rows` rows and `limit` bytes (one row may be longer): bounds what is copied and held at once."""
+    for start in range(0, len(column), rows):
+        data, offsets = binary(column.slice(start, rows))
+        i, n = 0, len(offsets) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+            yield start + i, start + j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            i = j
+
+
+def slabs(batches, text: str, limit: int = 512 << 10, rows: int = 256):
+    """Arrow batches in such slices by their column `text`."""
     for whole in batches:
-        at = whole.schema.get_field_index(text)
-        for start in range(0, whole.num_rows, rows):
-            batch = whole.slice(start, rows)
-            data, offsets = binary(batch.column(at))
-            i = 0
-            while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-                yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                i = j
+        for i, j, data, offsets in slices(whole.column(whole.schema.get_field_index(text)), limit, rows):
+            yield whole.slice(i, j - i), data, offsets
+
+
+def text_column(work, kind: str, fields: pa.StructType, limit: int = 512 << 10, rows: int = 256):
+    """A function of a text column. work(texts, data, offsets) gives the arrays of a struct's fields for a slice of texts; only the text goes to Python, and only the struct comes back."""
+
+    @F.arrow_udf(kind)
+    def column(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in texts:
+            done = [pa.StructArray.from_arrays(work(whole.slice(i, j - i), data, offsets), fields=list(fields)) for i, j, data, offsets in slices(whole, limit, rows)]
+            yield pa.concat_arrays(done) if done else pa.array([], fields)
+
+    return column
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerline.llm import chat, decontaminate, html_extract, language, pii, tokens
 
@@ -32,7 +33,7 @@ def test_codes_round_trip(ids):
 @pytest.mark.parametrize("shard", [tokens.SHARD, 50])
 def test_tokens(spark, sf, shard):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 80").collect()] + [(1000 + i, t) for i, t in ODD] + [(None, "last?"), (900, "It's l'été, DON'T; ΟΔΟΣ. 'tis é. ½x² … #tag")]
-    path = tokens.write_tokens(docs(spark, rows), tokens.vocabulary(), by_word=True, shard=shard)
+    path = tokens.write_tokens(docs(spark, rows), tokens.vocabulary(), shard=shard)
     got = tokens.read_tokens(spark, path).orderBy("start").collect()
     from tokenizers import Tokenizer
 
@@ -45,16 +46,55 @@ def test_tokens(spark, sf, shard):
     assert tokens.read_tokens(spark, tokens.write_tokens(docs(spark, []), tokens.vocabulary())).count() == 0
 
 
+def test_tokens_in_given_order(spark, sf, tmp_path):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").collect()][::-1] + [(1, None), (1, "")]
+    docs(spark, rows).repartitionByRange(3, F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc(), F.col("text").desc()).write.parquet(str(tmp_path / "d"))
+    files = spark.read.parquet(str(tmp_path / "d"))
+    assert tokens.in_files(files) and not tokens.in_files(docs(spark, rows))
+    got = tokens.read_tokens(spark, tokens.write_tokens(files, tokens.vocabulary(), given=True, shard=900)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [i for i, _ in sorted(rows, key=lambda x: (-x[0], x[1] is None))]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
+
+
+def whole_and_by_word(texts):
+    data = [t.encode() for t in texts]
+    ids, n = tokens.ids_of(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), tokens.vocabulary())
+    got = np.split(ids, np.cumsum(n)[:-1])
+    return all(x.tolist() == e.ids for x, e in zip(got, tokens.tokenizer(tokens.vocabulary())[0].encode_batch(texts, add_special_tokens=False), strict=True))
+
+
 def test_whole_and_by_word_agree(spark, sf):
-    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
-    a, b = tokens.ids_of(texts, tokens.vocabulary(), True), tokens.ids_of(texts, tokens.vocabulary(), False)
-    assert all((x == y).all() for x, y in zip(a, b, strict=True))
+    assert tokens.by_word(tokens.vocabulary()) and not tokens.by_word(tokens.vocabulary("byte_bpe_50k.json"))
+    assert whole_and_by_word([r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()])
 
 
-def test_added_tokens_keep_their_case():
-    texts = ["x <|EndOfText|> y", "a<|endoftext|>b <|startoftext|>. <|StartOfText|>, don", "<|endoftext|>s", "<|ENDOFTEXT|> A", "É<|EndOfText|>", "<| A |> <|END"]
-    a, b = tokens.ids_of(texts, tokens.vocabulary(), True), tokens.ids_of(texts, tokens.vocabulary(), False)
-    assert [x.tolist() for x in a] == [x.tolist() for x in b]
+@given(st.lists(st.one_of(st.sampled_from([*".,;:!?%#*$& \n\t\x1c\x85\xa0'<>|/", "İ", "יִ", "क़", "H\u0331", "J\u030c", "ß", "Σ", "A", "z", "9", "<|endoftext|>", "<|EndOfText|>", "</w>", "'S"]), st.characters(exclude_categories=["Cs"])), max_size=12).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_any_text_by_word(text):
+    assert whole_and_by_word([text, "x", text + "!"])
+
+
+def test_words_that_change_under_normalisation():
+    assert whole_and_by_word(["İ!", "İ.", "İ,", "יִ;", "क़.", "H\u0331.", "T\u0308 x", "x <|EndOfText|> y", "a<|endoftext|>b <|startoftext|>. <|StartOfText|>, don", "É<|EndOfText|>", "<| A |> <|END", "", " "])
+
+
+def test_other_tokenizers_take_whole_texts():
+    path, texts = tokens.vocabulary("byte_bpe_50k.json"), ["It is.\n 12 é", "", "x  y"]
+    from tokenizers import Tokenizer
+
+    data = [t.encode() for t in texts]
+    ids, n = tokens.ids_of(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_memory_forgets_the_older_half():
+    m = tokens.Memory(4)
+    for w in (b"a", b"b", b"c"):
+        m.put(w, w)
+    assert m.get([b"a", b"c", b"x"]) == [b"a", b"c", None]
+    m.put(b"d", b"d")
+    m.put(b"e", b"e")
+    assert m.get([b"b"]) == [None]
 
 
 # Decontamination
@@ -66,7 +106,7 @@ def contamination_brute(rows, bench, window):
     for item, t in bench:
         w = find(t)
         for j in range(max(1, len(w) - window + 1) if w else 0):
-            patterns.setdefault(tuple(w[j : j + window]), set()).add(item)
+            patterns.setdefault(tuple(w[j : j + window]), set()).update(set() if item is None else {item})
     out = []
     for i, t in rows:
         w, hit, items = find(t), set(), set()
@@ -83,13 +123,27 @@ def contamination_brute(rows, bench, window):
 def test_contamination(spark, broadcast):
     rng = np.random.default_rng(8)
     some = lambda n: " ".join(rng.choice(["ab", "cd", "Ef", "gh", "é1"], n))
-    bench = [(i, some(rng.integers(3, 12))) for i in range(12)] + [(12, "zz"), (13, None), (14, " - "), (12, "yy zz"), (15, "ab, AB.ab")]
+    bench = [(i, some(rng.integers(3, 12))) for i in range(12)] + [(12, "zz"), (13, None), (14, " - "), (None, "cd cd"), (12, "yy zz"), (15, "ab, AB.ab")]
     rows = [(i, some(rng.integers(1, 80)) + "; " + (bench[i % 12][1] if i % 3 == 0 else "")) for i in range(60)] + [(100 + i, t) for i, t in ODD] + [(200, "zz"), (201, "ab ab-ab")]
     b = spark.createDataFrame([(*x, "t") for x in bench], "item_id long, text string, doc_id string")
     got = decontaminate.contamination(docs(spark, rows), b, window=5, broadcast=broadcast).collect()
     assert sorted((tuple(r)[:6] for r in got), key=str) == contamination_brute(rows, bench, 5)
 
 
+def test_contamination_of_the_tables(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert sorted((tuple(r) for r in decontaminate.op4_decontamination(spark, sf).collect()), key=str) == contamination_brute(rows, bench, 13)
+
+
+def test_clean_keeps_columns(spark):
+    names = "doc_id long, text string, found string, row int, n_hit int"
+    df = spark.createDataFrame([(1, "a b c", "x", 1, 2), (1, "q", "x", 1, 2), (None, None, None, None, None)], names)
+    bench = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    got = decontaminate.clean(df, bench)
+    assert got.columns == df.columns and sorted((r.text or "" for r in got.collect())) == ["", "q"]
+
+
 def test_contamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs(spark, []), none).count() == 0
@@ -117,6 +171,15 @@ def test_language_edges(spark, sf):
     assert language.train(df.limit(0)) is None and language.identify(docs(spark, [(1, "abc")]), None).first().lang_pred == "und"
 
 
+def test_language_columns_and_ties(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    again = df.unionByName(df).withColumn("lang_pred", F.lit("mine"))
+    a, b = language.train(df, rows=40), language.train(again, rows=40)
+    assert a.langs == b.langs and np.array_equal(a.w, b.w)
+    got = language.identify(again.withColumn("score", F.lit("x")), a)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "ambiguous"] and got.count() == again.count() and got.where("lang_pred = 'mine'").isEmpty()
+
+
 def test_codewords():
     assert language.code(4).shape == (4, 7) and language.code(2).shape == (2, 1)
     c = language.code(12)
@@ -168,6 +231,34 @@ def test_escape_is_reversible(text):
     assert not any(x in safe for x in ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"))
 
 
+def test_op7_on_the_tables(spark, sf):
+    convs = {-7: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        convs.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = chat.op7_chat_format(spark, sf).collect()
+    assert {r.conv_id for r in got} == set(convs) and len(got) == len(convs)
+    for r in got:
+        loss = "".join(t for role, t in convs[r.conv_id] if role == "assistant")
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(convs[r.conv_id]), digest("".join(f"{a}\n{b}\n" for a, b in convs[r.conv_id])), len(loss), digest(loss))
+
+
+def test_long_and_repeated_turns(spark):
+    long = "x<|end|>" * 50_000
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(spark.createDataFrame([(1, 0, "assistant", long), (1, 0, "assistant", long), (1, 0, "user", "a")], "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1].n_turns == 3 and got[1].loss_chars == 2 * len(long) and got[1].loss_sha256 == hashlib.sha256((long * 2).encode()).hexdigest()
+
+
+def test_neighbouring_parts_make_no_control_string():
+    v = chat.Flatten()
+    for text in ("<", "|end|>", "<|turn|>assistant"):
+        v.visit({"type": "text", "text": text})
+    v.visit({"type": "image", "ref": "r"})
+    v.visit({"type": "text", "text": "|end|>"})
+    out = v.close()
+    assert "<|end|>" not in out and "<|turn|>" not in out and chat.parse(f"<|turn|>user<|text|>{out}<|end|>")[1][0] == ("<|end|><|turn|>assistant", True)
+
+
 def test_conversations(spark):
     turns = [(1, 1, "assistant", "b <|end|>"), (1, 0, "user", "a"), (1, 2, None, None), (2, 0, "assistant", ""), (2, 1, "assistant", "x</s>"), (None, 0, "user", "n")]
     df = spark.createDataFrame([(*t, 0) for t in turns], "conv_id long, turn long, role string, text string, formatted int")
@@ -243,3 +334,19 @@ def test_windows_cover_triggers():
     starts = pii.windows_of(text)
     for i in (1000, 1501):
         assert any(s + pii.STEP // 2 <= i < s + pii.STEP // 2 + pii.STEP for s in starts)
+
+
+def test_runs_of_windows_are_decoded_as_one():
+    net, rng = pii.Network(3), np.random.default_rng(4)
+    text = "".join(rng.choice(list("ab1@. "), 700))
+    starts = pii.windows_of(text)
+    score, mass = np.zeros((len(text) + 2 * pii.WINDOW, pii.TAGS)), np.zeros((len(text) + 2 * pii.WINDOW, 1))
+    for s in starts:
+        e = net.emissions(pii.padded(text, [s]).T)[0][:, 0]
+        w = np.minimum(np.arange(1, 129), np.arange(128, 0, -1))[:, None]
+        score[s + 64 : s + 64 + 128] += e * w
+        mass[s + 64 : s + 64 + 128] += w
+    lo, hi = starts[0] + 64, starts[-1] + 64 + 128
+    want = net.decode((score / np.maximum(mass, 1))[lo:hi, None].astype(np.float32))[0]
+    at, tag = net.tags(["", text, "no trigger"])[1]
+    assert (at == np.arange(len(text))).all() and (tag == want[at + 64 - lo]).all()
