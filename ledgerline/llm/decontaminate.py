@@ -8,17 +8,17 @@ by word hash and then by their bytes.
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, WORDLIKE, binary, mix, prefix_hash, slabs, span_hash, table, words
+from .shared import LOWER, WORDLIKE, mix, prefix_hash, slabs, span_hash, table, text_column, words, written
 
 WINDOW = 13
-#: Windows that are searched for by tables sent to every task (about 150 MB at most); beyond, windows are joined by hash.
+#: Windows whose tables are sent to every task at once (about 150 MB at most); more are searched in several passes.
 BROADCAST = 200_000
 
 
@@ -29,7 +29,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray):
 
 
 def windows(bench: DataFrame, window: int) -> DataFrame:
-    """item_id, pattern (its words, joined by spaces), hashes: one row for each window of each item."""
+    """item_id (may be null), pattern (its words, joined by spaces), hashes: one row for each window of each item."""
 
     def run(batches):
         for rows, data, offsets in slabs(batches, "text"):
@@ -41,7 +41,7 @@ def windows(bench: DataFrame, window: int) -> DataFrame:
                     out.append((item, b" ".join(low[starts[k] : ends[k]].tobytes() for k in range(i, j)), h[i:j].view(np.int64)))
             yield pa.RecordBatch.from_pydict({"item_id": pa.array([x[0] for x in out], pa.int64()), "pattern": pa.array([x[1] for x in out], pa.binary()), "hashes": pa.array([x[2] for x in out], pa.list_(pa.int64()))})
 
-    return bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").mapInArrow(run, "item_id long, pattern binary, hashes array<long>")
+    return bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, pattern binary, hashes array<long>")
 
 
 class Tables:
@@ -85,88 +85,103 @@ class Tables:
         return found
 
 
-def marked(n: int, found: list[tuple[int, int, list[int]]]) -> tuple[int, list[int]]:
-    """Words hit, and the items found."""
-    step = np.zeros(n + 1, np.int64)
-    for i, m, _ in found:
-        step[i] += 1
-        step[i + m] -= 1
-    return int((np.cumsum(step[:-1]) > 0).sum()), sorted({x for f in found for x in f[2]})
+FOUND = pa.struct([("n_words", pa.int64()), ("at", pa.list_(pa.int32())), ("to", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
 
+_made: dict[int, Tables] = {}
 
-OUT = "doc_id long, n_words long, n_hit long, items array<long>"
 
+def finder(spark, patterns: list):
+    """A function of a text column that gives the number of words, the runs of words hit (from at to to) and the items found."""
+    sent = spark.sparkContext.broadcast(patterns)
+    name = sent._jbroadcast.id() if hasattr(sent, "_jbroadcast") else id(sent)
 
-def by_tables(docs: DataFrame, patterns: list) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(patterns)
-    made: list[Tables] = []
+    def work(texts, data, offsets):
+        if name not in _made:  # of each worker, for the tasks that follow too
+            _made.clear()
+            _made[name] = Tables(sent.value)
+        low, starts, ends, first, h = word_hashes(data, offsets)
+        at, to, items = [], [], []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            found = _made[name].search(h[a:b], lambda i, j, a=a: b" ".join(low[starts[k] : ends[k]].tobytes() for k in range(a + i, a + j)))
+            runs = merged((i, i + m) for i, m, _ in found)
+            at.append([x for x, _ in runs])
+            to.append([y for _, y in runs])
+            items.append(sorted({x for f in found for x in f[2]}))
+        return pa.array(np.diff(first), pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(to, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))
 
-    def run(batches):
-        if not made:
-            made.append(Tables(sent.value))
-        for rows, data, offsets in slabs(batches, "text"):
-            low, starts, ends, first, h = word_hashes(data, offsets)
-            out = []
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                found = made[0].search(h[a:b], lambda i, j, a=a: b" ".join(low[starts[k] : ends[k]].tobytes() for k in range(a + i, a + j)))
-                out.append((b - a, *(marked(b - a, found) if found else (0, []))))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "n_words": pa.array(cols[0], pa.int64()), "n_hit": pa.array(cols[1], pa.int64()), "items": pa.array(cols[2], pa.list_(pa.int64()))})
-
-    return docs.mapInArrow(run, OUT)
+    return text_column(work, "n_words long, at array<int>, to array<int>, items array<long>", FOUND)
 
 
-def by_join(docs: DataFrame, patterns: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same rows for any number of patterns: every window of the documents meets the patterns by a 128-bit hash of its words."""
+def merged(runs) -> list[tuple[int, int]]:
+    """Runs (i, j) joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(runs):
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], j))
+        else:
+            out.append((i, j))
+    return out
 
-    def run(batches):
-        for rows, data, offsets in slabs(batches, "text", 1 << 18):
-            low, starts, ends, first, h = word_hashes(data, offsets)
-            ids, out = rows.column(rows.schema.get_field_index("row")).to_pylist(), []
-            for row, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
-                spelled = [low[starts[k] : ends[k]].tobytes() for k in range(a, b)]
-                out += [(row, i, m, hashlib.blake2b(b" ".join(spelled[i : i + m]), digest_size=16).digest()) for m in lengths for i in range(len(spelled) - m + 1)]
-            row, at, m, key = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "at": pa.array(at, pa.int64()), "m": pa.array(m, pa.int64()), "key": pa.array(key, pa.binary())})
-
-    @F.pandas_udf("binary")
-    def key_of(p):
-        return p.map(lambda x: hashlib.blake2b(x, digest_size=16).digest())
 
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    hits = docs.select("row", "text").mapInArrow(run, "row long, at long, m long, key binary").join(patterns.select(key_of("pattern").alias("key"), "items"), "key")
-    hits = hits.groupBy("row").agg(F.collect_list(F.struct("at", "m", "items")).alias("found"))
+HIT = "aggregate(arrays_zip(found.at, found.to), 0L, (n, x) -> n + x.to - x.at)"
 
-    def count(batches):
-        for b in batches:
-            data, offsets = binary(b.column(1))
-            _, _, _, first, _ = word_hashes(data, offsets)
-            n = np.diff(first).tolist()
-            got = [marked(k, [(f["at"], f["m"], f["items"]) for f in found]) if found else (0, []) for k, found in zip(n, b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_words": pa.array(n, pa.int64()), "n_hit": pa.array([x[0] for x in got], pa.int64()), "items": pa.array([x[1] for x in got], pa.list_(pa.int64()))})
 
-    return docs.join(hits, "row", "left").select("doc_id", "text", "found").mapInArrow(count, OUT)
+def shards_of(spark, bench: DataFrame, window: int, broadcast: int):
+    """The distinct windows of bench in lists of about `broadcast` at most, one after the other."""
+    patterns = windows(bench, window).groupBy("pattern").agg(F.first("hashes").alias("hashes"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    many = max(1, -(-patterns.count() // broadcast))
+    if many > 1:
+        patterns = written(patterns, "patterns")
+    for k in range(many):
+        part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(many)) == k) if many > 1 else patterns
+        yield many, [(bytes(r.pattern), list(r.hashes), list(r["items"])) for r in part.collect()]
+
+
+def found_in(docs: DataFrame, bench: DataFrame, window: int, broadcast: int) -> DataFrame:
+    """docs (with a column text) with a struct column `found`: n_words, n_hit, items."""
+    spark, parts = docs.sparkSession, []
+    text = F.col("text").cast("string")
+    for many, patterns in shards_of(spark, bench, window, broadcast):
+        find = finder(spark, patterns)
+        if many == 1:
+            found = docs.withColumn("found", find(text))
+            return found.withColumn("found", F.struct(F.col("found.n_words").alias("n_words"), F.expr(HIT).alias("n_hit"), F.col("found.items").alias("items")))
+        # a pass for each list; only what is found is kept, under a 128-bit digest of the text
+        passed = docs.select(F.md5(text.cast("binary")).alias("key"), find(text).alias("found")).where("size(found.at) > 0").distinct()
+        parts.append(written(passed.selectExpr("key", "arrays_zip(found.at, found.to) as runs", "found.items as items"), "found"))
+    count = text_column(lambda texts, data, offsets: [pa.array(np.diff(word_hashes(data, offsets)[3]), pa.int64())], "n_words long", pa.struct([("n_words", pa.int64())]))
+    ends = "transform(array_sort(flatten(collect_list(runs))), x -> struct(x.at as at, x.to as to))"
+    # the union of sorted runs: what each adds beyond the furthest end before it
+    union = "aggregate(runs, struct(0L as n, 0 as far), (s, x) -> struct(s.n + greatest(0, x.to - greatest(x.at, s.far)) as n, greatest(s.far, x.to) as far)).n"
+    hits = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.expr(ends).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).selectExpr("key", f"{union} as n_hit", "items")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.md5(text.cast("binary")).alias("key"), count(text)["n_words"].alias("n_words")).join(hits, "key", "left")
+    none = F.array().cast("array<bigint>")
+    return keyed.select("row.*", F.struct("n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items")).alias("found"))
+
+
+def is_contaminated(per: int = 20):
+    return (F.col("found.n_hit") > 0) & (F.col("found.n_hit") * per >= F.col("found.n_words"))
+
+
+def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, per: int = 20, broadcast: int = BROADCAST) -> DataFrame:
+    """The rows of docs that are not contaminated, see contamination(), with their columns, of whatever name. Rows are judged each by its own text."""
+    return found_in(docs.select("text", F.struct(*docs.columns).alias("row")), bench, window, broadcast).where(~is_contaminated(per)).select("row.*")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, per: int = 20, broadcast: int = BROADCAST) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
-    A text is contaminated if it has hit words and at least one word in `per` is hit. Null text has no words. Items with null
-    item_id or without words have no windows; several rows of one item_id are one item. Rows that repeat a doc_id are each
-    returned; further columns are ignored; either table may be empty. The number of distinct windows decides, before
-    anything is collected, whether they are sent to the tasks or joined.
+    A text is contaminated if it has hit words and at least one word in `per` is hit. Null and empty texts have no words; long
+    ones are searched whole. Items without words have no windows; windows of items with a null item_id hit, but no item is
+    named for them; several rows of one item_id are one item. Equal windows of several items name all of these. Rows that
+    repeat a doc_id are each returned; further columns are ignored, of whatever name; either table may be empty. Windows
+    are searched in lists of `broadcast`, one pass over the documents for each.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    patterns = windows(bench, window).groupBy("pattern").agg(F.first("hashes").alias("hashes"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    small = patterns.select("items").limit(broadcast + 1).count() <= broadcast
-    if small:
-        out = by_tables(docs, [(bytes(r.pattern), list(r.hashes), list(r["items"])) for r in patterns.collect()])
-    else:
-        out = by_join(docs, patterns, list(range(1, window + 1)))
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    out = found_in(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), bench, window, broadcast)
+    names = F.array_join(F.array_sort(F.transform("found.items", lambda x: x.cast("string"))), ",")
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words"))).alias("contaminated"), "items",
+        "doc_id", F.col("found.n_words").alias("n_words"), F.col("found.n_hit").alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"),
+        is_contaminated(per).alias("contaminated"), F.col("found.items").alias("items"),
     )
 
 

@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, slabs, table
+from .shared import LOWER, slabs, table, text_column
 
 #: Features, and orders of the byte n-grams that are hashed into them.
 FEATURES, ORDERS = 4096, (1, 2, 3)
 #: Labelled texts the model is fitted on, for each language: those of the smallest hash of doc_id.
 SAMPLE = 600
+#: Such texts in all, unless there are more languages.
+ROWS = 20_000
 STEPS, RATE, PENALTY = 80, 4.0, 1e-4
 #: Score below which a prediction is flagged as ambiguous.
 AMBIGUOUS = 0.55
@@ -33,9 +35,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Square roots of the n-gram counts of each row, at length 1."""
     rows = len(offsets) - 1
     low = LOWER[data].astype(np.uint32)
-    row = np.repeat(np.arange(rows), np.diff(offsets)) * FEATURES
+    row = np.repeat(np.arange(rows, dtype=np.uint32) * np.uint32(FEATURES), np.diff(offsets))
     out = np.zeros(rows * FEATURES, np.float32)
-    last = np.repeat(offsets[1:], np.diff(offsets))
+    last = np.repeat(offsets[1:].astype(np.uint32), np.diff(offsets))
     for n in ORDERS:
         if len(low) < n:
             continue
@@ -43,7 +45,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for i in range(1, n):
             code = code * np.uint32(257) + low[i : len(low) - n + 1 + i]
         bucket = ((code + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - FEATURES.bit_length() + 1)
-        inside = np.arange(len(code)) + n <= last[: len(code)]
+        inside = np.arange(n, len(code) + n, dtype=np.uint32) <= last[: len(code)]
         out += np.bincount((row[: len(code)] + bucket)[inside], minlength=len(out)).astype(np.float32)
     x = np.sqrt(out).reshape(rows, FEATURES)
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
@@ -95,59 +97,76 @@ class Model:
         return loss.argmin(1), (1 / p.sum(1)).astype(np.float64)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of at most `sample` labelled texts for each language; None without any. docs: doc_id, text, lang."""
+def train(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS) -> Model | None:
+    """A model of at most `sample` labelled texts for each language, and at most `rows` in all unless there are more languages than that; None without any.
+
+    docs: doc_id, text, lang. Rows with a null in any of the three teach nothing; empty texts do not either. Of rows that
+    repeat a doc_id one is taken; ties of the hash order are decided by doc_id. Of long texts all n-grams count, of an empty
+    table nothing is learned. Other columns are ignored, of whatever name.
+    """
     spark = docs.sparkSession
-    known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and text <> '' and lang is not null")
+    known = own.select("doc_id", "lang")
+    each = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sample = max(1, min(sample, rows // max(1, each.count())))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # about four times as many as asked for of each language go on to the ranking, however many there are
-    few = known.join(known.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(place * F.col("n") < F.lit(4.0 * sample * (1 << 30)))
+    few = known.join(each, "lang").where(place * F.col("n") < F.lit(4.0 * sample * (1 << 30)))
     order = Window.partitionBy("lang").orderBy(place, "doc_id")
-    ids = few.select("doc_id", F.row_number().over(order).alias("k")).where(F.col("k") <= sample)
-    ids = [r.doc_id for r in ids.select("doc_id").distinct().collect()]  # at most `sample` for each language
+    ids = few.distinct().select("doc_id", "lang", F.row_number().over(order).alias("k")).where(F.col("k") <= sample).select("doc_id", "lang")
+    ids = [(r.doc_id, r.lang) for r in ids.collect()]  # at most `sample` for each language
     if not ids:
         return None
-    few = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = docs.where("lang is not null and text is not null").join(F.broadcast(few), "doc_id", "left_semi").select("text", "lang")
+    few = spark.createDataFrame(ids, "doc_id long, lang string")
+    texts = own.join(F.broadcast(few), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
 
     def run(batches):
-        for part, data, offsets in slabs(batches, "text", 1 << 20):
+        for part, data, offsets in slabs(batches, "text", 1 << 19, 128):
             x = features(data, offsets).astype(np.float16)
-            yield pa.RecordBatch.from_pydict({"lang": part.column(1), "x": pa.array([v.tobytes() for v in x], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "lang": part.column(2), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
-    got = sorted((r.lang, bytes(r.x)) for r in rows.mapInArrow(run, "lang string, x binary").collect())
+    got = texts.mapInArrow(run, "doc_id long, lang string, x binary").groupBy("doc_id", "lang").agg(F.min("x").alias("x")).collect()
+    got = sorted((r.lang, bytes(r.x)) for r in got)
     return Model(np.stack([np.frombuffer(x, np.float16) for _, x in got]).astype(np.float32), [v for v, _ in got])
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs (doc_id, text and any further columns) with lang_pred, score and ambiguous added.
+FIELDS = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
-    `und` with score 0 if the text is null or has no letter, or if nothing was learned. Existing columns of these names are
-    replaced. Every row is returned, repeated ones as often as they occur; an empty table gives an empty result.
+
+def predictor(model: Model | None):
+    """A function of a text column that gives a struct of lang_pred, score and ambiguous.
+
+    `und` with score 0 if the text is null or has no letter, or if nothing was learned; of ties between languages the first
+    by name. Whole texts are read, however long.
     """
-    docs = docs.drop("lang_pred", "score", "ambiguous")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, ambiguous boolean"])
-    at = docs.columns.index("text")
 
-    def run(batches):
-        for rows, data, offsets in slabs(batches, "text"):
-            n = rows.num_rows
-            low = LOWER[data]
-            plain = np.concatenate(([0], np.cumsum(_ascii_letters[low])))
-            letters = plain[offsets[1:]] > plain[offsets[:-1]]
-            for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
-                letters[i] = bool(LETTER.search(rows.column(at)[i].as_py() or ""))
-            lang, score = np.full(n, "und", object), np.zeros(n)
-            if model is not None:
-                for a in range(0, n, 512):
-                    b = min(a + 512, n)
-                    k, p = model.predict(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                    lang[a:b], score[a:b] = np.array(model.langs, object)[k], p
-                lang[~letters], score[~letters] = "und", 0
-            extra = {"lang_pred": pa.array(lang.tolist(), pa.string()), "score": pa.array(score), "ambiguous": pa.array((score < AMBIGUOUS) & letters)}
-            yield pa.RecordBatch.from_arrays([*rows.columns, *extra.values()], names=[*rows.schema.names, *extra])
-
-    return docs.mapInArrow(run, schema)
+    def work(texts, data, offsets):
+        n = len(texts)
+        plain = np.concatenate(([0], np.cumsum(_ascii_letters[LOWER[data]])))
+        letters = plain[offsets[1:]] > plain[offsets[:-1]]
+        for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
+            letters[i] = bool(LETTER.search(texts[i].as_py() or ""))
+        lang, score = np.full(n, "und", object), np.zeros(n)
+        if model is not None:
+            for a in range(0, n, 64):
+                b = min(a + 64, n)
+                k, p = model.predict(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                lang[a:b], score[a:b] = np.array(model.langs, object)[k], p
+            lang[~letters], score[~letters] = "und", 0
+        return pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array((score < AMBIGUOUS) & letters)
+
+    return text_column(work, "lang_pred string, score double, ambiguous boolean", FIELDS)
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs (text and any further columns) with lang_pred, score and ambiguous added, see predictor().
+
+    Columns of these names are replaced; predictor() adds none. Every row is returned, repeated ones as often as they occur;
+    an empty table gives an empty result.
+    """
+    names = ("lang_pred", "score", "ambiguous")
+    found = docs.drop(*names).withColumn("lang_pred", predictor(model)(F.col("text").cast("string")))
+    return found.withColumns({"score": F.col("lang_pred.score"), "ambiguous": F.col("lang_pred.ambiguous")}).withColumn("lang_pred", F.col("lang_pred.lang_pred"))
 
 
 def fold(column="doc_id"):

@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, mix, shingle_sets, slabs, table, written
@@ -29,8 +29,8 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 COLLISION = 0.1699
 #: How far below the threshold an estimate may lie and its pair still be verified: 4.5 standard deviations at 128 registers.
 MARGIN = 0.16
-#: Rows of a bucket or cluster that one block of the exhaustive search holds.
-BLOCK = 1000
+#: Rows of a bucket or cluster that one block of the exhaustive search holds, and shingles of them where full sets are held.
+BLOCK, SHINGLES = 1000, 1 << 20
 BAND = np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 _order = np.argsort(np.random.default_rng(7).random((REGISTERS, REGISTERS)), axis=1).astype(np.int16)
@@ -118,16 +118,16 @@ def best_hubs(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return scored.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
 
 
-def blocks(rows: DataFrame, group: str) -> DataFrame:
+def blocks(rows: DataFrame, group: str, weight: Column) -> DataFrame:
     """rows (group, rep, comp) dealt to block pairs: with i, j, left and same, so that all pairs of different components meet.
 
-    Rows of a group's largest component are dealt into blocks of BLOCK, and so are its other rows; each block of others
+    Rows of a group's largest component are dealt into blocks of about weight 1, and so are its other rows; each block of others
     meets every block once. The largest component is not compared with itself, so a huge group costs its size times the
     number of stragglers.
     """
-    sizes = rows.groupBy(group, "comp").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy(group, "comp").agg(F.sum(weight).alias("n"))
     sizes = sizes.groupBy(group).agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("major"), F.max("n").alias("nc"), F.sum("n").alias("nu"))
-    sizes = sizes.select(group, "major", F.ceil(F.col("nc") / BLOCK).cast("int").alias("nc"), F.ceil((F.col("nu") - F.col("nc")) / BLOCK).cast("int").alias("nu"))
+    sizes = sizes.select(group, "major", F.ceil("nc").cast("int").alias("nc"), F.greatest(F.lit(1), F.ceil(F.col("nu") - F.col("nc") - 1e-6)).cast("int").alias("nu"))
     rows = rows.join(sizes, group).withColumn("minor", F.col("comp") != F.col("major"))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("nu")).otherwise(F.col("nc"))).cast("int"))
     left = F.transform(F.filter(F.sequence(F.lit(0), F.col("nc") + F.col("nu") - 1), lambda j: (j < F.col("nc")) | (j - F.col("nc") >= F.col("c"))), lambda j: F.struct(F.col("c").alias("i"), j.alias("j"), F.lit(True).alias("left")))
@@ -197,7 +197,7 @@ def crossing(band: DataFrame, labels: DataFrame, reps: DataFrame, least: float)
     rows = band.join(labels, band.rep == labels.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     rows = written(rows.join(mixed, "band", "left_semi"), "mixed")
-    dealt = blocks(rows, "band").join(reps, "rep").select("band", "i", "j", "left", "same", "rep", "comp", "n", "regs")
+    dealt = blocks(rows, "band", F.lit(1 / BLOCK)).join(reps, "rep").select("band", "i", "j", "left", "same", "rep", "comp", "n", "regs")
     parts = int(band.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def solve(rows):
@@ -214,10 +214,10 @@ def settled(clusters: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataF
 
     clusters: (node, component) over components that may be linked.
     """
-    labelled = reps.select("rep").join(labels, reps.rep == labels.node, "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-    rows = written(labelled.join(clusters, labelled.comp == clusters.node).select(F.col("component").alias("cluster"), "rep", "comp"), "clustered")
+    labelled = reps.select("rep", "n").join(labels, reps.rep == labels.node, "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"))
+    rows = written(labelled.join(clusters, labelled.comp == clusters.node).select(F.col("component").alias("cluster"), "rep", "comp", "n"), "clustered")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    dealt = blocks(rows, "cluster").join(reps, "rep").join(texts, "rep").select("cluster", "i", "j", "left", "same", "rep", "comp", "n", "regs", "text")
+    dealt = blocks(rows, "cluster", F.greatest(F.lit(1 / BLOCK), F.col("n") / SHINGLES)).drop("n").join(reps, "rep").join(texts, "rep").select("cluster", "i", "j", "left", "same", "rep", "comp", "n", "regs", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def read(b):
@@ -248,7 +248,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / 4096).cast("int").alias("salts"))
     pairs = pairs.join(size, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int"))
     hubs = pairs.select("b", "salt", F.col("b").alias("doc_id"), F.lit(0).alias("member")).distinct()
-    both = hubs.unionByName(pairs.select("b", "salt", F.col("a").alias("doc_id"), F.lit(1).alias("member"))).join(texts, "doc_id")
+    both = hubs.unionByName(pairs.select("b", "salt", F.col("a").alias("doc_id"), F.lit(1).alias("member")))
+    both = texts.join(both.hint("shuffle_hash"), "doc_id")  # texts are not sorted for it
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -275,9 +276,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    Texts link if 100 * intersection >= percent * union of their distinct k-word shingles. Null, empty and blank texts have
-    no shingles and link with nothing. A doc_id that occurs more than once is one node; each of its rows is returned.
-    A null doc_id links with nothing and is not kept. Further columns are ignored. An empty table gives an empty result.
+    Texts link if 100 * intersection >= percent * union of their distinct k-word shingles; of texts of any length the whole
+    set counts. Null, empty and blank texts have no shingles and link with nothing. A doc_id that occurs more than once is one
+    node; each of its rows is returned. A null doc_id links with nothing and is not kept. Of equal texts, and of equal
+    similarities, the smallest doc_id leads. Further columns are ignored, of whatever name. An empty table gives an empty result.
     """
     least = percent / 100 - MARGIN
     rows = written(sketch(docs, k), "sketches")

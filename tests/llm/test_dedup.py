@@ -74,6 +74,21 @@ def test_exhaustive_search_in_blocks(spark, monkeypatch):
     check_near(spark, rows, 3, 85)
 
 
+def test_blocks_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SHINGLES", 250)
+    test_exhaustive_search_in_blocks(spark, monkeypatch)
+
+
+def test_unite():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        i, j = rng.integers(0, 60, (2, rng.integers(0, 50)))
+        low = np.arange(60)
+        embedding_dedup.unite(low, i, j)
+        want = least_reachable(range(60), list(zip(i.tolist(), j.tolist(), strict=True)))
+        assert low.tolist() == [want[k] for k in range(60)]
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 4000, dtype=np.int64).astype(np.uint64) * np.uint64(2)

@@ -66,6 +66,33 @@ def test_pipeline(spark, sf):
     assert sorted(r.doc_id for r in five) == sorted(i for i, n in copies.items() for _ in range(n))
 
 
+def test_rows_that_share_an_id_are_documents(spark, sf):
+    stages, long = dict(corpus_pipeline.STAGES), " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long + " a"), (5, "a text of quite other words than those"), (3, long), (5, long + " a"), (None, "one without an id but words enough"), (None, "one without an id but words enough"), (None, long + " b"), (7, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 1.5, "mine", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, nth_of_id int")
+    two = stages["near_dedup"](spark, df, sf)
+    assert two.columns == df.columns
+    # null comes first, so the copy without an id leads its group
+    assert sorted(((r.doc_id, r.text) for r in two.collect()), key=str) == sorted([rows[6], rows[1], rows[4], rows[7]], key=str)
+    for name in ("language_id", "decontamination", "source_mixing"):
+        got = stages[name](spark, df, sf)
+        assert got.columns == df.columns
+        assert all(r.score == 1.5 and r.lang_pred == "mine" and r.nth_of_id == 9 for r in got.collect())
+
+
+def test_shared_path(spark, monkeypatch):
+    from ledgerline.llm import shared
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, other: None)})()
+        sparkContext = type("Context", (), {"master": "local[2]"})()
+
+    assert shared.shared_path(Session, "x").startswith("/")
+    Session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        shared.shared_path(Session, "x")
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_on_nothing(spark, sf, name):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
