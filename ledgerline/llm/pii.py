@@ -2,8 +2,8 @@
 
 The patterns give the base spans. The network, trained in numpy on windows whose labels are base spans, some of them rewritten
 in ways the patterns miss, adds spans. It reads windows of WINDOW characters that overlap by half. Every span it may
-return has a digit or an at sign, so a window without either decodes to nothing and isn't run. Each character takes its
-tag from the window in whose middle half it lies, and spans are read from the joined tags of the whole text.
+return has a digit or an at sign, so a window without either decodes to nothing and isn't run. The scores of overlapping
+windows are merged by character, and one best path over each run of windows gives the tags of the text.
 """
 
 from __future__ import annotations
@@ -209,9 +209,8 @@ class Network:
                 first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.99 * second[k] + 0.01 * g * g
                 self.p[k] = (self.p[k] - pace * (first[k] / (1 - 0.9**r)) / (np.sqrt(second[k] / (1 - 0.99**r)) + 1e-8)).astype(np.float32)
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tags (N, T) of symbols x (N, T), by Viterbi."""
-        score, _ = self.emissions(x.T)
+    def decode(self, score: np.ndarray) -> np.ndarray:
+        """Best tags (N, T) of scores (T, N, TAGS), by Viterbi."""
         tr = np.where(self.allowed, self.p["tr"], -1e4).astype(np.float32)
         best, back = score[0].copy(), np.zeros(score.shape, np.int8)
         best[:, 2::2] -= 2  # a window may open inside a span
@@ -225,6 +224,53 @@ class Network:
             out[t - 1] = back[t][np.arange(out.shape[1]), out[t]]
         return out.T
 
+    def tags(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Positions and tags of the characters that each text's windows cover.
+
+        Windows that overlap form a run. A character's scores are the mean of its windows' scores, weighted by how far it is
+        from their ends, and the best path is sought over the run as a whole, so that windows cannot disagree about a span.
+        """
+        work = [(i, s) for i, t in enumerate(texts) for s in windows_of(t)]
+        score = np.zeros((len(work), WINDOW, TAGS), np.float32)
+        for a in range(0, len(work), 512):
+            x = np.concatenate([padded(texts[i], [s]) for i, s in work[a : a + 512]])
+            score[a : a + 512] = self.emissions(x.T)[0].transpose(1, 0, 2)
+        weight = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)[:, None]
+        runs: list[list[int]] = []
+        for k, (i, s) in enumerate(work):
+            if runs and work[runs[-1][-1]] == (i, s - STEP):
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        out = [([], []) for _ in texts]
+        runs.sort(key=len)
+        for group in split_runs(runs):
+            long = (len(group[-1]) - 1) * STEP + WINDOW
+            total, mass = np.zeros((long, len(group), TAGS), np.float32), np.zeros((long, len(group), 1), np.float32)
+            for r, run in enumerate(group):
+                for n, k in enumerate(run):
+                    total[n * STEP : n * STEP + WINDOW, r] += score[k] * weight
+                    mass[n * STEP : n * STEP + WINDOW, r] += weight
+            best = self.decode(total / np.maximum(mass, 1))
+            for run, row in zip(group, best, strict=True):
+                i, s = work[run[0]]
+                lo, hi = max(s, 0), min(s + (len(run) - 1) * STEP + WINDOW, len(texts[i]))
+                out[i][0].append(np.arange(lo, hi))
+                out[i][1].append(row[lo - s : hi - s])
+        return [(np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *tag])) for at, tag in out]
+
+
+def split_runs(runs: list[list[int]], most: int = 1024):
+    """Runs by length in groups of at most `most` windows; a longer run is a group of its own."""
+    held: list[list[int]] = []
+    for run in runs:
+        if held and (len(held) + 1) * len(run) > most:
+            yield held
+            held = []
+        held.append(run)
+    if held:
+        yield held
+
 
 def rewritten(text: str, spans: list, rng) -> tuple[str, list]:
     """A window with its spans written in ways the patterns miss: phones without plus, cards with dots, addresses in brackets."""
@@ -266,7 +312,11 @@ def padded(text: str, starts: list[int]) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> Network | None:
-    """A network trained on windows of at most DOCUMENTS texts with a digit or an at sign, those of the smallest hash; None without any base span there."""
+    """A network trained on windows of at most DOCUMENTS texts with a digit or an at sign, those of the smallest hash; None without any base span there.
+
+    docs: text; other columns are ignored. Null and empty texts, and an empty table, teach nothing; equal texts count once. Of
+    long texts all windows are candidates.
+    """
 
     def run(batches):
         for b in batches:
@@ -279,7 +329,10 @@ def train(docs: DataFrame) -> Network | None:
                         out.append((text[max(s, 0) : s + WINDOW], bool(part)))
             yield pa.RecordBatch.from_pydict({"window": pa.array([x[0] for x in out], pa.string()), "hit": pa.array([x[1] for x in out], pa.bool_())})
 
-    some = docs.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id", "text")).limit(DOCUMENTS).select("text")
+    own = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    # about four times as many as asked for go on to the ranking, however many there are
+    some = own.where(place < F.lit(int(4 * DOCUMENTS * (1 << 30) / max(1, own.count())))).distinct().orderBy(place, "text").limit(DOCUMENTS)
     seen = some.mapInArrow(run, "window string, hit boolean").distinct().orderBy(F.desc("hit"), F.xxhash64("window")).limit(SAMPLE).collect()
     if not any(r.hit for r in seen):
         return None
@@ -336,25 +389,22 @@ def joined(spans) -> str:
 def find(docs: DataFrame, network: Network | None, redact: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and, if asked for, redacted.
 
-    Counts and digest are of the base spans; spans also has the network's, none of which overlaps a base span. Positions are
-    code points. Null text is empty. Repeated rows are each returned, further columns are ignored, an empty table gives an
-    empty result. Without a network only base spans are found.
+    Counts and digest are of the base spans; spans also has the network's, none of which overlaps a base span. Spans that start
+    together are in the order of KINDS. Positions are code points. Null text is empty, long texts are read whole. Repeated
+    rows are each returned, further columns are ignored, of whatever name; an empty table gives an empty result. Without a
+    network only base spans are found.
     """
 
     def extra(texts: list[str], base: list[list]) -> list[list]:
-        work = [(i, s) for i, t in enumerate(texts) if TRIGGER.search(t) for s in windows_of(t)]
-        tags: dict[int, np.ndarray] = {}
-        for a in range(0, len(work), 512):
-            part = work[a : a + 512]
-            got = network.decode(np.concatenate([padded(texts[i], [s]) for i, s in part]))
-            for (i, s), row in zip(part, got, strict=True):
-                n = len(texts[i])
-                lo, hi = s + STEP // 2, min(s + STEP // 2 + STEP, n)
-                tags.setdefault(i, np.zeros(n, np.int64))[lo:hi] = row[STEP // 2 : STEP // 2 + hi - lo]
-        return [read_tags(t, tags[i], base[i]) if i in tags else [] for i, t in enumerate(texts)]
+        out = []
+        for t, b, (at, tag) in zip(texts, base, network.tags(texts), strict=True):
+            tags = np.zeros(len(t), np.int64)
+            tags[at] = tag
+            out.append(read_tags(t, tags, b) if len(at) else [])
+        return out
 
     def run(batches):
-        for rows, _, _ in slabs(batches, "text"):
+        for rows, _, _ in slabs(batches, "text", 1 << 20, 256):
             texts = [t or "" for t in rows.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             more = extra(texts, base) if network else [[]] * len(texts)
