@@ -50,9 +50,13 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
-def axes(classes: DataFrame, size: int) -> np.ndarray | None:
+def axes(classes: DataFrame, size: int) -> np.ndarray:
     """Principal directions of the SAMPLE vectors with the smallest hashes; any rotation gives right results, this one skips most."""
-    rows = classes.where(F.length("v") == size).select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
+    own, place = classes.where(F.length("v") == size).select("v"), F.pmod(F.xxhash64("v"), F.lit(1 << 30))
+    # about four times as many as asked for go on to the ranking, however many there are
+    rows = own.where(place < F.lit(int(4 * SAMPLE * (1 << 30) / max(1, own.count())))).orderBy(place, "v").limit(SAMPLE).collect()
+    if not rows:
+        return np.eye(size // 8)[:, :LEADING]
     x = matrix([bytes(r.v) for r in rows])
     return np.ascontiguousarray(np.linalg.svd(x - x.mean(0), full_matrices=False)[2].T[:, :LEADING])
 
@@ -127,6 +131,19 @@ def join_sequences(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
             todo += [(p, q, r, s) for p, q in ((a, m), (m, b)) for r, s in ((c, k), (k, d))]
 
 
+def unite(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the components of i and j pairwise; low is the smallest index of each component, before and after."""
+    while True:
+        a, b = low[i], low[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        np.minimum.at(low, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (next_ := low[low]).tobytes() != low.tobytes():
+            low[:] = next_
+
+
 def linked(pairs: DataFrame, turn: np.ndarray, eps: float, cosine: float) -> DataFrame:
     """(rep, links, root) for each class with a link in a pair of blocks."""
 
@@ -141,23 +158,14 @@ def linked(pairs: DataFrame, turn: np.ndarray, eps: float, cosine: float) -> Dat
         off, links, low = 0 if same else len(x), np.zeros(len(ids), np.int64), np.arange(len(ids))
         seen = np.zeros(len(ids), bool)
 
-        def find(i):
-            while low[i] != i:
-                low[i] = low[low[i]]
-                i = low[i]
-            return i
-
         for i, j in join_sequences(x, y, x @ turn, y @ turn, eps, cosine, same):
             j = j + off
             np.add.at(links, i, ns[j])
             np.add.at(links, j, ns[i])
             seen[i] = seen[j] = True
-            for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                p, q = find(p), find(q)
-                if p != q:
-                    low[max(p, q)] = min(p, q)
+            unite(low, i, j)
         at = np.flatnonzero(seen)
-        return ids[at], links[at], ids[[find(i) for i in at.tolist()]] if len(at) else at
+        return ids[at], links[at], ids[low[at]]
 
     def run(batches):
         for b in batches:
@@ -175,7 +183,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     Rows of equal, non-null label link if the cosine of their embeddings, in double precision, is at least `cosine`. Null and
     zero vectors, and such with null or non-finite components, link with nothing; so do vectors of different lengths. A
     vec_id that occurs more than once is one node, whose links are those of all its rows; each row is returned. Rows with
-    a null vec_id are returned without links and not kept. Further columns are ignored; an empty table gives an empty result.
+    a null vec_id are returned without links and not kept. Vectors may be of any length, the empty one links with nothing; equal
+    vectors are linked like others. Further columns are ignored, of whatever name; an empty table gives an empty result.
     """
     eps = float(np.sqrt(2 - 2 * cosine))
     spark = vectors.sparkSession
