@@ -1,6 +1,6 @@
 """Chat formatting with typed content parts.
 
-A message is a list of parts. A visitor flattens them in order: text is escaped, and an image, audio or document part
+A message is a list of parts. A visitor flattens them in order: text is escaped, neighbouring text parts as one, and an image, audio or document part
 becomes a placeholder with its number in the message; the attachment's reference and the tokens it will expand to are
 recorded beside the text. A turn is written as
 
@@ -52,18 +52,26 @@ class Flatten:
 
     def __init__(self):
         self.out: list[str] = []
+        self.text: list[str] = []  # of neighbouring text parts, which are escaped as one
         self.attachments: list[dict] = []
 
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.text.append(part.get("text") or "")
+
+    def close(self) -> str:
+        """The content up to here."""
+        self.out.append(escape("".join(self.text)))
+        self.text.clear()
+        return "".join(self.out)
 
     def visit_unknown(self, part: dict) -> None:
         raise ValueError(f"no part of type {part.get('type')}")
 
     def attach(self, part: dict, tokens: int) -> None:
+        self.close()
         self.attachments.append({"kind": part["type"], "ref": part.get("ref"), "place": len(self.attachments), "tokens": tokens})
         self.out.append(f"<|{part['type']}:{len(self.attachments) - 1}|>")
 
@@ -80,8 +88,8 @@ class Flatten:
 def format_turns(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text and, optionally, parts) as conv_id, turn, formatted, attachments, extra_tokens.
 
-    One row per row. Null text is empty, null role is empty. Where parts is not null, it replaces text. Further columns are
-    ignored; an empty table gives an empty result.
+    One row per row, also of repeated ones. Null text is empty, null role is empty; texts of any length are kept whole. Where
+    parts is not null, it replaces text. Further columns are ignored, of whatever name; an empty table gives an empty result.
     """
     parts = F.col("parts").cast(PARTS) if "parts" in turns.columns else F.lit(None).cast(PARTS)
 
@@ -92,7 +100,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 v = Flatten()
                 for p in parts if parts is not None else [{"type": "text", "text": text}]:
                     v.visit(p)
-                out.append((f"<|turn|>{escape(role or '')}<|text|>{''.join(v.out)}<|end|>", v.attachments, sum(a["tokens"] for a in v.attachments)))
+                out.append((f"<|turn|>{escape(role or '')}<|text|>{v.close()}<|end|>", v.attachments, sum(a["tokens"] for a in v.attachments)))
             kind = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("place", pa.int32()), ("tokens", pa.int64())]))
             yield pa.RecordBatch.from_pydict(
                 {"conv_id": b.column(0), "turn": b.column(1), "formatted": pa.array([x[0] for x in out], pa.string()), "attachments": pa.array([x[1] for x in out], kind), "extra_tokens": pa.array([x[2] for x in out], pa.int64())}
@@ -119,7 +127,7 @@ def read_back(formatted: DataFrame, trained: str = "assistant") -> DataFrame:
 
     conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars and loss_sha256 (texts under the
     loss mask, which are those of the role `trained`), formatted_chars. Turns are taken by turn, then by their formatted
-    text. A conversation streams through one task in that order with constant memory, however long it is.
+    text, so ties have an order; rows with a null turn come first, those with a null conv_id are one conversation. A conversation streams through one task in that order with constant memory, however long it is.
     """
     parts = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,6 +12,8 @@ a document is due. Copies are range-sorted by that time.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from .shared import table, written
 
 #: Weights of the sources in order of their names, in turn; and tilts of their schedules: below 0 early, above 0 late.
 WEIGHTS, TILTS, CAP = (1, 2, 3), (-0.5, 0.0, 0.5), 3
-#: Hex digits of the order's hash that split a source's stream into intervals; sums go over intervals, then inside each.
-DIGITS = 3
+#: Rows of the table for each interval of a source's stream, about; sums go over intervals, then inside each.
+INTERVAL = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -55,13 +57,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = CAP, carry: tu
     """docs (doc_id, source, text) as doc_id, size, source_size, target, taken, copies, positions and, with carry, a struct `carried` of those columns.
 
     taken is copies times size, copies at most `cap`; positions has the time of each copy. A null text has size 0 and is
-    taken as no words; null is a source of its own, last. Rows of one doc_id are ordered by size and are each mixed. A
-    source's stream is summed by hash interval first, so a source with most of the rows is spread over many tasks. An
-    empty table gives an empty result; other columns are ignored.
+    taken as no words, as is an empty one; a long one counts whole. Null is a source of its own, last. Rows of one doc_id are
+    ordered by size and are each mixed; equal ones are interchangeable. A source's stream is summed by hash interval first, and
+    intervals are the more the more rows there are, so a source with most of them is spread over many tasks. An empty table
+    gives an empty result; other columns are ignored, of whatever name.
     """
+    digits = max(3, math.ceil(math.log(max(1, docs.count()) / INTERVAL + 1, 16)) + 1)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     group = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("group")  # never null, so that joins and windows agree on it
-    columns = [F.col("doc_id").cast("long"), F.col("source").cast("string"), group, word_count(F.col("text").cast("string")).alias("size"), key.alias("key"), F.left(key, F.lit(DIGITS)).alias("part")]
+    columns = [F.col("doc_id").cast("long"), F.col("source").cast("string"), group, word_count(F.col("text").cast("string")).alias("size"), key.alias("key"), F.left(key, F.lit(digits)).alias("part")]
     sized = written(docs.select(*columns), "sizes")
     rows = docs.select(*columns, F.struct(*carry).alias("carried")) if carry else sized
     sums = sized.groupBy("source", "group", "part").agg(F.sum("size").alias("part_size"))

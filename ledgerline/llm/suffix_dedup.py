@@ -211,9 +211,9 @@ def repeated_ranges(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
 def drop_repeats(docs: DataFrame, window: int = 400, hot: int = HOT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
 
-    A byte goes if a string of `window` bytes that covers it also starts anywhere else in the corpus, as read. Null text is
-    empty; shorter texts lose nothing. Rows that repeat a doc_id are different documents. Further columns are ignored; an
-    empty table gives an empty result.
+    A byte goes if a string of `window` bytes that covers it also starts anywhere else in the corpus, as read; of equal strings
+    all go. Null text is empty; shorter texts lose nothing, longer ones are read whole. Rows that repeat a doc_id are different
+    documents, equal rows are copies. Further columns are ignored, of whatever name; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     ranges = repeated_ranges(texts.select("row", "text"), window, hot)
