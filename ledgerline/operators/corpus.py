@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ledgerline.functions import text as T
+from ledgerline.sources.scratch import written
 
 VECTOR_TYPES = {"narrative": (True, False, False), "table": (True, True, True), "metrics": (True, True, False), "org_data": (True, False, True), "project": (True, False, True), "header": (True, False, False)}
 
@@ -159,9 +157,6 @@ def dominant() -> Column:
     return F.when(has("Table"), "Table").when(has("OrgData"), "OrgData").otherwise(F.min_by("element_type", "elem_idx"))
 
 
-CHUNK = "source_file string, seq int, page_number int, section string, element_type string, text string"
-
-
 def chunk_pages(elements: DataFrame, least: int = 100) -> DataFrame:
     """One chunk per page."""
     head = F.min_by(F.when(F.col("element_type").isin("Title", "Header"), F.left("text", F.lit(80))), F.when(F.col("element_type").isin("Title", "Header"), F.col("elem_idx")))
@@ -188,62 +183,71 @@ def section_start() -> Column:
     return F.col("element_type").isin("Title", "Header") | ((F.length("text") < 120) & F.col("text").rlike(rf"(?i)\b({T.SECTION_WORDS})\b"))
 
 
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def section_blocks(elements: DataFrame) -> DataFrame:
+    """Elements gathered to blocks, numbered per file: a section's text up to a table or the next section, or a table by itself."""
+    order = Window.partitionBy("source_file").orderBy("elem_idx")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = elements.select("source_file", "elem_idx", "page_number", "element_type", "text", section_start().alias("start"))
+    rows = rows.withColumn("alone", (F.col("element_type") == "Table") & ~F.col("start"))
+    rows = rows.withColumn("cut", F.col("start") | F.col("alone") | F.coalesce(F.lag("alone").over(order), F.lit(False)))
+    rows = rows.withColumn("block", F.sum(F.col("cut").cast("int")).over(so_far))
+    rows = rows.withColumn("section", F.coalesce(F.last(F.when(F.col("start"), F.left(strip(F.col("text")), F.lit(80))), ignorenulls=True).over(so_far), F.lit("Introduction")))
+    return rows.groupBy("source_file", "block").agg(
+        F.first("section").alias("section"), F.bool_or("alone").alias("alone"), F.min_by("page_number", "elem_idx").alias("page_number"), dominant().alias("element_type"), joined_in_order("text", "elem_idx", "\n\n").alias("body")
+    )
+
+
+def led(lead: Column, body: Column) -> Column:
+    """A block's text behind the end of the text before it."""
+    return strip(F.when(lead == "", body).otherwise(F.concat(lead, F.lit("\n\n"), body)))
+
+
+def ending(text: Column, overlap: int) -> Column:
+    return F.when(F.length(text) > overlap, F.right(text, F.lit(overlap))).otherwise("")
+
+
+def pieces(text: Column, whole: Column, most: int, overlap: int) -> Column:
+    """A text as an array of pieces cut between paragraphs, each opening with the end of the piece before; a text that fits, or must stay whole, is one."""
+
+    def add(done: Column, paragraph: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.when(last == "", strip(paragraph)).otherwise(strip(F.concat(last, F.lit("\n\n"), paragraph)))
+        fresh = F.when(F.length(last) > overlap, F.concat(F.right(last, F.lit(overlap)), F.lit("\n\n"), paragraph)).otherwise(paragraph)
+        full = (last != "") & (F.length(longer) > most)
+        return F.when(full, F.concat(done, F.array(fresh))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)))
+
+    return F.when(whole | (F.length(text) <= most), F.array(text)).otherwise(F.aggregate(F.split(text, "\n\n"), F.array(F.lit("")), add))
+
+
 def chunk_sections(elements: DataFrame, most: int = 1500, least: int = 100, overlap: int = 100) -> DataFrame:
     """C4: chunks at section boundaries; tables whole and alone; long text cut between paragraphs; each chunk opens with the last characters of the one before.
 
-    The overlap depends on what was emitted before, so a document's elements are folded in order, one document at a time.
+    What a block opens with depends on the block before it, so a file's blocks are folded in order to find it; the blocks are then cut each by itself.
     """
-
-    def document(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("elem_idx")
-        out: list[tuple] = []
-        tail, section, held = "", "Introduction", []
-
-        def put(text: str, page: int, kind: str) -> None:
-            out.append((rows.source_file.iloc[0], len(out), page, section, kind, text))
-
-        def end(size: str) -> str:
-            return size[-overlap:] if len(size) > overlap else ""
-
-        def flush() -> str:
-            kinds = [k for _, k, _ in held]
-            kind = next((k for k in ("Table", "OrgData") if k in kinds), kinds[0])
-            text, page = "\n\n".join(([tail] if tail else []) + [t for t, _, _ in held]).strip(), held[0][2]
-            if len(text) < least:
-                return ""
-            if len(text) <= most or kind == "Table":
-                put(text, page, kind)
-                return end(text)
-            piece = ""
-            for paragraph in text.split("\n\n"):
-                longer = f"{piece}\n\n{paragraph}".strip() if piece else paragraph.strip()
-                if piece and len(longer) > most:
-                    put(piece, page, kind)
-                    longer = f"{piece[-overlap:]}\n\n{paragraph}" if len(piece) > overlap else paragraph
-                piece = longer
-            if len(piece) >= least:
-                put(piece, page, kind)
-            return end(piece)
-
-        for text, kind, page, start in zip(rows.text, rows.element_type, rows.page_number, rows.start, strict=True):
-            if start:
-                if held:
-                    tail = flush()
-                section, held = text.strip()[:80], [(text, kind, page)]
-            elif kind == "Table":
-                if held:
-                    tail = flush()
-                    held = []
-                if len(text.strip()) >= least:
-                    put(text.strip(), page, kind)
-            else:
-                held.append((text, kind, page))
-        if held:
-            flush()
-        return pd.DataFrame(out, columns=["source_file", "seq", "page_number", "section", "element_type", "text"])
-
-    rows = elements.select("source_file", "elem_idx", "page_number", "element_type", "text", section_start().alias("start"))
-    return rows.groupBy("source_file").applyInPandas(document, CHUNK)
+    blocks = section_blocks(elements)
+    state = "struct<lead: string, leads: array<string>>"
+
+    def follow(acc: Column, b: Column) -> Column:
+        text = led(acc["lead"], b["body"])
+        last = F.element_at(pieces(text, b["element_type"] == "Table", most, overlap), -1)
+        lead = F.when(b["alone"], acc["lead"]).when(F.length(text) < least, "").otherwise(ending(last, overlap))
+        return F.struct(lead.alias("lead"), F.concat(acc["leads"], F.array(acc["lead"])).alias("leads")).cast(state)
+
+    columns = ("block", "section", "alone", "page_number", "element_type", "body")
+    per = blocks.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("blocks"))
+    none = F.struct(F.lit("").alias("lead"), F.array().cast("array<string>").alias("leads")).cast(state)
+    per = per.withColumn("leads", F.aggregate("blocks", none, follow)["leads"])
+    rows = per.select("source_file", F.explode(F.arrays_zip("blocks", "leads")).alias("x")).select("source_file", "x.blocks.*", F.col("x.leads").alias("lead"))
+    text = F.when(F.col("alone"), strip(F.col("body"))).otherwise(led(F.col("lead"), F.col("body")))
+    rows = rows.withColumn("text", text).where(F.length("text") >= least)
+    rows = rows.select("source_file", "block", "page_number", "section", "element_type", F.posexplode(pieces(F.col("text"), F.col("element_type") == "Table", most, overlap)).alias("pos", "text"))
+    rows = rows.withColumn("last", F.lead("pos").over(Window.partitionBy("source_file", "block").orderBy("pos")).isNull()).where((F.length("text") >= least) | ~F.col("last"))
+    seq = F.row_number().over(Window.partitionBy("source_file").orderBy("block", "pos")) - 1
+    return rows.select("source_file", seq.cast("int").alias("seq"), "page_number", "section", "element_type", "text")
 
 
 def chunk_all(elements: DataFrame, profiles: DataFrame, types: DataFrame) -> DataFrame:
@@ -267,21 +271,49 @@ def pack_fixed(chunks: DataFrame, n: int = 8) -> DataFrame:
     """Batches of n chunks per report, with their texts; reports are numbered in order of their names."""
     rows = chunks.withColumn("b", F.floor((F.row_number().over(Window.partitionBy("source_file").orderBy("seq")) - 1) / n).cast("long"))
     per = rows.groupBy("source_file", "b").agg(F.count("*").alias("n"), joined_in_order("text", "seq", "\n\n---\n\n").alias("request"))
-    report = per.select("source_file").distinct().withColumn("report", F.dense_rank().over(Window.orderBy("source_file")))
+    report = numbered(per.select("source_file").distinct(), "source_file", "report")
     return per.join(report, "source_file").select("source_file", F.concat(F.lit("r"), F.col("report"), F.lit("_b"), (F.col("b") * n).cast("string")).alias("batch_id"), "n", "request")
 
 
-def pack_char_budget(chunks: DataFrame, budget: int = 24_000) -> DataFrame:
-    """Batch number per chunk; a batch closes before the chunk that would exceed the budget, unless it is empty."""
-    per = chunks.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("seq", F.length("text").alias("n")))).alias("rows"))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<struct<seq:int,batch:int>>").alias("out"))
+def numbered(names: DataFrame, by: str, number: str) -> DataFrame:
+    """Distinct names with their place in order: the place in a range partition plus the sizes of the partitions before."""
+    low = (1 << 33) - 1
+    placed = written(names.repartitionByRange(by).sortWithinPartitions(by).select(by, F.monotonically_increasing_id().alias("_at")), "numbered")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    # one row for each range partition, a number set by configuration
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_base"))
+    return placed.join(bases, "_part").select(by, (F.col("_base") + F.col("_at").bitwiseAND(low) + 1).alias(number))
 
-    def step(acc, x):
+
+def pack_char_budget(chunks: DataFrame, budget: int = 24_000, run: int = 256) -> DataFrame:
+    """Batch number per chunk; a batch closes before the chunk that would exceed the budget, unless it is empty.
+
+    The fold over a file's lengths goes by runs: the state at the start of each run of chunks is found first, then each run is
+    numbered by itself, so lists that grow are never longer than a run.
+    """
+    order = Window.partitionBy("source_file").orderBy("seq")
+    rows = chunks.select("source_file", F.col("seq").cast("int").alias("seq"), F.length("text").alias("n"), F.floor((F.row_number().over(order) - 1) / run).cast("int").alias("run"))
+    runs = rows.groupBy("source_file", "run").agg(F.array_sort(F.collect_list(F.struct("seq", "n"))).alias("rows"))
+    state = "struct<batch: int, used: int>"
+    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used")).cast(state)
+
+    def step(acc: Column, x: Column) -> Column:
         full = (acc["used"] > 0) & (acc["used"] + x["n"] > budget)
-        batch = acc["batch"] + full.cast("int")
-        return F.struct(batch.alias("batch"), (F.when(full, 0).otherwise(acc["used"]) + x["n"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["seq"].cast("int").alias("seq"), batch.alias("batch")))).alias("out"))
+        return F.struct((acc["batch"] + full.cast("int")).alias("batch"), (F.when(full, 0).otherwise(acc["used"]) + x["n"]).alias("used")).cast(state)
+
+    def follow(acc: Column, r: Column) -> Column:
+        return F.concat(acc, F.array(F.aggregate(r["rows"], F.element_at(acc, -1), step)))
+
+    def number(acc: Column, x: Column) -> Column:
+        now = step(acc["at"], x)
+        return F.struct(now.alias("at"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), now["batch"].alias("batch")))).alias("out"))
 
-    return per.select("source_file", F.explode(F.aggregate("rows", zero, step)["out"]).alias("x")).select("source_file", "x.seq", "x.batch")
+    per = runs.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("run", "rows"))).alias("runs"))
+    per = per.withColumn("starts", F.aggregate("runs", F.array(zero), follow))
+    each = per.select("source_file", F.explode(F.arrays_zip("runs", "starts")).alias("x")).where("x.runs is not null")
+    begin = F.struct(F.col("x.starts").alias("at"), F.array().cast("array<struct<seq:int,batch:int>>").alias("out"))
+    return each.select("source_file", F.explode(F.aggregate("x.runs.rows", begin, number)["out"]).alias("x")).select("source_file", "x.seq", "x.batch")
 
 
 def slice_reports(reports: DataFrame, skip: int, limit: int) -> DataFrame:

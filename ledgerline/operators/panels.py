@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ledgerline.functions import text as T
 
 
-
 def day(as_of: str) -> Column:
     return F.lit(as_of).cast("date")
 
@@ -27,6 +26,12 @@ def labelled(names: DataFrame, key: str = "dept_key", name: str = "department")
     return names.groupBy(key).agg(F.min_by(name, T.display_order(F.col(name))).alias("department"))
 
 
+def by_department(rows: DataFrame, *sums: Column) -> DataFrame:
+    """dept_key, department (its label) and sums over rows, which are already summed per department as written: names are few, so keys are made for few rows."""
+    rows = rows.withColumn("dept_key", T.dept_key("department"))
+    return rows.groupBy("dept_key").agg(F.min_by("department", T.display_order(F.col("department"))).alias("department"), *sums)
+
+
 def latest_document_period(documents: DataFrame) -> DataFrame:
     """A1: one row with the greatest year and the greatest quarter in it ('' if it has none)."""
     return documents.agg(F.max(period()).alias("p")).select("p.year", F.coalesce("p.quarter", F.lit("")).alias("quarter"))
@@ -77,9 +82,10 @@ def kpi_spend(expenditures: DataFrame) -> DataFrame:
 
 
 def kpi_coverage(documents: DataFrame) -> DataFrame:
-    """Departments that ever filed a quarterly report, and those that did in the latest document period."""
+    """Departments that ever filed a quarterly report, and those that did in the latest document period. Reports without a period count for neither."""
     last = F.broadcast(latest_document_period(documents).select(F.col("year").alias("_y"), F.col("quarter").alias("_q")))
-    rows = documents.where("document_type = 'quarterly_report'").withColumn("k", F.nullif(T.dept_key(F.coalesce("department", F.lit(""))), F.lit("")))
+    filed = documents.where("document_type = 'quarterly_report' and quarter is not null and quarter <> ''")
+    rows = filed.select("department", "year", "quarter").distinct().withColumn("k", F.nullif(T.dept_key(F.coalesce("department", F.lit(""))), F.lit("")))
     now = F.when((F.col("year") == F.col("_y")) & (F.col("quarter") == F.col("_q")), F.col("k"))
     return rows.crossJoin(last).agg(F.count_distinct("k").alias("roster"), F.count_distinct(now).alias("filed"))
 
@@ -131,9 +137,10 @@ def table_reports(documents: DataFrame, limit: int = 200) -> DataFrame:
 
 def departments(documents: DataFrame, expenditures: DataFrame) -> DataFrame:
     """Departments of quarterly reports and budgets, with report counts and the latest period's spending."""
-    docs = documents.where("document_type in ('quarterly_report', 'budget')").withColumn("dept_key", T.dept_key("department")).where("dept_key <> ''")
-    per = docs.groupBy("dept_key").agg(F.min_by("department", T.display_order(F.col("department"))).alias("department"), F.count_if(F.col("document_type") == "quarterly_report").alias("reports"))
-    spend = in_latest(expenditures, latest_spend_period(expenditures)).groupBy(T.dept_key("department").alias("dept_key")).agg(dollars("ytd_expended").alias("spend"))
+    docs = documents.where("document_type in ('quarterly_report', 'budget')").groupBy("department").agg(F.count_if(F.col("document_type") == "quarterly_report").alias("reports"))
+    per = by_department(docs, F.sum("reports").alias("reports")).where("dept_key <> ''")
+    spend = in_latest(expenditures, latest_spend_period(expenditures)).groupBy("department").agg(F.sum("ytd_expended").alias("spend"))
+    spend = by_department(spend, dollars("spend").alias("spend")).drop("department")
     return per.join(spend, "dept_key", "left")
 
 
@@ -160,38 +167,45 @@ def tally(bucket: Column) -> list[Column]:
 
 
 def votes_by_resolution(votes: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Votes with their resolutions, tallied per number ('—' if unknown); repeated resolution rows repeat their votes."""
-    res = resolutions.select("resolution_number", F.struct(F.col("id").alias("rid"), "title", F.col("amount").cast("double").alias("amount")).alias("r"))
-    rows = votes.join(res, "resolution_number", "left").withColumn("bucket", T.vote_bucket(F.coalesce("vote", F.lit(""))))
-    members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("council_member", "bucket", "id"))), lambda m: F.concat_ws(":", m["council_member"], m["bucket"])), ",")
-    out = rows.groupBy(F.coalesce("resolution_number", F.lit("—")).alias("number")).agg(F.min("r").alias("r"), F.count("*").alias("total"), *tally(F.col("bucket")), members.alias("members"))
-    return out.select("number", "r.title", "r.amount", "total", *BUCKETS, "members")
+    """Votes with their resolutions, tallied per number ('—' if unknown); repeated resolution rows repeat their votes.
+
+    Both sides are gathered per number first, so no pair of a vote and a resolution is ever a row; a member's entry is repeated as text.
+    """
+    res = resolutions.groupBy("resolution_number").agg(F.min(F.struct(F.col("id").alias("rid"), "title", F.col("amount").cast("double").alias("amount"))).alias("r"), F.count("*").alias("times"))
+    rows = votes.withColumn("bucket", T.vote_bucket(F.coalesce("vote", F.lit(""))))
+    per = rows.groupBy("resolution_number").agg(F.count("*").alias("total"), *tally(F.col("bucket")), F.array_sort(F.collect_list(F.struct("council_member", "bucket", "id"))).alias("members"))
+    out = per.join(res, "resolution_number", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    members = F.array_join(F.transform("members", lambda m: F.array_join(F.array_repeat(F.concat_ws(":", m["council_member"], m["bucket"]), F.col("times").cast("int")), ",")), ",")
+    return out.select(F.coalesce("resolution_number", F.lit("—")).alias("number"), "r.title", "r.amount", *((F.col(c) * F.col("times")).alias(c) for c in ("total", *BUCKETS)), members.alias("members"))
 
 
 def votes_by_member(votes: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Totals per member over the same joined rows as A17."""
-    rows = votes.join(resolutions.select("resolution_number"), "resolution_number", "left").withColumn("bucket", T.vote_bucket(F.coalesce("vote", F.lit(""))))
-    return rows.groupBy("council_member").agg(F.count("*").alias("total"), *tally(F.col("bucket"))).orderBy(F.desc("total"), "council_member")
+    """Totals per member over the same joined rows as A17, which are counted, not made."""
+    times = resolutions.groupBy("resolution_number").agg(F.count("*").alias("times"))
+    rows = votes.groupBy("resolution_number", "council_member", T.vote_bucket(F.coalesce("vote", F.lit(""))).alias("bucket")).agg(F.count("*").alias("n"))
+    rows = rows.join(times, "resolution_number", "left").withColumn("n", F.col("n") * F.coalesce("times", F.lit(1)))
+    per = rows.groupBy("council_member").agg(F.sum("n").alias("total"), *(F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("n"))), F.lit(0)).alias(b) for b in BUCKETS))
+    return per.orderBy(F.desc("total"), "council_member")
 
 
 def latest_budget(expenditures: DataFrame) -> DataFrame:
-    """Lines of the latest period, without totals, that have a figure; with dept_key."""
+    """Lines of the latest period, without totals, that have a figure."""
     rows = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%"))
-    return rows.where("coalesce(revised_budget, 0) <> 0 or coalesce(ytd_expended, 0) <> 0").withColumn("dept_key", T.dept_key("department"))
+    return rows.where("coalesce(revised_budget, 0) <> 0 or coalesce(ytd_expended, 0) <> 0")
 
 
 def budget_by_dept(expenditures: DataFrame) -> DataFrame:
     """Budget and spending of the latest period per department."""
-    return latest_budget(expenditures).groupBy("dept_key").agg(
-        F.min_by("department", T.display_order(F.col("department"))).alias("department"), dollars("revised_budget").alias("budget"), dollars("ytd_expended").alias("ytd")
-    ).orderBy(F.desc_nulls_last("budget"), "dept_key")
+    per = latest_budget(expenditures).groupBy("department").agg(F.sum("revised_budget").alias("budget"), F.sum("ytd_expended").alias("ytd"))
+    return by_department(per, dollars("budget").alias("budget"), dollars("ytd").alias("ytd")).orderBy(F.desc_nulls_last("budget"), "dept_key")
 
 
 def budget_lines(expenditures: DataFrame) -> DataFrame:
     """The lines behind A19 with the department's label."""
     rows = latest_budget(expenditures)
-    names = labelled(rows.select("dept_key", "department").distinct())
-    out = rows.drop("department").join(names, "dept_key").select("id", "dept_key", "department", "line_item", F.col("revised_budget").cast("double").alias("budget"), F.col("ytd_expended").cast("double").alias("ytd"))
+    names = rows.select("department").distinct().withColumn("dept_key", T.dept_key("department"))
+    names = names.join(labelled(names).withColumnRenamed("department", "label"), "dept_key")
+    out = rows.join(names, "department").withColumn("department", F.col("label")).select("id", "dept_key", "department", "line_item", F.col("revised_budget").cast("double").alias("budget"), F.col("ytd_expended").cast("double").alias("ytd"))
     return out.orderBy(F.desc_nulls_last("ytd"), "id")
 
 
@@ -245,10 +259,8 @@ def authorized_vs_spent(resolutions: DataFrame, expenditures: DataFrame) -> Data
     zero = F.lit(None).cast("decimal(15,2)")
     one = resolutions.where("amount is not null").select("department", F.col("amount").alias("authorized"), zero.alias("spent"))
     two = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%")).select("department", zero.alias("authorized"), F.col("ytd_expended").alias("spent"))
-    both = one.unionByName(two).withColumn("dept_key", T.dept_key("department")).where("dept_key <> ''")
-    return both.groupBy("dept_key").agg(
-        F.min_by("department", T.display_order(F.col("department"))).alias("department"), F.coalesce(dollars("authorized"), F.lit(0.0)).alias("authorized"), F.coalesce(dollars("spent"), F.lit(0.0)).alias("spent")
-    )
+    both = one.unionByName(two).groupBy("department").agg(F.sum("authorized").alias("authorized"), F.sum("spent").alias("spent"))
+    return by_department(both, *(F.coalesce(dollars(c), F.lit(0.0)).alias(c) for c in ("authorized", "spent"))).where("dept_key <> ''")
 
 
 def grants_expiring(grants: DataFrame, as_of: str, expiring_days: int = 180) -> DataFrame:

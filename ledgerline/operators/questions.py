@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import text as T
 
 from .graph import department_staff, related
-from .panels import dedupe_grants, dollars, in_latest, latest_spend_period, vacancies_open
+from .panels import by_department, dedupe_grants, dollars, in_latest, latest_spend_period, vacancies_open
 from .retrieval import vector_topk
 
 
@@ -29,14 +29,15 @@ def line_item_spend(expenditures: DataFrame, item: str, year=None, quarter=None)
 
 def top_spender(expenditures: DataFrame, year=None, quarter=None) -> DataFrame:
     """The department that spent most."""
-    per = in_period(expenditures, year, quarter).groupBy(T.dept_key("department").alias("dept_key")).agg(dollars("ytd_expended").alias("ytd"))
+    per = by_department(in_period(expenditures, year, quarter).groupBy("department").agg(F.sum("ytd_expended").alias("ytd")), dollars("ytd").alias("ytd")).select("dept_key", "ytd")
     return per.orderBy(F.desc("ytd"), "dept_key").limit(1)
 
 
 def department_totals(expenditures: DataFrame, department: str | None = None) -> DataFrame:
     """U4: budget and spending of one department, or of each, in the latest period, without totals."""
     rows = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%"))
-    return of_department(rows, department).groupBy(T.dept_key("department").alias("dept_key")).agg(dollars("revised_budget").alias("budget"), dollars("ytd_expended").alias("ytd"))
+    per = rows.groupBy("department").agg(F.sum("revised_budget").alias("budget"), F.sum("ytd_expended").alias("ytd"))
+    return by_department(of_department(per, department), dollars("budget").alias("budget"), dollars("ytd").alias("ytd")).drop("department")
 
 
 def metric_total(metrics: DataFrame, name: str, department: str | None = None, year=None, quarter=None) -> DataFrame:

@@ -37,7 +37,7 @@ def vector_topk(requests: DataFrame, chunks: DataFrame, k: int = 5, filters: tup
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def vector_topk_approx(requests: DataFrame, chunks: DataFrame, k: int = 5, bucket: float = 0.8, tables: int = 8, within: float = 1.3) -> DataFrame:
+def vector_topk_approx(requests: DataFrame, chunks: DataFrame, k: int = 5, bucket: float = 1.0, tables: int = 24, within: float = 1.5) -> DataFrame:
     """R2: candidates from random-projection buckets over normalised vectors, then exact ranking."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
 
-from .panels import dollars, in_latest, latest_spend_period
+from .panels import by_department, dollars, in_latest, labelled, latest_spend_period
 
 PRIORITY = {"highest": 0, "high": 1, "medium": 2, "low": 3}
 PACE = {"Q1": 0.25, "Q2": 0.5, "Q3": 0.75, "Q4": 1.0}
@@ -43,9 +43,12 @@ def plural(n: Column, word: str) -> Column:
 
 def goal_history(goals: DataFrame) -> DataFrame:
     """Per (department, title): distinct periods, whether any row has a status, and the latest row."""
-    rows = goals.where("department is not null and goal_title is not null").withColumn("dept_key", T.dept_key("department")).withColumn("title_key", T.norm_title("goal_title"))
-    rows = rows.where("dept_key <> '' and title_key <> ''").withColumn("p", clean_period()).withColumn("eff", F.trim(F.coalesce(F.nullif("user_status", F.lit("")), "status", F.lit(""))))
-    names = rows.groupBy("dept_key").agg(F.min_by("department", T.display_order(F.col("department"))).alias("label"))
+    rows = goals.where("department is not null and goal_title is not null").withColumn("title_key", T.norm_title("goal_title"))
+    rows = rows.where("title_key <> ''").withColumn("p", clean_period()).withColumn("eff", F.trim(F.coalesce(F.nullif("user_status", F.lit("")), "status", F.lit(""))))
+    # keys are made for the distinct names, which are few
+    keyed = rows.select("department").distinct().withColumn("dept_key", T.dept_key("department")).where("dept_key <> ''")
+    rows = rows.join(keyed, "department")
+    names = labelled(keyed).withColumnRenamed("department", "label")
     last = F.struct("p", "id")
     out = rows.groupBy("dept_key", "title_key").agg(
         F.count_distinct("p").alias("n"), F.bool_and(F.col("eff") == "").alias("silent"), F.min("p").alias("first"), F.max("p").alias("last"),
@@ -61,8 +64,7 @@ def stalled() -> Column:
 
 def goal_stalled(goals: DataFrame) -> DataFrame:
     """Q1: no status in two or more periods; takes the place of Q2 and Q3."""
-    q = say("“{}” has appeared in {} quarterly reports ({}→{}) with no status update — what progress has been made since {}?", F.col("goal_title"), F.col("n"), label("first"), label("last"), label("last"))
-    return goal_history(goals).where(stalled()).select(*finding("goal_stalled", "highest", q, F.col("n")))
+    return goal_findings(goals).where("signal = 'goal_stalled'")
 
 
 def target_clause() -> Column:
@@ -71,24 +73,31 @@ def target_clause() -> Column:
 
 def goal_no_progress(goals: DataFrame) -> DataFrame:
     """Q2: the latest row is of the latest period and has no status."""
-    rows = goal_history(goals).where(~stalled() & (F.col("last") == F.col("top")) & (T.goal_status(F.col("eff")) == "none"))
-    q = say("{}'s goal “{}”{} has no progress reported for {}. What's the current status?", F.col("department"), F.col("goal_title"), target_clause(), label("last"))
-    return rows.select(*finding("goal_no_progress", "high", q, F.col("target")))
+    return goal_findings(goals).where("signal = 'goal_no_progress'")
 
 
 def goal_in_progress(goals: DataFrame) -> DataFrame:
     """Q3: the latest row is of the latest period and its status is neither empty nor complete."""
-    rows = goal_history(goals).where(~stalled() & (F.col("last") == F.col("top")) & (T.goal_status(F.col("eff")) == "in_progress"))
-    q = say("{}'s goal “{}”{} was reported “{}” as of {}. What progress has been made since?", F.col("department"), F.col("goal_title"), target_clause(), F.col("eff"), label("last"))
-    return rows.select(*finding("goal_in_progress", "medium", q, F.col("eff")))
+    return goal_findings(goals).where("signal = 'goal_in_progress'")
+
+
+def goal_findings(goals: DataFrame) -> DataFrame:
+    """Q1 to Q3 from one history of the goals; at most one of them holds for a goal."""
+    one = lambda signal, priority, question, evidence: F.struct(*finding(signal, priority, question, evidence)[2:])
+    q1 = say("“{}” has appeared in {} quarterly reports ({}→{}) with no status update — what progress has been made since {}?", F.col("goal_title"), F.col("n"), label("first"), label("last"), label("last"))
+    q2 = say("{}'s goal “{}”{} has no progress reported for {}. What's the current status?", F.col("department"), F.col("goal_title"), target_clause(), label("last"))
+    q3 = say("{}'s goal “{}”{} was reported “{}” as of {}. What progress has been made since?", F.col("department"), F.col("goal_title"), target_clause(), F.col("eff"), label("last"))
+    status, now = T.goal_status(F.col("eff")), F.col("last") == F.col("top")
+    found = F.when(stalled(), one("goal_stalled", "highest", q1, F.col("n")))
+    found = found.when(now & (status == "none"), one("goal_no_progress", "high", q2, F.col("target"))).when(now & (status == "in_progress"), one("goal_in_progress", "medium", q3, F.col("eff")))
+    return goal_history(goals).withColumn("f", found).where("f is not null").select("dept_key", "department", "f.*")
 
 
 def budget_pace(expenditures: DataFrame) -> DataFrame:
     """Q4: spending far from the share of the budget expected at the quarter's end."""
-    rows = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%")).withColumn("dept_key", T.dept_key("department")).where("dept_key <> ''")
-    per = rows.groupBy("dept_key").agg(
-        F.min_by("department", T.display_order(F.col("department"))).alias("department"), dollars("revised_budget").alias("budget"), dollars("ytd_expended").alias("ytd"), F.first("year").alias("year"), F.first("quarter").alias("quarter")
-    )
+    rows = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%"))
+    per = rows.groupBy("department", "year", "quarter").agg(F.sum("revised_budget").alias("budget"), F.sum("ytd_expended").alias("ytd"))
+    per = by_department(per, dollars("budget").alias("budget"), dollars("ytd").alias("ytd"), F.first("year").alias("year"), F.first("quarter").alias("quarter")).where("dept_key <> ''")
     expected = F.element_at(F.create_map(*(F.lit(x) for kv in PACE.items() for x in kv)), F.col("quarter"))
     per = per.where("budget > 0").withColumn("expected", expected).withColumn("pace", F.col("ytd") / F.col("budget"))
     per = per.where((F.col("pace") > F.col("expected") * AHEAD) | (F.col("pace") < F.col("expected") * BEHIND))
@@ -101,8 +110,11 @@ def budget_pace(expenditures: DataFrame) -> DataFrame:
 def vacancy(vacancies: DataFrame) -> DataFrame:
     """Q5: open positions of the department's own latest period."""
     rows = vacancies.where(F.lower(F.trim("status")) == "open").where(~F.lower(F.trim("position_title")).isin("", "none"))
-    rows = rows.withColumn("dept_key", T.dept_key("department")).where("dept_key <> ''").withColumn("p", clean_period())
-    last = rows.groupBy("dept_key").agg(F.max("p").alias("last"), F.min_by("department", T.display_order(F.col("department"))).alias("label"))
+    rows = rows.withColumn("p", clean_period())
+    per = rows.groupBy("department").agg(F.max("p").alias("last"))
+    last = by_department(per, F.max("last").alias("last")).where("dept_key <> ''").withColumnRenamed("department", "label")
+    keyed = per.select("department", T.dept_key("department").alias("dept_key"))
+    rows = rows.join(keyed, "department")
     now = rows.join(last, "dept_key").where("p = last")
     item = F.concat(F.trim("position_title"), F.when(F.col("open_count") != 0, say(" ({})", F.col("open_count"))).otherwise(""))
     per = now.groupBy("dept_key", "label", "last").agg(
@@ -116,7 +128,7 @@ def grant(grants: DataFrame, per_dept: int = 5) -> DataFrame:
     """Q6: the department's largest grants that are not closed, as read (not de-duplicated)."""
     rows = grants.where("department is not null and grant_name is not null and trim(grant_name) <> ''").where(~F.coalesce(F.lower("status").rlike("|".join(T.CLOSED_GRANT)), F.lit(False)))
     rows = rows.withColumn("dept_key", T.dept_key("department")).where("dept_key <> ''")
-    names = rows.groupBy("dept_key").agg(F.min_by("department", T.display_order(F.col("department"))).alias("label"))
+    names = labelled(rows.select("dept_key", "department").distinct()).withColumnRenamed("department", "label")
     top = Window.partitionBy("dept_key").orderBy(F.coalesce("amount", F.lit(0)).desc(), "id")
     rows = rows.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= per_dept).drop("department").join(names.withColumnRenamed("label", "department"), "dept_key")
     amount = F.when(F.col("amount").isNotNull(), say(" (${})", F.format_number(F.bround(F.col("amount").cast("double"), 0), 0))).otherwise("")
@@ -127,9 +139,9 @@ def grant(grants: DataFrame, per_dept: int = 5) -> DataFrame:
 
 def quiet_department(documents: DataFrame) -> DataFrame:
     """Q7: departments whose last quarterly report is older than the latest one on record."""
-    rows = documents.where("document_type = 'quarterly_report' and department is not null and department <> ''").withColumn("dept_key", T.dept_key("department")).where("dept_key <> ''")
-    per = rows.groupBy("dept_key").agg(F.max(clean_period()).alias("last"), F.min_by("department", T.display_order(F.col("department"))).alias("department"))
-    top = F.broadcast(rows.agg(F.max(clean_period()).alias("top")))  # one row
+    rows = documents.where("document_type = 'quarterly_report' and department is not null and department <> ''").groupBy("department").agg(F.max(clean_period()).alias("last"))
+    per = by_department(rows, F.max("last").alias("last")).where("dept_key <> ''")
+    top = F.broadcast(per.agg(F.max("last").alias("top")))  # one row
     late = per.crossJoin(top).where("last < top and top.year <> 0")
     since = F.coalesce(F.nullif(label("last"), F.lit("")), F.lit("the period on record"))
     q = say("{} hasn't filed a quarterly report since {} (latest on record is {}). Please provide an update.", F.col("department"), since, label("top"))
@@ -137,8 +149,8 @@ def quiet_department(documents: DataFrame) -> DataFrame:
 
 
 def all_findings(goals, expenditures, vacancies, grants, documents) -> DataFrame:
-    out = goal_stalled(goals)
-    for more in (goal_no_progress(goals), goal_in_progress(goals), budget_pace(expenditures), vacancy(vacancies), grant(grants), quiet_department(documents)):
+    out = goal_findings(goals)
+    for more in (budget_pace(expenditures), vacancy(vacancies), grant(grants), quiet_department(documents)):
         out = out.unionByName(more)
     return out
 

@@ -50,10 +50,14 @@ def upsert_documents(documents: DataFrame, batch: DataFrame, as_of: str) -> Data
 
 
 def upsert_chunks(chunks: DataFrame, batch: DataFrame) -> DataFrame:
-    """Chunks (chunk_id, embedding, text, payload) with the batch's rows that have an embedding; payload is its other columns as JSON."""
+    """Chunks (chunk_id, embedding, text, payload) with the batch's rows that have an embedding, of each chunk the one of the greatest seq; payload is its other columns as JSON."""
     fixed = ("chunk_id", "embedding", "text")
     rest = [c for c in batch.columns if c not in fixed]
-    fresh = batch.where("embedding is not null").dropDuplicates(["chunk_id"]).select(*fixed, F.to_json(F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))).alias("payload"))
+    last = [F.col("seq")] if "seq" in rest else []
+    newest = Window.partitionBy("chunk_id").orderBy(*(c.desc() for c in last), F.xxhash64(*fixed, *rest))  # the last row wins; without seq, rows have no order, and the choice is fixed
+    fresh = batch.where("embedding is not null").withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+    rest = [c for c in rest if c != "seq"]
+    fresh = fresh.select(*fixed, F.to_json(F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))).alias("payload"))
     return chunks.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh)
 
 
@@ -114,12 +118,22 @@ def set_user_status(goals: DataFrame, edits: DataFrame) -> tuple[DataFrame, Data
 
 
 def carry_user_status(old: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fresh goals with the status that the clerk had set on the same goal, once each; and old ones that found none."""
+    """Fresh goals with the status that the clerk had set on the same goal, and old goals with one that found none.
+
+    A goal is told by department, year, quarter and title; missing parts match missing parts. The last old row with a status
+    gives it, with the time it was set if there is such a column, to the first fresh row.
+    """
     keys = ["department", "year", "quarter", "goal_title"]
-    kept = old.where("user_status is not null and user_status <> ''").withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("id")))
-    new = fresh.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("id")))
-    out = new.join(kept.select(*keys, "_k", F.col("user_status").alias("_s")), [*keys, "_k"], "left").withColumn("user_status", F.coalesce("_s", "user_status")).drop("_s", "_k")
-    return out, kept.join(new, [*keys, "_k"], "left_anti").drop("_k")
+    group = F.struct(*keys).alias("_g")  # a struct is never null, and equal where its fields are, null ones too
+    carried = [c for c in ("user_status", "user_status_at") if c in old.columns and c in fresh.columns]
+    last = Window.partitionBy("_g").orderBy(F.desc("id"))
+    kept = old.where("user_status is not null and user_status <> ''").withColumn("_g", group).withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
+    new = fresh.withColumn("_g", group).withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy("id")))
+    given = kept.select("_g", F.lit(1).alias("_k"), F.struct(*carried).alias("_s"))
+    out = new.join(given, ["_g", "_k"], "left")
+    for c in carried:
+        out = out.withColumn(c, F.when(F.col("_s").isNotNull(), F.col("_s")[c]).otherwise(F.col(c)))
+    return out.select(*fresh.columns), kept.join(new.select("_g"), "_g", "left_anti").select(*old.columns)
 
 
 def apply_scores(logs: DataFrame, scores: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ledgerline.operators import signals as Q
 from ledgerline.sources.conform import AS_OF, BOARDS_AS_OF
 
 from .graphs import all_edges
-from .registry import ACTIVE, LATEST, LINES, dk, grants, label, nt, query
+from .registry import ACTIVE, LATEST, LINES, SQL, dk, grants, label, nt, query
 
 D = f"DATE '{AS_OF}'"
 LIVE = f"(coalesce(lower(trim(status)) IN ({ACTIVE}), false) OR coalesce(end_date >= {D}, false))"
@@ -30,7 +30,7 @@ query(
 query("A5_kpi_spend", lambda t: A.kpi_spend(t.expenditures), f"SELECT sum(ytd_expended)::DOUBLE AS ytd, sum(revised_budget)::DOUBLE AS budget FROM ({LINES})", "expenditures")
 query(
     "A6_kpi_coverage", lambda t: A.kpi_coverage(t.registry),
-    f"SELECT count(DISTINCT k) AS roster, count(DISTINCT CASE WHEN r.year = l.year AND r.quarter = l.quarter THEN k END) AS filed FROM (SELECT year, quarter, nullif({dk('department')}, '') AS k FROM v_registry WHERE document_type = 'quarterly_report') r, ({LDP}) l", "registry",
+    f"SELECT count(DISTINCT k) AS roster, count(DISTINCT CASE WHEN r.year = l.year AND r.quarter = l.quarter THEN k END) AS filed FROM (SELECT year, quarter, nullif({dk('department')}, '') AS k FROM v_registry WHERE document_type = 'quarterly_report' AND quarter <> '') r, ({LDP}) l", "registry",
 )
 query("A7_kpi_counts", lambda t: A.kpi_counts(t.resolutions, t.registry), "SELECT (SELECT count(*) FROM v_resolutions) AS resolutions, (SELECT count(*) FROM v_registry WHERE document_type = 'unclassified') AS unclassified", "resolutions", "registry")
 query(
@@ -106,11 +106,15 @@ query(
     "A27_grants_expiring", lambda t: A.grants_expiring(t.grants, AS_OF).withColumn("days_left", F.col("days_left").cast("long")),
     f"SELECT id, grant_name, dept_key, end_date::VARCHAR AS end_date, (end_date - {D})::BIGINT AS days_left, amount::DOUBLE AS amount FROM {grants('(SELECT * FROM v_grants WHERE end_date IS NOT NULL)')} WHERE end_date BETWEEN {D} AND {D} + 180", "grants",
 )
-query(
-    "A28_dashboard", lambda t: A.dashboard_sizes(t, AS_OF, BOARDS_AS_OF).where("panel in ('resolutions', 'legislation', 'goals', 'meetings', 'table_reports', 'kpi_spend')"),
-    "SELECT 'resolutions' AS panel, count(*) AS n_rows FROM v_resolutions UNION ALL SELECT 'legislation', count(*) FROM v_legislation UNION ALL SELECT 'goals', count(*) FROM v_goals UNION ALL SELECT 'meetings', count(*) FROM v_meetings UNION ALL SELECT 'table_reports', least(200, count(*)) FROM v_registry UNION ALL SELECT 'kpi_spend', 1",
-    "resolutions", "legislation", "goals", "meetings", "registry",
-)
+# each panel by the SQL of its own query
+PANELS = {
+    "kpi_grants": "A4_kpi_grants", "kpi_spend": "A5_kpi_spend", "kpi_coverage": "A6_kpi_coverage", "kpi_counts": "A7_kpi_counts", "timeline_grants": "A8_timeline_grants", "timeline_reports": "A9_timeline_reports",
+    "timeline_resolutions": "A10_timeline_resolutions", "timeline_spending": "A11_timeline_spending", "table_grants": "A12_table_grants", "table_spend_by_dept": "A13_table_spend_by_dept", "table_reports": "A14_table_reports",
+    "departments": "A15_departments", "resolutions": "A16_resolutions_list", "legislation": "A16_legislation_list", "goals": "A16_goals_list", "votes_by_resolution": "A17_votes_by_resolution", "votes_by_member": "A18_votes_by_member",
+    "budget_by_dept": "A19_budget_by_dept", "budget_lines": "A20_budget_lines", "meetings": "A21_meetings", "vacancies": "A22_vacancies_open", "boards": "A23_boards", "metrics": "A24_metrics_latest", "vendors": "A25_vendor_spend",
+    "authorized_vs_spent": "A26_authorized_vs_spent", "grants_expiring": "A27_grants_expiring",
+}
+query("A28_dashboard", lambda t: A.dashboard_sizes(t, AS_OF, BOARDS_AS_OF), " UNION ALL ".join(f"SELECT '{k}' AS panel, count(*) AS n_rows FROM ({SQL[q]}) x" for k, q in PANELS.items()))
 
 # Signals ------------------------------------------------------------------------------------------------------------
 
@@ -211,7 +215,7 @@ PROPOSED = "SELECT event_id AS id, 'type_' || (user_id % 7) AS proposed_type, CA
 proposals = lambda t: t.spark.sql(PROPOSED, events=t.events)
 query("M11_pending_proposals", lambda t: M.pending_proposals(proposals(t)).select("id", "proposed_type"), f"SELECT id, proposed_type FROM ({PROPOSED.format(events='events')}) WHERE status = 'pending'")
 query("M12_stats", lambda t: M.stats(t.registry, t.query_scores, M.chunk_performance(t.judgements)), "SELECT (SELECT count(*) FROM v_registry) AS documents, (SELECT count(*) FROM v_query_scores) AS queries, (SELECT count(DISTINCT chunk_id) FROM (SELECT *, count(*) OVER w AS k, count(*) FILTER (WHERE good) OVER w AS g FROM v_judgements WINDOW w AS (PARTITION BY chunk_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) WHERE k >= 5 AND g / k * 5 < 2.5) AS flagged_chunks", "registry", "query_scores", "judgements")
-query("M13_sample_queries", lambda t: M.sample_queries(t.query_scores, 0.1).select("query_id"))
+query("M13_sample_queries", lambda t: M.sample_queries(t.query_scores, 0.1).select("query_id"), f"SELECT query_id FROM v_query_scores WHERE left(md5(query_id::VARCHAR), 8) < '{int(0.1 * 16**8):08x}'", "query_scores")
 query(
     "M14_vote_counts", lambda t: M.vote_counts(t.votes, t.resolutions, t.registry),
     "SELECT 'votes' AS what, coalesce(resolution_number, '—') AS key, count(*) AS n FROM v_votes GROUP BY ALL UNION ALL SELECT 'amounts', '', count(amount) FROM v_resolutions UNION ALL SELECT 'readers', parser_used, count(*) FROM v_registry WHERE document_type = 'resolution' GROUP BY ALL", "votes", "resolutions", "registry",
@@ -222,11 +226,11 @@ query("M15_coverage_gap", lambda t: M.coverage_gap(t.registry), f"+ h AS ({HAVE}
 
 def facts(t):
     got = M.unpivoted(t.resolutions, "resolutions", ["resolution_number", "vendor", "status"])
-    want = M.unpivoted(t.resolutions.withColumn("status", F.lit("Passed")).where("id % 20 = 0"), "resolutions", ["resolution_number", "status"])
+    want = M.unpivoted(t.resolutions.withColumn("status", F.lit("Passed")), "resolutions", ["resolution_number", "status"])
     return M.hard_fact_check(got, want).groupBy("field").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"))
 
 
-query("M16_hard_fact_check", facts, "SELECT 'resolution_number' AS field, count(*) AS n, count(*) AS ok FROM v_resolutions WHERE id % 20 = 0 UNION ALL SELECT 'status', count(*), count(*) FILTER (WHERE status = 'Passed') FROM v_resolutions WHERE id % 20 = 0", "resolutions")
+query("M16_hard_fact_check", facts, "SELECT 'resolution_number' AS field, count(*) AS n, count(*) AS ok FROM v_resolutions UNION ALL SELECT 'status', count(*), count(*) FILTER (WHERE status = 'Passed') FROM v_resolutions", "resolutions")
 
 # Questions ----------------------------------------------------------------------------------------------------------
 

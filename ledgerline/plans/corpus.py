@@ -150,22 +150,52 @@ query("P34_period_label", lambda t: t.registry.groupBy(T.period_label(F.col("yea
 
 summary = lambda d: d.select("source_file", "seq", "page_number", "section", "element_type", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 DOMINANT = "CASE WHEN bool_or(element_type = 'Table') THEN 'Table' WHEN bool_or(element_type = 'OrgData') THEN 'OrgData' ELSE first(element_type ORDER BY elem_idx) END"
-query("C1_chunk_mode", lambda t: C.chunk_all(t.elements, t.profiles, C.doc_types(t.spark)).groupBy("source_file").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")))
 query(
     "C2_chunk_pages", lambda t: summary(C.chunk_pages(t.elements)),
     f"""SELECT source_file, page_number AS seq, page_number, coalesce(head, 'Page ' || page_number) AS section, element_type, length(x) AS n, md5(x) AS digest FROM (SELECT source_file, page_number, trim(string_agg(text, chr(10) || chr(10) ORDER BY elem_idx)) AS x,
   first(left(text, 80) ORDER BY elem_idx) FILTER (WHERE element_type IN ('Title', 'Header')) AS head, {DOMINANT} AS element_type FROM v_elements GROUP BY ALL) WHERE length(x) >= 100""", "elements",
 )
 MARKS = ["th", "er"]
+
+
+def together(first: str, last: str, where: str = "true") -> str:
+    """C3 in SQL: common table expressions that end in `kept`."""
+    return f"""m AS (SELECT *, starts_with(ltrim(lower(left(text, 60))), '{first}') AS o, starts_with(ltrim(lower(left(text, 60))), '{last}') AS c FROM v_elements WHERE {where}),
+cuts AS (SELECT *, coalesce(o AND max(CASE WHEN c THEN elem_idx END) OVER w > coalesce(max(CASE WHEN o THEN elem_idx END) OVER w, -1), false)::INT AS cut FROM m WINDOW w AS (PARTITION BY source_file ORDER BY elem_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+seqs AS (SELECT *, sum(cut) OVER (PARTITION BY source_file ORDER BY elem_idx ROWS UNBOUNDED PRECEDING)::INT AS seq FROM cuts),
+kept AS (SELECT source_file, seq, page_number, section, element_type, x AS text FROM (SELECT source_file, seq, first(page_number ORDER BY elem_idx) AS page_number, left(trim(first(text ORDER BY elem_idx)), 80) AS section, {DOMINANT} AS element_type, string_agg(text, chr(10) || chr(10) ORDER BY elem_idx) AS x FROM seqs GROUP BY ALL) WHERE length(x) >= 100)"""
+
+
+SUMMARY = "SELECT source_file, seq, page_number, section, element_type, length(text) AS n, md5(text) AS digest"
+query("C3_chunk_keep_together", lambda t: summary(C.chunk_keep_together(t.elements, MARKS)), f"+ {together('th', 'er')} {SUMMARY} FROM kept", "elements")
+STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+NN, SEP = "chr(10) || chr(10)", "chr(1)"
+LAST = f"string_split(a, {SEP})[-1]"
+LONGER = STRIP(f"CASE WHEN {LAST} = '' THEN p ELSE {LAST} || {NN} || p END")
+# a text as pieces joined by a control character, folded over its paragraphs
+PACK = f"""list_reduce(list_prepend('', string_split(text, {NN})), lambda a, p: CASE WHEN {LAST} <> '' AND length({LONGER}) > 1500 THEN a || {SEP} || CASE WHEN length({LAST}) > 100 THEN right({LAST}, 100) || {NN} || p ELSE p END
+  ELSE left(a, length(a) - length({LAST})) || {LONGER} END)"""
+PACKED = f"CASE WHEN length(text) <= 1500 OR element_type = 'Table' THEN text ELSE {PACK} END"
+LED = STRIP(f"CASE WHEN lead = '' THEN body ELSE lead || {NN} || body END")
+# each step of the recursion goes from every file's k-th block to its next
+SECTIONS = f"""e AS (SELECT *, element_type IN ('Title', 'Header') OR (length(text) < 120 AND regexp_matches(text, '(?i)\\b({T.SECTION_WORDS})\\b')) AS st FROM v_elements),
+f AS (SELECT *, element_type = 'Table' AND NOT st AS alone FROM e),
+g AS (SELECT *, (st OR alone OR coalesce(lag(alone) OVER (PARTITION BY source_file ORDER BY elem_idx), false))::INT AS cut FROM f),
+h AS (SELECT *, sum(cut) OVER w AS block, coalesce(last_value(CASE WHEN st THEN left({STRIP('text')}, 80) END IGNORE NULLS) OVER w, 'Introduction') AS sec FROM g WINDOW w AS (PARTITION BY source_file ORDER BY elem_idx ROWS UNBOUNDED PRECEDING)),
+i AS (SELECT source_file, block, first(sec ORDER BY elem_idx) AS section, bool_or(alone) AS alone, first(page_number ORDER BY elem_idx) AS page_number, {DOMINANT} AS element_type, string_agg(text, {NN} ORDER BY elem_idx) AS body FROM h GROUP BY ALL),
+j AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY block) AS k FROM i),
+r AS (SELECT source_file, 1::BIGINT AS k, '' AS lead FROM j WHERE k = 1 UNION ALL
+  SELECT source_file, k + 1, CASE WHEN alone THEN lead WHEN length(text) < 100 THEN '' WHEN length(last) > 100 THEN right(last, 100) ELSE '' END FROM
+  (SELECT *, string_split({PACKED}, {SEP})[-1] AS last FROM (SELECT j.source_file, j.k, j.alone, j.element_type, r.lead, {LED} AS text FROM r JOIN j ON j.source_file = r.source_file AND j.k = r.k))),
+u AS (SELECT *, string_split({PACKED}, {SEP}) AS list FROM (SELECT j.source_file, j.k, j.page_number, j.section, j.element_type, CASE WHEN alone THEN {STRIP('body')} ELSE {LED} END AS text FROM r JOIN j ON j.source_file = r.source_file AND j.k = r.k) WHERE length(text) >= 100),
+v AS (SELECT source_file, k, page_number, section, element_type, unnest(list) AS text, unnest(range(len(list))) AS pos, len(list) AS m FROM u),
+chunked AS (SELECT source_file, (row_number() OVER (PARTITION BY source_file ORDER BY k, pos) - 1)::INT AS seq, page_number, section, element_type, text FROM v WHERE length(text) >= 100 OR pos < m - 1)"""
+query("C4_chunk_sections", lambda t: summary(C.chunk_sections(t.elements)), f"+ RECURSIVE {SECTIONS} {SUMMARY} FROM chunked", "elements")
+RESOLUTION = "source_file IN (SELECT source_file FROM v_profiles WHERE document_type = 'resolution')"
 query(
-    "C3_chunk_keep_together", lambda t: summary(C.chunk_keep_together(t.elements, MARKS)),
-    f"""+ m AS (SELECT *, starts_with(ltrim(lower(left(text, 60))), 'th') AS o, starts_with(ltrim(lower(left(text, 60))), 'er') AS c FROM v_elements),
-b AS (SELECT *, coalesce(o AND max(CASE WHEN c THEN elem_idx END) OVER w > coalesce(max(CASE WHEN o THEN elem_idx END) OVER w, -1), false)::INT AS cut FROM m WINDOW w AS (PARTITION BY source_file ORDER BY elem_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s AS (SELECT *, sum(cut) OVER (PARTITION BY source_file ORDER BY elem_idx ROWS UNBOUNDED PRECEDING)::INT AS seq FROM b)
-SELECT source_file, seq, page_number, section, element_type, length(x) AS n, md5(x) AS digest FROM (SELECT source_file, seq, first(page_number ORDER BY elem_idx) AS page_number, left(trim(first(text ORDER BY elem_idx)), 80) AS section, {DOMINANT} AS element_type, string_agg(text, chr(10) || chr(10) ORDER BY elem_idx) AS x FROM s GROUP BY ALL) WHERE length(x) >= 100""",
-    "elements",
+    "C1_chunk_mode", lambda t: C.chunk_all(t.elements, t.profiles, C.doc_types(t.spark)).groupBy("source_file").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")),
+    f"+ RECURSIVE {SECTIONS}, {together('whereas', 'resolved', RESOLUTION)} SELECT source_file, count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT source_file, text FROM chunked WHERE NOT {RESOLUTION} UNION ALL SELECT source_file, text FROM kept) GROUP BY 1", "elements", "profiles",
 )
-query("C4_chunk_sections", lambda t: summary(C.chunk_sections(t.elements)))
 query("C5_dominant_type", lambda t: t.elements.groupBy("source_file").agg(C.dominant().alias("element_type")), f"SELECT source_file, {DOMINANT} AS element_type FROM v_elements GROUP BY 1", "elements")
 
 # Requests and responses ---------------------------------------------------------------------------------------------
@@ -202,20 +232,22 @@ query("X8_merge_type_parts", lambda t: C.merge_type_parts(rec(t).unionByName(rec
 
 def anchored(t):
     rows = t.votes.select("id", "source_file", "resolution_number")
-    want = t.resolutions.where("id % 20 = 0").select("source_file", F.col("resolution_number").alias("anchor_id"))
+    want = t.resolutions.where("vendor is not null").select("source_file", F.col("resolution_number").alias("anchor_id"))
     return C.anchor_guard(rows.dropDuplicates(["source_file", "id"]), want, "resolution_number").groupBy("source_file").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
 query(
     "X9_anchor_guard", anchored,
-    "+ v AS (SELECT DISTINCT ON (source_file, id) * FROM v_votes), r AS (SELECT source_file, resolution_number FROM v_resolutions WHERE id % 20 = 0) SELECT v.source_file, CASE WHEN any_value(r.source_file) IS NULL THEN count(*) ELSE 1 END AS n, min(v.id) AS first FROM v LEFT JOIN r ON r.source_file = v.source_file GROUP BY 1", "votes", "resolutions",
+    "+ v AS (SELECT DISTINCT ON (source_file, id) * FROM v_votes), r AS (SELECT source_file, resolution_number FROM v_resolutions WHERE vendor IS NOT NULL) SELECT v.source_file, CASE WHEN any_value(r.source_file) IS NULL THEN count(*) ELSE 1 END AS n, min(v.id) AS first FROM v LEFT JOIN r ON r.source_file = v.source_file GROUP BY 1", "votes", "resolutions",
 )
 odd = lambda t: t.resolutions.withColumn("resolution_number", F.when(F.col("id") % 30 == 0, "1995-1995").when(F.col("id") % 50 == 0, "x").otherwise(F.col("resolution_number")))
-files = lambda t: t.registry.where("document_type = 'resolution'").select(F.concat(F.lit("res_"), F.col("id").cast("string"), F.lit(".pdf")).alias("source_file"))
+# files of resolutions, some of which gave no row
+files = lambda t: t.registry.where("document_type = 'resolution'").select(F.concat(F.when(F.col("quarter") == "", "lost_").otherwise("res_"), F.col("id").cast("string"), F.lit(".pdf")).alias("source_file"))
 problems = lambda t: C.validate_resolution(odd(t), t.votes.unionByName(t.votes.where("id % 3 = 0")).unionByName(t.votes), files(t))
-PROBLEMS = """SELECT source_file, CASE WHEN n = 'x' THEN 'resolution_number ''x'' is not of the form N-YYYY' ELSE 'resolution_number ''' || n || ''' has sequence equal to year (impossible)' END AS problem FROM (SELECT source_file, CASE WHEN id % 30 = 0 THEN '1995-1995' WHEN id % 50 = 0 THEN 'x' ELSE resolution_number END AS n FROM v_resolutions) WHERE n IN ('x', '1995-1995')
+PROBLEMS = """SELECT source_file, CASE WHEN NOT regexp_matches(n, '^[0-9]{1,4}-[0-9]{4}$') THEN 'resolution_number ''' || n || ''' is not of the form N-YYYY' ELSE 'resolution_number ''' || n || ''' has sequence equal to year (impossible)' END AS problem FROM (SELECT source_file, CASE WHEN id % 30 = 0 THEN '1995-1995' WHEN id % 50 = 0 THEN 'x' ELSE resolution_number END AS n FROM v_resolutions)
+  WHERE NOT regexp_matches(n, '^[0-9]{1,4}-[0-9]{4}$') OR split_part(n, '-', 1) = split_part(n, '-', 2)
 UNION ALL SELECT source_file, 'implausible vote count: ' || n FROM (SELECT source_file, sum(CASE WHEN id % 3 = 0 THEN 3 ELSE 2 END)::BIGINT AS n FROM v_votes GROUP BY 1) WHERE n > 15
-UNION ALL SELECT DISTINCT 'res_' || id || '.pdf', 'no resolution row extracted' FROM v_registry WHERE document_type = 'resolution' AND id % 10 <> 0"""
+UNION ALL SELECT DISTINCT 'lost_' || id || '.pdf', 'no resolution row extracted' FROM v_registry WHERE document_type = 'resolution' AND quarter = ''"""
 query("X10_validate_resolution", problems, PROBLEMS, "resolutions", "votes", "registry")
 query("X11_withhold_invalid", lambda t: C.withhold_invalid(odd(t), problems(t))[1], f"SELECT source_file, string_agg(DISTINCT problem, '; ' ORDER BY problem) AS detail, 'validate' AS stage FROM ({PROBLEMS}) GROUP BY 1", "resolutions", "votes", "registry")
 query(
@@ -239,11 +271,14 @@ query("X15_typed_from_specs", typed, "SELECT department AS source_file, CASE WHE
 
 
 def approved(t):
-    p = t.review_flags.where("id % 100 = 0").select("id", F.concat(F.lit("type_"), (F.col("id") % 700).cast("string")).alias("proposed_type"), F.lit("pending").alias("status"), F.array(F.lit("a"), F.lit("b"), F.lit("a")).alias("tables"))
-    d = p.select("id", (F.col("id") % 200 == 0).alias("approve"), F.lit("note").alias("note")).where("id % 300 <> 0")
+    p = t.review_flags.select("id", "stage", F.concat(F.lit("type_"), (F.col("id") % 700).cast("string")).alias("proposed_type"), F.lit("pending").alias("status"), F.array(F.lit("a"), F.lit("b"), F.lit("a")).alias("tables"))
+    d = p.where("stage <> 'validate'").select("id", (F.col("stage") == "parse").alias("approve"), F.lit("note").alias("note"))
     reg = t.spark.createDataFrame([("type_200", ["old"], True), ("kept", ["k"], True)], "name string, sql_targets array<string>, active boolean")
-    return C.approve_types(p, d, reg)[1].select("name", F.array_join("sql_targets", ",").alias("targets"), "active").distinct()
+    return C.approve_types(p.drop("stage"), d, reg)[1].select("name", F.array_join("sql_targets", ",").alias("targets"), "active").distinct()
 
 
-query("X16_approve_types", approved, "SELECT DISTINCT 'type_' || (id % 700) AS name, 'a,b' AS targets, true AS active FROM v_review_flags WHERE id % 200 = 0 AND id % 300 <> 0 UNION ALL SELECT 'kept', 'k', true", "review_flags")
+query(
+    "X16_approve_types", approved,
+    "+ ok AS (SELECT DISTINCT 'type_' || (id % 700) AS name FROM v_review_flags WHERE stage = 'parse') SELECT name, 'a,b' AS targets, true AS active FROM ok UNION ALL SELECT 'kept', 'k', true UNION ALL SELECT 'type_200', 'old', true WHERE 'type_200' NOT IN (SELECT name FROM ok)", "review_flags",
+)
 query("X17_active_types", lambda t: C.active_types(t.profiles.select(F.col("document_type").alias("name"), (F.col("doc_id") % 2 == 0).alias("active")).distinct(), C.doc_types(t.spark)), "SELECT DISTINCT document_type AS name, true AS active FROM v_profiles WHERE doc_id % 2 = 0 AND document_type IN ('unclassified', 'memo')", "profiles")

@@ -51,14 +51,14 @@ query("G4_typed_edges", lambda t: G.typed_edges(rels(t), all_nodes(t)), "SELECT
 
 def mentions(t) -> DataFrame:
     """Chunks of a report file to departments named with its grants."""
-    chunks = t.grants.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), "source_file").where("id % 100 = 0")
-    entities = t.grants.select("source_file", F.lit("Department").alias("label"), F.upper(F.regexp_replace("department", "^(Bureau|Department) of ", "")).alias("name")).where("id % 50 = 0")
+    chunks = t.grants.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), "source_file")
+    entities = t.grants.select("source_file", F.lit("Department").alias("label"), F.upper(F.regexp_replace("department", "^(Bureau|Department) of ", "")).alias("name"))
     return G.mention_edges(chunks, entities, all_nodes(t))
 
 
 query(
     "G5_mention_edges", mentions,
-    "SELECT DISTINCT 'Chunk' AS src_label, 'c' || c.id AS src, 'MENTIONS' AS rel, 'Department' AS dst_label, n.department AS dst FROM v_grants c JOIN v_grants e ON c.source_file = e.source_file AND c.id % 100 = 0 AND e.id % 50 = 0 JOIN (SELECT DISTINCT department FROM v_persons) n ON n.department = upper(regexp_replace(e.department, '^(Bureau|Department) of ', ''))", "grants", "persons",
+    "SELECT DISTINCT 'Chunk' AS src_label, 'c' || c.id AS src, 'MENTIONS' AS rel, 'Department' AS dst_label, n.department AS dst FROM v_grants c JOIN (SELECT DISTINCT source_file, upper(regexp_replace(department, '^(Bureau|Department) of ', '')) AS name FROM v_grants) e ON c.source_file = e.source_file JOIN (SELECT DISTINCT department FROM v_persons) n ON n.department = e.name", "grants", "persons",
 )
 query("G6_reported_in", lambda t: G.reported_in(t.registry, all_nodes(t).where("label = 'Department'").select(F.col("key").alias("name"))), "SELECT DISTINCT 'Department' AS src_label, department AS src, 'REPORTED_IN' AS rel, 'Document' AS dst_label, source_file AS dst FROM v_registry WHERE department IN (SELECT department FROM v_persons)", "registry", "persons")
 query("G7_node_unique_check", lambda t: G.node_unique_check(all_nodes(t).unionByName(t.persons.where("seq % 10 = 0").select(F.lit("Person").alias("label"), F.col("name").alias("key")))), "SELECT 'Person' AS label, name AS key, 2 AS n FROM v_persons WHERE seq % 10 = 0".replace("2 AS n", "2::BIGINT AS n"), "persons")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ledgerline.operators import questions as U
 from ledgerline.operators import retrieval as R
 from ledgerline.operators import writes as S
+from ledgerline.sources.scratch import scratch_path
 from ledgerline.streaming import jobs
 
+from .corpus import SECTIONS
 from .registry import query
 
 # Retrieval ----------------------------------------------------------------------------------------------------------
@@ -28,15 +28,17 @@ query("R2_vector_topk_approx", lambda t: R.vector_topk_approx(t.requests, t.chun
 
 
 def retrieved(t):
-    """Filtered results of the even requests."""
-    some = t.requests.where("cast(query_id as bigint) % 2 = 0")
-    return R.vector_topk(some, t.chunks, filters=("label",)).withColumn("store", F.lit("vector")).join(t.chunks.select("chunk_id", "text", "source_file", "department", F.when(F.col("label") % 2 == 0, "header").otherwise("narrative").alias("content_type")), "chunk_id")
+    """Filtered results of all requests."""
+    return R.vector_topk(t.requests, t.chunks, filters=("label",)).withColumn("store", F.lit("vector")).join(t.chunks.select("chunk_id", "text", "source_file", "department", F.when(F.col("label") % 2 == 0, "header").otherwise("narrative").alias("content_type")), "chunk_id")
 
 
-EVEN = "(SELECT * FROM v_requests WHERE CAST(query_id AS BIGINT) % 2 = 0)"
-GOT = topk(5, "q.label = c.label", EVEN)
-query("R3_weak_retrieval", lambda t: R.weak_retrieval(t.requests, retrieved(t)), f"SELECT query_id, query_id NOT IN (SELECT query_id FROM {GOT}) AS weak FROM v_requests", "requests", "chunks")
-query("R4_fallback_topk", lambda t: R.fallback_topk(t.requests, retrieved(t), t.chunks), f"SELECT *, 'vector_fallback' AS store FROM {topk(8, 'true', f'(SELECT * FROM v_requests WHERE query_id NOT IN (SELECT query_id FROM {GOT}))')}", "requests", "chunks")
+GOT = topk(5, "q.label = c.label")
+#: Results below this score do not count: it leaves some requests without any.
+LEAST = 0.9
+close = lambda t: retrieved(t).where(F.col("score") >= LEAST)
+CLOSE = f"(SELECT query_id FROM {GOT} WHERE score >= {LEAST})"
+query("R3_weak_retrieval", lambda t: R.weak_retrieval(t.requests, close(t)), f"SELECT query_id, query_id NOT IN {CLOSE} AS weak FROM v_requests", "requests", "chunks")
+query("R4_fallback_topk", lambda t: R.fallback_topk(t.requests, close(t), t.chunks), f"SELECT *, 'vector_fallback' AS store FROM {topk(8, 'true', f'(SELECT * FROM v_requests WHERE query_id NOT IN {CLOSE})')}", "requests", "chunks")
 
 
 def entities(t):
@@ -160,8 +162,8 @@ def carried(t):
 
 query(
     "S14_carry_user_status", carried,
-    """+ k AS (SELECT department, year, quarter, goal_title, count(*) FILTER (WHERE user_status IS NOT NULL) AS o, count(*) FILTER (WHERE id % 5 <> 0) AS f FROM v_goals GROUP BY ALL)
-SELECT sum(least(o, f))::BIGINT AS carried, sum(f)::BIGINT AS rows, sum(o - least(o, f))::BIGINT AS unmatched FROM k""", "goals",
+    """+ k AS (SELECT department, year, quarter, goal_title, bool_or(user_status <> '') AS o, count(*) FILTER (WHERE id % 5 <> 0) AS f FROM v_goals GROUP BY ALL)
+SELECT count(*) FILTER (WHERE o AND f > 0) AS carried, sum(f)::BIGINT AS rows, count(*) FILTER (WHERE o AND f = 0) AS unmatched FROM k""", "goals",
 )
 
 
@@ -190,10 +192,7 @@ def stream(t, name: str):
 
 def places(t) -> tuple[str, str]:
     """Fresh folders for a checkpoint and for results, where the cluster shares them."""
-    import uuid
-
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = scratch_path(t.spark, "stream")
     return f"{base}/state", f"{base}/out"
 
 
@@ -220,6 +219,9 @@ def stream_cost(t):
     return jobs.usage_by_day(t.spark, out)
 
 
-query("T1_stream_new_elements", stream_elements)
-query("T2_stream_chunk_performance", stream_performance)
-query("T3_stream_usage_cost", stream_cost)
+query("T1_stream_new_elements", stream_elements, f"+ RECURSIVE {SECTIONS} SELECT source_file, count(*) AS n, count(*) FILTER (WHERE element_type IN ('Title', 'Header')) AS headers FROM chunked GROUP BY 1", "elements")
+query(
+    "T2_stream_chunk_performance", stream_performance,
+    "SELECT *, coalesce(score < 2.5, false) AS flagged FROM (SELECT user_id AS chunk_id, count(*) AS retrieved, count(*) FILTER (WHERE event_type <> 'error') AS good, count(*) FILTER (WHERE event_type = 'error') AS bad, CASE WHEN count(*) >= 5 THEN round_even(count(*) FILTER (WHERE event_type <> 'error') / count(*) * 5, 2) END AS score FROM events GROUP BY 1)",
+)
+query("T3_stream_usage_cost", stream_cost, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type AS call_site, count(*) AS calls, sum(((event_id % 4000) * 3 / 1e6)::DECIMAL(12,6))::DOUBLE AS cost FROM events GROUP BY ALL")

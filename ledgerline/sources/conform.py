@@ -18,7 +18,7 @@ def _dept(k: str, x: str) -> str:
 
 _unit = _dept("event_id", "'Unit ' || CAST(user_id % 25 AS STRING)")
 _period = "CAST(2020 + event_id % 5 AS INT) AS year, 'Q' || CAST(1 + user_id % 4 AS STRING) AS quarter"
-_rn = "CAST(o_orderkey % 400 AS STRING) || '-' || CAST(year(o_orderdate) AS STRING)"
+_rn = "CAST(o_orderkey % 10000 AS STRING) || '-' || CAST(year(o_orderdate) AS STRING)"
 
 VIEWS = {
     "expenditures": f"""SELECT l_orderkey * 10 + l_linenumber AS id, {_dept("l_orderkey", "n_name")} AS department, CAST(l_partkey AS STRING) AS account_number,
@@ -47,18 +47,18 @@ VIEWS = {
   CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'Vendor ' || CAST(o_custkey % 20 AS STRING) || ', LLC' ELSE 'Vendor ' || CAST(o_custkey % 20 AS STRING) || ' llc' END AS vendor,
   {_dept("o_orderkey", "n_name")} AS department, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS adopted_date,
   CASE o_orderstatus WHEN 'F' THEN 'Passed' WHEN 'O' THEN 'Tabled' ELSE 'Introduced' END AS status, 'res_' || CAST(o_orderkey AS STRING) || '.pdf' AS source_file
-  FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey WHERE o_orderkey % 10 = 0""",
+  FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey""",
     "votes": f"""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 70 = 0 THEN NULL ELSE {_rn} END AS resolution_number, 'Member ' || CAST(l_suppkey % 9 AS STRING) AS council_member,
   CASE l_returnflag WHEN 'A' THEN 'Yea' WHEN 'N' THEN ' NAYS' ELSE 'abstained' END AS vote, 'res_' || CAST(l_orderkey AS STRING) || '.pdf' AS source_file
-  FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE l_orderkey % 10 = 0""",
+  FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
     "legislation": f"""SELECT o_orderkey AS id, {_rn} AS bill_number, CAST(o_totalprice AS DECIMAL(15,2)) AS amount, CAST(o_orderdate AS DATE) AS adopted_date,
-  CASE o_orderstatus WHEN 'F' THEN 'Signed' WHEN 'O' THEN 'Introduced' ELSE 'Vetoed' END AS status FROM {{orders}} WHERE o_orderkey % 10 = 1""",
+  CASE o_orderstatus WHEN 'F' THEN 'Signed' WHEN 'O' THEN 'Introduced' ELSE 'Vetoed' END AS status FROM {{orders}}""",
     "meetings": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 70 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS meeting_date,
   CASE WHEN o_orderkey % 4 = 3 THEN 'special' ELSE 'regular' END AS session_type, CAST(5 + o_orderkey % 3 AS INT) AS members_present, 'min_' || CAST(o_orderkey AS STRING) || '.pdf' AS source_file
-  FROM {orders} WHERE o_orderkey % 10 = 3""",
+  FROM {orders}""",
     "meeting_actions": f"""SELECT l_orderkey AS id, CAST(l_linenumber AS INT) AS line, l_partkey AS part, CASE WHEN o_orderkey % 70 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS meeting_date,
   CASE o_orderstatus WHEN 'F' THEN 'resolution' ELSE 'ordinance' END AS item_type, {_rn} AS item_number, 'min_' || CAST(l_orderkey AS STRING) || '.pdf' AS source_file
-  FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE l_orderkey % 10 = 3""",
+  FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
     "appropriations": "SELECT p_partkey AS id, 'Department of ' || p_type AS department, CAST(2024 + p_partkey % 3 AS INT) AS fiscal_year, p_brand AS fund, CAST(p_retailprice AS DECIMAL(15,2)) AS amount FROM {part}",
     "vacancies": f"""SELECT event_id AS id, {_unit} AS department, CASE WHEN event_id % 17 = 0 THEN 'none' WHEN event_id % 2 = 0 THEN 'Role ' || CAST(event_id % 12 AS STRING) ELSE ' ROLE ' || CAST(event_id % 12 AS STRING) END AS position_title,
   CASE event_type WHEN 'error' THEN 'filled' WHEN 'view' THEN 'Open' ELSE 'open' END AS status, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 9 AS INT) END AS open_count, {_period},
@@ -126,4 +126,6 @@ def duckdb_view(name: str) -> str:
 
 def with_views(sql: str, *names: str) -> str:
     """sql with the named views in front, as common table expressions named v_<view>."""
-    return "WITH " + ", ".join(f"v_{n} AS ({duckdb_view(n)})" for n in names) + ("," if sql.lstrip().startswith("+") else "") + " " + sql.lstrip().removeprefix("+")
+    recursive = sql.lstrip().startswith("+ RECURSIVE ")
+    sql = sql.lstrip().replace("+ RECURSIVE ", "+ ", 1) if recursive else sql
+    return f"WITH {'RECURSIVE ' * recursive}" + ", ".join(f"v_{n} AS ({duckdb_view(n)})" for n in names) + ("," if sql.lstrip().startswith("+") else "") + " " + sql.lstrip().removeprefix("+")

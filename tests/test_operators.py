@@ -136,7 +136,7 @@ def test_approximate_search_finds_most(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     q, c = v.where("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding"), v.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
     exact = R.vector_topk(q, c).select("query_id", "chunk_id")
-    assert exact.join(R.vector_topk_approx(q, c), ["query_id", "chunk_id"], "left_semi").count() >= 0.8 * exact.count()
+    assert exact.join(R.vector_topk_approx(q, c), ["query_id", "chunk_id"], "left_semi").count() >= 0.95 * exact.count()
 
 
 def test_named_files(spark, tmp_path):
@@ -166,3 +166,65 @@ def test_usage_stream_over_several_runs(spark, tmp_path):
         jobs.stream_usage_cost(source, f"{tmp_path}/state", f"{tmp_path}/out").awaitTermination()
     got = jobs.usage_by_day(spark, f"{tmp_path}/out").select(F.col("day").cast("string"), "call_site", "calls", "cost")
     assert sorted(str(tuple(r)) for r in got.collect()) == daily(M.usage_cost(spark.read.parquet(f"{tmp_path}/in")))
+
+
+def test_coverage_ignores_reports_without_a_period(spark):
+    rows = [("Parks", "quarterly_report", 2026, "Q1"), ("Works", "quarterly_report", 2026, ""), ("Codes", "quarterly_report", 2025, None), ("Fire", "budget", 2026, "Q1")]
+    got = A.kpi_coverage(spark.createDataFrame(rows, "department string, document_type string, year int, quarter string")).first()
+    assert (got.roster, got.filed) == (1, 1)
+
+
+GOAL = "id long, department string, year int, quarter string, goal_title string, user_status string, user_status_at string"
+
+
+def test_status_is_carried_once_to_the_same_goal(spark):
+    key = ("Parks", 2026, None, "Trees")
+    old = spark.createDataFrame([(1, *key, "in_progress", "t1"), (2, *key, "completed", "t2"), (3, *key, None, None), (4, "Parks", 2026, "Q1", "Gone", "completed", "t3")], GOAL)
+    fresh = spark.createDataFrame([(11, *key, None, None), (12, *key, "in_progress", "own"), (13, "Parks", 2026, "Q1", "Trees", None, None)], GOAL)
+    out, left = S.carry_user_status(old, fresh)
+    assert sorted((r.id, r.user_status, r.user_status_at) for r in out.collect()) == [(11, "completed", "t2"), (12, "in_progress", "own"), (13, None, None)]
+    assert out.columns == fresh.columns and [r.id for r in left.collect()] == [4]
+
+
+def test_long_sections_are_cut_between_paragraphs(spark):
+    para = [f"{i} " + "x" * 600 for i in range(4)]
+    rows = [("a", 0, 1, "Title", "Budget"), ("a", 1, 1, "NarrativeText", "\n\n".join(para)), ("a", 2, 1, "Table", "t" * 2000), ("a", 3, 2, "NarrativeText", "after the table")]
+    df = spark.createDataFrame(rows, "source_file string, elem_idx int, page_number int, element_type string, text string")
+    got = [(r.seq, r.section, r.element_type, r.text) for r in C.chunk_sections(df).orderBy("seq").collect()]
+    one = f"Budget\n\n{para[0]}\n\n{para[1]}"
+    two = f"{one[-100:]}\n\n{para[2]}\n\n{para[3]}"
+    assert got == [(0, "Budget", "Title", one), (1, "Budget", "Title", two), (2, "Budget", "Table", "t" * 2000), (3, "Budget", "NarrativeText", f"{two[-100:]}\n\nafter the table")]
+
+
+def test_batches_over_several_runs(spark):
+    rows = [("f", i, "x" * (i * 37 % 900)) for i in range(700)]
+    got = {r.seq: r.batch for r in C.pack_char_budget(spark.createDataFrame(rows, "source_file string, seq int, text string"), 2000, run=16).collect()}
+    used = batch = 0
+    for _, i, t in rows:
+        if used and used + len(t) > 2000:
+            batch, used = batch + 1, 0
+        used += len(t)
+        assert got[i] == batch
+
+
+def test_last_row_of_a_chunk_wins(spark):
+    old = spark.createDataFrame([("a", [1.0], "old", "{}")], "chunk_id string, embedding array<float>, text string, payload string")
+    batch = spark.createDataFrame([("a", [1.0], "x", 1, "p"), ("a", [1.0], "y", 2, "q"), ("b", None, "z", 3, "r")], "chunk_id string, embedding array<float>, text string, seq int, dept string")
+    assert [tuple(r) for r in S.upsert_chunks(old, batch).select("chunk_id", "text", "payload").collect()] == [("a", "y", '{"dept":"q"}')]
+
+
+def test_stream_of_two_parts_and_a_restart(spark, tmp_path):
+    from ledgerline.streaming import jobs
+
+    schema = "chunk_id long, good boolean"
+    source, state, out = (str(tmp_path / x) for x in ("in", "state", "out"))
+
+    def run(rows, part):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/{part}")
+        jobs.stream_chunk_performance(spark.readStream.schema(schema).parquet(f"{source}/*"), state, out).awaitTermination()
+        parts = spark.read.parquet(out)
+        last = parts.agg(F.max("version")).first()[0]
+        return {r.chunk_id: (r.retrieved, r.good, r.flagged) for r in parts.where(F.col("version") == last).collect()}
+
+    assert run([(1, False)] * 5 + [(2, True)], "a") == {1: (5, 0, True), 2: (1, 1, False)}
+    assert run([(1, True)] * 20 + [(3, True)], "b") == {1: (25, 20, True), 2: (1, 1, False), 3: (1, 1, False)}
