@@ -1,11 +1,12 @@
-"""Main text of web pages by fixed lists of furniture, less the template text that equivalence classes find.
-
-Every page is cut into tokens: tags, told apart by the path of open elements they stand in, and text blocks with their path.
-Over the pages of a host, tokens with the same occurrence vector (how often in which page) form an equivalence class. The
-vector itself is never gathered: its signature, an order-free hash over (page, count), is aggregated for each host and
-token, so a host with most of the pages costs no task more than others. A class that occurs in most of the host's pages
-and has enough tokens is valid, and its text blocks are template text. The classes are not nested, and their tags are not
-used to cut slots: what is left of the article region, outside elements that fixed lists call furniture, is the main text.
+"""Main text of web pages by equivalence classes of tokens, nested to a template whose slots hold what varies.
+
+Every page is cut into tokens: block elements, told apart by the path of open elements they stand in, and text blocks with
+their path. Over the pages of a host, tokens with the same occurrence vector (how often in which page) form an equivalence
+class. The vector itself is never gathered: its signature, an order-free hash over (page, count), is aggregated for each host
+and token, so a host with most of the pages costs no task more than others. The paths of valid classes nest by their own
+steps: they are the host's template, and what stands between them are its slots. The slot of the article is chosen by
+evidence: article elements, the share of prose in a slot over all pages, headings, links, and what always follows the text.
+Elements for furniture (nav, footer, aside, form, ...) and names made of furniture words alone are left out beforehand.
 """
 
 from __future__ import annotations
@@ -18,24 +19,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import slabs, table, written
 
-#: A class is valid if it has this share of its host's pages, at least this many pages, and this many tokens.
-SUPPORT, PAGES, TOKENS = 0.9, 10, 3
+#: Pages that a class needs to be template, and their least share of the host's pages; a host of one page is judged by that page.
+PAGES, SHARE = 2, 0.01
+#: Pages in which a text must stand, and their least share of the pages with its place, to be template text.
+REPEATED, USUAL = 4, 0.5
 
 # Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math canvas object select option button title head".split())
 FURNITURE = RAW | frozenset("nav footer aside form header dialog menu".split())
+BOX = frozenset("div section ul ol dl table article".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary", "dd", "dt", "li"}
-# Words of class, id and role attributes that mark furniture.
+# Words that class and id names of furniture are made of, and words that say nothing. A name counts only if it is made of these alone.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments reply replies respond discussion disqus widget pagination pager tags meta byline hidden".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices "
+    "alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments reply replies respond discussion disqus widget pagination pager byline hidden".split()
 )
+PLAIN = frozenset("site page main top bottom left right inner outer box slot list item items area block bar wrap wrapper container section group row col unit links link js is has widget reader user".split())
+ROLES = frozenset("complementary contentinfo navigation search banner".split())
 
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
 _attr = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
@@ -48,39 +54,71 @@ def number(*parts: object) -> int:
 
 
 def furniture(name: str, attrs: str) -> tuple[bool, str]:
-    """Is an element page furniture, and what names it in a path."""
+    """Is an element marked as page furniture, and what names it in a path."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return name in FURNITURE, name
     marked, label = name in FURNITURE, [name]
     for m in _attr.finditer(attrs):
         key, value = (m[1] or m[5]).lower(), next((v for v in m.group(2, 3, 4) if v is not None), "")
-        if key in ("class", "id", "role"):
-            words = [w.lower() for w in _word.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))]
-            marked |= any(w in MARKS for w in words) or value in ("complementary", "contentinfo", "navigation", "search")
-            label.append(".".join(w for w in words if not w.isdigit()))
+        if key in ("class", "id"):
+            for part in value.split():
+                words = [w.lower() for w in _word.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part))]
+                words = [w for w in words if not w.isdigit()]
+                marked |= any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN for w in words) and name not in ("html", "body", "main", "article")
+                label.append(".".join(words))
+        elif key == "role":
+            marked |= value.lower() in ROLES
         else:
             marked |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower()
     return marked, " ".join(label)
 
 
-def parse(source: str) -> tuple[list[tuple[str, int, int, bool, bool]], dict[int, int]]:
-    """Blocks (text, token, path, in an article, in furniture) in order, and the count of each tag token."""
-    blocks, tokens = [], {}
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+class Element:
+    """An open element: its path, what encloses it, and where its path stands in the page's list of paths."""
+
+    __slots__ = ("article", "at", "chain", "chrome", "link", "name", "path")
+
+    def __init__(self, name, path, at, chain, article, chrome, link):
+        self.name, self.path, self.at, self.chain, self.article, self.chrome, self.link = name, path, at, chain, article, chrome, link
+
+
+def parse(source: str) -> tuple[list[dict], list[dict]]:
+    """Blocks of text in order, and the page's path tokens.
+
+    A block has its text, its token, the places in the list of paths of the elements around it, outermost first, and whether it
+    is in an article, in furniture, a heading of the first rank; and how many of its characters are in links. A path token
+    has its count, the prose (characters outside links and furniture) below it, and whether it is a box of blocks.
+    """
+    blocks: list[dict] = []
+    paths: dict[int, int] = {0: 0}
+    tokens = [{"t": 0, "n": 1, "prose": 0, "box": True}]
+    stack = [Element("", 0, 0, [0], 0, False, False)]
     parts: list[str] = []
+    linked = 0
+
+    def text(raw: str) -> None:
+        nonlocal linked
+        parts.append(raw)
+        linked += len(raw) * stack[-1].link
 
     def flush() -> None:
+        nonlocal linked
         if parts:
-            text = _space.sub(" ", html.unescape("".join(parts))).strip()
+            found = _space.sub(" ", html.unescape("".join(parts))).strip()
+            link = min(linked, len(found))
             parts.clear()
-            if text:
-                _, path, article, chrome = stack[-1]
-                blocks.append((text, number(path, text), path, article, chrome))
+            linked = 0
+            if found:
+                e = stack[-1]
+                blocks.append({"text": found, "token": number(e.path, found), "chain": e.chain, "article": e.article, "chrome": e.chrome, "link": link, "title": any(x.name == "h1" for x in stack)})
+                if not e.chrome:
+                    for i in e.chain:
+                        tokens[i]["prose"] += len(found) - link
 
     at = 0
     for m in iter(lambda: _tag.search(source, at), None):
         if m.start() > at:
-            parts.append(source[at : m.start()])
+            text(source[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -92,7 +130,7 @@ def parse(source: str) -> tuple[list[tuple[str, int, int, bool, bool]], dict[int
             parts.append(" ")
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
+                if stack[i].name == name:
                     del stack[i:]
                     break
             continue
@@ -102,72 +140,149 @@ def parse(source: str) -> tuple[list[tuple[str, int, int, bool, bool]], dict[int
         if name in CLOSES_P or name in ("li", "td", "th", "tr", "dt", "dd"):
             ends = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(name, ("p",))
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
+                if stack[i].name in ends:
                     del stack[i:]
                     break
-                if stack[i][0] in BLOCK:
+                if stack[i].name in BLOCK:
                     break
-        _, path, article, chrome = stack[-1]
-        path = number(path, label)
-        tokens[path] = tokens.get(path, 0) + 1
+        top = stack[-1]
+        if name == "header" and top.article:
+            marked = False  # an article's own header
+        path = number(top.path, label)
+        if path not in paths:
+            paths[path] = len(tokens)
+            tokens.append({"t": path, "n": 0, "prose": 0, "box": name in BOX})
+        tokens[paths[path]]["n"] += 1
         if name in ("script", "style", "textarea", "title") and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif name not in VOID and not (m[3].rstrip().endswith("/") and not block):
-            # reader comments in an article are articles of their own in some pages: marked ancestors count
-            stack.append((name, path, article or name in ("article", "main") and not chrome, chrome or marked))
-    parts.append(source[at:])
+            # an article in an article is a reader's comment
+            inner = top.article + (name in ("article", "main") and not top.chrome and not (name == "article" and any(x.name == "main" for x in stack) and top.article == 1))
+            stack.append(Element(name, path, paths[path], [*top.chain, paths[path]] if block else top.chain, inner, top.chrome or marked or inner > 1, top.link or name == "a"))
+    text(source[at:])
     flush()
     return blocks, tokens
 
 
-PARSED = "row long, page_id long, url string, host string, blocks array<struct<text:string,token:long,article:boolean,chrome:boolean>>, tokens array<struct<t:long,n:int>>"
+_block = pa.struct([("text", pa.string()), ("token", pa.int64()), ("chain", pa.list_(pa.int32())), ("article", pa.int32()), ("chrome", pa.bool_()), ("link", pa.int32()), ("title", pa.bool_())])
+_token = pa.struct([("t", pa.int64()), ("n", pa.int32()), ("prose", pa.int64()), ("box", pa.bool_())])
+PARSED = (
+    "row binary, page_id long, url string, host string, blocks array<struct<text:string,token:long,chain:array<int>,article:int,chrome:boolean,link:int,title:boolean>>, tokens array<struct<t:long,n:int,prose:long,box:boolean>>"
+)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
-            out = []
-            for source in b.column(4).to_pylist():
-                blocks, tokens = parse(source or "")
-                for x in blocks:
-                    tokens[x[1]] = tokens.get(x[1], 0) + 1
-                out.append(([{"text": x[0], "token": x[1], "article": x[3], "chrome": x[4]} for x in blocks], [{"t": t, "n": n} for t, n in tokens.items()]))
-            kind = pa.list_(pa.struct([("text", pa.string()), ("token", pa.int64()), ("article", pa.bool_()), ("chrome", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], pa.list_(pa.struct([("t", pa.int64()), ("n", pa.int32())])))], names=["row", "page_id", "url", "host", "blocks", "tokens"])
+        for whole in batches:
+            for rows, _, _ in slabs([whole], "html"):
+                got = [parse(x or "") for x in rows.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array([x[0] for x in got], pa.list_(_block)), pa.array([x[1] for x in got], pa.list_(_token))], names=["row", "page_id", "url", "host", "blocks", "tokens"])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select(F.xxhash64("page_id", "url", "html").alias("row"), F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.col("html").cast("string"))
+    key = F.unhex(F.md5(F.to_json(F.struct("page_id", "url", "html")).cast("binary")))
+    rows = pages.select(key.alias("row"), F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, PARSED)
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """(host, template): the tokens of the host's valid equivalence classes."""
-    pages = rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
-    seen = rows.where("host <> ''").select("host", "row", F.explode("tokens").alias("x")).groupBy("host", F.col("x.t").alias("t"))
-    seen = seen.agg(F.count("*").alias("in"), F.bit_xor(F.xxhash64("row", "x.n")).alias("signature"))
-    usual = seen.join(pages, "host").where((F.col("in") >= PAGES) & (F.col("in") >= F.col("pages") * SUPPORT))
-    classes = usual.groupBy("host", "in", "signature").agg(F.collect_list("t").alias("members")).where(F.size("members") >= TOKENS)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("template"))
+    """(host, template, repeated): the path tokens of the host's valid classes with their mean prose and number of pages, and the tokens of template text.
+
+    Tokens, paths and texts alike, are a class if they have the same occurrence vector over the host's pages. A class is valid
+    if it stands on enough pages and has two tokens; its paths are template if they occur once a page. Texts are template
+    if they stand on enough of the pages that have their place.
+    """
+    own = rows.where("host <> ''")
+    pages = own.groupBy("host").agg(F.count("*").alias("pages"))
+    paths = own.select("host", "row", F.explode("tokens").alias("x")).select("host", "row", F.lit(True).alias("path"), "x.t", "x.n", "x.prose", "x.box", F.lit(0).cast("long").alias("place"))
+    texts = own.select("host", "row", "tokens", F.explode("blocks").alias("x")).where("not x.chrome")
+    texts = texts.groupBy("host", "row", F.lit(False).alias("path"), F.col("x.token").alias("t")).agg(F.count("*").cast("int").alias("n"), F.lit(0).cast("long").alias("prose"), F.lit(False).alias("box"), F.first(F.expr("tokens[element_at(x.chain, -1)].t")).alias("place"))
+    seen = paths.unionByName(texts).groupBy("host", "path", "t", "box", "place").agg(F.count("*").alias("in"), F.max("n").alias("most"), F.sum("prose").alias("prose"), F.bit_xor(F.xxhash64("row", "n")).alias("signature"))
+    usual = seen.join(pages, "host").where((F.col("in") >= F.greatest(F.lit(PAGES), F.col("pages") * SHARE)) | (F.col("pages") == 1))
+    vector = ["host", "in", "signature"]
+    classes = usual.groupBy(*vector).agg(F.count("*").alias("members")).where("members >= 2").drop("members")
+    valid = usual.where("path and most = 1").join(classes, vector, "left_semi")
+    nodes = valid.groupBy("host").agg(F.collect_list(F.struct("t", (F.col("prose") / F.col("in")).alias("prose"), F.col("in").alias("pages"), "box")).alias("template"))
+    places = seen.where("path").select("host", F.col("t").alias("place"), F.col("in").alias("of"))
+    often = seen.where(~F.col("path") & (F.col("in") >= REPEATED)).join(places, ["host", "place"]).where(F.col("in") >= F.col("of") * USUAL)
+    return nodes.join(often.groupBy("host").agg(F.collect_set("t").alias("repeated")), "host", "left")
+
+
+def main_text(blocks: list[dict], paths: list[int], template: dict[int, dict], repeated: set[int]) -> list[str]:
+    """The blocks of the slot that holds the article.
+
+    Where articles are marked they are the slot. Else the search goes from the page inward, as long as one slot of the
+    template holds most of the prose and no heading of the first rank is left behind. Of the slot, template text goes,
+    and so do the boxes that only hold links, or that always follow the article's own prose and hold less of it.
+    """
+    body = [b for b in blocks if not b["chrome"] and b["token"] not in repeated]
+    node = 0
+    if any(b["article"] == 1 for b in blocks):
+        body = [b for b in body if b["article"] == 1]
+    else:
+        while body:
+            inner = {}
+            for b in body:
+                deeper = b["chain"][b["chain"].index(node) + 1 :]
+                for i in deeper:
+                    if paths[i] in template and template[paths[i]]["box"]:
+                        inner.setdefault(i, []).append(b)
+                        break
+            here = template.get(paths[node], {}).get("prose", sum(len(b["text"]) - b["link"] for b in body))
+            best = max(inner, key=lambda i: template[paths[i]]["prose"], default=None)
+            if best is None or template[paths[best]]["prose"] < 0.5 * here or any(b["title"] for b in body if b not in inner[best]):
+                break
+            node, body = best, inner[best]
+    if not body:
+        return []
+    # the boxes of the template inside the slot
+    common = set.intersection(*(set(b["chain"]) for b in body))
+    boxes: dict[int, list[int]] = {}
+    for k, b in enumerate(body):
+        for i in b["chain"]:
+            if i not in common and (t := template.get(paths[i])) and t["box"] and t["pages"] >= REPEATED:
+                boxes.setdefault(i, []).append(k)
+                break
+    direct = [k for k in range(len(body)) if not any(k in ks for ks in boxes.values())]
+    size = lambda ks: sum(len(body[k]["text"]) for k in ks)
+    gone = set()
+    for ks in boxes.values():
+        links = sum(body[k]["link"] for k in ks)
+        behind = direct and min(ks) > max(direct) and 2 * size(ks) < size(direct)
+        if 2 * links > size(ks) or behind:
+            gone.update(ks)
+    return [b["text"] for k, b in enumerate(body) if k not in gone]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    Blocks of the article or main elements, or of the whole body if there is none, that are neither furniture nor template
-    text, in page order, one a line. Null html is empty; a page without main text has an empty one. Pages without a host
-    and hosts with few pages are judged by their elements alone. Repeated rows are each returned; further columns are
-    ignored; an empty table gives an empty result.
+    The blocks of the article's slot, see main_text(), in page order, one a line. Null and empty html give an empty text, as
+    does a page without main text; long ones are read whole. Pages without a host are judged by themselves, as is the page
+    of a host that has no other. Repeated rows are each returned, and of a host they count as pages; equal texts in one page
+    are each kept. Further columns are ignored, of whatever name; an empty table gives an empty result.
     """
     rows = written(parsed(pages), "pages")
-    found = rows.join(written(templates(rows), "templates"), "host", "left")
-    body = F.filter("blocks", lambda b: ~b["chrome"])
-    inside = F.filter(body, lambda b: b["article"])
-    own = F.when(F.exists("blocks", lambda b: b["article"]), inside).otherwise(body)
-    template = F.coalesce("template", F.array().cast("array<bigint>"))
-    kept = F.filter("own", lambda b: ~F.array_contains(template, b["token"]))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return found.withColumn("own", own).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    found = rows.join(written(templates(rows), "templates"), "host", "left").select("page_id", "url", "blocks", F.transform("tokens", lambda x: x["t"]).alias("paths"), F.transform("tokens", lambda x: x["n"]).alias("n"), "template", "repeated", "tokens", "host")
+
+    def run(batches):
+        known: tuple = (None, {}, set())
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                b, out = whole.slice(start, 64), []
+                for blocks, paths, counts, template, repeated, tokens, host in zip(*(b.column(i).to_pylist() for i in range(2, 9)), strict=True):
+                    if not host or template is None:
+                        nodes, texts = {t["t"]: {"prose": t["prose"], "pages": 1, "box": t["box"]} for t in tokens if t["n"] == 1}, set()
+                    else:
+                        if known[0] != host:
+                            known = (host, {x["t"]: x for x in template}, set(repeated or ()))
+                        _, nodes, texts = known
+                        once = {p for p, n in zip(paths, counts, strict=True) if n == 1}
+                        nodes = {p: nodes[p] for p in once if p in nodes}
+                    out.append("\n".join(main_text(blocks, paths, nodes, texts)))
+                yield pa.RecordBatch.from_pydict({"page_id": b.column(0), "url": b.column(1), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64())})
+
+    return found.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark, sf_dir):

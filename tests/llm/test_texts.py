@@ -207,6 +207,35 @@ def test_template_text_goes(spark):
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {i: f"Page {i} text" for i in range(20)}
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.extract(df).orderBy("page_id").collect()]
+
+
+def test_names_do_not_decide_alone(spark):
+    page = '<article><div class="content social-policy"><p>Real body.</p></div><section id="comment-on-budget"><p>The budget.</p></section><div class="ad-box">Buy</div><div id="comments"><p>me</p></div><article><p>a reader</p></article></article>'
+    assert extracted(spark, [("http://one.example/", page)]) == ["Real body.\nThe budget."]
+    assert extracted(spark, [("u", '<body class="sidebar"><main class="menu"><p>Text</p></main></body>')]) == ["Text"]
+
+
+def test_comments_without_a_name(spark):
+    page = "<body><div class='a1'><h1>Head {0}</h1><p>{1}</p><p>{1}</p><div class='q7'>{2}</div></div><div class='z3'><p>Elsewhere {0}</p></div></body>"
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(60)) + "."
+    note = lambda i: "".join(f"<p>Nice {i} {k}</p>" for k in range(1 + i % 4))
+    got = extracted(spark, [(f"http://many.example/{i}", page.format(i, text(i), note(i))) for i in range(20)])
+    assert got == [f"Head {i}\n{text(i)}\n{text(i)}" for i in range(20)]
+    small = extracted(spark, [(f"http://few.example/{i}", page.format(i, text(i), "")) for i in range(2)])
+    assert small == [f"Head {i}\n{text(i)}\n{text(i)}" for i in range(2)]
+
+
+def test_two_layouts_of_one_host(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    a = "<body><div class='m'><a href='x'>Home</a></div><div class='c'><p>{0}</p></div><div class='f'><p>All rights reserved by us</p></div></body>"
+    b = "<body><div class='k'><p>Our other notice to all</p></div><section><h1>T{1}</h1><p>{0}</p></section></body>"
+    got = extracted(spark, [(f"http://two.example/{i}", (b if i % 2 else a).format(text(i), i)) for i in range(16)])
+    assert got == [f"T{i}\n{text(i)}" if i % 2 else text(i) for i in range(16)]
+
+
 def test_extraction_of_the_tables(spark, sf):
     def plain(source):
         body = re.search(r"<article>(.*)</article>", source, re.S)[1].replace("<br>", " ")
