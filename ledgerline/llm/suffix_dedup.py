@@ -11,11 +11,16 @@ and a split gives the common prefix of its two neighbours. From there each step
 order at offset a + 1 is the order at offset a, stably partitioned by the byte that stands before, and common prefixes
 follow from range minima. Suffixes are never sorted anew. Neighbours with a common prefix of WINDOW bytes form a repeated
 interval, and their windows are removed.
+
+An anchor with too many contexts for one task is refined before it is merged: its windows are halved by where they start, those
+of a half all hold the same stretch around the anchor, and contexts that differ in that stretch share no window of the half. So
+each half splits into one merge for each such stretch, and so on until merges are small or windows are told apart as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from .shared import binary, mix, powers, prefix_hash, slabs, table, written
 GRAM = 32
 #: Contexts that one merge holds at least, if there are so many; an anchor's contexts stay together.
 CHUNK = 8192
-#: Distinct contexts of one anchor beyond which its windows are counted one by one instead of merged in one task.
+#: Contexts that a merge holds at most, if it can be helped: an anchor with more is split by its next symbols.
 HOT = 50_000
 #: Bytes of one document that are scanned at once.
 PIECE = 2 << 20
@@ -70,18 +75,18 @@ def samples(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for rows, data, offsets in slabs(batches, "text"):
-            ids = rows.column("row").to_numpy()
-            for a in range(0, max(1, len(data) - window + 1), PIECE) if len(ids) == 1 else [0]:
-                part = data[a : a + PIECE + window - 1] if len(ids) == 1 else data
-                ends = np.full(len(part), len(part)) if len(ids) == 1 else np.repeat(offsets[1:], np.diff(offsets))
+            ids = rows.column("row")
+            for a in range(0, max(1, len(data) - window + 1), PIECE) if rows.num_rows == 1 else [0]:
+                part = data[a : a + PIECE + window - 1] if rows.num_rows == 1 else data
+                ends = np.full(len(part), len(part)) if rows.num_rows == 1 else np.repeat(offsets[1:], np.diff(offsets))
                 h, p0, p1, s = samples_of(part, ends, window)
                 view = memoryview(np.ascontiguousarray(part))
                 digest = [hashlib.blake2b(view[x : y + window], digest_size=16).digest() for x, y in zip(p0.tolist(), p1.tolist(), strict=True)]
                 of = np.searchsorted(offsets, p0 + a, "right") - 1
                 base = a - offsets[of]
-                yield pa.RecordBatch.from_pydict({"row": pa.array(ids[of]), "h": pa.array(h), "digest": pa.array(digest, pa.binary()), "p0": pa.array(p0 + base), "p1": pa.array(p1 + base), "s": pa.array(s + base)})
+                yield pa.RecordBatch.from_pydict({"row": ids.take(pa.array(of)), "h": pa.array(h), "digest": pa.array(digest, pa.binary()), "p0": pa.array(p0 + base), "p1": pa.array(p1 + base), "s": pa.array(s + base)})
 
-    return docs.mapInArrow(run, "row long, h long, digest binary, p0 long, p1 long, s long")
+    return docs.mapInArrow(run, "row binary, h long, digest binary, p0 long, p1 long, s long")
 
 
 def interleave(symbols: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,18 +168,22 @@ def repeated(contexts: list[bytes], group: np.ndarray, left: np.ndarray, first:
 
 
 def merged(contexts: DataFrame, window: int) -> DataFrame:
-    """Byte ranges (row, start, end) of repeated windows in contexts (h, c, row, p0, p1, s, ctx) that are not repeated as a whole."""
+    """Byte ranges (row, start, end) of repeated windows in contexts (g, c, row, p0, p1, s, a0, a1, ctx) that are not repeated as a whole.
+
+    g: the merge, an anchor or a part of one; a0, a1: how far to the left of the anchor its windows start, least and most.
+    """
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def ranges(held: list[tuple]) -> pa.RecordBatch:
-        h, c, row, p0, p1, s = (np.array([r[i] for r in held], np.int64) for i in range(6))
-        group = np.zeros(len(h), np.int64)
-        group[1:] = np.cumsum(h[1:] != h[:-1])
-        found = repeated([r[6] for r in held], group, s - p0, s - p1, window) & (c == 1)[:, None]
+        c, p0, p1, s, a0, a1 = (np.array([r[i] for r in held], np.int64) for i in (1, 3, 4, 5, 6, 7))
+        group = np.cumsum([0, *(x[0] != y[0] for x, y in itertools.pairwise(held))])
+        found = repeated([r[8] for r in held], group, s - p0, s - p1, window) & (c == 1)[:, None]
+        at = np.arange(found.shape[1])
+        found &= (at >= a0[:, None]) & (at <= a1[:, None])
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         i, lo = np.nonzero(edge == 1)
         _, hi = np.nonzero(edge == -1)
-        return pa.RecordBatch.from_pydict({"row": pa.array(row[i]), "start": pa.array(s[i] - hi + 1), "end": pa.array(s[i] - lo + window)})
+        return pa.RecordBatch.from_pydict({"row": pa.array([held[k][2] for k in i], pa.binary()), "start": pa.array(s[i] - hi + 1), "end": pa.array(s[i] - lo + window)})
 
     def run(batches):
         held: list[tuple] = []
@@ -187,7 +196,36 @@ def merged(contexts: DataFrame, window: int) -> DataFrame:
         if held:
             yield ranges(held)
 
-    return contexts.select("h", "c", "row", "p0", "p1", "s", "ctx").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "row long, start long, end long")
+    columns = contexts.select("g", "c", "row", "p0", "p1", "s", "a0", "a1", "ctx")
+    return columns.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(run, "row binary, start long, end long")
+
+
+def parted(contexts: DataFrame, window: int, hot: int, crowded: bool) -> tuple[DataFrame, DataFrame]:
+    """Contexts (h, d, c, row, p0, p1, s, ctx) dealt to merges, with g, a0 and a1; and the ranges (row, start, end) of windows that the dealing alone shows to be equal. d: the contexts of the anchor; crowded: may some have more than `hot`."""
+    reach = window - GRAM
+    rows = contexts.withColumns({"g": F.expr("unhex(lpad(hex(h), 16, '0'))"), "a0": F.lit(0), "a1": F.lit(reach)})
+    ranges = rows.sparkSession.createDataFrame([], "row binary, start long, end long")
+    if not crowded:
+        return rows.drop("d"), ranges
+    out, rows = rows.where(F.col("d") <= hot).drop("d"), rows.where(F.col("d") > hot).drop("d")
+    while True:
+        halves = F.array(F.struct(F.col("a0"), F.expr("(a0 + a1) div 2").cast("int").alias("a1")), F.struct(F.expr("(a0 + a1) div 2 + 1").cast("int").alias("a0"), F.col("a1")))
+        rows = rows.withColumn("half", F.explode(halves)).withColumns({"a0": F.col("half.a0"), "a1": F.col("half.a1")}).drop("half")
+        # a window starts a bytes left of the anchor; all windows of a half hold the a0 bytes before it, the anchor, and what the leftmost window reaches behind
+        shared = F.expr(f"substring(ctx, cast(s - p0 - a0 + 1 as int), cast({window} - (a1 - a0) as int))")
+        rows = rows.where("s - p0 >= a0 and s - p1 <= a1")
+        key = F.concat(F.col("g"), F.concat_ws(" ", F.col("a0").cast("string"), F.col("a1").cast("string"), F.lit("")).cast("binary"), shared)
+        rows = written(rows.withColumn("g", F.unhex(F.md5(key))), "parts")
+        sizes = rows.groupBy("g").agg(F.count("*").alias("d")).where("d > 1")
+        sized = rows.join(sizes, "g")
+        out = out.unionByName(sized.where(F.col("d") <= hot).drop("d"))
+        sized = sized.where(F.col("d") > hot).drop("d")
+        # one start left: its windows are equal
+        same = sized.where("a0 = a1 and c = 1").select("row", (F.col("s") - F.col("a0")).alias("start"), (F.col("s") - F.col("a0") + window).alias("end"))
+        ranges = ranges.unionByName(same)
+        rows = written(sized.where("a0 < a1"), "parts")
+        if rows.isEmpty():
+            return out, ranges
 
 
 def repeated_ranges(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
@@ -199,13 +237,8 @@ def repeated_ranges(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
     whole = occ.join(ctx.where("c > 1").select("digest"), "digest").select("row", F.col("p0").alias("start"), (F.col("p1") + window).alias("end"))
     context = F.expr(f"substring(cast(text as binary), cast(p0 + 1 as int), cast(p1 - p0 + {window} as int))")
     texts = docs.join(ctx.where("d > 1").select("h", "c", "d", "at.*"), "row").select("h", "c", "d", "row", "p0", "p1", "s", context.alias("ctx"))
-    out = whole.unionByName(merged(texts.where(F.col("d") <= hot), window))
-    if not ctx.where(F.col("d") > hot).isEmpty():
-        each = texts.where(F.col("d") > hot).withColumn("start", F.explode(F.expr("sequence(p0, p1)")))
-        each = each.select("row", "start", "c", F.expr(f"unhex(md5(substring(ctx, cast(start - p0 + 1 as int), {window})))").alias("key"))
-        twice = each.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1").select("key")
-        out = out.unionByName(each.where("c = 1").join(twice, "key").select("row", "start", (F.col("start") + window).alias("end")))
-    return out
+    merges, ranges = parted(texts, window, hot, not ctx.where(F.col("d") > hot).isEmpty())
+    return whole.unionByName(merged(merges, window)).unionByName(ranges)
 
 
 def drop_repeats(docs: DataFrame, window: int = 400, hot: int = HOT) -> DataFrame:
@@ -215,7 +248,8 @@ def drop_repeats(docs: DataFrame, window: int = 400, hot: int = HOT) -> DataFram
     all go. Null text is empty; shorter texts lose nothing, longer ones are read whole. Rows that repeat a doc_id are different
     documents, equal rows are copies. Further columns are ignored, of whatever name; an empty table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("row", F.unhex(F.md5(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary"))))  # equal rows are treated alike
     ranges = repeated_ranges(texts.select("row", "text"), window, hot)
     ranges = ranges.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 

@@ -146,7 +146,7 @@ def check_repeats(spark, rows, window, hot=suffix_dedup.HOT):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 20, 1])
 def test_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "PIECE", 900)
     rng = np.random.default_rng(5)
@@ -162,6 +162,13 @@ def test_repeats_of_the_tables(spark, sf):
     check_repeats(spark, [*rows, (9000, rows[3][1]), (9001, rows[4][1][:700] + "x")], 400)
 
 
+def test_op2_on_whole_tables(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = sorted(zip([i for i, _ in rows], repeats_brute([t for _, t in rows], 400), strict=True))
+    assert sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.op2_suffix_dedup(spark, sf).collect()) == want
+
+
 def test_repeats_empty(spark):
     assert suffix_dedup.drop_repeats(docs(spark, [])).count() == 0
 
