@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Requests up to which a batch is sent to every task; a larger batch is joined after dealing chunks by filter value.
-BROADCAST_REQUESTS = 5000
+#: Bytes of request vectors that are sent to every task at once. More are joined by filter value, or without filters in several passes over the chunks.
+BROADCAST_BYTES = 64 << 20
 
 
 def dot(a, b) -> Column:
@@ -24,14 +26,20 @@ def vector_topk(requests: DataFrame, chunks: DataFrame, k: int = 5, filters: tup
     """(query_id, chunk_id, score, rank): the best k chunks by cosine, of those whose filter columns equal the request's.
 
     Vectors are normalised once, so a score is one dot product. With filters the two sides meet by an equi-join; without,
-    every request meets every chunk by the meaning of exact search, and the requests, counted first, are sent to the tasks.
-    Only each task's best k per request are shuffled.
+    every request meets every chunk by the meaning of exact search, and the requests, whose bytes are added up first, are sent
+    to the tasks in blocks. Only each task's best k per request are shuffled.
     """
     q = requests.select("query_id", unit("embedding").alias("q"), *(F.col(f) for f in filters)).where("q is not null")
     c = chunks.where("embedding is not null").select("chunk_id", unit("embedding").alias("v"), *(F.col(f) for f in filters))
-    if q.select("query_id").limit(BROADCAST_REQUESTS + 1).count() <= BROADCAST_REQUESTS:
-        q = F.broadcast(q)
-    both = c.join(q, list(filters)) if filters else c.join(q)
+    sent = q.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
+    blocks = 1 + sent // BROADCAST_BYTES
+    if blocks == 1:
+        both = c.join(F.broadcast(q), list(filters) or None)
+    elif filters:
+        both = c.join(q, list(filters))
+    else:
+        parts = [c.join(F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))) for b in range(blocks)]
+        both = reduce(DataFrame.unionByName, parts)
     scored = both.select("query_id", "chunk_id", F.round(dot("q", "v"), 6).alias("score")).where("score is not null")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
@@ -85,9 +93,11 @@ def clarity(requests: DataFrame, retrieved: DataFrame, least_mean: float = 0.25,
 
 
 def citations(retrieved: DataFrame) -> DataFrame:
-    """Source of each retrieved chunk; empty fields as NULL."""
+    """Source of each retrieved chunk with department, section, quarter and year; empty fields, a year of 0 and columns that are not there as NULL."""
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return retrieved.select("query_id", "chunk_id", F.coalesce(some("source_file"), F.lit("unknown")).alias("source_file"), some("department").alias("department"))
+    field = lambda c, kind: F.col(c).cast(kind) if c in retrieved.columns else F.lit(None).cast(kind)
+    fields = [some(field(c, "string")).alias(c) for c in ("department", "section", "quarter")]
+    return retrieved.select("query_id", "chunk_id", F.coalesce(some("source_file"), F.lit("unknown")).alias("source_file"), *fields, F.nullif(field("year", "int"), F.lit(0)).alias("year"))
 
 
 def context_text(requests: DataFrame, retrieved: DataFrame) -> DataFrame:

@@ -84,11 +84,45 @@ def backfill_source_file(vacancies: DataFrame, chunks: DataFrame) -> DataFrame:
     return vacancies.join(per, "source_chunk_id", "left").withColumn("source_file", F.coalesce("source_file", "_f")).drop("_f")
 
 
-def conform(rows: DataFrame, schema: ST.StructType, **stamps) -> DataFrame:
+def conform(rows: DataFrame, schema: ST.StructType, clipped: bool = True, **stamps) -> DataFrame:
     """The schema's columns of rows, cast, missing ones null, strings clipped, with constant stamps."""
     have = set(rows.columns)
     cols = [F.lit(stamps[f.name]) if f.name in stamps else F.col(f.name) if f.name in have else F.lit(None) for f in schema]
-    return clip(rows.select(*(c.cast(f.dataType).alias(f.name) for c, f in zip(cols, schema, strict=True))))
+    out = rows.select(*(c.cast(f.dataType).alias(f.name) for c, f in zip(cols, schema, strict=True)))
+    return clip(out) if clipped else out
+
+
+# Columns of the typed tables.
+COLUMNS = {
+    "expenditures": "department string, sub_department string, account_number string, line_item string, revised_budget decimal(15,2), ytd_expended decimal(15,2), quarter string, year int",
+    "metrics": "department string, metric_name string, metric_value decimal(15,2), metric_unit string, quarter string, year int",
+    "grants": "department string, grant_name string, grant_number string, amount decimal(15,2), start_date date, end_date date, status string",
+    "vacancies": "department string, position_title string, status string, open_count int, quarter string, year int",
+    "resolutions": "resolution_number string, title string, amount decimal(15,2), vendor string, department string, adopted_date date, status string",
+    "votes": "resolution_number string, council_member string, vote string",
+    "meetings": "meeting_date date, session_type string, president string, members_present int, members_present_names string, members_absent_names string, call_to_order string, adjourned string",
+    "meeting_actions": "meeting_date date, item_type string, item_number string, title string, action string, committee string",
+    "legislation": "bill_number string, title string, sponsor string, amount decimal(15,2), adopted_date date, status string",
+    "appropriations": "department string, fiscal_year int, fund string, category string, amount decimal(15,2)",
+    "goals": "department string, year int, quarter string, goal_title string, description string, target string, status string",
+    "projects": "department string, project_name string, description string, status string, funding_source string, quarter string, year int",
+}
+
+
+def typed_append(table: str, rows: DataFrame, **stamps) -> DataFrame:
+    """Rows for one of COLUMNS, with the columns source_chunk_id and source_file, which stamps may set.
+
+    Missing columns are null and further ones are dropped. Dates that are not YYYY-MM-DD are null, a vote is trimmed and empty
+    ones are null; goals alone are not clipped.
+    """
+    schema = ST.StructType.fromDDL(f"{COLUMNS[table]}, source_chunk_id string, source_file string")
+    for f in schema:
+        if isinstance(f.dataType, ST.DateType) and f.name in rows.columns:
+            rows = rows.withColumn(f.name, T.strict_date(F.col(f.name).cast("string")))
+    if table == "votes" and "vote" in rows.columns:
+        rows = rows.withColumn("vote", T.clean_vote(F.col("vote")))
+    append = typed_vacancies if table == "vacancies" else conform
+    return append(rows, schema, clipped=table != "goals", **stamps)
 
 
 def typed_vacancies(rows: DataFrame, schema: ST.StructType, **stamps) -> DataFrame:

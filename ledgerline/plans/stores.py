@@ -29,7 +29,7 @@ query("R2_vector_topk_approx", lambda t: R.vector_topk_approx(t.requests, t.chun
 
 def retrieved(t):
     """Filtered results of all requests."""
-    return R.vector_topk(t.requests, t.chunks, filters=("label",)).withColumn("store", F.lit("vector")).join(t.chunks.select("chunk_id", "text", "source_file", "department", F.when(F.col("label") % 2 == 0, "header").otherwise("narrative").alias("content_type")), "chunk_id")
+    return R.vector_topk(t.requests, t.chunks, filters=("label",)).withColumn("store", F.lit("vector")).join(t.chunks.select("chunk_id", "label", "text", "source_file", "department", F.when(F.col("label") % 2 == 0, "header").otherwise("narrative").alias("content_type")), "chunk_id")
 
 
 GOT = topk(5, "q.label = c.label")
@@ -54,7 +54,8 @@ query(
   coalesce(avg(score::DECIMAL(18,6)), 0) < 0.25 AS low_mean, coalesce(count(*) FILTER (WHERE c.label % 2 = 0) / nullif(count(g.chunk_id), 0), 0) > 0.8 AS mostly_headers, coalesce(max(score), 0) < 0.3 AS would_flag FROM v_requests q LEFT JOIN {GOT} g ON g.query_id = q.query_id LEFT JOIN v_chunks c ON c.chunk_id = g.chunk_id GROUP BY 1""",
     "requests", "chunks",
 )
-query("R7_citations", lambda t: R.citations(retrieved(t)), f"SELECT g.query_id, g.chunk_id, c.source_file, c.department FROM {GOT} g JOIN v_chunks c ON c.chunk_id = g.chunk_id", "requests", "chunks")
+PLACES = "CASE WHEN label % 5 = 0 THEN '' ELSE 'Section ' || CAST(label AS STRING) END AS section, CASE WHEN label % 3 = 0 THEN ' ' ELSE 'Q2' END AS quarter, CASE WHEN label % 7 = 0 THEN 0 ELSE 2020 + label % 5 END AS year"
+query("R7_citations", lambda t: R.citations(t.spark.sql(f"SELECT *, {PLACES} FROM {{r}}", r=retrieved(t))), f"SELECT query_id, chunk_id, source_file, department, nullif(section, '') AS section, nullif(quarter, ' ') AS quarter, nullif(year, 0)::INT AS year FROM (SELECT g.query_id, g.chunk_id, c.source_file, c.department, {PLACES} FROM {GOT} g JOIN v_chunks c ON c.chunk_id = g.chunk_id)", "requests", "chunks")
 query(
     "R8_context_text", lambda t: R.context_text(t.requests, retrieved(t)).select("query_id", F.length("context").cast("long").alias("n"), F.md5("context").alias("digest")),
     f"SELECT q.query_id, length(x) AS n, md5(x) AS digest FROM (SELECT q.query_id, coalesce(string_agg('[' || c.source_file || ']' || chr(10) || c.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY g.rank), 'No relevant information was found.') AS x FROM v_requests q LEFT JOIN {GOT} g ON g.query_id = q.query_id LEFT JOIN v_chunks c ON c.chunk_id = g.chunk_id GROUP BY 1) q", "requests", "chunks",
@@ -138,6 +139,11 @@ query("S9_backfill_source_file", lambda t: S.backfill_source_file(t.vacancies, o
 SCHEMA = ST.StructType([ST.StructField("department", ST.StringType()), ST.StructField("open_count", ST.IntegerType()), ST.StructField("status", ST.StringType()), ST.StructField("missing", ST.DoubleType()), ST.StructField("source_file", ST.StringType())])
 query("S10_append_dynamic", lambda t: S.conform(t.vacancies.withColumn("status", F.repeat("status", 20)), SCHEMA, source_file="x.pdf"), "SELECT department, open_count, left(repeat(status, 20), 50) AS status, NULL::DOUBLE AS missing, 'x.pdf' AS source_file FROM v_vacancies", "vacancies")
 query("S11_typed_appends", lambda t: S.typed_vacancies(t.vacancies.withColumn("count", F.lit(4)), SCHEMA, source_file="x.pdf"), "SELECT department, coalesce(open_count, 4) AS open_count, status, NULL::DOUBLE AS missing, 'x.pdf' AS source_file FROM v_vacancies", "vacancies")
+query(
+    "S11_typed_grants", lambda t: S.typed_append("grants", t.grants.withColumn("start_date", F.when(F.col("id") % 2 == 0, "2026").otherwise(F.col("start_date").cast("string"))).drop("grant_number", "source_file"), source_chunk_id="c", source_file="x.pdf").drop("grant_number"),
+    "SELECT department, grant_name, amount::DOUBLE AS amount, CASE WHEN id % 2 <> 0 THEN start_date::VARCHAR END AS start_date, end_date::VARCHAR AS end_date, status, 'c' AS source_chunk_id, 'x.pdf' AS source_file FROM v_grants", "grants",
+)
+query("S11_typed_votes", lambda t: S.typed_append("votes", t.votes.withColumn("vote", F.when(F.col("id") % 3 == 0, " ").otherwise(F.col("vote"))), source_chunk_id="c"), "SELECT resolution_number, council_member, CASE WHEN id % 3 <> 0 THEN trim(vote) END AS vote, 'c' AS source_chunk_id, source_file FROM v_votes", "votes")
 query(
     "S12_append_logs", lambda t: S.append_log(t.review_flags.select("id", F.lit(None).cast("string").alias("detail")).where("resolved"), t.review_flags.where("not resolved").select("id", F.struct("stage", F.array("id").alias("ids")).alias("detail"))),
     "SELECT id, CASE WHEN NOT resolved THEN '{\"stage\":\"' || stage || '\",\"ids\":[' || id || ']}' END AS detail FROM v_review_flags", "review_flags",
@@ -182,6 +188,9 @@ query("S17_adhoc_sql", lambda t: S.adhoc_sql(t.spark, "SELECT status, count(*) A
 query("S18_chunk_keyword_scan", lambda t: S.keyword_scan(t.chunks, "GRANT").unionByName(S.keyword_scan(t.chunks, "eau")).groupBy("source_file").agg(F.count("*").alias("n")), "SELECT source_file, sum((text ILIKE '%grant%')::INT + (text ILIKE '%eau%')::INT)::BIGINT AS n FROM v_chunks GROUP BY 1 HAVING n > 0", "chunks")
 query("S19_list_documents", lambda t: S.list_documents(t.registry).select("id", "source_file", "document_type"), "SELECT id, source_file, document_type FROM v_registry", "registry")
 
+types = lambda t: t.profiles.groupBy(F.col("document_type").alias("name")).agg(F.count("*").alias("n"), F.bool_or(F.col("document_type") != "memo").alias("active")).withColumn("display_name", F.initcap(F.translate("name", "_", " ")))
+query("S19_list_types", lambda t: S.list_types(types(t)).select("name", "n"), "SELECT document_type AS name, count(*) AS n FROM v_profiles WHERE document_type <> 'memo' GROUP BY 1", "profiles")
+
 # Streams ------------------------------------------------------------------------------------------------------------
 
 

@@ -228,3 +228,36 @@ def test_stream_of_two_parts_and_a_restart(spark, tmp_path):
 
     assert run([(1, False)] * 5 + [(2, True)], "a") == {1: (5, 0, True), 2: (1, 1, False)}
     assert run([(1, True)] * 20 + [(3, True)], "b") == {1: (25, 20, True), 2: (1, 1, False), 3: (1, 1, False)}
+
+
+def test_requests_in_blocks_find_the_same(spark, sf, monkeypatch):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q, c = v.where("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding", "label"), v.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
+    run = lambda *f: sorted(str(tuple(r)) for r in R.vector_topk(q, c, 3, f).select("query_id", "chunk_id", "score", "rank").collect())
+    whole = run(), run("label")
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 3000)
+    assert (run(), run("label")) == whole and len(whole[0]) == 3 * q.count()
+
+
+def test_citations_of_bare_chunks(spark):
+    bare = spark.createDataFrame([("q", "a", None, "")], "query_id string, chunk_id string, source_file string, department string")
+    assert R.citations(bare).first().asDict() == {"query_id": "q", "chunk_id": "a", "source_file": "unknown", "department": None, "section": None, "quarter": None, "year": None}
+
+
+@pytest.mark.parametrize("table", S.COLUMNS)
+def test_typed_appends_fill_what_is_missing(spark, table):
+    rows = spark.createDataFrame([("f", "2026", " ", "p" * 300, 4, "x")], "source_file string, adopted_date string, vote string, department string, count int, other string")
+    rows = rows.withColumns({c: F.col("adopted_date") for c in ("start_date", "end_date", "meeting_date")})
+    got = S.typed_append(table, rows, source_chunk_id="c").first().asDict()
+    names = [c.split()[0] for c in S.COLUMNS[table].replace("(15,2)", "").split(", ")]
+    assert list(got) == [*names, "source_chunk_id", "source_file"] and (got.pop("source_chunk_id"), got.pop("source_file")) == ("c", "f")
+    if "department" in got:
+        assert len(got.pop("department")) == (300 if table == "goals" else 100)
+    assert got.pop("open_count", 4) == 4 and not any(v is not None for v in got.values())
+
+
+def test_files_are_listed_by_name(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("in/b.pdf", "a.pdf", "c.txt"):
+        (tmp_path / name).write_bytes(b"123")
+    assert sorted((r.source_file, r.length) for r in S.listed_files(spark, str(tmp_path)).collect()) == [("a.pdf", 3), ("b.pdf", 3)]
