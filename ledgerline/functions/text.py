@@ -165,10 +165,11 @@ def plain_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"[^a-z0-9&]+", " "))
 
 
-def dept_key(c: Column) -> Column:
-    """Canonical department."""
+def dept_key(c: Column, city: str | None = None) -> Column:
+    """Canonical department. With a city, in lower case, only its council is the council; without, that of any city of one word is."""
     key = plain_key(c)
-    return F.when(key.rlike(COUNCIL), "city council").otherwise(F.coalesce(lookup(ALIASES, key), key))
+    council = key.rlike(COUNCIL) if city is None else key.isin(f"{city} city council", f"city of {city} city council")
+    return F.when(council, "city council").otherwise(F.coalesce(lookup(ALIASES, key), key))
 
 
 def display_order(name: Column) -> Column:

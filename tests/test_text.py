@@ -71,3 +71,10 @@ def test_file_names(spark):
 @pytest.mark.parametrize(("vote", "want"), [("Yeas ", "yea"), ("NO", "nay"), ("away", "absent"), ("maybe", "other")])
 def test_votes(spark, vote, want):
     assert one(spark, vote, T.vote_bucket) == want
+
+
+def test_only_the_home_citys_council_is_the_council(spark):
+    names = ["Springfield City Council", "City of Springfield City Council", "Shelbyville City Council", "City Council"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r.k for r in df.select(T.dept_key(F.col("name"), "springfield").alias("k")).collect()] == ["city council", "city council", "shelbyville city council", "city council"]
+    assert {r.k for r in df.select(T.dept_key(F.col("name")).alias("k")).collect()} == {"city council"}
