@@ -9,8 +9,11 @@ from .html_extract import op6_html_extraction
 from .language import op5_language_id
 from .minhash import op1_minhash_near_dedup
 from .mixing import OP9_SQL, op9_source_mixing
+from .periodic import op13_periodic_runs
 from .pii import op10_pii
+from .spelling import op12_spelling_variants
 from .suffix_dedup import op2_suffix_dedup
+from .token_counts import op11_token_counts
 from .tokens import op3_token_output
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_pii": op10_pii,
+    "op11_token_counts": op11_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL = {"op9_source_mixing": OP9_SQL}
