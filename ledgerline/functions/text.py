@@ -18,14 +18,12 @@ ALIASES = {
     "economic development & building & housing": "building & housing development",
     "codes health department": "codes",
 }
-#: A council named with its city is the council.
-COUNCIL = r"^(city of )?[a-z]+ city council$"
 VOTES = {
-    "yea": ("yea", "yeas", "yes", "aye", "ayes", "y", "for", "in favor"),
-    "nay": ("nay", "nays", "no", "noes", "n", "against"),
-    "abstain": ("abstain", "abstained", "abstention", "abstentions"),
-    "absent": ("absent", "away"),
-}
+    "yea": "yea", "yeas": "yea", "yes": "yea", "aye": "yea", "ayes": "yea", "y": "yea", "for": "yea", "in favor": "yea",
+    "nay": "nay", "nays": "nay", "no": "nay", "noes": "nay", "n": "nay", "against": "nay",
+    "abstain": "abstain", "abstained": "abstain", "abstention": "abstain", "abstentions": "abstain",
+    "absent": "absent", "away": "absent",
+}
 COMPLETED = ("complete", "done", "achieved", "finished", "closed", "met")
 ACTIVE_GRANT = ("active", "in_progress", "open", "pending", "awarded")
 CLOSED_GRANT = ("closed", "complete", "expired", "terminated", "ended")
@@ -149,7 +147,7 @@ def clean_vote(c: Column) -> Column:
 
 def vote_bucket(c: Column) -> Column:
     """P26."""
-    return F.coalesce(lookup({w: k for k, words in VOTES.items() for w in words}, F.lower(F.trim(c))), F.lit("other"))
+    return F.coalesce(lookup(VOTES, F.lower(F.trim(c))), F.lit("other"))
 
 
 def quarter_start(year: Column, quarter: Column) -> Column:
@@ -166,10 +164,10 @@ def plain_key(c: Column) -> Column:
 
 
 def dept_key(c: Column, city: str | None = None) -> Column:
-    """Canonical department. With a city, in lower case, only its council is the council; without, that of any city of one word is."""
+    """Canonical department. With a city, in lower case, its council under both names that it goes by is the city council."""
     key = plain_key(c)
-    council = key.rlike(COUNCIL) if city is None else key.isin(f"{city} city council", f"city of {city} city council")
-    return F.when(council, "city council").otherwise(F.coalesce(lookup(ALIASES, key), key))
+    council = {f"{city} city council": "city council", f"city of {city} city council": "city council"} if city else {}
+    return F.coalesce(lookup(ALIASES | council, key), key)
 
 
 def display_order(name: Column) -> Column:

@@ -48,18 +48,23 @@ def in_latest(rows: DataFrame, latest: DataFrame) -> DataFrame:
     return rows.join(one, (F.col("year") == F.col("_y")) & (F.col("quarter") == F.col("_q"))).drop("_y", "_q")
 
 
-def dedupe_grants(grants: DataFrame, number: bool = False) -> DataFrame:
-    """A3: of each (normalised name, department), the most complete row, the first if tied; blank names are all kept.
+#: What a grant row can score for in most panels.
+SCORED = ("amount", "start_date", "end_date", "status")
 
-    The grant number scores only for callers that read it. Adds title_key and dept_key.
+
+def dedupe_grants(grants: DataFrame, scored: tuple[str, ...] = SCORED, order: tuple = ("id",)) -> DataFrame:
+    """A3: of each (normalised name, department), the most complete row, the first in `order` if tied; blank names are all kept.
+
+    A row scores for each column of `scored` that it fills: only those that the caller reads count. A status scores if it is an active
+    one, a grant number if it isn't blank. Adds title_key and dept_key.
     """
-    has = lambda c: F.col(c).isNotNull().cast("int")
-    score = has("amount") + has("start_date") + has("end_date") + F.lower(F.trim("status")).isin(*T.ACTIVE_GRANT).cast("int")
-    score = F.coalesce(score, has("amount") + has("start_date") + has("end_date"))
-    if number:
-        score = score + (F.trim(F.coalesce("grant_number", F.lit(""))) != "").cast("int")
+    full = {
+        "status": F.lower(F.trim("status")).isin(*T.ACTIVE_GRANT), "grant_number": F.trim("grant_number") != "",
+        **{c: F.col(c).isNotNull() for c in ("amount", "start_date", "end_date")},
+    }
+    score = sum((F.coalesce(full[c].cast("int"), F.lit(0)) for c in scored), F.lit(0))
     rows = grants.withColumn("title_key", T.norm_title(F.coalesce("grant_name", F.lit("")))).withColumn("dept_key", T.dept_key(F.coalesce("department", F.lit(""))))
-    best = Window.partitionBy("title_key", "dept_key").orderBy(score.desc(), "id")
+    best = Window.partitionBy("title_key", "dept_key").orderBy(score.desc(), *order)
     named = rows.where("title_key <> ''").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
     return named.unionByName(rows.where("title_key = ''"))
 
@@ -69,16 +74,16 @@ def live(as_of: str) -> Column:
 
 
 def kpi_grants(grants: DataFrame, as_of: str, soon_days: int = 90) -> DataFrame:
-    """A4: live grants, their amount, and those that end within soon_days or have ended."""
-    rows = dedupe_grants(grants).where(live(as_of))
+    """A4: live grants, their amount, and those that end within soon_days or have ended. Starts are not read, so they don't score."""
+    rows = dedupe_grants(grants, ("amount", "end_date", "status")).where(live(as_of))
     soon = F.coalesce(F.col("end_date") <= F.date_add(day(as_of), soon_days), F.lit(False))
     return rows.agg(F.count("*").alias("live"), F.coalesce(dollars("amount"), F.lit(0.0)).alias("amount"), F.count_if(soon).alias("expiring"))
 
 
 def kpi_spend(expenditures: DataFrame) -> DataFrame:
     """A5: spending and budget of the latest period without totals; rows without a line item are left out too."""
-    rows = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%"))
-    return rows.agg(dollars("ytd_expended").alias("ytd"), dollars("revised_budget").alias("budget"))
+    rows = latest_lines(expenditures)
+    return rows.agg(*(F.coalesce(dollars(c), F.lit(0.0)).alias(name) for c, name in (("ytd_expended", "ytd"), ("revised_budget", "budget"))))
 
 
 def kpi_coverage(documents: DataFrame) -> DataFrame:
@@ -96,9 +101,11 @@ def kpi_counts(resolutions: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def timeline_grants(grants: DataFrame) -> DataFrame:
-    """Grants with a start; a missing end is a year later."""
-    rows = dedupe_grants(grants).where("start_date is not null")
-    return rows.select("id", "grant_name", "dept_key", "start_date", F.coalesce("end_date", F.add_months("start_date", 12)).alias("end_date"), F.col("amount").cast("double").alias("amount"))
+    """Grants with a start, read in its order; a missing end is a year later."""
+    rows = dedupe_grants(grants.where("start_date is not null"), order=("start_date", "id"))
+    name = F.coalesce(F.nullif("grant_name", F.lit("")), F.lit("Grant")).alias("label")
+    end = F.coalesce("end_date", F.add_months("start_date", 12)).alias("end_date")
+    return rows.select("id", name, "department", "dept_key", "start_date", end, "status", F.col("amount").cast("double").alias("amount"))
 
 
 def timeline_reports(documents: DataFrame) -> DataFrame:
@@ -115,19 +122,21 @@ def timeline_resolutions(resolutions: DataFrame) -> DataFrame:
 
 
 def timeline_spending(expenditures: DataFrame) -> DataFrame:
-    """Spending per period; subtotals are part of it, as in the source."""
-    return expenditures.where("year is not null and quarter is not null").groupBy("year", "quarter").agg(dollars("ytd_expended").alias("ytd")).orderBy("year", "quarter")
+    """Spending per period, 0 without figures; subtotals are part of it, as in the source, and so are rows without a quarter."""
+    per = expenditures.where("year is not null").groupBy("year", "quarter").agg(F.coalesce(dollars("ytd_expended"), F.lit(0.0)).alias("ytd"))
+    return per.orderBy("year", F.asc_nulls_last("quarter"))
 
 
 def table_grants(grants: DataFrame, limit: int = 200) -> DataFrame:
-    """A3 of the newest `limit` grants; the limit comes first."""
-    newest = grants.orderBy(F.desc_nulls_last("start_date"), "id").limit(limit)
-    return dedupe_grants(newest).select("id", "grant_name", "department", "start_date", "end_date", F.col("amount").cast("double").alias("amount"), "status")
+    """A3 of the newest `limit` grants, read newest first; the limit comes first."""
+    order = (F.desc_nulls_last("start_date"), "id")
+    return dedupe_grants(grants.orderBy(*order).limit(limit), order=order).select("id", "grant_name", "department", "start_date", "end_date", F.col("amount").cast("double").alias("amount"), "status")
 
 
 def table_spend_by_dept(expenditures: DataFrame) -> DataFrame:
-    """Budget and spending per department as written, over all periods."""
-    return expenditures.groupBy("department").agg(dollars("revised_budget").alias("budget"), dollars("ytd_expended").alias("ytd")).orderBy(F.desc_nulls_last("ytd"), "department")
+    """Budget and spending per department as written, over all periods; 0 without figures."""
+    sums = (F.coalesce(dollars(c), F.lit(0.0)).alias(name) for c, name in (("revised_budget", "budget"), ("ytd_expended", "ytd")))
+    return expenditures.groupBy("department").agg(*sums).orderBy(F.desc("ytd"), "department")
 
 
 def table_reports(documents: DataFrame, limit: int = 200) -> DataFrame:
@@ -135,28 +144,34 @@ def table_reports(documents: DataFrame, limit: int = 200) -> DataFrame:
     return documents.orderBy(F.desc_nulls_first("year"), F.desc_nulls_first("quarter"), "id").limit(limit).select("id", "source_file", "department", "document_type", "quarter", "year")
 
 
+def latest_lines(expenditures: DataFrame) -> DataFrame:
+    """Spending lines of the latest period without subtotals and totals; lines without a name count as neither and are left out."""
+    return in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%"))
+
+
 def departments(documents: DataFrame, expenditures: DataFrame) -> DataFrame:
-    """Departments of quarterly reports and budgets, with report counts and the latest period's spending."""
+    """Departments of quarterly reports and budgets, with report counts and the latest period's budget and spending without totals, 0 if there is none."""
     docs = documents.where("document_type in ('quarterly_report', 'budget')").groupBy("department").agg(F.count_if(F.col("document_type") == "quarterly_report").alias("reports"))
     per = by_department(docs, F.sum("reports").alias("reports")).where("dept_key <> ''")
-    spend = in_latest(expenditures, latest_spend_period(expenditures)).groupBy("department").agg(F.sum("ytd_expended").alias("spend"))
-    spend = by_department(spend, dollars("spend").alias("spend")).drop("department")
-    return per.join(spend, "dept_key", "left")
+    lines = latest_lines(expenditures).groupBy("department").agg(F.sum("revised_budget").alias("budget"), F.sum("ytd_expended").alias("spend"))
+    spend = by_department(lines, dollars("budget").alias("budget"), dollars("spend").alias("spend")).drop("department")
+    return per.join(spend, "dept_key", "left").select("dept_key", "department", "reports", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("budget", "spend"))).orderBy("department", "dept_key")
 
 
 def resolutions_list(resolutions: DataFrame) -> DataFrame:
     """A16."""
-    return resolutions.select("id", "resolution_number", "title", F.col("amount").cast("double").alias("amount"), "vendor", "adopted_date", "status").orderBy(F.desc_nulls_last("adopted_date"), "id")
+    columns = ("id", "resolution_number", "title", F.col("amount").cast("double").alias("amount"), "vendor", "department", "adopted_date", "status")
+    return resolutions.select(*columns).orderBy(F.asc_nulls_last("resolution_number"), "id")
 
 
 def legislation_list(legislation: DataFrame) -> DataFrame:
     """A16."""
-    return legislation.select("id", "bill_number", F.col("amount").cast("double").alias("amount"), "adopted_date", "status").orderBy(F.desc_nulls_last("adopted_date"), "id")
+    return legislation.select("id", "bill_number", F.col("amount").cast("double").alias("amount"), "adopted_date", "status").orderBy(F.asc_nulls_last("bill_number"), "id")
 
 
 def goals_list(goals: DataFrame) -> DataFrame:
     """A16."""
-    return goals.select("id", "department", "goal_title", "target", "status", "user_status", "year", "quarter").orderBy(F.desc_nulls_last("year"), F.desc_nulls_last("quarter"), "department", "id")
+    return goals.select("id", "department", "goal_title", "target", "status", "user_status", "year", "quarter").orderBy(F.asc_nulls_last("department"), "id")
 
 
 BUCKETS = ("yea", "nay", "abstain", "absent", "other")
@@ -189,24 +204,27 @@ def votes_by_member(votes: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def latest_budget(expenditures: DataFrame) -> DataFrame:
-    """Lines of the latest period, without totals, that have a figure."""
-    rows = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%"))
-    return rows.where("coalesce(revised_budget, 0) <> 0 or coalesce(ytd_expended, 0) <> 0")
+    """Lines of the latest period, without totals, that have a figure; a missing one is 0. A line without a department is of the department ''."""
+    figures = {c: F.coalesce(c, F.lit(0).cast("decimal(15,2)")) for c in ("revised_budget", "ytd_expended")}
+    return latest_lines(expenditures).withColumns(figures).where("revised_budget <> 0 or ytd_expended <> 0")
 
 
 def budget_by_dept(expenditures: DataFrame) -> DataFrame:
-    """Budget and spending of the latest period per department."""
+    """Budget and spending of the latest period per department; lines without one are the row of dept_key '', whose label is null."""
     per = latest_budget(expenditures).groupBy("department").agg(F.sum("revised_budget").alias("budget"), F.sum("ytd_expended").alias("ytd"))
-    return by_department(per, dollars("budget").alias("budget"), dollars("ytd").alias("ytd")).orderBy(F.desc_nulls_last("budget"), "dept_key")
+    per = per.withColumn("dept_key", F.coalesce(T.dept_key("department"), F.lit("")))
+    label = F.min_by("department", F.when(F.col("department").isNotNull(), T.display_order(F.col("department")))).alias("department")
+    return per.groupBy("dept_key").agg(label, dollars("budget").alias("budget"), dollars("ytd").alias("ytd")).orderBy(F.desc("budget"), "dept_key")
 
 
 def budget_lines(expenditures: DataFrame) -> DataFrame:
-    """The lines behind A19 with the department's label."""
+    """The lines behind A19 with the department's label; those without a department are among them."""
     rows = latest_budget(expenditures)
-    names = rows.select("department").distinct().withColumn("dept_key", T.dept_key("department"))
-    names = names.join(labelled(names).withColumnRenamed("department", "label"), "dept_key")
-    out = rows.join(names, "department").withColumn("department", F.col("label")).select("id", "dept_key", "department", "line_item", F.col("revised_budget").cast("double").alias("budget"), F.col("ytd_expended").cast("double").alias("ytd"))
-    return out.orderBy(F.desc_nulls_last("ytd"), "id")
+    names = rows.select("department").distinct().withColumn("dept_key", F.coalesce(T.dept_key("department"), F.lit("")))
+    names = names.join(labelled(names.where("department is not null")).withColumnRenamed("department", "label"), "dept_key", "left").withColumnRenamed("department", "written")
+    out = rows.join(names, F.col("department").eqNullSafe(F.col("written")))
+    figures = (F.col("revised_budget").cast("double").alias("budget"), F.col("ytd_expended").cast("double").alias("ytd"))
+    return out.select("id", "dept_key", F.col("label").alias("department"), "account_number", "line_item", *figures).orderBy(F.desc("ytd"), "id")
 
 
 def meetings(meetings: DataFrame, actions: DataFrame) -> DataFrame:
@@ -216,11 +234,13 @@ def meetings(meetings: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def vacancies_open(vacancies: DataFrame) -> DataFrame:
-    """Open, titled positions, the latest of each (department, title)."""
-    title = F.lower(F.trim("position_title"))
-    rows = vacancies.where(F.lower(F.trim("status")) == "open").withColumn("title_key", title).where(~F.col("title_key").isin("", "none")).withColumn("dept_key", T.dept_key("department"))
-    last = Window.partitionBy("dept_key", "title_key").orderBy(F.desc_nulls_last("year"), F.desc_nulls_last("quarter"), "id")
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("id", "dept_key", "department", F.trim("position_title").alias("title"), "open_count", "year", "quarter")
+    """Open, titled positions of departments, the latest of each (department, title); of one period, the first by department and title as written."""
+    rows = vacancies.where(F.lower("status") == "open").where("department is not null and position_title is not null").where(~F.lower("position_title").isin("", "none"))
+    rows = rows.withColumns({"title_key": F.lower(F.trim("position_title")), "dept_key": T.dept_key("department")})
+    period = (F.desc(F.coalesce("year", F.lit(0))), F.desc(F.coalesce("quarter", F.lit(""))))
+    last = Window.partitionBy("dept_key", "title_key").orderBy(*period, "department", "position_title", "id")
+    rows = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1")
+    return rows.select("id", "dept_key", "department", F.col("position_title").alias("title"), "status", "open_count", "year", "quarter").orderBy("department", "title", "id")
 
 
 BOARDS = "board_name string, seats int, filled bigint, vacant bigint, ending bigint"
@@ -258,14 +278,14 @@ def authorized_vs_spent(resolutions: DataFrame, expenditures: DataFrame) -> Data
     """Amounts authorised by resolutions beside the latest period's spending, for departments with either."""
     zero = F.lit(None).cast("decimal(15,2)")
     one = resolutions.where("amount is not null").select("department", F.col("amount").alias("authorized"), zero.alias("spent"))
-    two = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%")).select("department", zero.alias("authorized"), F.col("ytd_expended").alias("spent"))
+    two = latest_lines(expenditures).select("department", zero.alias("authorized"), F.col("ytd_expended").alias("spent"))
     both = one.unionByName(two).groupBy("department").agg(F.sum("authorized").alias("authorized"), F.sum("spent").alias("spent"))
     return by_department(both, *(F.coalesce(dollars(c), F.lit(0.0)).alias(c) for c in ("authorized", "spent"))).where("dept_key <> ''")
 
 
 def grants_expiring(grants: DataFrame, as_of: str, expiring_days: int = 180) -> DataFrame:
-    """Grants that end within expiring_days, soonest first."""
-    rows = dedupe_grants(grants.where("end_date is not null"))
+    """Grants that end within expiring_days, soonest first. Only amounts and ends are read, in order of ends."""
+    rows = dedupe_grants(grants.where("end_date is not null"), ("amount", "end_date"), ("end_date", "id"))
     left = F.datediff("end_date", day(as_of))
     return rows.where(left.between(0, expiring_days)).select("id", "grant_name", "dept_key", "end_date", left.alias("days_left"), F.col("amount").cast("double").alias("amount")).orderBy("end_date", "id")
 

@@ -32,10 +32,11 @@ def grant_projects(grants: DataFrame, as_of: str, horizon_days: int = 120) -> Da
 
 
 def resolution_projects(resolutions: DataFrame) -> DataFrame:
-    """Resolutions by type; stalled ones need attention, and those of one party and type group."""
+    """Resolutions with a title, by type; stalled ones need attention, and those of one party and type group. Of one number the first row counts, titled or not."""
     kind, status = T.resolution_type(F.coalesce("title", F.lit(""))), T.resolution_status(F.coalesce("status", F.lit("")))
     party = F.nullif(T.norm_party(F.coalesce("vendor", F.lit(""))), F.lit(""))
-    return dedupe_resolutions(resolutions).select(
+    rows = dedupe_resolutions(resolutions).where("trim(title) <> ''")
+    return rows.select(
         F.concat(F.lit("resolution-"), F.col("id").cast("string")).alias("project"), kind.alias("type"), F.trim("title").alias("title"), "department", F.col("amount").cast("double").alias("amount"),
         status.alias("status"), (status == "Stalled").alias("attention"), F.concat(party, F.lit("|"), kind).alias("group_key"),
     )
@@ -44,7 +45,7 @@ def resolution_projects(resolutions: DataFrame) -> DataFrame:
 def projects(grants: DataFrame, resolutions: DataFrame, as_of: str, horizon_days: int = 120) -> DataFrame:
     """Both kinds with `administrative`, those that need attention first, then by amount."""
     rows = grant_projects(grants, as_of, horizon_days).unionByName(resolution_projects(resolutions))
-    return rows.withColumn("administrative", F.col("type").isin(*ADMINISTRATIVE)).orderBy(F.desc("attention"), F.desc_nulls_last("amount"), "title", "project")
+    return rows.withColumn("administrative", F.col("type").isin(*ADMINISTRATIVE)).orderBy(F.desc("attention"), F.desc(F.coalesce("amount", F.lit(0.0))), F.lower("title"), "project")
 
 
 def project_counts(rows: DataFrame) -> DataFrame:

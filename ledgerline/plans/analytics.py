@@ -12,7 +12,7 @@ from ledgerline.operators import signals as Q
 from ledgerline.sources.conform import AS_OF, BOARDS_AS_OF
 
 from .graphs import all_edges
-from .registry import ACTIVE, LATEST, LINES, SQL, dk, grants, label, nt, query
+from .registry import ACTIVE, LATEST, LINES, SQL, dk, grants, label, nt, pk, query
 
 D = f"DATE '{AS_OF}'"
 LIVE = f"(coalesce(lower(trim(status)) IN ({ACTIVE}), false) OR coalesce(end_date >= {D}, false))"
@@ -25,9 +25,9 @@ query("A2_latest_spend_period", lambda t: A.latest_spend_period(t.expenditures),
 query("A3_dedupe_grants", lambda t: A.dedupe_grants(t.grants).select("id", "title_key", "dept_key", "amount"), f"SELECT id, title_key, dept_key, amount::DOUBLE AS amount FROM {grants()}", "grants")
 query(
     "A4_kpi_grants", lambda t: A.kpi_grants(t.grants, AS_OF),
-    f"SELECT count(*) AS live, coalesce(sum(amount)::DOUBLE, 0) AS amount, count(*) FILTER (WHERE end_date <= {D} + 90) AS expiring FROM {grants()} WHERE {LIVE}", "grants",
+    f"SELECT count(*) AS live, coalesce(sum(amount)::DOUBLE, 0) AS amount, count(*) FILTER (WHERE end_date <= {D} + 90) AS expiring FROM {grants(scored=('amount', 'end_date', 'status'))} WHERE {LIVE}", "grants",
 )
-query("A5_kpi_spend", lambda t: A.kpi_spend(t.expenditures), f"SELECT sum(ytd_expended)::DOUBLE AS ytd, sum(revised_budget)::DOUBLE AS budget FROM ({LINES})", "expenditures")
+query("A5_kpi_spend", lambda t: A.kpi_spend(t.expenditures), f"SELECT coalesce(sum(ytd_expended)::DOUBLE, 0) AS ytd, coalesce(sum(revised_budget)::DOUBLE, 0) AS budget FROM ({LINES})", "expenditures")
 query(
     "A6_kpi_coverage", lambda t: A.kpi_coverage(t.registry),
     f"SELECT count(DISTINCT k) AS roster, count(DISTINCT CASE WHEN r.year = l.year AND r.quarter = l.quarter THEN k END) AS filed FROM (SELECT year, quarter, nullif({dk('department')}, '') AS k FROM v_registry WHERE document_type = 'quarterly_report' AND quarter <> '') r, ({LDP}) l", "registry",
@@ -35,7 +35,7 @@ query(
 query("A7_kpi_counts", lambda t: A.kpi_counts(t.resolutions, t.registry), "SELECT (SELECT count(*) FROM v_resolutions) AS resolutions, (SELECT count(*) FROM v_registry WHERE document_type = 'unclassified') AS unclassified", "resolutions", "registry")
 query(
     "A8_timeline_grants", lambda t: A.timeline_grants(t.grants),
-    f"SELECT id, grant_name, dept_key, start_date::VARCHAR AS start_date, coalesce(end_date, (start_date + INTERVAL 12 MONTH)::DATE)::VARCHAR AS end_date, amount::DOUBLE AS amount FROM {grants()} WHERE start_date IS NOT NULL", "grants",
+    f"SELECT id, coalesce(nullif(grant_name, ''), 'Grant') AS label, department, dept_key, start_date::VARCHAR AS start_date, coalesce(end_date, (start_date + INTERVAL 12 MONTH)::DATE)::VARCHAR AS end_date, status, amount::DOUBLE AS amount FROM {grants('(SELECT * FROM v_grants WHERE start_date IS NOT NULL)', order='start_date, id')}", "grants",
 )
 query(
     "A9_timeline_reports", lambda t: A.timeline_reports(t.registry),
@@ -45,20 +45,20 @@ query(
     "A10_timeline_resolutions", lambda t: A.timeline_resolutions(t.resolutions),
     "SELECT id, coalesce(nullif(trim(resolution_number), ''), nullif(trim(title), ''), 'Resolution') AS label, adopted_date::VARCHAR AS adopted_date, department FROM v_resolutions WHERE adopted_date IS NOT NULL", "resolutions",
 )
-query("A11_timeline_spending", lambda t: A.timeline_spending(t.expenditures), "SELECT year, quarter, sum(ytd_expended)::DOUBLE AS ytd FROM v_expenditures WHERE year IS NOT NULL AND quarter IS NOT NULL GROUP BY ALL", "expenditures")
+query("A11_timeline_spending", lambda t: A.timeline_spending(t.expenditures), "SELECT year, quarter, coalesce(sum(ytd_expended)::DOUBLE, 0) AS ytd FROM v_expenditures WHERE year IS NOT NULL GROUP BY ALL", "expenditures")
 query(
     "A12_table_grants", lambda t: A.table_grants(t.grants),
-    f"SELECT id, grant_name, department, start_date::VARCHAR AS start_date, end_date::VARCHAR AS end_date, amount::DOUBLE AS amount, status FROM {grants('(SELECT * FROM v_grants ORDER BY start_date DESC NULLS LAST, id LIMIT 200)')}", "grants",
+    f"SELECT id, grant_name, department, start_date::VARCHAR AS start_date, end_date::VARCHAR AS end_date, amount::DOUBLE AS amount, status FROM {grants('(SELECT * FROM v_grants ORDER BY start_date DESC NULLS LAST, id LIMIT 200)', order='start_date DESC NULLS LAST, id')}", "grants",
 )
-query("A13_table_spend_by_dept", lambda t: A.table_spend_by_dept(t.expenditures), "SELECT department, sum(revised_budget)::DOUBLE AS budget, sum(ytd_expended)::DOUBLE AS ytd FROM v_expenditures GROUP BY 1", "expenditures")
+query("A13_table_spend_by_dept", lambda t: A.table_spend_by_dept(t.expenditures), "SELECT department, coalesce(sum(revised_budget)::DOUBLE, 0) AS budget, coalesce(sum(ytd_expended)::DOUBLE, 0) AS ytd FROM v_expenditures GROUP BY 1", "expenditures")
 query("A14_table_reports", lambda t: A.table_reports(t.registry), "SELECT id, source_file, department, document_type, quarter, year FROM v_registry ORDER BY year DESC NULLS FIRST, quarter DESC NULLS FIRST, id LIMIT 200", "registry")
-SPEND = f"SELECT {dk('department')} AS k, sum(ytd_expended)::DOUBLE AS spend FROM v_expenditures e, ({LATEST}) l WHERE e.year = l.year AND e.quarter = l.quarter GROUP BY 1"
+SPEND = f"SELECT {dk('department')} AS k, sum(revised_budget)::DOUBLE AS budget, sum(ytd_expended)::DOUBLE AS spend FROM ({LINES}) WHERE department IS NOT NULL GROUP BY 1"
 query(
     "A15_departments", lambda t: A.departments(t.registry, t.expenditures),
-    f"""SELECT d.dept_key, d.department, d.reports, s.spend FROM (SELECT {dk('department')} AS dept_key, {label()} AS department, count(*) FILTER (WHERE document_type = 'quarterly_report') AS reports
+    f"""SELECT d.dept_key, d.department, d.reports, coalesce(s.budget, 0) AS budget, coalesce(s.spend, 0) AS spend FROM (SELECT {dk('department')} AS dept_key, {label()} AS department, count(*) FILTER (WHERE document_type = 'quarterly_report') AS reports
   FROM v_registry WHERE document_type IN ('quarterly_report', 'budget') AND {dk('department')} <> '' GROUP BY 1) d LEFT JOIN ({SPEND}) s ON s.k = d.dept_key""", "registry", "expenditures",
 )
-query("A16_resolutions_list", lambda t: A.resolutions_list(t.resolutions), "SELECT id, resolution_number, title, amount::DOUBLE AS amount, vendor, adopted_date::VARCHAR AS adopted_date, status FROM v_resolutions", "resolutions")
+query("A16_resolutions_list", lambda t: A.resolutions_list(t.resolutions), "SELECT id, resolution_number, title, amount::DOUBLE AS amount, vendor, department, adopted_date::VARCHAR AS adopted_date, status FROM v_resolutions", "resolutions")
 query("A16_legislation_list", lambda t: A.legislation_list(t.legislation), "SELECT id, bill_number, amount::DOUBLE AS amount, adopted_date::VARCHAR AS adopted_date, status FROM v_legislation", "legislation")
 query("A16_goals_list", lambda t: A.goals_list(t.goals), "SELECT id, department, goal_title, target, status, user_status, year, quarter FROM v_goals", "goals")
 BUCKET = "CASE WHEN lower(trim(v.vote)) IN ('yea','yeas','yes','aye','ayes','y','for','in favor') THEN 'yea' WHEN lower(trim(v.vote)) IN ('nay','nays','no','noes','n','against') THEN 'nay' WHEN lower(trim(v.vote)) IN ('abstain','abstained','abstention','abstentions') THEN 'abstain' WHEN lower(trim(v.vote)) IN ('absent','away') THEN 'absent' ELSE 'other' END"
@@ -69,19 +69,19 @@ query(
     f"SELECT coalesce(resolution_number, '—') AS number, arg_min(title, rid) AS title, arg_min(amount::DOUBLE, rid) AS amount, count(*) AS total, {TALLY}, string_agg(council_member || ':' || b, ',' ORDER BY council_member, b, id) AS members FROM ({JOINED}) GROUP BY 1", "votes", "resolutions",
 )
 query("A18_votes_by_member", lambda t: A.votes_by_member(t.votes, t.resolutions), f"SELECT council_member, count(*) AS total, {TALLY} FROM ({JOINED}) GROUP BY 1", "votes", "resolutions")
-NONZERO = f"SELECT *, {dk('department')} AS dept_key FROM ({LINES}) WHERE coalesce(revised_budget, 0) <> 0 OR coalesce(ytd_expended, 0) <> 0"
-BUDGET = f"SELECT dept_key, {label()} AS department, sum(revised_budget)::DOUBLE AS budget, sum(ytd_expended)::DOUBLE AS ytd FROM ({NONZERO}) GROUP BY 1"
+NONZERO = f"SELECT *, coalesce({dk('department')}, '') AS dept_key FROM ({LINES}) WHERE coalesce(revised_budget, 0) <> 0 OR coalesce(ytd_expended, 0) <> 0"
+BUDGET = f"SELECT dept_key, first(department ORDER BY department IS NULL, ({pk('department')} <> {dk('department')}), -length(department), department) AS department, coalesce(sum(revised_budget)::DOUBLE, 0) AS budget, coalesce(sum(ytd_expended)::DOUBLE, 0) AS ytd FROM ({NONZERO}) GROUP BY 1"
 query("A19_budget_by_dept", lambda t: A.budget_by_dept(t.expenditures), BUDGET, "expenditures")
 query(
     "A20_budget_lines", lambda t: A.budget_lines(t.expenditures),
-    f"SELECT l.id, l.dept_key, b.department, l.line_item, l.revised_budget::DOUBLE AS budget, l.ytd_expended::DOUBLE AS ytd FROM ({NONZERO}) l JOIN ({BUDGET}) b ON l.dept_key = b.dept_key", "expenditures",
+    f"SELECT l.id, l.dept_key, b.department, l.account_number, l.line_item, coalesce(l.revised_budget, 0)::DOUBLE AS budget, coalesce(l.ytd_expended, 0)::DOUBLE AS ytd FROM ({NONZERO}) l JOIN ({BUDGET}) b ON l.dept_key = b.dept_key", "expenditures",
 )
 query(
     "A21_meetings", lambda t: A.meetings(t.meetings, t.meeting_actions).select("id", "meeting_date", "session_type", F.array_join(F.transform("actions", lambda a: F.concat_ws(":", a["id"], a["line"], a["part"], a["item_type"], a["item_number"])), ",").alias("actions")),
     "SELECT m.id, m.meeting_date::VARCHAR AS meeting_date, m.session_type, a.actions FROM v_meetings m LEFT JOIN (SELECT meeting_date, string_agg(concat_ws(':', id, line, part, item_type, item_number), ',' ORDER BY id, line, part, item_type, item_number) AS actions FROM v_meeting_actions GROUP BY 1) a ON m.meeting_date IS NOT DISTINCT FROM a.meeting_date", "meetings", "meeting_actions",
 )
-VAC = f"""SELECT id, dept_key, department, trim(position_title) AS title, open_count, year, quarter FROM (SELECT *, row_number() OVER (PARTITION BY dept_key, lower(trim(position_title)) ORDER BY year DESC NULLS LAST, quarter DESC NULLS LAST, id) AS k
-  FROM (SELECT *, {dk('department')} AS dept_key FROM v_vacancies WHERE lower(trim(status)) = 'open' AND lower(trim(position_title)) NOT IN ('', 'none'))) WHERE k = 1"""
+VAC = f"""SELECT id, dept_key, department, position_title AS title, status, open_count, year, quarter FROM (SELECT *, row_number() OVER (PARTITION BY dept_key, lower(trim(position_title)) ORDER BY coalesce(year, 0) DESC, coalesce(quarter, '') DESC, department, position_title, id) AS k
+  FROM (SELECT *, {dk('department')} AS dept_key FROM v_vacancies WHERE lower(status) = 'open' AND department IS NOT NULL AND lower(position_title) NOT IN ('', 'none'))) WHERE k = 1"""
 query("A22_vacancies_open", lambda t: A.vacancies_open(t.vacancies), VAC, "vacancies")
 query(
     "A23_boards", lambda t: A.boards(t.boards, t.board_members, BOARDS_AS_OF),
@@ -104,7 +104,7 @@ query(
 )
 query(
     "A27_grants_expiring", lambda t: A.grants_expiring(t.grants, AS_OF).withColumn("days_left", F.col("days_left").cast("long")),
-    f"SELECT id, grant_name, dept_key, end_date::VARCHAR AS end_date, (end_date - {D})::BIGINT AS days_left, amount::DOUBLE AS amount FROM {grants('(SELECT * FROM v_grants WHERE end_date IS NOT NULL)')} WHERE end_date BETWEEN {D} AND {D} + 180", "grants",
+    f"SELECT id, grant_name, dept_key, end_date::VARCHAR AS end_date, (end_date - {D})::BIGINT AS days_left, amount::DOUBLE AS amount FROM {grants('(SELECT * FROM v_grants WHERE end_date IS NOT NULL)', ('amount', 'end_date'), 'end_date, id')} WHERE end_date BETWEEN {D} AND {D} + 180", "grants",
 )
 # each panel by the SQL of its own query
 PANELS = {
@@ -166,7 +166,7 @@ PG = f"""SELECT 'grant-' || id AS project, 'grant' AS type, trim(grant_name) AS
 TYPE = "CASE WHEN regexp_matches(lower(title), 'land development|subdivision|zoning|plat|rezon') THEN 'land_development' WHEN regexp_matches(lower(title), 'grant') THEN 'grant_action' WHEN regexp_matches(lower(title), 'agreement|contract|professional services|purchase|negotiat|lease') THEN 'contract' WHEN regexp_matches(lower(title), 'budget|appropriat|millage|\\btax\\b') THEN 'budget' WHEN regexp_matches(lower(title), 'appoint|reappoint|resign|confirm') THEN 'appointment' ELSE 'other' END"
 RSTATUS = "CASE WHEN regexp_matches(lower(status), 'tabl') THEN 'Stalled' WHEN regexp_matches(lower(status), 'fail|defeat|reject') THEN 'Closed' WHEN regexp_matches(lower(status), 'pass|adopt|approv|ratif') THEN 'Active' ELSE 'Proposed' END"
 PARTY = "nullif(trim(regexp_replace(regexp_replace(lower(vendor), '[,.]?\\s*\\b(llc|l\\.l\\.c|inc|incorporated|co|company|corp|corporation|lp|llp|pllc)\\b\\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '')"
-PR = f"SELECT 'resolution-' || id AS project, {TYPE} AS type, trim(title) AS title, department, amount::DOUBLE AS amount, {RSTATUS} AS status, {RSTATUS} = 'Stalled' AS attention, {PARTY} || '|' || {TYPE} AS group_key FROM {RES}"
+PR = f"SELECT 'resolution-' || id AS project, {TYPE} AS type, trim(title) AS title, department, amount::DOUBLE AS amount, {RSTATUS} AS status, {RSTATUS} = 'Stalled' AS attention, {PARTY} || '|' || {TYPE} AS group_key FROM {RES} WHERE trim(title) <> ''"
 PP = f"SELECT *, type IN ('budget', 'appointment') AS administrative FROM ({PG} UNION ALL {PR})"
 both = lambda t: J.projects(t.grants, t.resolutions, AS_OF)
 query("J1_dedupe_resolutions", lambda t: J.dedupe_resolutions(t.resolutions).select("id", "number_key"), f"SELECT id, number_key FROM {RES}", "resolutions")

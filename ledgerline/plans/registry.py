@@ -44,8 +44,7 @@ def pk(x: str) -> str:
 
 def dk(x: str) -> str:
     """Canonical department key."""
-    council = f"CASE WHEN regexp_matches({pk(x)}, '{text.COUNCIL}') THEN 'city council' "
-    return council + " ".join(f"WHEN {pk(x)} = '{a}' THEN '{b}'" for a, b in text.ALIASES.items()) + f" ELSE {pk(x)} END"
+    return f"CASE {pk(x)} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.ALIASES.items()) + f" ELSE {pk(x)} END"
 
 
 def label(x: str = "department") -> str:
@@ -61,10 +60,10 @@ LATEST = "SELECT year, quarter FROM v_expenditures WHERE year IS NOT NULL ORDER
 #: Spending of the latest period without totals.
 LINES = f"SELECT e.* FROM v_expenditures e, ({LATEST}) l WHERE e.year = l.year AND e.quarter = l.quarter AND e.line_item NOT ILIKE '%total%'"
 ACTIVE = ", ".join(f"'{s}'" for s in text.ACTIVE_GRANT)
-SCORE = f"((amount IS NOT NULL)::INT + (start_date IS NOT NULL)::INT + (end_date IS NOT NULL)::INT + coalesce((lower(trim(status)) IN ({ACTIVE}))::INT, 0))"
+SCORES = {c: f"({c} IS NOT NULL)::INT" for c in ("amount", "start_date", "end_date")} | {"status": f"coalesce((lower(trim(status)) IN ({ACTIVE}))::INT, 0)"}
 
 
-def grants(source: str = "v_grants") -> str:
+def grants(source: str = "v_grants", scored: tuple[str, ...] = ("amount", "start_date", "end_date", "status"), order: str = "id") -> str:
     """A3 over a table of grants."""
-    return f"""(SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY title_key, dept_key ORDER BY {SCORE} DESC, id) AS k
+    return f"""(SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY title_key, dept_key ORDER BY {" + ".join(SCORES[c] for c in scored)} DESC, {order}) AS k
   FROM (SELECT *, {nt("coalesce(grant_name, '')")} AS title_key, {dk("coalesce(department, '')")} AS dept_key FROM {source})) WHERE k = 1 OR title_key = '')"""

@@ -12,7 +12,7 @@ def one(spark, value, f, kind="string"):
 
 @pytest.mark.parametrize(
     ("a", "b"),
-    [("Parks & Recreation", "Bureau of Parks & Recreation"), ("Public Works", "Department of Public Works"), ("Budget and Finance", "Finance"), ("The Mayor", "office of mayor"), ("Bureau of Planning", "Planning Bureau"), ("Codes", "Codes/Health Department"), ("City Council", "City of Springfield City Council"), ("The City Council", "Springfield City Council")],
+    [("Parks & Recreation", "Bureau of Parks & Recreation"), ("Public Works", "Department of Public Works"), ("Budget and Finance", "Finance"), ("The Mayor", "office of mayor"), ("Bureau of Planning", "Planning Bureau"), ("Codes", "Codes/Health Department"), ("The City Council", "City Council")],
 )
 def test_department_variants(spark, a, b):
     assert one(spark, a, T.dept_key) == one(spark, b, T.dept_key) or a == "Budget and Finance" and one(spark, b, T.dept_key) == "budget & finance"
@@ -77,4 +77,4 @@ def test_only_the_home_citys_council_is_the_council(spark):
     names = ["Springfield City Council", "City of Springfield City Council", "Shelbyville City Council", "City Council"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
     assert [r.k for r in df.select(T.dept_key(F.col("name"), "springfield").alias("k")).collect()] == ["city council", "city council", "shelbyville city council", "city council"]
-    assert {r.k for r in df.select(T.dept_key(F.col("name")).alias("k")).collect()} == {"city council"}
+    assert {r.k for r in df.select(T.dept_key(F.col("name")).alias("k")).collect()} == {"springfield city council", "city of springfield city council", "shelbyville city council", "city council"}
