@@ -2,61 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of request vectors that are sent to every task at once. More are joined by filter value, or without filters in several passes over the chunks.
-BROADCAST_BYTES = 64 << 20
-
-
-def dot(a, b) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
+from . import vectors
 
-def unit(c) -> Column:
-    """A vector divided by its norm; NULL for a zero vector."""
-    norm = F.nullif(F.sqrt(dot(c, c)), F.lit(0.0))
-    return F.transform(c, lambda x: x.cast("double") / norm)
 
-
-def vector_topk(requests: DataFrame, chunks: DataFrame, k: int = 5, filters: tuple[str, ...] = ()) -> DataFrame:
+def vector_topk(requests: DataFrame, chunks: DataFrame, k: int = 5, filters: tuple[str, ...] = (), counter=None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the best k chunks by cosine, of those whose filter columns equal the request's.
 
-    Vectors are normalised once, so a score is one dot product. With filters the two sides meet by an equi-join; without,
-    every request meets every chunk by the meaning of exact search, and the requests, whose bytes are added up first, are sent
-    to the tasks in blocks. Only each task's best k per request are shuffled.
+    Exact: vectors are compared by matrix products, and blocks of them that cannot enter the best k are skipped. Requests are
+    collected in blocks whose bytes are checked and sent to the tasks; only each task's best k per request are shuffled. counter: an
+    accumulator of the compared pairs. Scores have six places; of equal ones the smallest chunk_id ranks first. Null and zero vectors, and
+    those of another dimension, score nothing.
     """
-    q = requests.select("query_id", unit("embedding").alias("q"), *(F.col(f) for f in filters)).where("q is not null")
-    c = chunks.where("embedding is not null").select("chunk_id", unit("embedding").alias("v"), *(F.col(f) for f in filters))
-    sent = q.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
-    blocks = 1 + sent // BROADCAST_BYTES
-    if blocks == 1:
-        both = c.join(F.broadcast(q), list(filters) or None)
-    elif filters:
-        both = c.join(q, list(filters))
-    else:
-        parts = [c.join(F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))) for b in range(blocks)]
-        both = reduce(DataFrame.unionByName, parts)
-    scored = both.select("query_id", "chunk_id", F.round(dot("q", "v"), 6).alias("score")).where("score is not null")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
-
-
-def vector_topk_approx(requests: DataFrame, chunks: DataFrame, k: int = 5, bucket: float = 1.0, tables: int = 24, within: float = 1.5) -> DataFrame:
-    """R2: candidates from random-projection buckets over normalised vectors, then exact ranking."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    ready = lambda d, key: d.where("embedding is not null").select(key, unit("embedding").alias("u")).where("u is not null").select(key, "u", array_to_vector("u").alias("features"))
-    q, c = ready(requests, "query_id"), ready(chunks, "chunk_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=3).fit(c)
-    near = model.approxSimilarityJoin(q, c, within, distCol="distance")
-    scored = near.select("datasetA.query_id", "datasetB.chunk_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+    return vectors.ranked(vectors.exact(requests, chunks, k, filters, counter), k)
+
+
+def vector_topk_approx(requests: DataFrame, index: str, k: int = 5, probes: int | None = None) -> DataFrame:
+    """R2: as R1 without filters, through an index that vectors.build_index() has written to the folder `index`."""
+    return vectors.search(requests, index, k, probes)
 
 
 def weak_retrieval(requests: DataFrame, retrieved: DataFrame) -> DataFrame:

@@ -132,13 +132,6 @@ def test_zero_vectors_score_nothing(spark):
     assert [tuple(r) for r in R.vector_topk(q, c).select("query_id", "chunk_id", "score").collect()] == [("q", "a", 1.0)]
 
 
-def test_approximate_search_finds_most(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    q, c = v.where("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding"), v.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
-    exact = R.vector_topk(q, c).select("query_id", "chunk_id")
-    assert exact.join(R.vector_topk_approx(q, c), ["query_id", "chunk_id"], "left_semi").count() >= 0.95 * exact.count()
-
-
 def test_named_files(spark, tmp_path):
     for n in ("b.pdf", "a.pdf", "c.txt"):
         (tmp_path / n).write_bytes(b"x")
@@ -230,15 +223,6 @@ def test_stream_of_two_parts_and_a_restart(spark, tmp_path):
     assert run([(1, True)] * 20 + [(3, True)], "b") == {1: (25, 20, True), 2: (1, 1, False), 3: (1, 1, False)}
 
 
-def test_requests_in_blocks_find_the_same(spark, sf, monkeypatch):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    q, c = v.where("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding", "label"), v.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
-    run = lambda *f: sorted(str(tuple(r)) for r in R.vector_topk(q, c, 3, f).select("query_id", "chunk_id", "score", "rank").collect())
-    whole = run(), run("label")
-    monkeypatch.setattr(R, "BROADCAST_BYTES", 3000)
-    assert (run(), run("label")) == whole and len(whole[0]) == 3 * q.count()
-
-
 def test_citations_of_bare_chunks(spark):
     bare = spark.createDataFrame([("q", "a", None, "")], "query_id string, chunk_id string, source_file string, department string")
     assert R.citations(bare).first().asDict() == {"query_id": "q", "chunk_id": "a", "source_file": "unknown", "department": None, "section": None, "quarter": None, "year": None}
