@@ -40,14 +40,51 @@ def usage_total(costs: DataFrame, start: str, end: str) -> DataFrame:
     return rows.rollup("call_site").agg(F.count("*").alias("calls"), F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("cost")).select(F.coalesce("call_site", F.lit("(all)")).alias("call_site"), "calls", "cost")
 
 
+#: Judgements from which on a chunk has a score.
+JUDGED = 5
+
+
+def judgement_runs(judgements: DataFrame) -> DataFrame:
+    """Runs of judgements (chunk_id, seq, good) as states that can be merged in order: chunk_id, run, n, good, lows.
+
+    Over a run, let d be twice the good judgements so far less all so far; a score is too low if d is negative. lows[t - 1] is the least d
+    after t or more judgements of the run, for t to JUDGED: what is needed to tell, whatever came before, whether a score was too low
+    at a time when the chunk had JUDGED. Runs are ranges of seq, so that a chunk with most rows is spread over tasks.
+    """
+    parts = int(judgements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = judgements.select("chunk_id", "seq", "good").repartitionByRange(parts, "seq").withColumn("run", F.spark_partition_id())
+    so_far = Window.partitionBy("chunk_id", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("k", F.count("*").over(so_far)).withColumn("d", 2 * F.count_if("good").over(so_far) - F.col("k"))
+    lows = F.array(*(F.min(F.when(F.col("k") >= t, F.col("d"))) for t in range(1, JUDGED + 1)))
+    return rows.groupBy("chunk_id", "run").agg(F.count("*").alias("n"), F.count_if("good").alias("good"), lows.alias("lows"))
+
+
+def merged_runs(a: Column, b: Column) -> Column:
+    """The state of run a followed by run b. Associative."""
+    d = 2 * a["good"] - a["n"]
+    later = lambda t: d + F.get(b["lows"], F.greatest(F.lit(t) - a["n"], F.lit(1)).cast("int") - 1)
+    lows = F.array(*(F.least(F.get(a["lows"], F.lit(t - 1)), later(t)) for t in range(1, JUDGED + 1)))
+    return F.struct((a["n"] + b["n"]).alias("n"), (a["good"] + b["good"]).alias("good"), lows.alias("lows"))
+
+
+def performance(states: DataFrame) -> DataFrame:
+    """chunk_id, retrieved, good, bad, flagged, score of states (chunk_id, n, good, lows)."""
+    flagged = F.coalesce(F.get("lows", F.lit(JUDGED - 1)) < 0, F.lit(False))
+    score = F.when(F.col("n") >= JUDGED, F.bround(F.col("good") / F.col("n") * 5, 2))
+    return states.select("chunk_id", F.col("n").alias("retrieved"), "good", (F.col("n") - F.col("good")).alias("bad"), flagged.alias("flagged"), score.alias("score"))
+
+
+def performance_states(judgements: DataFrame) -> DataFrame:
+    """One state per chunk: its runs, which are as many as partitions at most, merged in order."""
+    state = "struct<n: bigint, good: bigint, lows: array<bigint>>"
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("good"), F.array(*[F.lit(None)] * JUDGED).alias("lows")).cast(state)
+    runs = judgement_runs(judgements).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("run", "n", "good", "lows"))).alias("runs"))
+    return runs.select("chunk_id", F.aggregate("runs", none, lambda a, b: merged_runs(a, b).cast(state)).alias("s")).select("chunk_id", "s.*")
+
+
 def chunk_performance(judgements: DataFrame) -> DataFrame:
-    """M4: running counts per chunk in order; the flag stays once a running score was too low."""
-    so_far = Window.partitionBy("chunk_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = judgements.withColumn("k", F.count("*").over(so_far)).withColumn("g", F.count_if("good").over(so_far))
-    score = F.when(F.col("k") >= 5, F.col("g") / F.col("k") * 5)
-    rows = rows.withColumn("low", F.coalesce(score < 2.5, F.lit(False)))
-    per = rows.groupBy("chunk_id").agg(F.count("*").alias("retrieved"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"), F.bool_or("low").alias("flagged"))
-    return per.withColumn("score", F.when(F.col("retrieved") >= 5, F.bround(F.col("good") / F.col("retrieved") * 5, 2)))
+    """M4: counts per chunk in order of seq; the flag stays once a running score was below 2.5, from the fifth judgement on."""
+    return performance(performance_states(judgements))
 
 
 def low_scoring(logs: DataFrame, least: float, as_of: str | None = None, months: int = 3) -> DataFrame:

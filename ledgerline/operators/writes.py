@@ -1,4 +1,4 @@
-"""Keyed writes and lookups (S1 to S19). Plain Parquet has no row updates: each is an anti-join and a union, written as a whole."""
+"""Keyed writes and lookups (S1 to S19). As frames, each is an anti-join and a union; sources/keyed.py has the tables on disk, of which only touched buckets are rewritten."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ledgerline.functions import text as T
+from ledgerline.sources.keyed import KeyedTable
 
 from .corpus import clip
 
@@ -49,6 +50,19 @@ def upsert_documents(documents: DataFrame, batch: DataFrame, as_of: str) -> Data
     return documents.join(fresh.select("source_file"), "source_file", "left_anti").unionByName(fresh)
 
 
+def put_documents(table: KeyedTable, batch: DataFrame, as_of: str) -> None:
+    """S5 on disk: only the buckets of the batch's files are rewritten."""
+    now = F.lit(as_of).cast("timestamp")
+
+    def times(fresh: DataFrame, old: DataFrame | None) -> DataFrame:
+        if old is None:
+            return fresh.withColumns({"ingested_at": now, "reingested_at": F.lit(None).cast("timestamp")})
+        known = old.select("source_file", F.col("ingested_at").alias("_at"))
+        return fresh.join(known, "source_file", "left").withColumns({"ingested_at": F.coalesce("_at", now), "reingested_at": F.when(F.col("_at").isNotNull(), now)}).drop("_at")
+
+    table.upsert(batch, "seq", times)
+
+
 def upsert_chunks(chunks: DataFrame, batch: DataFrame) -> DataFrame:
     """Chunks (chunk_id, embedding, text, payload) with the batch's rows that have an embedding, of each chunk the one of the greatest seq; payload is its other columns as JSON."""
     fixed = ("chunk_id", "embedding", "text")

@@ -194,11 +194,12 @@ costs = lambda t: M.usage_cost(t.llm_usage)
 query("M1_usage_cost", lambda t: costs(t).select("id", "model", "cost"), f"SELECT id, model, cost::DOUBLE AS cost FROM ({COST})", "llm_usage")
 query("M2_usage_report", lambda t: M.usage_report(costs(t), *SPAN), "SELECT call_site, model, count(*) AS calls, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in M.TOKENS) + f", sum(cost)::DOUBLE AS cost FROM ({COST}) WHERE {IN} GROUP BY ALL", "llm_usage")
 query("M3_usage_total", lambda t: M.usage_total(costs(t), *SPAN), f"SELECT coalesce(call_site, '(all)') AS call_site, count(*) AS calls, coalesce(sum(cost)::DOUBLE, 0) AS cost FROM ({COST}) WHERE {IN} GROUP BY ROLLUP (call_site)", "llm_usage")
-query(
-    "M4_chunk_performance", lambda t: M.chunk_performance(t.judgements),
+#: Of M4, the SQL and its view: running prefixes in order.
+M4 = (
     """SELECT chunk_id, count(*) AS retrieved, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE NOT good) AS bad, bool_or(k >= 5 AND g / k * 5 < 2.5) AS flagged, CASE WHEN count(*) >= 5 THEN round_even(count(*) FILTER (WHERE good) / count(*) * 5, 2) END AS score
   FROM (SELECT *, count(*) OVER w AS k, count(*) FILTER (WHERE good) OVER w AS g FROM v_judgements WINDOW w AS (PARTITION BY chunk_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) GROUP BY 1""", "judgements",
 )
+query("M4_chunk_performance", lambda t: M.chunk_performance(t.judgements), *M4)
 low = lambda t: M.low_scoring(t.query_scores.withColumn("retrieval", F.col("retrieval")), 2.0, "2026-06-01")
 query("M5_low_scoring", lambda t: low(t).select("query_id", "store", "asked"), "SELECT query_id, store, asked::VARCHAR AS asked FROM v_query_scores WHERE (retrieval < 2 OR accuracy < 2 OR completeness < 2) AND asked >= DATE '2026-03-01'", "query_scores")
 query("M6_failures_by_store", lambda t: M.failures_by_store(low(t)), "SELECT coalesce(store, 'unknown') AS store, count(*) AS n FROM v_query_scores WHERE (retrieval < 2 OR accuracy < 2 OR completeness < 2) AND asked >= DATE '2026-03-01' GROUP BY 1", "query_scores")

@@ -12,6 +12,7 @@ from ledgerline.operators import writes as S
 from ledgerline.sources.scratch import scratch_path
 from ledgerline.streaming import jobs
 
+from .analytics import M4
 from .corpus import SECTIONS
 from .registry import query
 
@@ -223,17 +224,20 @@ def places(t) -> tuple[str, str]:
 
 def stream_elements(t):
     state, out = places(t)
-    lines = stream(t, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"), F.posexplode(F.split("text", "\n")).alias("elem_idx", "text"))
+    parts = F.split("text", "\n")
+    lines = stream(t, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"), F.size(parts).alias("n"), F.posexplode(parts).alias("elem_idx", "text"))
     kind = F.when(F.length("text") < 60, "Title").when(F.col("elem_idx") % 7 == 6, "Table").otherwise("NarrativeText")
-    jobs.stream_new_elements(lines.withColumn("page_number", F.floor(F.col("elem_idx") / 20).cast("int") + 1).withColumn("element_type", kind), state, out).awaitTermination()
-    return t.spark.read.parquet(out).groupBy("source_file").agg(F.count("*").alias("n"), F.count_if(F.col("content_type") == "header").alias("headers"))
+    lines = lines.withColumns({"page_number": F.floor(F.col("elem_idx") / 20).cast("int") + 1, "element_type": kind, "last": F.col("elem_idx") == F.col("n") - 1})
+    jobs.stream_new_elements(lines, state, out, t.profiles).awaitTermination()
+    chunks = jobs.new_chunks(t.spark, out)
+    return chunks.groupBy("source_file").agg(F.count("*").alias("n"), F.count_if(F.col("content_type") == "header").alias("headers"), F.max("total_chunks").alias("total"), F.max("document_type").alias("document_type"))
 
 
 def stream_performance(t):
     state, out = places(t)
-    rows = stream(t, "events").select(F.col("user_id").alias("chunk_id"), (F.col("event_type") != "error").alias("good"))
+    rows = stream(t, "events").select(F.col("user_id").alias("chunk_id"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("good"))
     jobs.stream_chunk_performance(rows, state, out).awaitTermination()
-    return t.spark.read.parquet(out).where(F.col("version") == t.spark.read.parquet(out).agg(F.max("version")).first()[0]).drop("version")
+    return jobs.performance_so_far(t.spark, out)
 
 
 def stream_cost(t):
@@ -244,9 +248,9 @@ def stream_cost(t):
     return jobs.usage_by_day(t.spark, out)
 
 
-query("T1_stream_new_elements", stream_elements, f"+ RECURSIVE {SECTIONS} SELECT source_file, count(*) AS n, count(*) FILTER (WHERE element_type IN ('Title', 'Header')) AS headers FROM chunked GROUP BY 1", "elements")
 query(
-    "T2_stream_chunk_performance", stream_performance,
-    "SELECT *, coalesce(score < 2.5, false) AS flagged FROM (SELECT user_id AS chunk_id, count(*) AS retrieved, count(*) FILTER (WHERE event_type <> 'error') AS good, count(*) FILTER (WHERE event_type = 'error') AS bad, CASE WHEN count(*) >= 5 THEN round_even(count(*) FILTER (WHERE event_type <> 'error') / count(*) * 5, 2) END AS score FROM events GROUP BY 1)",
+    "T1_stream_new_elements", stream_elements,
+    f"+ RECURSIVE {SECTIONS} SELECT c.source_file, count(*) AS n, count(*) FILTER (WHERE c.element_type IN ('Title', 'Header')) AS headers, count(*) AS total, any_value(p.document_type) AS document_type FROM chunked c JOIN v_profiles p ON p.source_file = c.source_file GROUP BY 1", "elements", "profiles",
 )
+query("T2_stream_chunk_performance", stream_performance, *M4)
 query("T3_stream_usage_cost", stream_cost, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type AS call_site, count(*) AS calls, sum(((event_id % 4000) * 3 / 1e6)::DECIMAL(12,6))::DOUBLE AS cost FROM events GROUP BY ALL")

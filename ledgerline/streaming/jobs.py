@@ -2,48 +2,172 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as ST
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ledgerline.functions import text as T
-from ledgerline.operators.corpus import chunk_sections
-from ledgerline.operators.reports import usage_cost
+from ledgerline.operators.corpus import chunk_all, chunk_metadata, chunk_sections
+from ledgerline.operators.reports import JUDGED, performance, usage_cost
+from ledgerline.sources.keyed import KeyedTable
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ELEMENT = "source_file string, elem_idx int, page_number int, element_type string, text string"
+#: Elements that a task hands on at once.
+SLICE = 10_000
+
+
+class WholeFiles(StatefulProcessor):
+    """Holds the elements of a file until all have come: those up to the one marked `last`. An unmarked file counts as whole when nothing has come for `idle_ms`."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("elements", "elem_idx int, page_number int, element_type string, text string")
+        self.about = handle.getValueState("about", "seen long, total long, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows), ignore_index=True)
+        seen, total, timer = self.about.get() if self.about.exists() else (0, None, None)
+        ends = fresh.loc[fresh["last"], "elem_idx"]
+        total = int(ends.max()) + 1 if len(ends) else total
+        if total is not None and seen + len(fresh) >= total:
+            yield from self.whole(key, fresh, seen > 0)
+            self.forget(timer)
+            return
+        columns = fresh[["elem_idx", "page_number", "element_type", "text"]].astype(object).where(fresh.notna(), None)
+        self.held.appendList(list(columns.itertuples(index=False, name=None)))
+        self.forget(timer, False)
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+        self.handle.registerTimer(timer)
+        self.about.update((seen + len(fresh), total, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.about.exists() and self.about.get()[2] == expiredTimerInfo.getExpiryTimeInMs():
+            yield from self.whole(key, None, True)
+            self.forget(None)
+
+    def whole(self, key, fresh, held: bool) -> Iterator[pd.DataFrame]:
+        columns = ["elem_idx", "page_number", "element_type", "text"]
+        rows = [fresh[columns]] if fresh is not None else []
+        if held:
+            rows.append(pd.DataFrame(list(self.held.get()), columns=columns))
+        rows = pd.concat(rows, ignore_index=True).astype({"elem_idx": "int32", "page_number": "int32"})
+        rows.insert(0, "source_file", key[0])
+        for a in range(0, len(rows), SLICE):
+            yield rows.iloc[a : a + SLICE]
+
+    def forget(self, timer, all_: bool = True) -> None:
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        if all_ and self.about.exists():
+            self.held.clear()
+            self.about.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def chunked(elements: DataFrame, profiles: DataFrame | None, types: DataFrame | None) -> DataFrame:
+    """Whole files as classified chunks with their metadata: C1, P11 and P18. Without types every file is cut at sections; without profiles all are unclassified."""
+    spark = elements.sparkSession
+    if profiles is None:
+        profiles = spark.createDataFrame([], "source_file string, document_type string, department string, period string")
+    cut = chunk_sections(elements) if types is None else chunk_all(elements, profiles, types)
+    cut = cut.withColumn("content_type", F.coalesce(T.content_rule(F.col("element_type"), F.col("text")), F.lit("narrative")))
+    return chunk_metadata(cut, profiles)
+
+
+def stream_new_elements(elements: DataFrame, checkpoint_dir: str, out_dir: str, profiles: DataFrame | None = None, types: DataFrame | None = None, idle_ms: int = 3_600_000, buckets: int = 16) -> StreamingQuery:
+    """Elements (source_file, elem_idx, page_number, element_type, text, last) as chunks of whole files in a keyed table, read by new_chunks().
+
+    `last` marks a file's last element. A file may come in any number of batches and in any order: its elements wait in the state store
+    until they are whole, or until none has come for idle_ms. Then the file is chunked, classified and tagged, and its chunks replace
+    those of an earlier version, in the buckets that its files fall into. A batch that runs again writes the same rows.
+    """
+    spark = elements.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # with timers, batches without data would follow each other for ever
+    rows = elements.select("source_file", *(F.col(c).cast("int").alias(c) for c in ("elem_idx", "page_number")), "element_type", "text", F.coalesce("last", F.lit(False)).alias("last"))
+    files = rows.groupBy("source_file").transformWithStateInPandas(WholeFiles(idle_ms), ELEMENT, "Append", "ProcessingTime")
 
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()  # the table's writes look at the batch more than once
+        KeyedTable(batch.sparkSession, out_dir, "source_file", buckets).replace(chunked(batch, profiles, types), batch.select("source_file").distinct())
+        batch.unpersist()
 
-def stream_new_elements(elements: DataFrame, checkpoint_dir: str, out_dir: str) -> StreamingQuery:
-    """Each new element file once, chunked and classified, appended by batch.
+    return files.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
 
-    A batch writes a folder of its own, so a batch that runs again after a failure replaces what it wrote.
-    """
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        chunks = chunk_sections(batch)
-        chunks = chunks.withColumn("content_type", F.coalesce(T.content_rule(F.col("element_type"), F.col("text")), F.lit("narrative")))
-        chunks.write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
+def new_chunks(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The result of T1 so far."""
+    return KeyedTable(spark, out_dir, "source_file").read()
+
+
+class Judgements(StatefulProcessor):
+    """The state of a chunk's judgements so far, see reports.judgement_runs: counts, and the least balances from the t-th judgement on."""
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("state", ST.StructType([ST.StructField(c, ST.LongType()) for c in ("n", "good", *(f"low{t}" for t in range(1, JUDGED + 1)))]))
 
-    return elements.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat([r[["seq", "good"]] for r in rows]).sort_values("seq", kind="stable")["good"].to_numpy(bool)
+        n, good, *lows = self.state.get() if self.state.exists() else (0, 0, *[None] * JUDGED)
+        balance = 2 * (good + fresh.cumsum()) - (n + pd.RangeIndex(1, len(fresh) + 1).to_numpy())
+        for t in range(1, JUDGED + 1):
+            part = balance[max(0, t - n - 1) :]
+            if len(part):
+                lows[t - 1] = int(part.min()) if lows[t - 1] is None else min(lows[t - 1], int(part.min()))
+        n, good = n + len(fresh), good + int(fresh.sum())
+        self.state.update((n, good, *lows))
+        yield pd.DataFrame({"chunk_id": [key[0]], "n": [n], "good": [good], "lows": [lows]})
+
+    def close(self) -> None:
+        pass
 
 
 def stream_chunk_performance(judgements: DataFrame, checkpoint_dir: str, out_dir: str) -> StreamingQuery:
-    """Running good and bad counts per chunk; a flag once raised stays.
+    """Judgements (chunk_id, seq, good) as a log of changed chunks, read by performance_so_far(). A flag once raised stays, also one raised inside a batch.
 
-    State is one row per chunk. Each batch reads the last written version, adds the flag and writes the next; the version is
-    the batch's number, so a repeated batch writes the same folder.
+    Each chunk's state is in the state store, and a batch writes the states of its own chunks alone, to a folder of its own, which a batch that runs
+    again replaces. Inside a batch judgements are taken by seq, and batches as they come.
     """
-    counts = judgements.groupBy("chunk_id").agg(F.count("*").alias("retrieved"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    spark = judgements.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kind = judgements.schema["chunk_id"].dataType.simpleString()
+    states = judgements.select("chunk_id", "seq", "good").groupBy("chunk_id").transformWithStateInPandas(Judgements(), f"chunk_id {kind}, n long, good long, lows array<long>", "Update", "None")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        score = F.when(F.col("retrieved") >= 5, F.bround(F.col("good") / F.col("retrieved") * 5, 2))
-        fresh = batch.withColumn("score", score).withColumn("flagged", F.coalesce(score < 2.5, F.lit(False)))
-        if epoch > 0:
-            old = spark.read.parquet(f"{out_dir}/version={epoch - 1}")
-            fresh = fresh.join(old.select("chunk_id", F.col("flagged").alias("was")), "chunk_id", "left").withColumn("flagged", F.col("flagged") | F.coalesce("was", F.lit(False))).drop("was")
-            fresh = old.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{out_dir}/version={epoch}")
-
-    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{out_dir}/kind=log/batch={epoch}")
+
+    return states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+
+
+def newest_states(spark: SparkSession, out_dir: str) -> tuple[DataFrame, int]:
+    """Of each chunk the newest state, from the newest compaction and the batches after it; and the newest batch."""
+    log = spark.read.parquet(out_dir)
+    marks = log.agg(F.max(F.when(F.col("kind") == "base", F.col("batch"))).alias("base"), F.max("batch").alias("last")).first()
+    rows = log.where(F.col("batch") > F.lit(-1 if marks.base is None else marks.base)).where("kind = 'log'")
+    if marks.base is not None:
+        rows = rows.unionByName(log.where((F.col("kind") == "base") & (F.col("batch") == F.lit(marks.base))))
+    return rows.groupBy("chunk_id").agg(F.max_by(F.struct("n", "good", "lows"), "batch").alias("s")).select("chunk_id", "s.*"), marks.last
+
+
+def performance_so_far(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The result of T2 so far, as M4 shows it."""
+    return performance(newest_states(spark, out_dir)[0])
+
+
+def compact_performance(spark: SparkSession, out_dir: str) -> None:
+    """Writes the newest states as a table that readers take instead of the batches up to it; those may then be removed."""
+    states, last = newest_states(spark, out_dir)
+    states.write.mode("overwrite").parquet(f"{out_dir}/kind=base/batch={last}")
 
 
 def stream_usage_cost(usage: DataFrame, checkpoint_dir: str, out_dir: str) -> StreamingQuery:

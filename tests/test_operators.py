@@ -206,23 +206,6 @@ def test_last_row_of_a_chunk_wins(spark):
     assert [tuple(r) for r in S.upsert_chunks(old, batch).select("chunk_id", "text", "payload").collect()] == [("a", "y", '{"dept":"q"}')]
 
 
-def test_stream_of_two_parts_and_a_restart(spark, tmp_path):
-    from ledgerline.streaming import jobs
-
-    schema = "chunk_id long, good boolean"
-    source, state, out = (str(tmp_path / x) for x in ("in", "state", "out"))
-
-    def run(rows, part):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/{part}")
-        jobs.stream_chunk_performance(spark.readStream.schema(schema).parquet(f"{source}/*"), state, out).awaitTermination()
-        parts = spark.read.parquet(out)
-        last = parts.agg(F.max("version")).first()[0]
-        return {r.chunk_id: (r.retrieved, r.good, r.flagged) for r in parts.where(F.col("version") == last).collect()}
-
-    assert run([(1, False)] * 5 + [(2, True)], "a") == {1: (5, 0, True), 2: (1, 1, False)}
-    assert run([(1, True)] * 20 + [(3, True)], "b") == {1: (25, 20, True), 2: (1, 1, False), 3: (1, 1, False)}
-
-
 def test_citations_of_bare_chunks(spark):
     bare = spark.createDataFrame([("q", "a", None, "")], "query_id string, chunk_id string, source_file string, department string")
     assert R.citations(bare).first().asDict() == {"query_id": "q", "chunk_id": "a", "source_file": "unknown", "department": None, "section": None, "quarter": None, "year": None}
