@@ -68,12 +68,13 @@ class Flatten:
         return "".join(self.out)
 
     def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"no part of type {part.get('type')}")
+        """A placeholder that stands for no tokens; the attachment keeps the type's name."""
+        self.attach(part, 0, "document")
 
-    def attach(self, part: dict, tokens: int) -> None:
+    def attach(self, part: dict, tokens: int, name: str | None = None) -> None:
         self.close()
         self.attachments.append({"kind": part["type"], "ref": part.get("ref"), "place": len(self.attachments), "tokens": tokens})
-        self.out.append(f"<|{part['type']}:{len(self.attachments) - 1}|>")
+        self.out.append(f"<|{name or part['type']}:{len(self.attachments) - 1}|>")
 
     def visit_image(self, part: dict) -> None:
         self.attach(part, math.ceil((part.get("width") or 0) / PATCH) * math.ceil((part.get("height") or 0) / PATCH))
@@ -89,7 +90,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text and, optionally, parts) as conv_id, turn, formatted, attachments, extra_tokens.
 
     One row per row, also of repeated ones. Null text is empty, null role is empty; texts of any length are kept whole. Where
-    parts is not null, it replaces text. Further columns are ignored, of whatever name; an empty table gives an empty result.
+    parts is not null, it replaces text; a part of an unknown type becomes an attachment of that type, of 0 tokens, with the placeholder of a
+    document. Further columns are ignored, of whatever name; an empty table gives an empty result.
     """
     parts = F.col("parts").cast(PARTS) if "parts" in turns.columns else F.lit(None).cast(PARTS)
 

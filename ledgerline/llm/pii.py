@@ -228,13 +228,10 @@ class Network:
         """Positions and tags of the characters that each text's windows cover.
 
         Windows that overlap form a run. A character's scores are the mean of its windows' scores, weighted by how far it is
-        from their ends, and the best path is sought over the run as a whole, so that windows cannot disagree about a span.
+        from their ends, and the best path is sought over the run as a whole, so that windows cannot disagree about a span. A run of more
+        than PIECE windows is decoded in pieces that share OVER windows; each gives the tags up to the middle of what it shares.
         """
         work = [(i, s) for i, t in enumerate(texts) for s in windows_of(t)]
-        score = np.zeros((len(work), WINDOW, TAGS), np.float32)
-        for a in range(0, len(work), 512):
-            x = np.concatenate([padded(texts[i], [s]) for i, s in work[a : a + 512]])
-            score[a : a + 512] = self.emissions(x.T)[0].transpose(1, 0, 2)
         weight = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)[:, None]
         runs: list[list[int]] = []
         for k, (i, s) in enumerate(work):
@@ -242,29 +239,46 @@ class Network:
                 runs[-1].append(k)
             else:
                 runs.append([k])
-        out = [([], []) for _ in texts]
-        runs.sort(key=len)
-        for group in split_runs(runs):
-            long = (len(group[-1]) - 1) * STEP + WINDOW
+        found = []  # text, first position, tags
+        for group in split_runs(sorted((p for run in runs for p in pieces(run)), key=lambda p: len(p[0]))):
+            long = (len(group[-1][0]) - 1) * STEP + WINDOW
             total, mass = np.zeros((long, len(group), TAGS), np.float32), np.zeros((long, len(group), 1), np.float32)
-            for r, run in enumerate(group):
-                for n, k in enumerate(run):
-                    total[n * STEP : n * STEP + WINDOW, r] += score[k] * weight
+            places = [(r, n, k) for r, (run, _, _) in enumerate(group) for n, k in enumerate(run)]
+            for a in range(0, len(places), 512):
+                part = places[a : a + 512]
+                score = self.emissions(np.concatenate([padded(texts[work[k][0]], [work[k][1]]) for _, _, k in part]).T)[0]
+                for c, (r, n, _) in enumerate(part):
+                    total[n * STEP : n * STEP + WINDOW, r] += score[:, c] * weight
                     mass[n * STEP : n * STEP + WINDOW, r] += weight
             best = self.decode(total / np.maximum(mass, 1))
-            for run, row in zip(group, best, strict=True):
+            for (run, before, behind), row in zip(group, best, strict=True):
                 i, s = work[run[0]]
-                lo, hi = max(s, 0), min(s + (len(run) - 1) * STEP + WINDOW, len(texts[i]))
-                out[i][0].append(np.arange(lo, hi))
-                out[i][1].append(row[lo - s : hi - s])
+                lo, hi = max(s + before, 0), min(s + (len(run) - 1) * STEP + WINDOW - behind, len(texts[i]))
+                found.append((i, lo, row[lo - s : hi - s]))
+        out: list[tuple[list, list]] = [([], []) for _ in texts]
+        for i, lo, tags in sorted(found, key=lambda x: x[:2]):
+            out[i][0].append(np.arange(lo, lo + len(tags)))
+            out[i][1].append(tags)
         return [(np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *tag])) for at, tag in out]
 
 
-def split_runs(runs: list[list[int]], most: int = 1024):
-    """Runs by length in groups of at most `most` windows; a longer run is a group of its own."""
-    held: list[list[int]] = []
+#: Windows of a run that are decoded as one at most, and those that two pieces of a longer run share.
+PIECE, OVER = 1024, 8
+
+
+def pieces(run: list[int]) -> list[tuple[list[int], int, int]]:
+    """A run of windows as pieces, each with the characters at its start and at its end that its neighbours give."""
+    starts = range(0, max(1, len(run) - OVER), PIECE - OVER)
+    middle = (OVER - 1) * STEP // 2 + WINDOW // 2
+    behind = (OVER - 1) * STEP + WINDOW - middle
+    return [(run[a : a + PIECE], middle if a else 0, behind if a + PIECE < len(run) else 0) for a in starts]
+
+
+def split_runs(runs: list[tuple[list[int], int, int]], most: int = 1024):
+    """Runs by length in groups of at most `most` windows."""
+    held: list[tuple[list[int], int, int]] = []
     for run in runs:
-        if held and (len(held) + 1) * len(run) > most:
+        if held and (len(held) + 1) * len(run[0]) > most:
             yield held
             held = []
         held.append(run)
@@ -311,8 +325,14 @@ def padded(text: str, starts: list[int]) -> np.ndarray:
     return out
 
 
+#: What any base span contains: an address's sign between letters, or digits with signs between them.
+LIKELY = r"[A-Za-z0-9]@[A-Za-z0-9]|[0-9]{1,3}(\.[0-9]{1,3}){3}|[0-9]([ -]?[0-9]){13}|\+[0-9][ ().0-9-]{8}"
+
+
 def train(docs: DataFrame) -> Network | None:
-    """A network trained on windows of at most DOCUMENTS texts with a digit or an at sign, those of the smallest hash; None without any base span there.
+    """A network trained on windows of at most DOCUMENTS texts with a digit or an at sign, those of the smallest hash.
+
+    If these hold no base span, texts that look like holding one are drawn; None if there is none either: nothing can be learnt then.
 
     docs: text; other columns are ignored. Null and empty texts, and an empty table, teach nothing; equal texts count once. Of
     long texts all windows are candidates.
@@ -331,9 +351,16 @@ def train(docs: DataFrame) -> Network | None:
 
     own = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    # about four times as many as asked for go on to the ranking, however many there are
-    some = own.where(place < F.lit(int(4 * DOCUMENTS * (1 << 30) / max(1, own.count())))).distinct().orderBy(place, "text").limit(DOCUMENTS)
-    seen = some.mapInArrow(run, "window string, hit boolean").distinct().orderBy(F.desc("hit"), F.xxhash64("window")).limit(SAMPLE).collect()
+
+    def drawn(texts: DataFrame) -> list:
+        # of distinct texts, so that copies don't crowd out others: about four times as many as asked for go on to the ranking
+        distinct = texts.agg(F.approx_count_distinct("text", 0.02)).first()[0]
+        some = texts.where(place < F.lit(int(4 * DOCUMENTS * (1 << 30) / max(1, distinct)))).distinct().orderBy(place, "text").limit(DOCUMENTS)
+        return some.mapInArrow(run, "window string, hit boolean").distinct().orderBy(F.desc("hit"), F.xxhash64("window")).limit(SAMPLE).collect()
+
+    seen = drawn(own)
+    if not any(r.hit for r in seen):
+        seen = drawn(own.where(F.col("text").rlike(LIKELY)))  # spans are rare: draw among texts that may hold one
     if not any(r.hit for r in seen):
         return None
     rng, x, y = np.random.default_rng(SEED), [], []

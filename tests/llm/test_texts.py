@@ -379,3 +379,34 @@ def test_runs_of_windows_are_decoded_as_one():
     want = net.decode((score / np.maximum(mass, 1))[lo:hi, None].astype(np.float32))[0]
     at, tag = net.tags(["", text, "no trigger"])[1]
     assert (at == np.arange(len(text))).all() and (tag == want[at + 64 - lo]).all()
+
+
+def test_long_runs_are_decoded_in_pieces(monkeypatch):
+    net, rng = pii.Network(3), np.random.default_rng(4)
+    text = "".join(rng.choice(list("ab1@. "), 20_000))
+    whole, tags = net.tags([text])[0]
+    monkeypatch.setattr(pii, "PIECE", 32)
+    at, cut = net.tags([text])[0]
+    assert (at == whole).all() and (cut == tags).mean() > 0.999
+    pieces = pii.pieces(list(range(100)))
+    assert sorted({k for run, _, _ in pieces for k in run}) == list(range(100)) and max(len(run) for run, _, _ in pieces) == 32
+
+
+def test_copies_do_not_crowd_out_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    texts = spark.range(200_000).selectExpr("concat('mail a', id % 50, '@b.org or call +1 555 000 ', 1000 + id % 50) as text")
+    assert pii.train(texts) is not None
+
+
+def test_rare_spans_are_still_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    texts = spark.range(20_000).selectExpr("if(id = 777, 'write to someone@example.org', concat('number ', id)) as text")
+    assert pii.train(texts) is not None
+    assert pii.train(texts.where("text like 'number%'")) is None
+
+
+def test_parts_of_unknown_types_are_attachments(spark):
+    parts = [{"type": "video<|end|>", "ref": "v1"}, {"type": None, "text": "hi"}]
+    row = chat.format_turns(spark.createDataFrame([(1, 0, "user", None, parts)], f"conv_id long, turn long, role string, text string, parts {chat.PARTS}")).first()
+    assert row.formatted == "<|turn|>user<|text|><|document:0|>hi<|end|>" and row.extra_tokens == 0
+    assert [(a.kind, a.ref, a.tokens) for a in row.attachments] == [("video<|end|>", "v1", 0)]
