@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.scratch import written
+
 EDGE = ["src_label", "src", "rel", "dst_label", "dst"]
 
 
@@ -83,11 +85,21 @@ def related(edges: DataFrame, rel: str, src_label: str | None = None) -> DataFra
     return rows.select("src", "dst")
 
 
-def reports_to_chain(edges: DataFrame, depth: int = 5) -> DataFrame:
-    """(person, boss, steps) up to `depth` steps of REPORTS_TO."""
-    step = edges.where("rel = 'REPORTS_TO'").select(F.col("src").alias("person"), F.col("dst").alias("boss")).distinct()
-    out, last = step.withColumn("steps", F.lit(1)), step
-    for n in range(2, depth + 1):
-        last = last.join(step.select(F.col("person").alias("boss"), F.col("boss").alias("next")), "boss").select("person", F.col("next").alias("boss")).distinct()
-        out = out.unionByName(last.withColumn("steps", F.lit(n)))
-    return out.groupBy("person", "boss").agg(F.min("steps").cast("long").alias("steps"))
+def reports_to_chain(edges: DataFrame) -> DataFrame:
+    """(person, boss, steps, cycle): all who are reached by following REPORTS_TO any number of times, with the least number of steps.
+
+    Chains double: what is known of up to n steps is joined with itself, so a chain of n takes log2(n) rounds, each a join of written
+    tables. A person on a cycle reaches oneself: that row, and only such, has cycle true and as steps the length of the shortest
+    cycle. Edges without both ends are left out. The result has a row for each pair, so it grows with the length of chains.
+    """
+    step = edges.where("rel = 'REPORTS_TO' and src is not null and dst is not null").select(F.col("src").alias("person"), F.col("dst").alias("boss")).distinct()
+    known, mark = written(step.withColumn("steps", F.lit(1).cast("long")), "chains"), None
+    while True:
+        # pairs only become more, and their steps fewer
+        now = known.agg(F.count("*"), F.sum("steps")).first()
+        if now == mark:
+            return known.withColumn("cycle", F.col("person") == F.col("boss"))
+        mark = now
+        onward = known.select(F.col("person").alias("boss"), F.col("boss").alias("next"), F.col("steps").alias("more"))
+        joined = known.where("person <> boss").join(onward, "boss").select("person", F.col("next").alias("boss"), (F.col("steps") + F.col("more")).alias("steps"))
+        known = written(known.unionByName(joined).groupBy("person", "boss").agg(F.min("steps").alias("steps")), "chains")

@@ -228,3 +228,23 @@ def test_files_are_listed_by_name(spark, tmp_path):
     for name in ("in/b.pdf", "a.pdf", "c.txt"):
         (tmp_path / name).write_bytes(b"123")
     assert sorted((r.source_file, r.length) for r in S.listed_files(spark, str(tmp_path)).collect()) == [("a.pdf", 3), ("b.pdf", 3)]
+
+
+def closure(edges):
+    out = {}
+    for start in {a for a, _ in edges}:
+        level, n = {start}, 0
+        while level:
+            n += 1
+            level = {b for a, b in edges if a in level} - {b for p, b in out if p == start}
+            out |= {(start, b): n for b in level}
+    return out
+
+
+def test_chains_of_any_length_and_cycles(spark):
+    edges = {(f"p{i}", f"p{i + 1}") for i in range(40)} | {("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("x", "x"), ("p3", "c")}
+    rows = [("REPORTS_TO", a, b) for a, b in edges] + [("REPORTS_TO", "a", "b"), ("DIRECTS", "q", "r"), ("REPORTS_TO", None, "a"), ("REPORTS_TO", "a", None)]
+    got = G.reports_to_chain(spark.createDataFrame(rows, "rel string, src string, dst string")).collect()
+    assert {(r.person, r.boss): r.steps for r in got} == closure(edges) and len(got) == len(closure(edges))
+    assert {r.person for r in got if r.cycle} == {"a", "b", "c", "x"}
+    assert G.reports_to_chain(spark.createDataFrame([], "rel string, src string, dst string")).count() == 0
