@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
+from ledgerline.sources.scratch import written
 
 
 def day(as_of: str) -> Column:
@@ -181,17 +186,32 @@ def tally(bucket: Column) -> list[Column]:
     return [F.count_if(bucket == b).alias(b) for b in BUCKETS]
 
 
-def votes_by_resolution(votes: DataFrame, resolutions: DataFrame) -> DataFrame:
+#: Members of a row of A17, and actions of a row of A21, about; longer lists are dealt to parts by id.
+PART = 1000
+
+
+def parts_of(n: Column, part: int = PART) -> Column:
+    return F.ceil(n / part).cast("long")
+
+
+def votes_by_resolution(votes: DataFrame, resolutions: DataFrame, part: int = PART) -> DataFrame:
     """Votes with their resolutions, tallied per number ('—' if unknown); repeated resolution rows repeat their votes.
 
-    Both sides are gathered per number first, so no pair of a vote and a resolution is ever a row; a member's entry is repeated as text.
+    Both sides are gathered per number first, so no pair of a vote and a resolution is ever a row; a member's entry is repeated as text. A
+    number's members are in parts of about `part` votes, each a row with the number's tallies: votes are dealt by id, so those
+    without a number, however many, never meet in one list.
     """
     res = resolutions.groupBy("resolution_number").agg(F.min(F.struct(F.col("id").alias("rid"), "title", F.col("amount").cast("double").alias("amount"))).alias("r"), F.count("*").alias("times"))
-    rows = votes.withColumn("bucket", T.vote_bucket(F.coalesce("vote", F.lit(""))))
-    per = rows.groupBy("resolution_number").agg(F.count("*").alias("total"), *tally(F.col("bucket")), F.array_sort(F.collect_list(F.struct("council_member", "bucket", "id"))).alias("members"))
+    rows = votes.select("resolution_number", "council_member", "id", T.vote_bucket(F.coalesce("vote", F.lit(""))).alias("bucket"))
+    per = rows.groupBy("resolution_number").agg(F.count("*").alias("total"), *tally(F.col("bucket"))).withColumn("parts", parts_of(F.col("total"), part))
+    # numbers whose votes fit a part need not meet their tallies to be dealt
+    many = per.where("parts > 1").select(F.col("resolution_number").alias("_n"), F.col("parts").alias("_p"))
+    dealt = rows.join(many, F.col("resolution_number").eqNullSafe(F.col("_n")), "left").withColumn("part", F.coalesce(F.pmod(F.col("id"), F.col("_p")), F.lit(0)))
+    lists = dealt.groupBy("resolution_number", "part").agg(F.array_sort(F.collect_list(F.struct("council_member", "bucket", "id"))).alias("members")).withColumnRenamed("resolution_number", "_n")
     out = per.join(res, "resolution_number", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    out = lists.join(out, F.col("resolution_number").eqNullSafe(F.col("_n")))
     members = F.array_join(F.transform("members", lambda m: F.array_join(F.array_repeat(F.concat_ws(":", m["council_member"], m["bucket"]), F.col("times").cast("int")), ",")), ",")
-    return out.select(F.coalesce("resolution_number", F.lit("—")).alias("number"), "r.title", "r.amount", *((F.col(c) * F.col("times")).alias(c) for c in ("total", *BUCKETS)), members.alias("members"))
+    return out.select(F.coalesce("resolution_number", F.lit("—")).alias("number"), "part", "r.title", "r.amount", *((F.col(c) * F.col("times")).alias(c) for c in ("total", *BUCKETS)), members.alias("members"))
 
 
 def votes_by_member(votes: DataFrame, resolutions: DataFrame) -> DataFrame:
@@ -227,10 +247,25 @@ def budget_lines(expenditures: DataFrame) -> DataFrame:
     return out.select("id", "dept_key", F.col("label").alias("department"), "account_number", "line_item", *figures).orderBy(F.desc("ytd"), "id")
 
 
-def meetings(meetings: DataFrame, actions: DataFrame) -> DataFrame:
-    """Meetings with the actions of their date; meetings without a date share those without one."""
-    per = actions.groupBy(F.col("meeting_date").alias("_d")).agg(F.array_sort(F.collect_list(F.struct("id", "line", "part", "item_type", "item_number"))).alias("actions"))
-    return meetings.join(per, F.col("meeting_date").eqNullSafe(F.col("_d")), "left").drop("_d").orderBy(F.desc_nulls_last("meeting_date"), "id")
+def meetings(meetings: DataFrame, actions: DataFrame, part: int = PART) -> DataFrame:
+    """Meetings with the actions of their date. A meeting's actions are in parts of about `part`, dealt by id, each a row with the meeting.
+
+    Meetings without a date share all actions without one, which would be repeated for each of them: these actions are given once, in rows of their
+    own without a meeting (null id), and such a meeting's own row has `undated` true and no list.
+    """
+    dated = actions.where("meeting_date is not null")
+    many = dated.groupBy("meeting_date").agg(parts_of(F.count("*"), part).alias("_p")).where("_p > 1")
+    entry = F.struct("id", "line", "part", "item_type", "item_number")
+    listed = lambda rows, *by: rows.groupBy(*by, "_part").agg(F.array_sort(F.collect_list(entry)).alias("actions"))
+    per = listed(dated.join(many, "meeting_date", "left").withColumn("_part", F.coalesce(F.pmod(F.col("id"), F.col("_p")), F.lit(0))), "meeting_date")
+    held = meetings.join(per, "meeting_date", "left").withColumn("undated", F.col("meeting_date").isNull())
+    rest = actions.where("meeting_date is null")
+    n = rest.agg(F.greatest(parts_of(F.count("*"), part), F.lit(1)).alias("_p"))
+    alone = listed(rest.crossJoin(F.broadcast(n)).withColumn("_part", F.pmod(F.col("id"), F.col("_p"))), "meeting_date")  # n is one row
+    kinds = {f.name: f.dataType for f in meetings.schema}
+    alone = alone.select(*(F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()), "_part", "actions", F.lit(True).alias("undated"))
+    out = held.select(*kinds, "_part", "actions", "undated").unionByName(alone)
+    return out.withColumn("part", F.coalesce("_part", F.lit(0))).drop("_part").orderBy(F.desc_nulls_last("meeting_date"), "id", "part")
 
 
 def vacancies_open(vacancies: DataFrame) -> DataFrame:
@@ -290,23 +325,54 @@ def grants_expiring(grants: DataFrame, as_of: str, expiring_days: int = 180) ->
     return rows.where(left.between(0, expiring_days)).select("id", "grant_name", "dept_key", "end_date", left.alias("days_left"), F.col("amount").cast("double").alias("amount")).orderBy("end_date", "id")
 
 
-def dashboard(tables, as_of: str, boards_as_of: str) -> dict[str, DataFrame]:
-    """Every panel by name. Each is lazy and stands alone, so an error in one leaves the others."""
-    e, g, d, r = tables.expenditures, tables.grants, tables.registry, tables.resolutions
+def dashboard(tables, as_of: str, boards_as_of: str) -> dict[str, Callable[[], DataFrame]]:
+    """What makes each panel, by name. Panels are made one by one, so that an error in one leaves the others. The latest period's spending is
+    written once, for the panels that show it."""
+    t = tables
+    current = once(lambda: written(in_latest(t.expenditures, latest_spend_period(t.expenditures)), "current"))
     return {
-        "kpi_grants": kpi_grants(g, as_of), "kpi_spend": kpi_spend(e), "kpi_coverage": kpi_coverage(d), "kpi_counts": kpi_counts(r, d), "timeline_grants": timeline_grants(g), "timeline_reports": timeline_reports(d),
-        "timeline_resolutions": timeline_resolutions(r), "timeline_spending": timeline_spending(e), "table_grants": table_grants(g), "table_spend_by_dept": table_spend_by_dept(e), "table_reports": table_reports(d),
-        "departments": departments(d, e), "resolutions": resolutions_list(r), "legislation": legislation_list(tables.legislation), "goals": goals_list(tables.goals), "votes_by_resolution": votes_by_resolution(tables.votes, r),
-        "votes_by_member": votes_by_member(tables.votes, r), "budget_by_dept": budget_by_dept(e), "budget_lines": budget_lines(e), "meetings": meetings(tables.meetings, tables.meeting_actions),
-        "vacancies": vacancies_open(tables.vacancies), "boards": boards(tables.boards, tables.board_members, boards_as_of), "metrics": metrics_latest(tables.metrics), "vendors": vendor_spend(r),
-        "authorized_vs_spent": authorized_vs_spent(r, e), "grants_expiring": grants_expiring(g, as_of),
+        "kpi_grants": lambda: kpi_grants(t.grants, as_of), "kpi_spend": lambda: kpi_spend(current()), "kpi_coverage": lambda: kpi_coverage(t.registry), "kpi_counts": lambda: kpi_counts(t.resolutions, t.registry),
+        "timeline_grants": lambda: timeline_grants(t.grants), "timeline_reports": lambda: timeline_reports(t.registry), "timeline_resolutions": lambda: timeline_resolutions(t.resolutions),
+        "timeline_spending": lambda: timeline_spending(t.expenditures), "table_grants": lambda: table_grants(t.grants), "table_spend_by_dept": lambda: table_spend_by_dept(t.expenditures),
+        "table_reports": lambda: table_reports(t.registry), "departments": lambda: departments(t.registry, current()), "resolutions": lambda: resolutions_list(t.resolutions),
+        "legislation": lambda: legislation_list(t.legislation), "goals": lambda: goals_list(t.goals), "votes_by_resolution": lambda: votes_by_resolution(t.votes, t.resolutions),
+        "votes_by_member": lambda: votes_by_member(t.votes, t.resolutions), "budget_by_dept": lambda: budget_by_dept(current()), "budget_lines": lambda: budget_lines(current()),
+        "meetings": lambda: meetings(t.meetings, t.meeting_actions), "vacancies": lambda: vacancies_open(t.vacancies), "boards": lambda: boards(t.boards, t.board_members, boards_as_of),
+        "metrics": lambda: metrics_latest(t.metrics), "vendors": lambda: vendor_spend(t.resolutions), "authorized_vs_spent": lambda: authorized_vs_spent(t.resolutions, current()),
+        "grants_expiring": lambda: grants_expiring(t.grants, as_of),
     }
 
 
-def dashboard_sizes(tables, as_of: str, boards_as_of: str) -> DataFrame:
-    """A28 as one table: rows of each panel."""
-    counts = [p.agg(F.lit(k).alias("panel"), F.count("*").alias("n_rows")) for k, p in dashboard(tables, as_of, boards_as_of).items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+def once(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    """make, called at the first use; an error is raised again at each."""
+    made: list[DataFrame] = []
+
+    def use() -> DataFrame:
+        if not made:
+            made.append(make())
+        return made[0]
+
+    return use
+
+
+def build_dashboard(spark: SparkSession, panels: dict[str, Callable[[], DataFrame]], path: str, generated_at: str) -> DataFrame:
+    """Makes the panels and writes their rows below `path`; returns one row per panel: panel, generated_at, n_rows, error.
+
+    A panel that cannot be made, or whose rows cannot be computed, has its error's text and no rows; the others aren't touched by it.
+    dashboard_rows() reads the rows, each a VARIANT with the panel's own fields.
+    """
+    out = []
+    for name, make in panels.items():
+        try:
+            rows = make()
+            place = f"{path}/panel={name}"
+            rows.select(F.monotonically_increasing_id().alias("place"), F.to_variant_object(F.struct(*rows.columns)).alias("payload")).write.mode("overwrite").parquet(place)
+            out.append((name, generated_at, spark.read.parquet(place).count(), None))
+        except (PySparkException, Py4JError) as e:
+            out.append((name, generated_at, None, str(e).split("\n")[0]))
+    return spark.createDataFrame(out, "panel string, generated_at string, n_rows long, error string")
+
+
+def dashboard_rows(spark: SparkSession, path: str) -> DataFrame:
+    """panel, place (the rows' order in it), payload (VARIANT) of a dashboard that has been built."""
+    return spark.read.schema("place long, payload variant, panel string").parquet(path)
