@@ -226,22 +226,38 @@ def pieces(text: Column, whole: Column, most: int, overlap: int) -> Column:
 def chunk_sections(elements: DataFrame, most: int = 1500, least: int = 100, overlap: int = 100) -> DataFrame:
     """C4: chunks at section boundaries; tables whole and alone; long text cut between paragraphs; each chunk opens with the last characters of the one before.
 
-    What a block opens with depends on the block before it, so a file's blocks are folded in order to find it; the blocks are then cut each by itself.
+    What a block opens with depends on the block before it. Most blocks close the question: whatever they open with, they end with
+    `overlap` characters of their own. So each stretch between such blocks is a fold by itself, from a start that is known, and only over
+    blocks that are short; no file, however long, is ever one row.
     """
-    blocks = section_blocks(elements)
+    whole, body = F.col("element_type") == "Table", strip(F.col("body"))
+    rows = section_blocks(elements)
+    # a block ends with its own text if that is longer than the overlap and is either one piece or ends in a paragraph that is longer
+    fits = whole | (F.length("body") + overlap + 2 <= most) | (F.length(strip(F.element_at(F.split("body", "\n\n"), -1))) > overlap)
+    closed = ~F.col("alone") & (F.length(body) > overlap) & (F.length(body) >= least) & fits
+    ahead = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("closed", closed).withColumn("open", ~F.col("alone") & ~F.col("closed"))
+    rows = rows.withColumns({
+        "stretch": F.coalesce(F.sum(F.col("closed").cast("int")).over(ahead), F.lit(0)),
+        "start": F.coalesce(F.last(F.when(F.col("closed"), F.right(body, F.lit(overlap))), ignorenulls=True).over(ahead), F.lit("")),
+        "last_open": F.max(F.when(F.col("open"), F.col("block"))).over(ahead),
+        "last_closed": F.max(F.when(F.col("closed"), F.col("block"))).over(ahead),
+    })
+    after_open = F.coalesce(F.col("last_open") > F.coalesce("last_closed", F.lit(-1)), F.lit(False))
+    rows = rows.withColumn("folded", after_open)
     state = "struct<lead: string, leads: array<string>>"
 
     def follow(acc: Column, b: Column) -> Column:
         text = led(acc["lead"], b["body"])
-        last = F.element_at(pieces(text, b["element_type"] == "Table", most, overlap), -1)
-        lead = F.when(b["alone"], acc["lead"]).when(F.length(text) < least, "").otherwise(ending(last, overlap))
+        last = F.element_at(pieces(text, b["whole"], most, overlap), -1)
+        lead = F.when(~b["open"], acc["lead"]).when(F.length(text) < least, "").otherwise(ending(last, overlap))
         return F.struct(lead.alias("lead"), F.concat(acc["leads"], F.array(acc["lead"])).alias("leads")).cast(state)
 
-    columns = ("block", "section", "alone", "page_number", "element_type", "body")
-    per = blocks.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("blocks"))
-    none = F.struct(F.lit("").alias("lead"), F.array().cast("array<string>").alias("leads")).cast(state)
-    per = per.withColumn("leads", F.aggregate("blocks", none, follow)["leads"])
-    rows = per.select("source_file", F.explode(F.arrays_zip("blocks", "leads")).alias("x")).select("source_file", "x.blocks.*", F.col("x.leads").alias("lead"))
+    few = rows.where("open or folded").select("source_file", "stretch", "start", F.struct("block", "open", whole.alias("whole"), F.when(F.col("open"), F.col("body")).otherwise("").alias("body")).alias("b"))
+    per = few.groupBy("source_file", "stretch").agg(F.first("start").alias("start"), F.array_sort(F.collect_list("b")).alias("blocks"))
+    none = F.struct(F.col("start").alias("lead"), F.array().cast("array<string>").alias("leads")).cast(state)
+    leads = per.select("source_file", F.explode(F.arrays_zip(F.col("blocks.block").alias("block"), F.aggregate("blocks", none, follow)["leads"].alias("lead"))).alias("x")).select("source_file", "x.block", "x.lead")
+    rows = rows.join(leads, ["source_file", "block"], "left").withColumn("lead", F.when(F.col("folded"), F.col("lead")).otherwise(F.col("start")))
     text = F.when(F.col("alone"), strip(F.col("body"))).otherwise(led(F.col("lead"), F.col("body")))
     rows = rows.withColumn("text", text).where(F.length("text") >= least)
     rows = rows.select("source_file", "block", "page_number", "section", "element_type", F.posexplode(pieces(F.col("text"), F.col("element_type") == "Table", most, overlap)).alias("pos", "text"))
