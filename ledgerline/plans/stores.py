@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from ledgerline.operators import keywords
 from ledgerline.operators import questions as U
 from ledgerline.operators import retrieval as R
 from ledgerline.operators import vectors
@@ -28,15 +29,15 @@ def topk(k: int, where: str = "true", requests: str = "v_requests") -> str:
 query("R1_vector_topk", lambda t: R.vector_topk(t.requests, t.chunks, filters=("label",)), f"SELECT * FROM {topk(5, 'q.label = c.label')}", "requests", "chunks")
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple[str, str, str], str] = {}
 
 
-def index_of(t) -> str:
-    """The index of the chunks, written when it is first asked for in a session and read by later calls."""
-    at = (t.spark.sparkContext.applicationId, t.sf_dir)
+def index_of(t, kind: str = "vectors") -> str:
+    """An index of the chunks, written when it is first asked for in a session and read by later calls."""
+    at = (t.spark.sparkContext.applicationId, t.sf_dir, kind)
     if at not in _indexes:
-        path = scratch_path(t.spark, "vector-index")
-        vectors.build_index(t.chunks, path)
+        path = scratch_path(t.spark, kind)
+        {"vectors": vectors.build_index, "trigrams": keywords.write_trigrams}[kind](t.chunks, path)
         _indexes[at] = path
     return _indexes[at]
 
@@ -202,7 +203,7 @@ query(
 )
 query("S16_get_chunks_by_id", lambda t: S.chunks_by_id(t.chunks, t.requests.select(F.col("query_id").alias("chunk_id"))).select("chunk_id", "department", "score"), "SELECT chunk_id, department, 1.0::DOUBLE AS score FROM v_chunks WHERE chunk_id IN (SELECT query_id FROM v_requests)", "chunks", "requests")
 query("S17_adhoc_sql", lambda t: S.adhoc_sql(t.spark, "SELECT status, count(*) AS n FROM {grants} WHERE amount > 1000 GROUP BY status", {"grants": t.grants}), "SELECT status, count(*) AS n FROM v_grants WHERE amount > 1000 GROUP BY 1", "grants")
-query("S18_chunk_keyword_scan", lambda t: S.keyword_scan(t.chunks, "GRANT").unionByName(S.keyword_scan(t.chunks, "eau")).groupBy("source_file").agg(F.count("*").alias("n")), "SELECT source_file, sum((text ILIKE '%grant%')::INT + (text ILIKE '%eau%')::INT)::BIGINT AS n FROM v_chunks GROUP BY 1 HAVING n > 0", "chunks")
+query("S18_chunk_keyword_scan", lambda t: keywords.keyword_search(t.chunks, index_of(t, "trigrams"), "GRANT").unionByName(keywords.keyword_search(t.chunks, index_of(t, "trigrams"), "eau")).groupBy("source_file").agg(F.count("*").alias("n")), "SELECT source_file, sum((text ILIKE '%grant%')::INT + (text ILIKE '%eau%')::INT)::BIGINT AS n FROM v_chunks GROUP BY 1 HAVING n > 0", "chunks")
 query("S19_list_documents", lambda t: S.list_documents(t.registry).select("id", "source_file", "document_type"), "SELECT id, source_file, document_type FROM v_registry", "registry")
 
 types = lambda t: t.profiles.groupBy(F.col("document_type").alias("name")).agg(F.count("*").alias("n"), F.bool_or(F.col("document_type") != "memo").alias("active")).withColumn("display_name", F.initcap(F.translate("name", "_", " ")))
