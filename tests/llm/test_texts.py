@@ -410,3 +410,40 @@ def test_parts_of_unknown_types_are_attachments(spark):
     row = chat.format_turns(spark.createDataFrame([(1, 0, "user", None, parts)], f"conv_id long, turn long, role string, text string, parts {chat.PARTS}")).first()
     assert row.formatted == "<|turn|>user<|text|><|document:0|>hi<|end|>" and row.extra_tokens == 0
     assert [(a.kind, a.ref, a.tokens) for a in row.attachments] == [("video<|end|>", "v1", 0)]
+
+
+PROSE = " ".join(f"Sentence {i} tells something of the day." for i in range(30))
+
+
+def pages_of(spark, bodies, host="h.example"):
+    return spark.createDataFrame([(i, f"https://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+
+
+def test_a_misleading_article_is_not_the_text(spark):
+    """A teaser is marked as the article, the text isn't: the template's slot decides."""
+    bodies = [f"<div class='alpha'><article><p>Read our teaser {i}.</p></article></div><div class='beta'><h1>Title {i}</h1><p>{PROSE} Page {i}.</p></div>" for i in range(8)]
+    assert [r.text for r in html_extract.extract(pages_of(spark, bodies)).orderBy("page_id").collect()] == [f"Title {i}\n{PROSE} Page {i}." for i in range(8)]
+
+
+def test_an_article_around_comments_or_none_at_all(spark):
+    comments = lambda i: "".join(f"<article><p>Reader {k} of {i} says this and that, at some length.</p></article>" for k in range(3))
+    bodies = [f"<div class='alpha'><article><h1>Title {i}</h1><p>{PROSE} Page {i}.</p>{comments(i)}</article></div>" for i in range(6)]
+    bodies += [f"<div class='gamma'>Top {i}</div><div class='delta'><p>{PROSE} Bare {i}.</p></div>" for i in range(6)]
+    got = [r.text for r in html_extract.extract(pages_of(spark, bodies)).orderBy("page_id").collect()]
+    assert got == [f"Title {i}\n{PROSE} Page {i}." for i in range(6)] + [f"{PROSE} Bare {i}." for i in range(6)]
+
+
+def test_two_articles_of_a_page_are_both_text(spark):
+    bodies = [f"<div class='alpha'><article><p>One {i}. {PROSE}</p></article><article><p>Two {i}. {PROSE}</p></article></div>" for i in range(6)]
+    assert [r.text for r in html_extract.extract(pages_of(spark, bodies)).orderBy("page_id").collect()] == [f"One {i}. {PROSE}\nTwo {i}. {PROSE}" for i in range(6)]
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<i>" * 50_000 + "<p>a</p>" * 50_000, "<b>x</i>" * 100_000, "<a " * 100_000, "<a '" * 100_001 + ">", "<!" * 100_000, "<p>" * 100_000 + "</div>" * 100_000, "<" * 200_000])
+def test_deep_and_broken_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    blocks, tokens = html_extract.parse(page)
+    paths, up = [t["t"] for t in tokens], [t["up"] for t in tokens]
+    html_extract.main_text(blocks, paths, up, {t["t"]: {"prose": t["prose"], "pages": 1, "box": t["box"]} for t in tokens if t["n"] == 1}, set())
+    assert time.process_time() - start < 10
