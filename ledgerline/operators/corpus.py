@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -302,34 +303,28 @@ def numbered(names: DataFrame, by: str, number: str) -> DataFrame:
     return placed.join(bases, "_part").select(by, (F.col("_base") + F.col("_at").bitwiseAND(low) + 1).alias(number))
 
 
-def pack_char_budget(chunks: DataFrame, budget: int = 24_000, run: int = 256) -> DataFrame:
+def pack_char_budget(chunks: DataFrame, budget: int = 24_000) -> DataFrame:
     """Batch number per chunk; a batch closes before the chunk that would exceed the budget, unless it is empty.
 
-    The fold over a file's lengths goes by runs: the state at the start of each run of chunks is found first, then each run is
-    numbered by itself, so lists that grow are never longer than a run.
+    Where a batch closes depends on all chunks of the file before. So lengths, and only they, go past in order, and two numbers are carried
+    from one to the next: a file of any number of chunks takes no more memory than a batch of rows. A null text has no length.
     """
-    order = Window.partitionBy("source_file").orderBy("seq")
-    rows = chunks.select("source_file", F.col("seq").cast("int").alias("seq"), F.length("text").alias("n"), F.floor((F.row_number().over(order) - 1) / run).cast("int").alias("run"))
-    runs = rows.groupBy("source_file", "run").agg(F.array_sort(F.collect_list(F.struct("seq", "n"))).alias("rows"))
-    state = "struct<batch: int, used: int>"
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used")).cast(state)
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + x["n"] > budget)
-        return F.struct((acc["batch"] + full.cast("int")).alias("batch"), (F.when(full, 0).otherwise(acc["used"]) + x["n"]).alias("used")).cast(state)
-
-    def follow(acc: Column, r: Column) -> Column:
-        return F.concat(acc, F.array(F.aggregate(r["rows"], F.element_at(acc, -1), step)))
-
-    def number(acc: Column, x: Column) -> Column:
-        now = step(acc["at"], x)
-        return F.struct(now.alias("at"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), now["batch"].alias("batch")))).alias("out"))
-
-    per = runs.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("run", "rows"))).alias("runs"))
-    per = per.withColumn("starts", F.aggregate("runs", F.array(zero), follow))
-    each = per.select("source_file", F.explode(F.arrays_zip("runs", "starts")).alias("x")).where("x.runs is not null")
-    begin = F.struct(F.col("x.starts").alias("at"), F.array().cast("array<struct<seq:int,batch:int>>").alias("out"))
-    return each.select("source_file", F.explode(F.aggregate("x.runs.rows", begin, number)["out"]).alias("x")).select("source_file", "x.seq", "x.batch")
+
+    def run(batches):
+        file, number, used = run, 0, 0  # a file that is no name
+        for b in batches:
+            out = []
+            for name, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if name != file:
+                    file, number, used = name, 0, 0
+                elif used > 0 and used + n > budget:
+                    number, used = number + 1, 0
+                used += n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], names=["source_file", "seq", "batch"])
+
+    lengths = chunks.select("source_file", F.col("seq").cast("int").alias("seq"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    return lengths.repartition("source_file").sortWithinPartitions("source_file", "seq").mapInArrow(run, "source_file string, seq int, batch int")
 
 
 def slice_reports(reports: DataFrame, skip: int, limit: int) -> DataFrame:

@@ -191,7 +191,7 @@ def test_long_sections_are_cut_between_paragraphs(spark):
 
 def test_batches_over_several_runs(spark):
     rows = [("f", i, "x" * (i * 37 % 900)) for i in range(700)]
-    got = {r.seq: r.batch for r in C.pack_char_budget(spark.createDataFrame(rows, "source_file string, seq int, text string"), 2000, run=16).collect()}
+    got = {r.seq: r.batch for r in C.pack_char_budget(spark.createDataFrame(rows, "source_file string, seq int, text string"), 2000).collect()}
     used = batch = 0
     for _, i, t in rows:
         if used and used + len(t) > 2000:
@@ -248,3 +248,15 @@ def test_chains_of_any_length_and_cycles(spark):
     assert {(r.person, r.boss): r.steps for r in got} == closure(edges) and len(got) == len(closure(edges))
     assert {r.person for r in got if r.cycle} == {"a", "b", "c", "x"}
     assert G.reports_to_chain(spark.createDataFrame([], "rel string, src string, dst string")).count() == 0
+
+
+def test_character_budget_of_a_very_long_file(spark):
+    rows = spark.range(400_000).selectExpr("if(id % 4 = 0, 'small', 'big') as source_file", "id as seq", "repeat('x', cast(id * 7919 % 97 as int)) as text")
+    got = C.pack_char_budget(rows.repartition(7), 1000).groupBy("source_file").agg(F.max("batch").alias("last"), F.count("*").alias("n")).collect()
+    want = {}
+    for i in range(400_000):
+        file, n = "small" if i % 4 == 0 else "big", i * 7919 % 97
+        number, used = want.get(file, (0, 0))
+        number, used = (number + 1, 0) if used > 0 and used + n > 1000 else (number, used)
+        want[file] = number, used + n
+    assert {r.source_file: r.last for r in got} == {k: v[0] for k, v in want.items()} and sum(r.n for r in got) == 400_000
