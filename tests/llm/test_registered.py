@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 
 import __spark_entry__
-from ledgerline.llm import mixing, pii, tokens
+from ledgerline.llm import language, mixing, pii, tokens
 from ledgerline.llm.shared import table
 
 from .test_dedup import near_brute, vectors_brute
@@ -49,6 +49,26 @@ def test_op8(spark, sf):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in run(spark, sf, "op8_embedding_near_dedup")) == vectors_brute(rows, 0.98)
 
 
+def test_op5(spark, sf):
+    """Predictions against a decoder that goes through languages and bits one by one."""
+    docs = table(spark, "documents", sf).select("doc_id", "text", "lang")
+    model = language.train(docs.where(language.fold() != 0))
+    got = {r.doc_id: r for r in run(spark, sf, "op5_language_id")}
+    for r in docs.collect():
+        held = zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+        if not r.text or not any(c.isalpha() for c in r.text):
+            want, score = "und", 0.0
+        else:
+            data = np.frombuffer(r.text.encode(), np.uint8)
+            x = language.features(data, np.array([0, len(data)]))[0].astype(float)
+            margins = [float(x @ model.w[:, b].astype(float) + model.b[b]) for b in range(model.w.shape[1])]
+            loss = [sum(model.weight[b] * np.log1p(np.exp(-word[b] * m)) for b, m in enumerate(margins)) for word in model.code[: len(model.langs)]]
+            want = model.langs[min(range(len(loss)), key=lambda k: (round(loss[k], 4), k))]
+            score = 1 / sum(np.exp(float(model.scale) * (min(loss) - x)) for x in loss)
+        assert (got[r.doc_id].held_out, got[r.doc_id].lang_pred) == (held, want)
+        assert abs(got[r.doc_id].score - score) < 1e-3
+
+
 def luhn(digits):
     total = sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(digits))))
     return total % 10 == 0
