@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.keyed import KeyedTable
 from ledgerline.sources.scratch import written
 
 EDGE = ["src_label", "src", "rel", "dst_label", "dst"]
@@ -21,6 +22,11 @@ def merge_nodes(nodes: DataFrame, batch: DataFrame, key: str, order: str) -> Dat
     return nodes.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
+def put_nodes(table: KeyedTable, batch: DataFrame, order: str) -> None:
+    """G1 on disk: nodes by their key, of which only the touched buckets are rewritten."""
+    table.upsert(batch.where(F.col(table.key).isNotNull() & (F.col(table.key) != "")), order)
+
+
 def edges(rows: DataFrame, src_label: str, src, rel: str, dst_label: str, dst) -> DataFrame:
     return rows.select(F.lit(src_label).alias("src_label"), F.col(src).alias("src"), F.lit(rel).alias("rel"), F.lit(dst_label).alias("dst_label"), F.col(dst).alias("dst"))
 

@@ -63,18 +63,28 @@ def put_documents(table: KeyedTable, batch: DataFrame, as_of: str) -> None:
     table.upsert(batch, "seq", times)
 
 
-def upsert_chunks(chunks: DataFrame, batch: DataFrame) -> DataFrame:
-    """Chunks (chunk_id, embedding, text, payload) with the batch's rows that have an embedding, of each chunk the one of the greatest seq; payload is its other columns as JSON."""
+def fresh_chunks(batch: DataFrame) -> DataFrame:
+    """The batch's rows that have an embedding, of each chunk the one of the greatest seq, as chunk_id, embedding, text and payload, its other columns as JSON."""
     fixed = ("chunk_id", "embedding", "text")
     rest = [c for c in batch.columns if c not in fixed]
     last = [F.col("seq")] if "seq" in rest else []
     newest = Window.partitionBy("chunk_id").orderBy(*(c.desc() for c in last), F.xxhash64(*fixed, *rest))  # the last row wins; without seq, rows have no order, and the choice is fixed
     fresh = batch.where("embedding is not null").withColumn("_n", F.row_number().over(newest)).where("_n = 1")
     rest = [c for c in rest if c != "seq"]
-    fresh = fresh.select(*fixed, F.to_json(F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))).alias("payload"))
+    return fresh.select(*fixed, F.to_json(F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))).alias("payload"))
+
+
+def upsert_chunks(chunks: DataFrame, batch: DataFrame) -> DataFrame:
+    """Chunks (chunk_id, embedding, text, payload) with the batch's fresh_chunks() in place of those of their ids."""
+    fresh = fresh_chunks(batch)
     return chunks.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh)
 
 
+def put_chunks(table: KeyedTable, batch: DataFrame) -> None:
+    """S6 on disk: only the buckets of the batch's chunks are rewritten."""
+    table.replace(fresh_chunks(batch))
+
+
 def delete_document(tables: dict[str, DataFrame], source_file: str, edges: DataFrame | None = None, chunks: str = "chunks") -> dict[str, DataFrame]:
     """Every table without the file's rows; edges also without those of its chunks and its document node."""
     out = {k: t.where(~F.coalesce(F.col("source_file") == source_file, F.lit(False))) for k, t in tables.items()}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import corpus as C
+from ledgerline.operators import graph as G
 from ledgerline.operators import reports as M
 from ledgerline.operators import writes as S
 from ledgerline.sources.keyed import BUCKET, KeyedTable
@@ -142,6 +143,26 @@ def test_keyed_documents_keep_their_first_time(spark, tmp_path):
     assert len(before - files(table.path)) <= 2
 
 
+def test_keyed_chunks_and_nodes(spark, tmp_path):
+    """S6 and G1 on disk give what they give as frames."""
+    old = spark.createDataFrame([(f"c{i}", [1.0], "old", "{}") for i in range(40)], "chunk_id string, embedding array<double>, text string, payload string")
+    batch = spark.createDataFrame([("c1", [2.0], "x", 1, "Parks"), ("c1", [3.0], "y", 2, "Codes"), ("n", [1.0], "z", 1, None), ("c2", None, "none", 1, "Parks")], "chunk_id string, embedding array<double>, text string, seq int, dept string")
+    chunks = KeyedTable(spark, str(tmp_path / "c"), "chunk_id", 16)
+    chunks.replace(old)
+    before = files(chunks.path)
+    S.put_chunks(chunks, batch)
+    want = S.upsert_chunks(old, batch)
+    assert sorted(map(str, chunks.read().select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert 1 <= len(before - files(chunks.path)) <= 2
+    people = spark.createDataFrame([(f"p{i}", "old") for i in range(40)], "name string, prop string")
+    more = spark.createDataFrame([("p1", "a", 1), ("p1", "b", 2), ("", "c", 1), (None, "d", 1), ("q", "e", 1)], "name string, prop string, seq int")
+    nodes = KeyedTable(spark, str(tmp_path / "n"), "name", 16)
+    nodes.replace(people)
+    G.put_nodes(nodes, more, "seq")
+    want = G.merge_nodes(people, more, "name", "seq")
+    assert sorted(map(str, nodes.read().select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_sections_in_a_stream_and_in_a_batch_agree(spark):
     rows = spark.createDataFrame(file_of("a.pdf", 60), ELEMENT)
     assert jobs.chunked(rows, None, None).count() == C.chunk_sections(rows).count()
