@@ -51,10 +51,10 @@ def retrieved(t):
 
 
 GOT = topk(5, "q.label = c.label")
-#: Results below this score do not count: it leaves some requests without any.
+#: Results below this score, and a request's own vector, do not count: it leaves many requests without any.
 LEAST = 0.9
-close = lambda t: retrieved(t).where(F.col("score") >= LEAST)
-CLOSE = f"(SELECT query_id FROM {GOT} WHERE score >= {LEAST})"
+close = lambda t: retrieved(t).where((F.col("score") >= LEAST) & (F.col("chunk_id") != F.col("query_id")))
+CLOSE = f"(SELECT query_id FROM {GOT} WHERE score >= {LEAST} AND chunk_id <> query_id)"
 query("R3_weak_retrieval", lambda t: R.weak_retrieval(t.requests, close(t)), f"SELECT query_id, query_id NOT IN {CLOSE} AS weak FROM v_requests", "requests", "chunks")
 query("R4_fallback_topk", lambda t: R.fallback_topk(t.requests, close(t), t.chunks), f"SELECT *, 'vector_fallback' AS store FROM {topk(8, 'true', f'(SELECT * FROM v_requests WHERE query_id NOT IN {CLOSE})')}", "requests", "chunks")
 

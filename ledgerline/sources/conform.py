@@ -64,8 +64,8 @@ VIEWS = {
   CASE event_type WHEN 'error' THEN 'filled' WHEN 'view' THEN 'Open' ELSE 'open' END AS status, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 9 AS INT) END AS open_count, {_period},
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'report_' || CAST(user_id % 50 AS STRING) || '.pdf' END AS source_file, 'c' || CAST(user_id AS STRING) AS source_chunk_id FROM {{events}}""",
     "goals": f"""SELECT event_id AS id, {_unit} AS department, CASE WHEN event_id % 2 = 0 THEN 'Goal  ' || CAST(event_id % 15 AS STRING) ELSE 'goal ' || CAST(event_id % 15 AS STRING) END AS goal_title,
-  CASE WHEN event_id % 4 = 0 THEN '65%' ELSE '' END AS target, CASE event_type WHEN 'purchase' THEN 'Completed' WHEN 'view' THEN 'under way' ELSE NULL END AS status,
-  CASE WHEN event_id % 29 = 0 THEN 'completed' ELSE NULL END AS user_status, {_period} FROM {{events}}""",
+  CASE WHEN event_id % 4 = 0 THEN '65%' ELSE '' END AS target, CASE WHEN event_id % 15 = 7 THEN NULL WHEN event_type = 'purchase' THEN 'Completed' WHEN event_type = 'view' THEN 'under way' ELSE NULL END AS status,
+  CASE WHEN event_id % 29 = 0 AND event_id % 15 <> 7 THEN 'completed' ELSE NULL END AS user_status, {_period} FROM {{events}}""",
     "metrics": """SELECT event_id AS id, 'Unit ' || CAST(user_id % 25 AS STRING) AS department, event_type AS metric_name, CAST(value AS DECIMAL(15,2)) AS metric_value, CAST(2020 + event_id % 5 AS INT) AS year,
   'Q' || CAST(1 + event_id % 4 AS STRING) AS quarter FROM {events}""",
     "projects": f"""SELECT event_id AS id, {_unit} AS department, 'Project ' || CAST(event_id % 30 AS STRING) AS project_name, left(props, CAST(event_id % 10 AS INT)) AS description, {_period} FROM {{events}} WHERE event_type = 'signup'""",

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 BUCKET = "_bucket"
 
 
@@ -43,7 +45,7 @@ class KeyedTable:
 
     def replace(self, fresh: DataFrame, gone: DataFrame | None = None) -> None:
         """Puts fresh rows in place of all rows of their keys; keys of `gone` (a frame with the key column) lose their rows too."""
-        fresh = self.bucketed(fresh)
+        fresh = written(self.bucketed(fresh), "fresh")  # it is looked at three times
         old = self.stored()
         keys = fresh.select(self.key, BUCKET)
         if gone is not None:
