@@ -31,6 +31,11 @@ def labelled(names: DataFrame, key: str = "dept_key", name: str = "department")
     return names.groupBy(key).agg(F.min_by(name, T.display_order(F.col(name))).alias("department"))
 
 
+def as_written(rows: DataFrame, *sums: Column) -> DataFrame:
+    """Sums per department as written. The name comes back as an aggregate, so that filters on keys made of it stay above the sums and are not tried on every row."""
+    return rows.groupBy(F.col("department").alias("_written")).agg(F.any_value("department").alias("department"), *sums).drop("_written")
+
+
 def by_department(rows: DataFrame, *sums: Column) -> DataFrame:
     """dept_key, department (its label) and sums over rows, which are already summed per department as written: names are few, so keys are made for few rows."""
     rows = rows.withColumn("dept_key", T.dept_key("department"))
@@ -156,9 +161,9 @@ def latest_lines(expenditures: DataFrame) -> DataFrame:
 
 def departments(documents: DataFrame, expenditures: DataFrame) -> DataFrame:
     """Departments of quarterly reports and budgets, with report counts and the latest period's budget and spending without totals, 0 if there is none."""
-    docs = documents.where("document_type in ('quarterly_report', 'budget')").groupBy("department").agg(F.count_if(F.col("document_type") == "quarterly_report").alias("reports"))
+    docs = as_written(documents.where("document_type in ('quarterly_report', 'budget')"), F.count_if(F.col("document_type") == "quarterly_report").alias("reports"))
     per = by_department(docs, F.sum("reports").alias("reports")).where("dept_key <> ''")
-    lines = latest_lines(expenditures).groupBy("department").agg(F.sum("revised_budget").alias("budget"), F.sum("ytd_expended").alias("spend"))
+    lines = as_written(latest_lines(expenditures), F.sum("revised_budget").alias("budget"), F.sum("ytd_expended").alias("spend"))
     spend = by_department(lines, dollars("budget").alias("budget"), dollars("spend").alias("spend")).drop("department")
     return per.join(spend, "dept_key", "left").select("dept_key", "department", "reports", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("budget", "spend"))).orderBy("department", "dept_key")
 
@@ -314,7 +319,7 @@ def authorized_vs_spent(resolutions: DataFrame, expenditures: DataFrame) -> Data
     zero = F.lit(None).cast("decimal(15,2)")
     one = resolutions.where("amount is not null").select("department", F.col("amount").alias("authorized"), zero.alias("spent"))
     two = latest_lines(expenditures).select("department", zero.alias("authorized"), F.col("ytd_expended").alias("spent"))
-    both = one.unionByName(two).groupBy("department").agg(F.sum("authorized").alias("authorized"), F.sum("spent").alias("spent"))
+    both = as_written(one.unionByName(two), F.sum("authorized").alias("authorized"), F.sum("spent").alias("spent"))
     return by_department(both, *(F.coalesce(dollars(c), F.lit(0.0)).alias(c) for c in ("authorized", "spent"))).where("dept_key <> ''")
 
 

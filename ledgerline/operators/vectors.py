@@ -63,7 +63,7 @@ class Best:
     """The best k rows so far of each of n requests, and the score that a row must reach to be among them."""
 
     def __init__(self, n: int, k: int):
-        self.n, self.k, self.held, self.size = n, k, [], 0
+        self.n, self.k, self.held, self.size, self.settled = n, k, [], 0, False
         self.least = np.full(n, -2 * PLACES, np.int64)
 
     def add(self, requests: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -74,13 +74,15 @@ class Best:
         row, col = np.nonzero(scores >= bound)
         if len(row):
             self.held.append((requests[col], scores[row, col], ids[row]))
-            self.size += len(row)
+            self.size, self.settled = self.size + len(row), False
             if self.size > 4 * self.n * self.k + 10_000:
                 self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.held:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
+        if self.settled:
+            return self.held[0]
         req, score, ids = (np.concatenate(x) for x in zip(*self.held, strict=True))
         by = np.lexsort((ids.astype(str), -score, req))
         req, score, ids = req[by], score[by], ids[by]
@@ -88,7 +90,7 @@ class Best:
         place = np.arange(len(req)) - first[req]
         self.least[req[place == self.k - 1]] = score[place == self.k - 1]
         kept = place < self.k
-        self.held, self.size = [(req[kept], score[kept], ids[kept])], int(kept.sum())
+        self.held, self.size, self.settled = [(req[kept], score[kept], ids[kept])], int(kept.sum()), True
         return self.held[0]
 
 
