@@ -32,13 +32,13 @@ def grant_projects(grants: DataFrame, as_of: str, horizon_days: int = 120) -> Da
 
 
 def resolution_projects(resolutions: DataFrame) -> DataFrame:
-    """Resolutions with a title, by type; stalled ones need attention, and those of one party and type group. Of one number the first row counts, titled or not."""
+    """Resolutions with a title, by type; stalled ones need attention, and those of one party and type group, where there is a vendor. Of one number the first row counts, titled or not."""
     kind, status = T.resolution_type(F.coalesce("title", F.lit(""))), T.resolution_status(F.coalesce("status", F.lit("")))
-    party = F.nullif(T.norm_party(F.coalesce("vendor", F.lit(""))), F.lit(""))
+    group = F.when(F.col("vendor") != "", F.concat(T.norm_party("vendor"), F.lit("|"), kind))
     rows = dedupe_resolutions(resolutions).where("trim(title) <> ''")
     return rows.select(
         F.concat(F.lit("resolution-"), F.col("id").cast("string")).alias("project"), kind.alias("type"), F.trim("title").alias("title"), "department", F.col("amount").cast("double").alias("amount"),
-        status.alias("status"), (status == "Stalled").alias("attention"), F.concat(party, F.lit("|"), kind).alias("group_key"),
+        status.alias("status"), (status == "Stalled").alias("attention"), group.alias("group_key"),
     )
 
 

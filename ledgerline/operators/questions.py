@@ -33,9 +33,11 @@ def top_spender(expenditures: DataFrame, year=None, quarter=None) -> DataFrame:
     return per.orderBy(F.desc("ytd"), "dept_key").limit(1)
 
 
-def department_totals(expenditures: DataFrame, department: str | None = None) -> DataFrame:
-    """U4: budget and spending of one department, or of each, in the latest period, without totals."""
-    rows = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%"))
+def department_totals(expenditures: DataFrame, department: str | None = None, year: int | None = None, quarter: str | None = None) -> DataFrame:
+    """U4: budget and spending of one department, or of each, in a period (the latest if none is given), without totals."""
+    asked = year is not None or quarter is not None
+    rows = in_period(expenditures, year, quarter) if asked else in_latest(expenditures, latest_spend_period(expenditures))
+    rows = rows.where(~F.col("line_item").ilike("%total%"))
     per = rows.groupBy("department").agg(F.sum("revised_budget").alias("budget"), F.sum("ytd_expended").alias("ytd"))
     return by_department(of_department(per, department), dollars("budget").alias("budget"), dollars("ytd").alias("ytd")).drop("department")
 
@@ -94,10 +96,10 @@ def grants_and_managers(grants: DataFrame, edges: DataFrame) -> DataFrame:
     return who.join(dedupe_grants(grants).groupBy("dept_key").agg(dollars("amount").alias("amount")), "dept_key")
 
 
-def metric_and_budget(metrics: DataFrame, vacancies: DataFrame, name: str) -> DataFrame:
-    """A metric's total beside open positions per department."""
-    one = metrics.where(F.col("metric_name").ilike(f"%{name}%")).groupBy(T.dept_key("department").alias("dept_key")).agg(dollars("metric_value").alias("total"))
-    return one.join(vacancies_of(vacancies), "dept_key")
+def metric_and_budget(metrics: DataFrame, expenditures: DataFrame, name: str, year: int | None = None, quarter: str | None = None) -> DataFrame:
+    """A metric's total beside budget and spending per department, both of a period; without one, all of the metric and the latest spending."""
+    one = in_period(metrics, year, quarter).where(F.col("metric_name").ilike(f"%{name}%")).groupBy("department").agg(F.sum("metric_value").alias("total"))
+    return by_department(one, dollars("total").alias("total")).drop("department").join(department_totals(expenditures, None, year, quarter), "dept_key")
 
 
 def staff(edges: DataFrame, department: str | None = None) -> DataFrame:

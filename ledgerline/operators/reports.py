@@ -28,9 +28,9 @@ def usage_cost(usage: DataFrame, prices: dict = PRICES, default: tuple = DEFAULT
 
 
 def usage_report(costs: DataFrame, start: str, end: str) -> DataFrame:
-    """M2: calls, tokens and cost by call site and model over [start, end)."""
+    """M2: calls, tokens and cost by call site and model over [start, end); tokens that no call states are NULL, their cost 0."""
     rows = costs.where((F.col("timestamp") >= F.lit(start).cast("timestamp")) & (F.col("timestamp") < F.lit(end).cast("timestamp")))
-    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in TOKENS]
+    sums = [F.sum(c).cast("long").alias(c) for c in TOKENS]
     return rows.groupBy("call_site", "model").agg(F.count("*").alias("calls"), *sums, F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("cost")).orderBy(F.desc("cost"), "call_site", "model")
 
 
@@ -88,10 +88,9 @@ def chunk_performance(judgements: DataFrame) -> DataFrame:
 
 
 def low_scoring(logs: DataFrame, least: float, as_of: str | None = None, months: int = 3) -> DataFrame:
-    """M5: logged queries with any score below `least`, optionally of the last months, newest first."""
-    rows = logs.where((F.col("retrieval") < least) | (F.col("accuracy") < least) | (F.col("completeness") < least))
-    if as_of:
-        rows = rows.where(F.col("asked") >= F.add_months(F.lit(as_of).cast("date"), -months))
+    """M5: logged queries with any score below `least`, newest first. A clock limits queries that are only incomplete to the last months; bad retrieval and wrong answers stay, however old."""
+    late = F.col("asked") >= F.add_months(F.lit(as_of).cast("date"), -months) if as_of else F.lit(True)
+    rows = logs.where((F.col("retrieval") < least) | (F.col("accuracy") < least) | ((F.col("completeness") < least) & late))
     return rows.orderBy(F.desc("asked"), "query_id")
 
 
@@ -108,17 +107,20 @@ def eval_score(results: DataFrame, least: float = 3.0) -> DataFrame:
 
 
 def eval_report(results: DataFrame) -> DataFrame:
-    """M8: totals, pass rate, averages and the first ten failures."""
+    """M8: totals, pass rate, averages and the first ten failures with their scores."""
     rows = eval_score(results)
     avg = [F.bround(F.avg(F.col(c).cast("double")), 2).alias(f"avg_{c}") for c in ("retrieval", "accuracy", "completeness")]
-    total = rows.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.bround(F.count_if("passed") / F.count("*"), 4).alias("pass_rate"), *avg)
-    worst = rows.where("not passed").orderBy("query_id").limit(10).agg(F.array_join(F.array_sort(F.collect_list("query_id")), ",").alias("first_failures"))
+    total = rows.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), (F.bround(F.count_if("passed") * 100 / F.count("*")) / 100).alias("pass_rate"), *avg)
+    scores = F.concat(F.col("query_id").cast("string"), *(x for c in ("retrieval", "accuracy", "completeness") for x in (F.lit(f" {c[0].upper()}:"), F.col(c).cast("double").cast("string"))))
+    worst = rows.where("not passed").orderBy("query_id").limit(10).agg(F.array_sort(F.collect_list(F.struct("query_id", scores.alias("s")))).alias("w"))
+    worst = worst.select(F.array_join(F.col("w.s"), ",").alias("first_failures"))
     return total.crossJoin(worst)
 
 
 def last_run(results: DataFrame) -> DataFrame:
-    """M9: the latest run by its newest date."""
-    rows = eval_score(results).groupBy("run_id").agg(F.max("asked").alias("run_date"), F.count("*").alias("total"), F.count_if("passed").alias("passed"))
+    """M9: the latest (run, date), with its averages."""
+    avg = [(F.sum(c).cast("double") / F.count(c)).alias(f"avg_{c}") for c in ("retrieval", "accuracy", "completeness")]
+    rows = eval_score(results).groupBy("run_id", F.col("asked").alias("run_date")).agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), *avg)
     return rows.orderBy(F.desc("run_date"), F.desc("run_id")).limit(1)
 
 
@@ -139,15 +141,16 @@ def stats(documents: DataFrame, logs: DataFrame, performance: DataFrame) -> Data
 
 
 def sample_queries(logs: DataFrame, rate: float) -> DataFrame:
-    """A fixed share of the queries, the same ones each time."""
-    return logs.where(F.left(F.md5(F.col("query_id").cast("string").cast("binary")), F.lit(8)) < f"{int(rate * 16**8):08x}")
+    """A fixed share of the queries, the same ones each time; all from a rate of 1 on, none up to 0."""
+    drawn = F.conv(F.left(F.md5(F.col("query_id").cast("string").cast("binary")), F.lit(8)), 16, 10).cast("long")
+    return logs.where(drawn < int(rate * 16**8))
 
 
-def vote_counts(votes: DataFrame, resolutions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Checks after ingestion as (what, key, n)."""
+def vote_counts(votes: DataFrame, resolutions: DataFrame, documents: DataFrame, files: str = "Resolutions%") -> DataFrame:
+    """Checks after ingestion as (what, key, n); readers are those of files like `files`, in any case."""
     per = votes.groupBy("resolution_number").agg(F.count("*").alias("n")).select(F.lit("votes").alias("what"), F.coalesce("resolution_number", F.lit("—")).alias("key"), "n")
     amounts = resolutions.agg(F.lit("amounts").alias("what"), F.lit("").alias("key"), F.count("amount").alias("n"))
-    readers = documents.where("document_type = 'resolution'").groupBy("parser_used").agg(F.count("*").alias("n")).select(F.lit("readers").alias("what"), F.col("parser_used").alias("key"), "n")
+    readers = documents.where(F.col("source_file").ilike(files)).groupBy("parser_used").agg(F.count("*").alias("n")).select(F.lit("readers").alias("what"), F.col("parser_used").alias("key"), "n")
     return per.unionByName(amounts).unionByName(readers)
 
 

@@ -42,19 +42,22 @@ def plural(n: Column, word: str) -> Column:
 
 
 def goal_history(goals: DataFrame) -> DataFrame:
-    """Per (department, title): distinct periods, whether any row has a status, and the latest row."""
+    """Per (department, title): distinct periods, whether any row has a status, and the latest row; of one period that of the last department as written, then id.
+
+    The latest period and the labels are those of all rows, whether or not they have a title.
+    """
     rows = goals.where("department is not null and goal_title is not null").withColumn("title_key", T.norm_title("goal_title"))
     rows = rows.where("title_key <> ''").withColumn("p", clean_period()).withColumn("eff", F.trim(F.coalesce(F.nullif("user_status", F.lit("")), "status", F.lit(""))))
     # keys are made for the distinct names, which are few
-    keyed = rows.select("department").distinct().withColumn("dept_key", T.dept_key("department")).where("dept_key <> ''")
+    keyed = goals.where("department is not null").select("department").distinct().withColumn("dept_key", T.dept_key("department")).where("dept_key <> ''")
     rows = rows.join(keyed, "department")
     names = labelled(keyed).withColumnRenamed("department", "label")
-    last = F.struct("p", "id")
+    last = F.struct("p", "department", "id")
     out = rows.groupBy("dept_key", "title_key").agg(
         F.count_distinct("p").alias("n"), F.bool_and(F.col("eff") == "").alias("silent"), F.min("p").alias("first"), F.max("p").alias("last"),
         F.max_by("goal_title", last).alias("goal_title"), F.max_by("eff", last).alias("eff"), F.max_by(F.trim(F.coalesce("target", F.lit(""))), last).alias("target"),
     )
-    top = F.broadcast(rows.agg(F.max("p").alias("top")))  # one row
+    top = F.broadcast(goals.agg(F.max(clean_period()).alias("top")))  # one row
     return out.join(names.withColumnRenamed("label", "department"), "dept_key").crossJoin(top)
 
 
@@ -94,10 +97,10 @@ def goal_findings(goals: DataFrame) -> DataFrame:
 
 
 def budget_pace(expenditures: DataFrame) -> DataFrame:
-    """Q4: spending far from the share of the budget expected at the quarter's end."""
-    rows = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%"))
+    """Q4: spending far from the share of the budget expected at the quarter's end; without figures nothing is spent."""
+    rows = in_latest(expenditures, latest_spend_period(expenditures)).where(~F.col("line_item").ilike("%total%")).withColumn("quarter", F.trim("quarter"))
     per = rows.groupBy("department", "year", "quarter").agg(F.sum("revised_budget").alias("budget"), F.sum("ytd_expended").alias("ytd"))
-    per = by_department(per, dollars("budget").alias("budget"), dollars("ytd").alias("ytd"), F.first("year").alias("year"), F.first("quarter").alias("quarter")).where("dept_key <> ''")
+    per = by_department(per, dollars("budget").alias("budget"), F.coalesce(dollars("ytd"), F.lit(0.0)).alias("ytd"), F.first("year").alias("year"), F.first("quarter").alias("quarter")).where("dept_key <> ''")
     expected = F.element_at(F.create_map(*(F.lit(x) for kv in PACE.items() for x in kv)), F.col("quarter"))
     per = per.where("budget > 0").withColumn("expected", expected).withColumn("pace", F.col("ytd") / F.col("budget"))
     per = per.where((F.col("pace") > F.col("expected") * AHEAD) | (F.col("pace") < F.col("expected") * BEHIND))
@@ -109,7 +112,7 @@ def budget_pace(expenditures: DataFrame) -> DataFrame:
 
 def vacancy(vacancies: DataFrame) -> DataFrame:
     """Q5: open positions of the department's own latest period."""
-    rows = vacancies.where(F.lower(F.trim("status")) == "open").where(~F.lower(F.trim("position_title")).isin("", "none"))
+    rows = vacancies.where(F.lower("status") == "open").where(~F.lower("position_title").isin("", "none"))
     rows = rows.withColumn("p", clean_period())
     per = rows.groupBy("department").agg(F.max("p").alias("last"))
     last = by_department(per, F.max("last").alias("last")).where("dept_key <> ''").withColumnRenamed("department", "label")
@@ -126,7 +129,7 @@ def vacancy(vacancies: DataFrame) -> DataFrame:
 
 def grant(grants: DataFrame, per_dept: int = 5) -> DataFrame:
     """Q6: the department's largest grants that are not closed, as read (not de-duplicated)."""
-    rows = grants.where("department is not null and grant_name is not null and trim(grant_name) <> ''").where(~F.coalesce(F.lower("status").rlike("|".join(T.CLOSED_GRANT)), F.lit(False)))
+    rows = grants.where("department is not null and grant_name <> ''").where(~F.coalesce(F.lower("status").rlike("|".join(T.CLOSED_GRANT)), F.lit(False)))
     rows = rows.withColumn("dept_key", T.dept_key("department")).where("dept_key <> ''")
     names = labelled(rows.select("dept_key", "department").distinct()).withColumnRenamed("department", "label")
     top = Window.partitionBy("dept_key").orderBy(F.coalesce("amount", F.lit(0)).desc(), "id")

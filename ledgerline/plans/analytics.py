@@ -131,9 +131,9 @@ query("A28_dashboard", built, " UNION ALL ".join(f"SELECT '{k}' AS panel, '{AS_O
 
 CP = "struct_pack(year := coalesce(year, 0), quarter := trim(coalesce(quarter, '')))"
 PL = lambda p: f"CASE WHEN {p}.year = 0 THEN {p}.quarter ELSE trim({p}.quarter || ' ' || {p}.year) END"
-GOALS = f"""+ g AS (SELECT *, {dk('department')} AS dept_key, {nt('goal_title')} AS title_key, {CP} AS p, trim(coalesce(nullif(user_status, ''), status, '')) AS eff FROM v_goals WHERE department IS NOT NULL AND goal_title IS NOT NULL),
-h AS (SELECT dept_key, title_key, count(DISTINCT p) AS n, bool_and(eff = '') AS silent, min(p) AS first, max(p) AS last, last(goal_title ORDER BY p, id) AS goal_title, last(eff ORDER BY p, id) AS eff, last(trim(coalesce(target, '')) ORDER BY p, id) AS target FROM g GROUP BY ALL),
-n AS (SELECT dept_key, {label()} AS department FROM g GROUP BY 1), f AS (SELECT h.*, n.department, (SELECT max(p) FROM g) AS top, (h.n >= 2 AND h.silent) AS stalled FROM h JOIN n USING (dept_key))"""
+GOALS = f"""+ g AS (SELECT *, {dk('department')} AS dept_key, {nt('goal_title')} AS title_key, {CP} AS p, trim(coalesce(nullif(user_status, ''), status, '')) AS eff FROM v_goals WHERE department IS NOT NULL AND goal_title IS NOT NULL AND dept_key <> '' AND title_key <> ''),
+h AS (SELECT dept_key, title_key, count(DISTINCT p) AS n, bool_and(eff = '') AS silent, min(p) AS first, max(p) AS last, last(goal_title ORDER BY p, department, id) AS goal_title, last(eff ORDER BY p, department, id) AS eff, last(trim(coalesce(target, '')) ORDER BY p, department, id) AS target FROM g GROUP BY ALL),
+n AS (SELECT {dk('department')} AS dept_key, {label()} AS department FROM v_goals WHERE department IS NOT NULL GROUP BY 1), f AS (SELECT h.*, n.department, (SELECT max({CP}) FROM v_goals) AS top, (h.n >= 2 AND h.silent) AS stalled FROM h JOIN n USING (dept_key))"""
 TARGET = "CASE WHEN target <> '' THEN ' (target: ' || target || ')' ELSE '' END"
 DONE = "regexp_matches(lower(eff), 'complete|done|achieved|finished|closed|met')"
 Q1 = f"SELECT dept_key, department, 'goal_stalled' AS signal, 'highest' AS priority, '“' || goal_title || '” has appeared in ' || n || ' quarterly reports (' || {PL('first')} || '→' || {PL('last')} || ') with no status update — what progress has been made since ' || {PL('last')} || '?' AS question, n::VARCHAR AS evidence FROM f WHERE stalled"
@@ -145,17 +145,17 @@ query("Q3_goal_in_progress", lambda t: Q.goal_in_progress(t.goals), f"{GOALS} {Q
 Q4 = f"""SELECT dept_key, department, 'budget_pace' AS signal, 'high' AS priority, CASE WHEN pace > x * 1.5 THEN department || ' is at ' || pct || '% of its revised budget by ' || lbl || ' (≈' || xp || '% expected) — what''s driving the elevated spend?'
   ELSE department || ' has spent only ' || pct || '% of its revised budget by ' || lbl || ' (≈' || xp || '% expected) — why is spending behind pace?' END AS question, round_even(pace, 3)::VARCHAR AS evidence
   FROM (SELECT *, round_even(pace * 100, 0)::BIGINT AS pct, round_even(x * 100, 0)::BIGINT AS xp, quarter || ' ' || year AS lbl FROM (SELECT *, ytd / budget AS pace, CASE quarter WHEN 'Q1' THEN 0.25::DOUBLE WHEN 'Q2' THEN 0.5 WHEN 'Q3' THEN 0.75 WHEN 'Q4' THEN 1.0 END AS x FROM
-  (SELECT {dk('department')} AS dept_key, {label()} AS department, sum(revised_budget)::DOUBLE AS budget, sum(ytd_expended)::DOUBLE AS ytd, any_value(year) AS year, any_value(quarter) AS quarter FROM ({LINES}) GROUP BY 1) WHERE budget > 0 AND dept_key <> '') WHERE pace > x * 1.5 OR pace < x * 0.5)"""
+  (SELECT {dk('department')} AS dept_key, {label()} AS department, sum(revised_budget)::DOUBLE AS budget, coalesce(sum(ytd_expended), 0)::DOUBLE AS ytd, any_value(year) AS year, any_value(trim(quarter)) AS quarter FROM ({LINES}) GROUP BY 1) WHERE budget > 0 AND dept_key <> '') WHERE pace > x * 1.5 OR pace < x * 0.5)"""
 query("Q4_budget_pace", lambda t: Q.budget_pace(t.expenditures), Q4, "expenditures")
 Q5 = f"""SELECT dept_key, department, 'vacancy' AS signal, 'medium' AS priority, department || ' reported ' || CASE WHEN total IS NOT NULL THEN total || ' open position' || CASE WHEN total = 1 THEN '' ELSE 's' END ELSE n || ' open role' || CASE WHEN n = 1 THEN '' ELSE 's' END END
   || ' in ' || {PL('last')} || ' (' || listing || '). What''s the current hiring status?' AS question, total::VARCHAR AS evidence FROM (SELECT v.dept_key, d.department, d.last, string_agg(trim(position_title) || CASE WHEN open_count <> 0 THEN ' (' || open_count || ')' ELSE '' END, ', ' ORDER BY id) AS listing, count(*) AS n, nullif(sum(open_count), 0) AS total
   FROM v JOIN (SELECT dept_key, max(p) AS last, {label()} AS department FROM v GROUP BY 1) d ON v.dept_key = d.dept_key AND v.p = d.last GROUP BY ALL)"""
-V5 = f"v AS (SELECT *, {dk('department')} AS dept_key, {CP} AS p FROM v_vacancies WHERE lower(trim(status)) = 'open' AND lower(trim(position_title)) NOT IN ('', 'none'))"
+V5 = f"v AS (SELECT *, {dk('department')} AS dept_key, {CP} AS p FROM v_vacancies WHERE lower(status) = 'open' AND lower(position_title) NOT IN ('', 'none'))"
 query("Q5_vacancy", lambda t: Q.vacancy(t.vacancies), f"+ {V5} {Q5}", "vacancies")
 Q6 = f"""SELECT g.dept_key, n.department, 'grant' AS signal, 'low' AS priority, n.department || '''s grant “' || grant_name || '”' || CASE WHEN amount IS NOT NULL THEN ' ($' || format('{{:,}}', round_even(amount::DOUBLE, 0)::BIGINT) || ')' ELSE '' END
   || ' was reported ' || coalesce(nullif(trim(status), ''), 'active') || '. What''s the current status / drawdown for next quarter?' AS question, grant_number AS evidence
   FROM (SELECT *, row_number() OVER (PARTITION BY dept_key ORDER BY coalesce(amount, 0) DESC, id) AS k FROM gr) g JOIN (SELECT dept_key, {label()} AS department FROM gr GROUP BY 1) n ON g.dept_key = n.dept_key WHERE k <= 5"""
-G6 = f"gr AS (SELECT *, {dk('department')} AS dept_key FROM v_grants WHERE department IS NOT NULL AND trim(grant_name) <> '' AND NOT regexp_matches(lower(status), 'closed|complete|expired|terminated|ended'))"
+G6 = f"gr AS (SELECT *, {dk('department')} AS dept_key FROM v_grants WHERE department IS NOT NULL AND grant_name <> '' AND NOT regexp_matches(lower(status), 'closed|complete|expired|terminated|ended'))"
 query("Q6_grant", lambda t: Q.grant(t.grants), f"+ {G6} {Q6}", "grants")
 Q7 = f"""SELECT dept_key, department, 'quiet_department' AS signal, 'high' AS priority, department || ' hasn''t filed a quarterly report since ' || coalesce(nullif({PL('last')}, ''), 'the period on record') || ' (latest on record is ' || {PL('top')} || '). Please provide an update.' AS question, {PL('last')} AS evidence
   FROM (SELECT *, (SELECT max(p) FROM qd) AS top FROM (SELECT dept_key, max(p) AS last, {label()} AS department FROM qd GROUP BY 1)) WHERE last < top AND top.year <> 0"""
@@ -176,8 +176,8 @@ PG = f"""SELECT 'grant-' || id AS project, 'grant' AS type, trim(grant_name) AS
   coalesce(end_date BETWEEN {D} AND {D} + 120, false) AS attention, NULL::VARCHAR AS group_key FROM {grants()} WHERE title_key <> ''"""
 TYPE = "CASE WHEN regexp_matches(lower(title), 'land development|subdivision|zoning|plat|rezon') THEN 'land_development' WHEN regexp_matches(lower(title), 'grant') THEN 'grant_action' WHEN regexp_matches(lower(title), 'agreement|contract|professional services|purchase|negotiat|lease') THEN 'contract' WHEN regexp_matches(lower(title), 'budget|appropriat|millage|\\btax\\b') THEN 'budget' WHEN regexp_matches(lower(title), 'appoint|reappoint|resign|confirm') THEN 'appointment' ELSE 'other' END"
 RSTATUS = "CASE WHEN regexp_matches(lower(status), 'tabl') THEN 'Stalled' WHEN regexp_matches(lower(status), 'fail|defeat|reject') THEN 'Closed' WHEN regexp_matches(lower(status), 'pass|adopt|approv|ratif') THEN 'Active' ELSE 'Proposed' END"
-PARTY = "nullif(trim(regexp_replace(regexp_replace(lower(vendor), '[,.]?\\s*\\b(llc|l\\.l\\.c|inc|incorporated|co|company|corp|corporation|lp|llp|pllc)\\b\\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '')"
-PR = f"SELECT 'resolution-' || id AS project, {TYPE} AS type, trim(title) AS title, department, amount::DOUBLE AS amount, {RSTATUS} AS status, {RSTATUS} = 'Stalled' AS attention, {PARTY} || '|' || {TYPE} AS group_key FROM {RES} WHERE trim(title) <> ''"
+PARTY = "trim(regexp_replace(regexp_replace(lower(vendor), '[,.]?\\s*\\b(llc|l\\.l\\.c|inc|incorporated|co|company|corp|corporation|lp|llp|pllc)\\b\\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+PR = f"SELECT 'resolution-' || id AS project, {TYPE} AS type, trim(title) AS title, department, amount::DOUBLE AS amount, {RSTATUS} AS status, {RSTATUS} = 'Stalled' AS attention, CASE WHEN vendor <> '' THEN {PARTY} || '|' || {TYPE} END AS group_key FROM {RES} WHERE trim(title) <> ''"
 PP = f"SELECT *, type IN ('budget', 'appointment') AS administrative FROM ({PG} UNION ALL {PR})"
 both = lambda t: J.projects(t.grants, t.resolutions, AS_OF)
 query("J1_dedupe_resolutions", lambda t: J.dedupe_resolutions(t.resolutions).select("id", "number_key"), f"SELECT id, number_key FROM {RES}", "resolutions")
@@ -212,16 +212,17 @@ M4 = (
 )
 query("M4_chunk_performance", lambda t: M.chunk_performance(t.judgements), *M4)
 low = lambda t: M.low_scoring(t.query_scores.withColumn("retrieval", F.col("retrieval")), 2.0, "2026-06-01")
-query("M5_low_scoring", lambda t: low(t).select("query_id", "store", "asked"), "SELECT query_id, store, asked::VARCHAR AS asked FROM v_query_scores WHERE (retrieval < 2 OR accuracy < 2 OR completeness < 2) AND asked >= DATE '2026-03-01'", "query_scores")
-query("M6_failures_by_store", lambda t: M.failures_by_store(low(t)), "SELECT coalesce(store, 'unknown') AS store, count(*) AS n FROM v_query_scores WHERE (retrieval < 2 OR accuracy < 2 OR completeness < 2) AND asked >= DATE '2026-03-01' GROUP BY 1", "query_scores")
+LOW = "retrieval < 2 OR accuracy < 2 OR (completeness < 2 AND asked >= DATE '2026-03-01')"
+query("M5_low_scoring", lambda t: low(t).select("query_id", "store", "asked"), f"SELECT query_id, store, asked::VARCHAR AS asked FROM v_query_scores WHERE {LOW}", "query_scores")
+query("M6_failures_by_store", lambda t: M.failures_by_store(low(t)), f"SELECT coalesce(store, 'unknown') AS store, count(*) AS n FROM v_query_scores WHERE {LOW} GROUP BY 1", "query_scores")
 EV = "SELECT *, (retrieval + accuracy + completeness)::DOUBLE / 3 AS m FROM v_query_scores"
 query("M7_eval_score", lambda t: M.eval_score(t.query_scores).select("query_id", "mean", "passed"), f"SELECT query_id, round_even(m, 4) AS mean, m >= 3.0 AS passed FROM ({EV})", "query_scores")
 query(
     "M8_eval_report", lambda t: M.eval_report(t.query_scores),
-    f"""SELECT count(*) AS total, count(*) FILTER (WHERE m >= 3) AS passed, count(*) FILTER (WHERE m < 3) AS failed, round_even(count(*) FILTER (WHERE m >= 3) / count(*), 4) AS pass_rate, round_even(avg(retrieval::DOUBLE), 2) AS avg_retrieval, round_even(avg(accuracy::DOUBLE), 2) AS avg_accuracy, round_even(avg(completeness::DOUBLE), 2) AS avg_completeness,
-  (SELECT string_agg(query_id, ',' ORDER BY query_id) FROM (SELECT query_id FROM ({EV}) WHERE m < 3 ORDER BY query_id LIMIT 10)) AS first_failures FROM ({EV})""", "query_scores",
+    f"""SELECT count(*) AS total, count(*) FILTER (WHERE m >= 3) AS passed, count(*) FILTER (WHERE m < 3) AS failed, round_even(count(*) FILTER (WHERE m >= 3) * 100 / count(*), 0) / 100 AS pass_rate, round_even(avg(retrieval::DOUBLE), 2) AS avg_retrieval, round_even(avg(accuracy::DOUBLE), 2) AS avg_accuracy, round_even(avg(completeness::DOUBLE), 2) AS avg_completeness,
+  (SELECT string_agg(query_id || ' R:' || retrieval::DOUBLE || ' A:' || accuracy::DOUBLE || ' C:' || completeness::DOUBLE, ',' ORDER BY query_id) FROM (SELECT * FROM ({EV}) WHERE m < 3 ORDER BY query_id LIMIT 10)) AS first_failures FROM ({EV})""", "query_scores",
 )
-query("M9_last_run", lambda t: M.last_run(t.query_scores), f"SELECT run_id, max(asked)::VARCHAR AS run_date, count(*) AS total, count(*) FILTER (WHERE m >= 3) AS passed FROM ({EV}) GROUP BY 1 ORDER BY max(asked) DESC, run_id DESC LIMIT 1", "query_scores")
+query("M9_last_run", lambda t: M.last_run(t.query_scores), "SELECT run_id, asked::VARCHAR AS run_date, count(*) AS total, count(*) FILTER (WHERE m >= 3) AS passed, " + ", ".join(f"sum({c})::DOUBLE / count({c}) AS avg_{c}" for c in ("retrieval", "accuracy", "completeness")) + f" FROM ({EV}) GROUP BY run_id, asked ORDER BY asked DESC, run_id DESC LIMIT 1", "query_scores")
 query("M10_review_queue", lambda t: M.review_queue(t.review_flags).drop("newest"), "SELECT stage, count(*) AS n, last(source_file ORDER BY created_at, id) AS newest_file FROM v_review_flags WHERE NOT resolved GROUP BY 1", "review_flags")
 PROPOSED = "SELECT event_id AS id, 'type_' || (user_id % 7) AS proposed_type, CASE WHEN event_id % 3 = 0 THEN 'pending' ELSE 'approved' END AS status, ts AS created_at FROM {events} WHERE event_type = 'error'"
 proposals = lambda t: t.spark.sql(PROPOSED, events=t.events)
@@ -229,8 +230,8 @@ query("M11_pending_proposals", lambda t: M.pending_proposals(proposals(t)).selec
 query("M12_stats", lambda t: M.stats(t.registry, t.query_scores, M.chunk_performance(t.judgements)), "SELECT (SELECT count(*) FROM v_registry) AS documents, (SELECT count(*) FROM v_query_scores) AS queries, (SELECT count(DISTINCT chunk_id) FROM (SELECT *, count(*) OVER w AS k, count(*) FILTER (WHERE good) OVER w AS g FROM v_judgements WINDOW w AS (PARTITION BY chunk_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) WHERE k >= 5 AND g / k * 5 < 2.5) AS flagged_chunks", "registry", "query_scores", "judgements")
 query("M13_sample_queries", lambda t: M.sample_queries(t.query_scores, 0.1).select("query_id"), f"SELECT query_id FROM v_query_scores WHERE left(md5(query_id::VARCHAR), 8) < '{int(0.1 * 16**8):08x}'", "query_scores")
 query(
-    "M14_vote_counts", lambda t: M.vote_counts(t.votes, t.resolutions, t.registry),
-    "SELECT 'votes' AS what, coalesce(resolution_number, '—') AS key, count(*) AS n FROM v_votes GROUP BY ALL UNION ALL SELECT 'amounts', '', count(amount) FROM v_resolutions UNION ALL SELECT 'readers', parser_used, count(*) FROM v_registry WHERE document_type = 'resolution' GROUP BY ALL", "votes", "resolutions", "registry",
+    "M14_vote_counts", lambda t: M.vote_counts(t.votes, t.resolutions, t.registry, "reports - 1995%"),
+    "SELECT 'votes' AS what, coalesce(resolution_number, '—') AS key, count(*) AS n FROM v_votes GROUP BY ALL UNION ALL SELECT 'amounts', '', count(amount) FROM v_resolutions UNION ALL SELECT 'readers', parser_used, count(*) FROM v_registry WHERE source_file ILIKE 'Reports - 1995%' GROUP BY ALL", "votes", "resolutions", "registry",
 )
 HAVE = f"SELECT DISTINCT {dk('department')} AS dept_key, year, quarter FROM v_registry WHERE document_type = 'quarterly_report' AND year IS NOT NULL AND quarter <> ''"
 query("M15_coverage_gap", lambda t: M.coverage_gap(t.registry), f"+ h AS ({HAVE}) SELECT d.dept_key, p.year, p.quarter FROM (SELECT DISTINCT dept_key FROM h) d, (SELECT DISTINCT year, quarter FROM h) p EXCEPT SELECT dept_key, year, quarter FROM h", "registry")
@@ -266,5 +267,5 @@ query(
 )
 query("U12_leaders_and_spend", lambda t: U.leaders_and_spend(t.expenditures, all_edges(t)), f"SELECT s.dept_key, w.name AS leader, s.ytd FROM ({TOTALS}) s JOIN {WHO('DIRECTS')} w ON w.k = s.dept_key", "expenditures", "persons")
 query("U12_grants_and_managers", lambda t: U.grants_and_managers(t.grants, all_edges(t)), f"SELECT g.dept_key, w.name AS manager, g.amount FROM (SELECT dept_key, sum(amount)::DOUBLE AS amount FROM {grants()} GROUP BY 1) g JOIN {WHO('MANAGES')} w ON w.k = g.dept_key", "grants", "persons")
-query("U13_metric_and_budget", lambda t: U.metric_and_budget(t.metrics, t.vacancies, "error"), f"SELECT m.*, p.positions, p.open_count FROM (SELECT {dk('department')} AS dept_key, sum(metric_value)::DOUBLE AS total FROM v_metrics WHERE metric_name ILIKE '%error%' GROUP BY 1) m JOIN ({POS}) p ON p.dept_key = m.dept_key", "metrics", "vacancies")
+query("U13_metric_and_budget", lambda t: U.metric_and_budget(t.metrics, t.expenditures, "error"), f"SELECT m.*, p.budget, p.ytd FROM (SELECT {dk('department')} AS dept_key, sum(metric_value)::DOUBLE AS total FROM v_metrics WHERE metric_name ILIKE '%error%' GROUP BY 1) m JOIN ({TOTALS}) p ON p.dept_key = m.dept_key", "metrics", "expenditures")
 query("U14_staff", lambda t: U.staff(all_edges(t)), "SELECT department, name AS person, lower(rel) AS role FROM v_persons WHERE rel IN ('DIRECTS', 'MANAGES')", "persons")

@@ -66,8 +66,8 @@ VIEWS = {
     "goals": f"""SELECT event_id AS id, {_unit} AS department, CASE WHEN event_id % 2 = 0 THEN 'Goal  ' || CAST(event_id % 15 AS STRING) ELSE 'goal ' || CAST(event_id % 15 AS STRING) END AS goal_title,
   CASE WHEN event_id % 4 = 0 THEN '65%' ELSE '' END AS target, CASE WHEN event_id % 15 = 7 THEN NULL WHEN event_type = 'purchase' THEN 'Completed' WHEN event_type = 'view' THEN 'under way' ELSE NULL END AS status,
   CASE WHEN event_id % 29 = 0 AND event_id % 15 <> 7 THEN 'completed' ELSE NULL END AS user_status, {_period} FROM {{events}}""",
-    "metrics": """SELECT event_id AS id, 'Unit ' || CAST(user_id % 25 AS STRING) AS department, event_type AS metric_name, CAST(value AS DECIMAL(15,2)) AS metric_value, CAST(2020 + event_id % 5 AS INT) AS year,
-  'Q' || CAST(1 + event_id % 4 AS STRING) AS quarter FROM {events}""",
+    "metrics": """SELECT event_id AS id, n_name AS department, event_type AS metric_name, CAST(value AS DECIMAL(15,2)) AS metric_value, CAST(2020 + event_id % 5 AS INT) AS year,
+  'Q' || CAST(1 + event_id % 4 AS STRING) AS quarter FROM {events} JOIN {nation} ON user_id % 25 = n_nationkey""",
     "projects": f"""SELECT event_id AS id, {_unit} AS department, 'Project ' || CAST(event_id % 30 AS STRING) AS project_name, left(props, CAST(event_id % 10 AS INT)) AS description, {_period} FROM {{events}} WHERE event_type = 'signup'""",
     "boards": """SELECT 'Board ' || n_name AS board_name, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE CAST(40 + n_nationkey AS INT) END AS total_seats, CAST(2025 + n_nationkey % 2 AS INT) AS roster_year FROM {nation}""",
     "board_members": """SELECT 'Board ' || n_name AS board_name, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE c_name END AS member_name, DATE '2026-01-01' + CAST(c_custkey % 1500 AS INT) AS term_expiration_date,
