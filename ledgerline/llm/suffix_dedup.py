@@ -24,7 +24,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import binary, mix, powers, prefix_hash, slabs, table, written
@@ -241,6 +241,15 @@ def repeated_ranges(docs: DataFrame, window: int, hot: int = HOT) -> DataFrame:
     return whole.unionByName(merged(merges, window)).unionByName(ranges)
 
 
+def joined_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges (row, start, end) joined where they touch, so that no more of a row's ranges meet in a list than it has runs."""
+    order = Window.partitionBy("row").orderBy("start")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ranges.withColumn("opens", F.coalesce(before < F.col("start"), F.lit(True)).cast("int"))
+    runs = marked.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
 def drop_repeats(docs: DataFrame, window: int = 400, hot: int = HOT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
 
@@ -251,7 +260,7 @@ def drop_repeats(docs: DataFrame, window: int = 400, hot: int = HOT) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("row", F.unhex(F.md5(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary"))))  # equal rows are treated alike
     ranges = repeated_ranges(texts.select("row", "text"), window, hot)
-    ranges = ranges.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    ranges = joined_ranges(ranges).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
     def run(batches):
         for b in batches:

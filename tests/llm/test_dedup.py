@@ -169,6 +169,12 @@ def test_op2_on_whole_tables(spark, sf):
     assert sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.op2_suffix_dedup(spark, sf).collect()) == want
 
 
+def test_ranges_are_joined_before_they_are_collected(spark):
+    rows = [(b"a", i, i + 400) for i in range(0, 5000)] + [(b"a", 9000, 9400), (b"a", 9000, 9500), (b"a", 9500, 9900), (b"a", 9901, 9902), (b"b", 0, 400), (b"b", 0, 400)]
+    got = suffix_dedup.joined_ranges(spark.createDataFrame(rows, "row binary, start long, end long").repartition(3)).collect()
+    assert sorted((bytes(r.row), r.start, r.end) for r in got) == [(b"a", 0, 5399), (b"a", 9000, 9900), (b"a", 9901, 9902), (b"b", 0, 400)]
+
+
 def test_repeats_empty(spark):
     assert suffix_dedup.drop_repeats(docs(spark, [])).count() == 0
 
