@@ -161,8 +161,9 @@ def predictor(model: Model | None):
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs (text and any further columns) with lang_pred, score and ambiguous added, see predictor().
 
-    Columns of these names are replaced; predictor() adds none. Every row is returned, repeated ones as often as they occur;
-    an empty table gives an empty result.
+    Null texts and texts without a letter are `und`; long texts are read whole. Of ties between languages
+    the first by name is taken. Columns of these names are replaced; predictor() adds none.
+    Every row is returned, repeated ones as often as they occur; an empty table gives an empty result.
     """
     names = ("lang_pred", "score", "ambiguous")
     found = docs.drop(*names).withColumn("lang_pred", predictor(model)(F.col("text").cast("string")))

@@ -209,5 +209,14 @@ def test_vectors(spark, monkeypatch, block):
     assert got == vectors_brute(rows, 0.98)
 
 
+def test_several_vectors_of_one_id_are_one_node(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 1), (1, b, 1), (2, a, 1), (3, b, 1), (4, c, 1), (None, a, 1), (5, a, 2)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.98).collect()
+    # both rows of id 1 have the links of either, which join 2 and 3
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None)) == [(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+    assert [(r.n_links, r.kept) for r in got if r.vec_id is None] == [(0, False)]
+
+
 def test_vectors_empty(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from ledgerline.llm import language, mixing
+from ledgerline.llm import language, mixing, tokens
 
 from .helpers import docs
 from .test_dedup import near_brute
@@ -80,6 +80,27 @@ def test_rows_that_share_an_id_are_documents(spark, sf):
         assert all(r.score == 1.5 and r.lang_pred == "mine" and r.nth_of_id == 9 for r in got.collect())
 
 
+def test_token_output_of_odd_rows(spark, sf):
+    from tokenizers import Tokenizer
+
+    long = "a1 Ünïcode\n" * 20_000
+    rows = [(7, None), (None, "no id"), (5, "same"), (5, "same"), (None, None), (3, ""), (5, "other"), (9, long)]
+    df = spark.createDataFrame([(i, t, -1, "x", 0.5) for i, t in rows], "doc_id long, text string, start int, row string, ids double")
+    got = dict(corpus_pipeline.STAGES)["token_output"](spark, df, sf).orderBy("start").collect()
+    # a null id comes first, rows of one id are ordered by text, and null and empty texts have their end id
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    encoder = Tokenizer.from_file(tokens.vocabulary())
+    sizes = [len(encoder.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in order]
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(i, sum(sizes[:k]), sizes[k]) for k, (i, _) in enumerate(order)]
+
+
+def test_mixing_counts_long_texts_whole(spark):
+    rows = [(1, "word " * 400_000, "a"), (2, "w" * 2_000_000, "a"), (3, "two words", "b"), (3, "two words", "b"), (4, None, None), (5, " \t\n", "c")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.size) for r in got) == [(1, 400_000), (2, 1), (3, 2), (3, 2), (4, 0), (5, 0)]
+    assert all(r.taken <= 3 * r.size for r in got)
+
+
 def test_shared_path(spark, monkeypatch):
     from ledgerline.llm import shared
 
