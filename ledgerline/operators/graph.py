@@ -54,9 +54,20 @@ def typed_edges(rels: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def mention_edges(chunks: DataFrame, entities: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Chunks (chunk_id, source_file) of the graph route to the entities (source_file, label, name) of their file that are nodes."""
+    """Chunks (chunk_id, source_file) of the graph route to the entities (source_file, label, name) of their file that are nodes.
+
+    Chunks are made distinct before they meet the names, which a file has once: only edges of a chunk_id in several files can repeat, so only these are
+    compared.
+    """
     known = entities.select("source_file", "label", "name").distinct().join(nodes.select("label", F.col("key").alias("name")).distinct(), ["label", "name"], "left_semi")
-    return chunks.join(known, "source_file").select(F.lit("Chunk").alias("src_label"), F.col("chunk_id").alias("src"), F.lit("MENTIONS").alias("rel"), F.col("label").alias("dst_label"), F.col("name").alias("dst")).distinct()
+    names = known.groupBy("source_file").agg(F.collect_list(F.struct("label", "name")).alias("names"))
+    files = chunks.where("source_file is not null").groupBy("chunk_id").agg(F.collect_set("source_file").alias("files"))
+
+    def found(rows: DataFrame) -> DataFrame:
+        rows = rows.select("chunk_id", F.explode("files").alias("source_file")).join(names, "source_file").select("chunk_id", F.explode("names").alias("e"))
+        return rows.select(F.lit("Chunk").alias("src_label"), F.col("chunk_id").alias("src"), F.lit("MENTIONS").alias("rel"), F.col("e.label").alias("dst_label"), F.col("e.name").alias("dst"))
+
+    return found(files.where(F.size("files") == 1)).unionByName(found(files.where(F.size("files") > 1)).distinct())
 
 
 def reported_in(documents: DataFrame, departments: DataFrame) -> DataFrame:
