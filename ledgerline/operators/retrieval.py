@@ -37,10 +37,16 @@ def fallback_topk(requests: DataFrame, retrieved: DataFrame, chunks: DataFrame,
 
 
 def entity_chunks(records: DataFrame, edges: DataFrame, names: int = 10, limit: int = 5) -> DataFrame:
-    """Chunks that mention the names in graph records (query_id, value): the first `names` by name, the first `limit` chunks."""
+    """Chunks that mention the names in graph records (query_id, value): the first `names` by name, the first `limit` chunks.
+
+    The first chunks of several names are among the first of each, so a name's later chunks are dropped before requests meet them: a request joins
+    `names` times `limit` rows at most, however many chunks mention its names.
+    """
     first = Window.partitionBy("query_id").orderBy("value")
     asked = records.where(F.length("value") > 2).select("query_id", "value").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= names)
-    hits = asked.join(edges.where("rel = 'MENTIONS'").select(F.col("dst").alias("value"), F.col("src").alias("chunk_id")), "value").select("query_id", "chunk_id").distinct()
+    said = edges.where("rel = 'MENTIONS'").select(F.col("dst").alias("value"), F.col("src").alias("chunk_id")).distinct()
+    said = said.withColumn("at", F.row_number().over(Window.partitionBy("value").orderBy("chunk_id"))).where(F.col("at") <= limit)
+    hits = asked.join(said, "value").select("query_id", "chunk_id").distinct()
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")).cast("long")).where(F.col("rank") <= limit)
 
 

@@ -260,3 +260,42 @@ def test_character_budget_of_a_very_long_file(spark):
         number, used = (number + 1, 0) if used > 0 and used + n > 1000 else (number, used)
         want[file] = number, used + n
     assert {r.source_file: r.last for r in got} == {k: v[0] for k, v in want.items()} and sum(r.n for r in got) == 400_000
+
+
+def most_rows(df, kind):
+    """The rows that come out of the largest operator of a kind when df is computed."""
+    df.collect()
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            yield from walk(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            yield from walk(plan.plan())
+        if kind in name:
+            yield plan.metrics().apply("numOutputRows").value()
+        children = plan.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_requests_meet_the_first_chunks_of_their_names_alone(spark):
+    asked = spark.createDataFrame([(f"q{i}", name) for i in range(20) for name in ("park", "road")], "query_id string, value string")
+    said = spark.createDataFrame([("MENTIONS", f"c{i:03}", "park" if i % 2 else "road") for i in range(400)] + [("MENTIONS", "c000", "park"), ("MENTIONS", "c001", "park")], "rel string, src string, dst string")
+    out = R.entity_chunks(asked, said)
+    assert most_rows(out, "Join") <= 20 * 2 * 5
+    got = sorted((r.query_id, r.rank, r.chunk_id) for r in out.collect())
+    assert got == sorted((f"q{i}", k + 1, f"c{k:03}") for i in range(20) for k in range(5))
+
+
+def test_chunks_of_one_file_are_not_compared_by_edge(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "a") for i in range(50)] * 2 + [("c0", "b"), ("c0", None), ("c99", "none"), (None, "b")], "chunk_id string, source_file string")
+    names = spark.createDataFrame([("a", "Department", f"d{i}") for i in range(9)] * 3 + [("b", "Department", "d1"), ("b", "Department", "d9"), ("b", "Department", "unknown")], "source_file string, label string, name string")
+    nodes = spark.createDataFrame([("Department", f"d{i}") for i in range(10)], "label string, key string")
+    out = G.mention_edges(chunks, names, nodes)
+    want = {(f"c{i}", f"d{k}") for i in range(50) for k in range(9)} | {("c0", "d9"), (None, "d1"), (None, "d9")}
+    got = [(r.src, r.dst) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert most_rows(out, "Aggregate") < 9 * 50
