@@ -299,3 +299,9 @@ def test_chunks_of_one_file_are_not_compared_by_edge(spark):
     got = [(r.src, r.dst) for r in out.collect()]
     assert len(got) == len(want) and set(got) == want
     assert most_rows(out, "Aggregate") < 9 * 50
+
+
+@pytest.mark.parametrize("name", ["X10_validate_resolution", "X11_withhold_invalid"])
+def test_votes_are_read_once(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1
