@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,22 @@ from .writes import keyword_scan
 BUCKETS = 64
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct sequences of three code points of a text in lower case; none of null and shorter texts."""
-    letters = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    two = F.zip_with(letters, F.slice(letters, F.lit(2), F.size(letters)), lambda a, b: F.concat(a, b))
-    three = F.zip_with(two, F.slice(letters, F.lit(3), F.size(letters)), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.filter(three, lambda g: F.length(g) == 3))
+def trigrams(text: str) -> list[str]:
+    """Distinct sequences of three code points of a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(points) < 3:
+        return []
+    found = np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:])
+    letters = np.stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [letters[i : i + 3] for i in range(0, len(letters), 3)]
+
+
+def gram_rows(batches):
+    """chunk_id and gram of Arrow batches of chunk_id and text, a batch of rows for each text."""
+    for b in batches:
+        for i, text in enumerate(b.column(1)):
+            grams = trigrams(text.as_py())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(grams), pa.int32())), pa.array(grams, pa.string())], names=["chunk_id", "gram"])
 
 
 def bucket(gram: Column) -> Column:
@@ -24,8 +36,10 @@ def bucket(gram: Column) -> Column:
 
 def write_trigrams(chunks: DataFrame, path: str) -> None:
     """Writes which trigrams each of chunks (chunk_id, text) has to the new folder `path`: a Parquet partition for each of BUCKETS hash values of trigrams,
-    with rows in order of trigrams, so that a search reads the few row groups that hold its own. Frequent trigrams are spread over tasks."""
-    rows = chunks.select("chunk_id", F.explode(trigrams(F.col("text"))).alias("gram")).distinct().withColumn("bucket", bucket(F.col("gram")))
+    with rows in order of trigrams, so that a search reads the few row groups that hold its own. Frequent trigrams are spread over tasks. Rows of one chunk_id
+    may repeat a trigram."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    rows = chunks.select("chunk_id", F.lower("text").alias("text")).where("text is not null").mapInArrow(gram_rows, f"chunk_id {kind}, gram string").withColumn("bucket", bucket(F.col("gram")))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "chunk_id").write.partitionBy("bucket").parquet(path)
 
 
@@ -39,7 +53,7 @@ def candidates(spark, path: str, keyword: str) -> DataFrame:
     grams = grams_of(keyword)
     buckets = spark.createDataFrame([(g,) for g in grams], "gram string").select(bucket(F.col("gram")).alias("b")).distinct().collect()  # one for each trigram at most
     rows = spark.read.parquet(path).where(F.col("bucket").isin([r.b for r in buckets]) & F.col("gram").isin(grams))
-    return rows.groupBy("chunk_id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("chunk_id")
+    return rows.groupBy("chunk_id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("chunk_id")
 
 
 def keyword_search(chunks: DataFrame, path: str, keyword: str) -> DataFrame:

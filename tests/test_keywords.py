@@ -38,3 +38,9 @@ def test_on_the_tables(spark, sf, tmp_path):
     keywords.write_trigrams(chunks, str(tmp_path / "t"))
     for word in ("tion", "eau", "Sch"):
         assert keywords.keyword_search(chunks, str(tmp_path / "t"), word).count() == S.keyword_scan(chunks, word).count() > 0
+
+
+def test_trigrams_are_of_code_points_and_distinct():
+    assert keywords.trigrams("abcabc") == ["abc", "bca", "cab"]
+    assert keywords.trigrams("ab") == keywords.trigrams("") == []
+    assert set(keywords.trigrams("a😀bü")) == {"a😀b", "😀bü"}
