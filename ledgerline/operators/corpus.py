@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +24,11 @@ DOC_TYPES = {
     "legislation": (["legal_authorization", "ordinance_clause", "narrative", "header"], ["legislation"], ["ordained", "section"], "bill_number"),
     "budget": (["table", "narrative", "metrics", "header"], ["appropriations"], [], None),
 }
+#: White space as regular expressions of the engine know it.
+SPACE = " \t\n\x0b\f\r"
+CHUNK = ["source_file", "seq", "page_number", "section", "element_type", "text"]
+#: Chunks that a task hands on at once.
+SLICE = 1024
 BUDGET_PHRASES = "approved budget|proposed budget|adopted budget|annual budget"
 
 
@@ -166,10 +175,12 @@ def chunk_pages(elements: DataFrame, least: int = 100) -> DataFrame:
     return per.where(F.length("text") >= least).select("source_file", F.col("page_number").alias("seq"), "page_number", section.alias("section"), "element_type", "text")
 
 
-def chunk_keep_together(elements: DataFrame, markers: list[str], least: int = 100) -> DataFrame:
-    """A new chunk at an element that opens with the first marker if the last marker came since the previous opening."""
-    start = F.ltrim(F.lower(F.left("text", F.lit(60))))
-    opens, closes = start.startswith(markers[0].lower()), start.startswith(markers[-1].lower())
+def opening() -> Column:
+    return F.ltrim(F.lower(F.left("text", F.lit(60))))
+
+
+def kept_together(elements: DataFrame, opens: Column, closes: Column, least: int) -> DataFrame:
+    """C3 with given marks: a new chunk at an element that opens if one that closes came since the previous opening."""
     before = Window.partitionBy("source_file").orderBy("elem_idx").rowsBetween(Window.unboundedPreceding, -1)
     last_open, last_close = F.max(F.when(opens, F.col("elem_idx"))).over(before), F.max(F.when(closes, F.col("elem_idx"))).over(before)
     rows = elements.withColumn("cut", (opens & last_close.isNotNull() & (last_open.isNull() | (last_close > last_open))).cast("int"))
@@ -180,91 +191,80 @@ def chunk_keep_together(elements: DataFrame, markers: list[str], least: int = 10
     return per.where(F.length("text") >= least)
 
 
-def section_start() -> Column:
-    return F.col("element_type").isin("Title", "Header") | ((F.length("text") < 120) & F.col("text").rlike(rf"(?i)\b({T.SECTION_WORDS})\b"))
-
-
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
-def section_blocks(elements: DataFrame) -> DataFrame:
-    """Elements gathered to blocks, numbered per file: a section's text up to a table or the next section, or a table by itself."""
-    order = Window.partitionBy("source_file").orderBy("elem_idx")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = elements.select("source_file", "elem_idx", "page_number", "element_type", "text", section_start().alias("start"))
-    rows = rows.withColumn("alone", (F.col("element_type") == "Table") & ~F.col("start"))
-    rows = rows.withColumn("cut", F.col("start") | F.col("alone") | F.coalesce(F.lag("alone").over(order), F.lit(False)))
-    rows = rows.withColumn("block", F.sum(F.col("cut").cast("int")).over(so_far))
-    rows = rows.withColumn("section", F.coalesce(F.last(F.when(F.col("start"), F.left(strip(F.col("text")), F.lit(80))), ignorenulls=True).over(so_far), F.lit("Introduction")))
-    return rows.groupBy("source_file", "block").agg(
-        F.first("section").alias("section"), F.bool_or("alone").alias("alone"), F.min_by("page_number", "elem_idx").alias("page_number"), dominant().alias("element_type"), joined_in_order("text", "elem_idx", "\n\n").alias("body")
-    )
-
-
-def led(lead: Column, body: Column) -> Column:
-    """A block's text behind the end of the text before it."""
-    return strip(F.when(lead == "", body).otherwise(F.concat(lead, F.lit("\n\n"), body)))
-
-
-def ending(text: Column, overlap: int) -> Column:
-    return F.when(F.length(text) > overlap, F.right(text, F.lit(overlap))).otherwise("")
+def chunk_keep_together(elements: DataFrame, markers: list[str], least: int = 100) -> DataFrame:
+    """A new chunk at an element that opens with the first marker if the last marker came since the previous opening."""
+    return kept_together(elements, opening().startswith(markers[0].lower()), opening().startswith(markers[-1].lower()), least)
 
 
-def pieces(text: Column, whole: Column, most: int, overlap: int) -> Column:
-    """A text as an array of pieces cut between paragraphs, each opening with the end of the piece before; a text that fits, or must stay whole, is one."""
+def section_start() -> Column:
+    return F.col("element_type").isin("Title", "Header") | ((F.length("text") < 120) & F.col("text").rlike(rf"(?i)\b({T.SECTION_WORDS})\b"))
 
-    def add(done: Column, paragraph: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.when(last == "", strip(paragraph)).otherwise(strip(F.concat(last, F.lit("\n\n"), paragraph)))
-        fresh = F.when(F.length(last) > overlap, F.concat(F.right(last, F.lit(overlap)), F.lit("\n\n"), paragraph)).otherwise(paragraph)
-        full = (last != "") & (F.length(longer) > most)
-        return F.when(full, F.concat(done, F.array(fresh))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)))
 
-    return F.when(whole | (F.length(text) <= most), F.array(text)).otherwise(F.aggregate(F.split(text, "\n\n"), F.array(F.lit("")), add))
+def blocks(elements: Iterator[tuple]) -> Iterator[tuple[list[tuple], bool]]:
+    """The elements (source_file, page_number, element_type, text, start) of one file gathered to blocks: a section's text up to a table or the next section, or a table by itself (True)."""
+    held, alone_before = [], False
+    for e in elements:
+        alone = e[2] == "Table" and not e[4]
+        if held and (e[4] or alone or alone_before):
+            yield held, alone_before
+            held = []
+        held.append(e)
+        alone_before = alone
+    yield held, alone_before
+
+
+def pieces(text: str, most: int, overlap: int) -> list[str]:
+    """A text cut between paragraphs, each piece opening with the end of the one before."""
+    done = [""]
+    for paragraph in text.split("\n\n"):
+        last = done[-1]
+        longer = (f"{last}\n\n{paragraph}" if last else paragraph).strip(SPACE)
+        if last and len(longer) > most:
+            done.append(f"{last[len(last) - overlap :]}\n\n{paragraph}" if len(last) > overlap else paragraph)
+        else:
+            done[-1] = longer
+    return done
+
+
+def sections(elements: Iterator[tuple], most: int, least: int, overlap: int) -> Iterator[tuple]:
+    """Chunks (source_file, seq, page_number, section, element_type, text) of elements that come file by file and in order. Null texts are left out."""
+    for file, own in itertools.groupby(elements, operator.itemgetter(0)):
+        seq, section, lead = 0, "Introduction", ""
+        for block, alone in blocks(own):
+            _, page, first, head, start = block[0]
+            if start and head is not None:
+                section = head.strip(SPACE)[:80]
+            kinds = {e[2] for e in block}
+            kind = "Table" if "Table" in kinds else "OrgData" if "OrgData" in kinds else first
+            body = "\n\n".join(e[3] for e in block if e[3] is not None)
+            text = (f"{lead}\n\n{body}" if lead and not alone else body).strip(SPACE)
+            if len(text) < least:
+                lead = lead if alone else ""
+                continue
+            parts = [text] if kind == "Table" or len(text) <= most else pieces(text, most, overlap)
+            for part in parts[:-1] if len(parts[-1]) < least else parts:
+                yield file, seq, page, section, kind, part
+                seq += 1
+            if not alone:
+                lead = parts[-1][len(parts[-1]) - overlap :] if len(parts[-1]) > overlap else ""
 
 
 def chunk_sections(elements: DataFrame, most: int = 1500, least: int = 100, overlap: int = 100) -> DataFrame:
     """C4: chunks at section boundaries; tables whole and alone; long text cut between paragraphs; each chunk opens with the last characters of the one before.
 
-    What a block opens with depends on the block before it. Most blocks close the question: whatever they open with, they end with
-    `overlap` characters of their own. So each stretch between such blocks is a fold by itself, from a start that is known, and only over
-    blocks that are short; no file, however long, is ever one row.
+    What a block opens with depends on all blocks of the file before. So elements go past in order, and a file's last characters are
+    carried from one block to the next: a file of any number of blocks takes no more memory than its longest block and a batch of rows.
     """
-    whole, body = F.col("element_type") == "Table", strip(F.col("body"))
-    rows = section_blocks(elements)
-    # a block ends with its own text if that is longer than the overlap and is either one piece or ends in a paragraph that is longer
-    fits = whole | (F.length("body") + overlap + 2 <= most) | (F.length(strip(F.element_at(F.split("body", "\n\n"), -1))) > overlap)
-    closed = ~F.col("alone") & (F.length(body) > overlap) & (F.length(body) >= least) & fits
-    ahead = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("closed", closed).withColumn("open", ~F.col("alone") & ~F.col("closed"))
-    rows = rows.withColumns({
-        "stretch": F.coalesce(F.sum(F.col("closed").cast("int")).over(ahead), F.lit(0)),
-        "start": F.coalesce(F.last(F.when(F.col("closed"), F.right(body, F.lit(overlap))), ignorenulls=True).over(ahead), F.lit("")),
-        "last_open": F.max(F.when(F.col("open"), F.col("block"))).over(ahead),
-        "last_closed": F.max(F.when(F.col("closed"), F.col("block"))).over(ahead),
-    })
-    after_open = F.coalesce(F.col("last_open") > F.coalesce("last_closed", F.lit(-1)), F.lit(False))
-    rows = rows.withColumn("folded", after_open)
-    state = "struct<lead: string, leads: array<string>>"
-
-    def follow(acc: Column, b: Column) -> Column:
-        text = led(acc["lead"], b["body"])
-        last = F.element_at(pieces(text, b["whole"], most, overlap), -1)
-        lead = F.when(~b["open"], acc["lead"]).when(F.length(text) < least, "").otherwise(ending(last, overlap))
-        return F.struct(lead.alias("lead"), F.concat(acc["leads"], F.array(acc["lead"])).alias("leads")).cast(state)
-
-    few = rows.where("open or folded").select("source_file", "stretch", "start", F.struct("block", "open", whole.alias("whole"), F.when(F.col("open"), F.col("body")).otherwise("").alias("body")).alias("b"))
-    per = few.groupBy("source_file", "stretch").agg(F.first("start").alias("start"), F.array_sort(F.collect_list("b")).alias("blocks"))
-    none = F.struct(F.col("start").alias("lead"), F.array().cast("array<string>").alias("leads")).cast(state)
-    leads = per.select("source_file", F.explode(F.arrays_zip(F.col("blocks.block").alias("block"), F.aggregate("blocks", none, follow)["leads"].alias("lead"))).alias("x")).select("source_file", "x.block", "x.lead")
-    rows = rows.join(leads, ["source_file", "block"], "left").withColumn("lead", F.when(F.col("folded"), F.col("lead")).otherwise(F.col("start")))
-    text = F.when(F.col("alone"), strip(F.col("body"))).otherwise(led(F.col("lead"), F.col("body")))
-    rows = rows.withColumn("text", text).where(F.length("text") >= least)
-    rows = rows.select("source_file", "block", "page_number", "section", "element_type", F.posexplode(pieces(F.col("text"), F.col("element_type") == "Table", most, overlap)).alias("pos", "text"))
-    rows = rows.withColumn("last", F.lead("pos").over(Window.partitionBy("source_file", "block").orderBy("pos")).isNull()).where((F.length("text") >= least) | ~F.col("last"))
-    seq = F.row_number().over(Window.partitionBy("source_file").orderBy("block", "pos")) - 1
-    return rows.select("source_file", seq.cast("int").alias("seq"), "page_number", "section", "element_type", "text")
+
+    def run(batches):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        chunks = sections(rows, most, least, overlap)
+        while part := list(itertools.islice(chunks, SLICE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=CHUNK)
+
+    rows = elements.select("source_file", F.col("page_number").cast("int"), "element_type", "text", F.coalesce(section_start(), F.lit(False)).alias("start"), "elem_idx")
+    rows = rows.repartition("source_file").sortWithinPartitions("source_file", "elem_idx", "text").drop("elem_idx")
+    return rows.mapInArrow(run, "source_file string, seq int, page_number int, section string, element_type string, text string")
 
 
 def chunk_all(elements: DataFrame, profiles: DataFrame, types: DataFrame) -> DataFrame:
@@ -274,10 +274,11 @@ def chunk_all(elements: DataFrame, profiles: DataFrame, types: DataFrame) -> Dat
     rows = elements.join(per, "source_file", "left")
     vision = F.coalesce(F.col("reader") == "vision", F.lit(False)) if "reader" in elements.columns else F.lit(False)
     together = F.coalesce(F.size("keep_together") > 0, F.lit(False))
-    out = chunk_pages(rows.where(vision)).select("source_file", "seq", "page_number", "section", "element_type", "text")
-    for name, (_, _, markers, _) in DOC_TYPES.items():
-        if markers:
-            out = out.unionByName(chunk_keep_together(rows.where(~vision & (F.col("document_type") == name)), markers).select("source_file", "seq", "page_number", "section", "element_type", "text"))
+    out = chunk_pages(rows.where(vision)).select(*CHUNK)
+    # all types with markers in one pass, each with its own
+    marks = {name: markers for name, (_, _, markers, _) in DOC_TYPES.items() if markers}
+    opens, closes = (F.coalesce(*(F.when(F.col("document_type") == name, opening().startswith(m[k].lower())) for name, m in marks.items())) for k in (0, -1))
+    out = out.unionByName(kept_together(rows.where(~vision & F.col("document_type").isin(*marks)), opens, closes, 100).select(*CHUNK))
     return out.unionByName(chunk_sections(rows.where(~vision & ~together)))
 
 
