@@ -226,7 +226,8 @@ def places(t) -> tuple[str, str]:
 def stream_elements(t):
     state, out = places(t)
     parts = F.split("text", "\n")
-    lines = stream(t, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"), F.size(parts).alias("n"), F.posexplode(parts).alias("elem_idx", "text"))
+    files = stream(t, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"), F.size(parts).alias("n"), "text")
+    lines = files.select("source_file", "n", F.posexplode(parts).alias("elem_idx", "text"))  # lines are counted per file, not per line
     kind = F.when(F.length("text") < 60, "Title").when(F.col("elem_idx") % 7 == 6, "Table").otherwise("NarrativeText")
     lines = lines.withColumns({"page_number": F.floor(F.col("elem_idx") / 20).cast("int") + 1, "element_type": kind, "last": F.col("elem_idx") == F.col("n") - 1})
     jobs.stream_new_elements(lines, state, out, t.profiles).awaitTermination()

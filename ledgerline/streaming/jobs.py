@@ -98,7 +98,9 @@ def chunked(elements: DataFrame, profiles: DataFrame | None, types: DataFrame |
     if profiles is None:
         profiles = spark.createDataFrame([], "source_file string, document_type string, department string, period string")
     cut = chunk_sections(elements) if types is None else chunk_all(elements, profiles, types)
-    cut = cut.withColumn("content_type", F.coalesce(T.content_rule(F.col("element_type"), F.col("text")), F.lit("narrative")))
+    ruled = F.coalesce(F.col("element_type").isin("Table", "Title", "Header", "OrgData"), F.lit(False))  # these types go by themselves
+    cut = cut.withColumn("ratio", F.when(~ruled, T.numeric_ratio(F.col("text"))))  # looked at several times, made once
+    cut = cut.withColumn("content_type", F.coalesce(T.content_rule(F.col("element_type"), F.col("text"), F.col("ratio")), F.lit("narrative"))).drop("ratio")
     return chunk_metadata(cut, profiles)
 
 
