@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 from collections import Counter
 
 import numpy as np
@@ -220,3 +221,15 @@ def test_several_vectors_of_one_id_are_one_node(spark):
 
 def test_vectors_empty(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_planted_passages_of_400_bytes_go_and_others_stay(spark):
+    """The size of the input is no sign of removal; n_removed is."""
+    draw = random.Random(3)
+    words = lambda k: " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9))) for _ in range(k))
+    passages = [words(draw.randint(51, 120)) for _ in range(20)]
+    texts = [f"{words(80)}\n{p}\n{words(80)}" for p in passages for _ in (0, 1)] + [words(240) for _ in range(10)]
+    got = {r.doc_id: r for r in suffix_dedup.drop_repeats(docs(spark, list(enumerate(texts)))).collect()}
+    for k, text in enumerate(texts):
+        planted = len(passages[k // 2]) + 2 if k < 40 else 0  # with the line ends
+        assert (got[k].n_bytes, got[k].n_removed > 0) == (len(text), planted >= 400)
